@@ -287,6 +287,16 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     return size.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows and columns of ``docs``, one document (the smallest doc_id) of every component."""
+    parts = cut(ngram_jaccard(docs, k, num, den))
+    gone = parts.where("doc_id <> component_id").select("doc_id").distinct()
+    few = gone.count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
+    twice = parts.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id"])
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components at 0.9 over 3-word shingles of all documents."""
     return ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=90, den=100)

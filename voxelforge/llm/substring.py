@@ -223,6 +223,27 @@ def dedupe_substrings(docs: DataFrame, window: int = 13, group: int = GROUP) ->
     return text.join(found, "id", "left").select("id", "text", "starts").mapInArrow(run, KEPT)
 
 
+def dedupe_texts(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
+    """The rows and columns of ``docs``; texts that lose words are their kept words joined by one space."""
+    found = cut(marks(docs, window, group)).withColumnsRenamed({"id": "__id", "starts": "__starts"})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.schema.get_field_index("text")
+            new = []
+            for t, s in zip(batch.column(i).to_pylist(), batch.column("__starts").to_pylist(), strict=True):
+                kept = keep_words(t.encode(), s, window) if t and s else (0, 0, b"")
+                new.append(kept[2].decode() if kept[1] else t)
+            out = batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
+            yield out.select([f.name for f in docs.schema])
+
+    own = F.col("doc_id").cast("long") == F.col("__id")
+    if found.count() > BROADCAST_ROWS:
+        return docs.join(found, own, "left").drop("__id").mapInArrow(run, docs.schema)
+    ids = F.broadcast(found.select("__id"))
+    return docs.join(ids, own, "left_semi").join(found, own).drop("__id").mapInArrow(run, docs.schema).union(docs.join(ids, own, "left_anti"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """13-word windows of all documents."""
     kept = dedupe_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), 13)
