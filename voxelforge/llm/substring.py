@@ -226,6 +226,7 @@ def dedupe_substrings(docs: DataFrame, window: int = 13, group: int = GROUP) ->
 def dedupe_texts(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
     """The rows and columns of ``docs``; texts that lose words are their kept words joined by one space."""
     found = cut(marks(docs, window, group)).withColumnsRenamed({"id": "__id", "starts": "__starts"})
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,7 +236,7 @@ def dedupe_texts(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataF
                 kept = keep_words(t.encode(), s, window) if t and s else (0, 0, b"")
                 new.append(kept[2].decode() if kept[1] else t)
             out = batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
-            yield out.select([f.name for f in docs.schema])
+            yield out.select(names)
 
     own = F.col("doc_id").cast("long") == F.col("__id")
     if found.count() > BROADCAST_ROWS:

@@ -3,7 +3,7 @@
 The labels speak of documents, so the words of a bounded sample are labelled first: a word of a toxic
 document is toxic when it, or its four-letter prefix, is common in toxic documents and all but absent
 from the others.  A two-state chain (clean, toxic) is then trained on these labelled words; its features
-are hashes of the word, its prefixes, suffix and shape.  Forward-backward marginals of every word of the
+are the word, its prefixes, suffix and length.  Forward-backward marginals of every word of the
 whole text are summed up to a document's score by a logistic model, and words with a marginal of at least
 one half are the offending spans.
 
@@ -24,15 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow, slices
 
 #: Labelled documents to fit on: clean and toxic ones at most, and their characters at most.
-SAMPLE, SAMPLE_CHARS = (4000, 1000), 16_000_000
-BUCKETS = 1 << 16
+SAMPLE, SAMPLE_CHARS = (3000, 800), 12_000_000
 CACHE_WORDS = 600_000
 SCORED = "doc_id long, held_out boolean, score double, predicted int, n_toxic long, spans string"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -42,16 +40,15 @@ def clean(word: str) -> str:
     return _EDGE.sub("", word).lower()
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a cleaned word."""
-    names = ("w" + word, "3" + word[:3], "4" + word[:4], "5" + word[:5], "s" + word[-3:], f"n{min(len(word), 12)}")
-    return [xxhash.xxh32_intdigest(x) % BUCKETS for x in names]
+def features(word: str) -> tuple[str, ...]:
+    """Names of a cleaned word's features: the word, three prefixes, a suffix and its length."""
+    return ("w" + word, "3" + word[:3], "4" + word[:4], "5" + word[:5], "s" + word[-3:], f"n{min(len(word), 12)}")
 
 
 class Chain:
     """Two states, so one log-odds number per word carries the forward and the backward messages."""
 
-    def __init__(self, weights: np.ndarray, trans: np.ndarray, head: np.ndarray):
+    def __init__(self, weights: dict[str, float], trans: np.ndarray, head: np.ndarray):
         self.weights, self.trans, self.head = weights, trans, head  # trans: log potentials [from, to]; head: logistic (bias, sum, max)
         self.cache: dict[str, float] = {}
 
@@ -59,8 +56,9 @@ class Chain:
         known = self.cache
         if len(known) > CACHE_WORDS:
             known.clear()
+        get = self.weights.get
         for w in set(words).difference(known):
-            known[w] = float(self.weights[features(clean(w))].sum())
+            known[w] = sum([get(f, 0.0) for f in features(clean(w))])
         return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
     def marginals(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
@@ -115,19 +113,26 @@ def label_words(texts: list[str], toxic: list[int]) -> tuple[list[list[str]], se
 
     share = math.log(n[1] / (n[0] + n[1]))
 
-    def bad(x: str) -> bool:
-        a, b = count[1][x], count[0][x]
+    def bad(a: int, b: int) -> bool:
         if a < 3 or a / n[1] <= 30 * b / n[0]:
             return False
         chance = math.lgamma(a + b + 1) - math.lgamma(a + 1) - math.lgamma(b + 1) + a * share
         return chance < math.log(1e-6)  # so many of its documents are toxic by chance
 
-    return docs, {w for w in {w for d in docs for w in d if w} if bad(w) or (len(w) > 4 and bad(w[:4] + "*"))}
+    likely = {x for x, a in count[1].items() if bad(a, count[0][x])}
+    around: dict[str, set] = {x: set() for x in likely}  # copies of one document repeat a word's neighbours
+    for words, y in zip(docs, toxic, strict=True):
+        for i, w in enumerate(words) if y else ():
+            for x in (w, w[:4] + "*"):
+                if x in around:
+                    around[x].add((words[i - 1] if i else "", *words[i + 1 : i + 2]))
+    likely = {x for x in likely if bad(min(count[1][x], len(around[x])), count[0][x])}
+    return docs, {w for w in {w for d in docs for w in d if w} if w in likely or (len(w) > 4 and w[:4] + "*" in likely)}
 
 
 def fit(texts: list[str], toxic: list[int], epochs: int = 3, rate: float = 0.3, seed: int = 5) -> Chain:
     """Train the chain by stochastic gradients of the log-likelihood, then the document score."""
-    model = Chain(np.zeros(BUCKETS), np.zeros((2, 2)), np.array([-40.0, 0.0, 0.0]))
+    model = Chain({}, np.zeros((2, 2)), np.array([-40.0, 0.0, 0.0]))
     if len(set(toxic)) < 2:
         return model
     docs, bad = label_words(texts, toxic)
@@ -140,8 +145,9 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 3, rate: float = 0.3,
                 spans.append((own, [int(w in bad) for w in own]))
             elif rng.random() < 0.15:
                 spans.append((own, [0] * len(own)))
-    memo: dict[str, list[int]] = {}
-    grad2, trans2 = np.full(BUCKETS, 1e-2), np.full((2, 2), 1.0)
+    number: dict[str, int] = {}
+    memo = {w: [number.setdefault(f, len(number)) for f in features(w)] for w in sorted({w for own, _ in spans for w in own})}
+    weights, grad2, trans2 = np.zeros(len(number)), np.full(len(number), 1e-2), np.full((2, 2), 1.0)
     for _ in range(epochs):
         order = rng.permutation(len(spans))
         for k in range(0, len(order), 64):
@@ -149,15 +155,14 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 3, rate: float = 0.3,
             m = max(len(w) for w, _ in some)
             f, y, mask = np.zeros((len(some), m, 6), np.int64), np.zeros((len(some), m)), np.zeros((len(some), m), bool)
             for r, (w, lab) in enumerate(some):
-                f[r, : len(w)] = [memo.get(x) or memo.setdefault(x, features(x)) for x in w]
+                f[r, : len(w)] = [memo[x] for x in w]
                 y[r, : len(w)], mask[r, : len(w)] = lab, True
-            e = model.weights[f].sum(2) * mask
+            e = weights[f].sum(2) * mask
             p = model.marginals(e, mask)
-            g = np.zeros(BUCKETS)
-            np.add.at(g, f[mask].ravel(), np.repeat((y - p)[mask], 6))
-            g = g / len(some) - 1e-5 * model.weights
-            grad2 += g * g
-            model.weights += rate * g / np.sqrt(grad2)
+            own, at = np.unique(f[mask], return_inverse=True)
+            g = np.bincount(at.ravel(), np.repeat((y - p)[mask], 6), minlength=len(own)) / len(some) - 1e-5 * weights[own]
+            grad2[own] += g * g
+            weights[own] += rate * g / np.sqrt(grad2[own])
             both = mask[:, 1:]
             t = np.zeros((2, 2))
             for a in (0, 1):  # observed pairs minus expected ones, the expectation taken from the two marginals
@@ -168,7 +173,7 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 3, rate: float = 0.3,
             t /= max(1, both.sum())
             trans2 += t * t
             model.trans = np.clip(model.trans + rate * t / np.sqrt(trans2), -2, 2)
-    model.cache.clear()
+    model.weights = {f: float(weights[i]) for f, i in number.items() if abs(weights[i]) > 0.01}
     total, most = np.zeros(len(texts)), np.zeros(len(texts))
     for i, p in model.tag(texts):
         total[i], most[i] = p.sum(), p.max(initial=0)
@@ -202,7 +207,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, allowed: Column, per_label:
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted, number of toxic words, their spans (start:end, code points)."""
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
-    shared_model = docs.sparkSession.sparkContext.broadcast(fit(*sample_rows(docs, labels, ~held)))  # BUCKETS weights, whatever the input
+    shared_model = docs.sparkSession.sparkContext.broadcast(fit(*sample_rows(docs, labels, ~held)))  # bounded by the sample, whatever the input
     form = arrow(SCORED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
