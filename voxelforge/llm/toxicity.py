@@ -138,12 +138,13 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 3, rate: float = 0.3,
     docs, bad = label_words(texts, toxic)
     rng = np.random.default_rng(seed)
     spans, width = [], 48
-    for words, y in zip(docs, toxic, strict=True):  # runs of words: all with a toxic one, and as many others
+    stems = {w[:4] for w in bad}
+    for words, y in zip(docs, toxic, strict=True):  # runs of words: all with a toxic or a similar one, and some others
         for i in range(0, len(words), width):
             own = words[i : i + width]
             if y and any(w in bad for w in own):
                 spans.append((own, [int(w in bad) for w in own]))
-            elif rng.random() < 0.15:
+            elif (not y and any(w[:4] in stems for w in own)) or rng.random() < 0.1:
                 spans.append((own, [0] * len(own)))
     number: dict[str, int] = {}
     memo = {w: [number.setdefault(f, len(number)) for f in features(w)] for w in sorted({w for own, _ in spans for w in own})}
@@ -180,9 +181,8 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 3, rate: float = 0.3,
     x = np.stack([np.ones(len(texts)), np.log1p(total), most], 1)
     y = np.array(toxic, float)
     h = np.zeros(3)
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(3000):
-        h += 0.5 * (x.T @ (weight * (y - 1 / (1 + np.exp(-np.clip(x @ h, -40, 40)))))) / len(y) - 1e-4 * h
+        h += 0.5 * (x.T @ ((y - 1 / (1 + np.exp(-np.clip(x @ h, -40, 40)))))) / len(y) - 1e-4 * h
     model.head = h
     return model
 
