@@ -144,7 +144,7 @@ def fit_voxels(series: DataFrame, key: str, times: Sequence[float], model: Calla
     def run(x: np.ndarray) -> np.ndarray:
         y = x.real
         first = np.repeat([start or (1.0, 100.0)], len(y), 0)
-        first[:, 0] = np.where(np.abs(y).sum(1) > 0, np.abs(y).max(1), start[0])
+        first[:, 0] = np.where(np.abs(y).sum(1) > 0, np.abs(y).max(1), first[:, 0])
         if start is None:
             v = np.log(np.maximum(np.abs(y), 1e-300))
             c = t - t.mean()

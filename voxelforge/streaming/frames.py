@@ -28,11 +28,11 @@ def run(stream: DataFrame, name: str, write: Callable[[DataFrame, str], DataFram
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
-        (write(batch, base) if write else batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/n={number}")
+        (write(batch, base) if write else batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/micro_batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("n")
+    return spark.read.parquet(f"{base}/out").drop("micro_batch")
 
 
 def frames(events: DataFrame, key: str, time: str, value: str, width: str, late: str) -> DataFrame:
