@@ -110,11 +110,30 @@ def repeats(labels: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, docs > least[np.cumsum(head) - 1]
 
 
-def _by_doc(docs: np.ndarray, pos: np.ndarray) -> tuple[list[int], list[bytes]]:
-    order = np.lexsort((pos, docs))
-    docs, pos = docs[order], pos[order].astype(np.uint32)
-    head = np.flatnonzero(np.concatenate(([True], docs[1:] != docs[:-1]))) if len(docs) else np.empty(0, np.int64)
-    return docs[head].tolist(), [p.tobytes() for p in np.split(pos, head[1:])] if len(head) else []
+def write_marks(ids: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket of documents, block of (id, start) pairs), one block a bucket."""
+    where = ((ids.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(33)).astype(np.int64) % buckets
+    order = np.lexsort((pos, ids, where))
+    where, ids, pos = where[order], ids[order], pos[order].astype(np.uint32)
+    cuts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(ids) else np.empty(0, np.int64)
+    for a, b in zip(cuts, [*cuts[1:].tolist(), len(ids)], strict=True):
+        body = _planes(np.diff(ids[a:b], prepend=np.int64(0))) + _planes(pos[a:b])
+        yield int(where[a]), struct.pack("<q", b - a) + zstandard.ZstdCompressor(level=1).compress(body)
+
+
+def read_marks(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = struct.unpack("<q", raw[:8])[0]
+    body = zstandard.ZstdDecompressor().decompress(raw[8:], max_output_size=12 * n)
+    return np.cumsum(_unplanes(body[: 8 * n], n, np.int64)), _unplanes(body[8 * n :], n, np.uint32)
+
+
+def merge_marks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row per document of a bucket, with its distinct start positions."""
+    ids, pos = (np.concatenate(x) for x in zip(*map(read_marks, pdf["block"]), strict=True))
+    order = np.lexsort((pos, ids))
+    ids, pos = ids[order], pos[order]
+    head = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return pd.DataFrame({"id": ids[head], "starts": [np.unique(p).tobytes() for p in np.split(pos, head[1:])]})
 
 
 def marks(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
@@ -154,9 +173,9 @@ def marks(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
         for a, b in zip(cuts, [*cuts[1:].tolist(), len(grp)], strict=True):
             keys.append(int(grp[a]))
             blocks.append(write_block(labels_go[a:b], ids_go[a:b], pos_go[a:b]))
-        for d, p in zip(*_by_doc(ids[dup], pos[dup]), strict=True):  # settled here; passes through some group
-            keys.append(-1 - d % n_groups)
-            blocks.append(struct.pack("<q", d) + p)
+        for bucket, block in write_marks(ids[dup], pos[dup], n_groups):  # settled here
+            keys.append(-1 - bucket)
+            blocks.append(block)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], schema=form)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,15 +194,14 @@ def marks(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["grp"].iloc[0] < 0:
-            return pd.DataFrame({"id": [struct.unpack("<q", b[:8])[0] for b in pdf["block"]], "starts": [b[8:] for b in pdf["block"]]})
+            return pd.DataFrame({"grp": -1 - pdf["grp"], "block": pdf["block"]})
         labels, ids, pos = (np.concatenate(x) for x in zip(*map(read_block, pdf["block"]), strict=True))
         order, dup = repeats(labels, ids)
         own = order[dup]
-        d, s = _by_doc(ids[own], pos[own])
-        return pd.DataFrame({"id": d, "starts": s})
+        return pd.DataFrame(list(write_marks(ids[own], pos[own], n_groups)), columns=["grp", "block"])
 
-    parts = text.mapInArrow(split, BLOCKS).groupBy("grp").applyInPandas(tree, MARKS)
-    return parts.groupBy("id").agg(F.array_join(F.transform(F.collect_list("starts"), F.hex), "").alias("starts")).select("id", F.unhex("starts").alias("starts"))
+    found = text.mapInArrow(split, BLOCKS).groupBy("grp").applyInPandas(tree, BLOCKS)
+    return found.groupBy("grp").applyInPandas(merge_marks, MARKS)
 
 
 def keep_words(text: bytes, starts: bytes | None, window: int) -> tuple[int, int, bytes]:
