@@ -110,13 +110,20 @@ def repeats(labels: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, docs > least[np.cumsum(head) - 1]
 
 
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Bounds of the runs of equal keys."""
+    if not len(keys):
+        return []
+    at = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
 def write_marks(ids: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     """(bucket of documents, block of (id, start) pairs), one block a bucket."""
     where = ((ids.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(33)).astype(np.int64) % buckets
     order = np.lexsort((pos, ids, where))
     where, ids, pos = where[order], ids[order], pos[order].astype(np.uint32)
-    cuts = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(ids) else np.empty(0, np.int64)
-    for a, b in zip(cuts, [*cuts[1:].tolist(), len(ids)], strict=True):
+    for a, b in _runs(where):
         body = _planes(np.diff(ids[a:b], prepend=np.int64(0))) + _planes(pos[a:b])
         yield int(where[a]), struct.pack("<q", b - a) + zstandard.ZstdCompressor(level=1).compress(body)
 
@@ -168,9 +175,8 @@ def marks(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
         grp = base[code] + tail.astype(np.int64)
         go = ~dup
         grp, labels_go, ids_go, pos_go = grp[go], labels[go], ids[go], pos[go]
-        cuts = np.flatnonzero(np.concatenate(([True], grp[1:] != grp[:-1]))) if len(grp) else np.empty(0, np.int64)
         keys, blocks = [], []
-        for a, b in zip(cuts, [*cuts[1:].tolist(), len(grp)], strict=True):
+        for a, b in _runs(grp):
             keys.append(int(grp[a]))
             blocks.append(write_block(labels_go[a:b], ids_go[a:b], pos_go[a:b]))
         for bucket, block in write_marks(ids[dup], pos[dup], n_groups):  # settled here
