@@ -160,8 +160,8 @@ def language_id(docs: DataFrame, train: DataFrame, held_out: Column | None = Non
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT)
 
 
-def keep_known(docs: DataFrame, train: DataFrame, min_score: float = 0.05) -> DataFrame:
-    """The rows and columns of ``docs`` whose text has a language: some letter and a cosine of ``min_score``."""
+def keep_known(docs: DataFrame, train: DataFrame, min_score: float = -1.0) -> DataFrame:
+    """The rows and columns of ``docs`` that are not ``und``: some letter, and a cosine of ``min_score`` if that is asked for."""
     protos = prototypes(train)
     matrix = np.array(list(protos.values())).reshape(len(protos), DIM)
 
