@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; bounds the working arrays, never what is read.
 SLICE_BYTES = 2_000_000
+#: Bytes or words that are hashed at once; bounds the tables of powers, too.
+STRETCH = 1 << 20
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240117)
@@ -65,10 +67,17 @@ class Words:
         if len(buf) and not gap[0]:
             edge = np.concatenate(([0], edge))
         self.starts, self.ends = edge[0::2], edge[1::2]
-        power, inverse = powers(_BASE, len(buf) + 1)
-        total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_LETTER[buf] * power[: len(buf)], out=total[1:])
-        self.hashes = mix((total[self.ends] - total[self.starts]) * inverse[self.starts])
+        self.hashes = np.empty(len(self.starts), np.uint64)
+        i = 0
+        while i < len(self.starts):  # stretches of whole words of at most STRETCH bytes, or one longer word
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + STRETCH, "right")))
+            a, b = int(self.starts[i]), int(self.ends[j - 1])
+            power, inverse = powers(_BASE, b - a + 1)
+            total = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(_LETTER[buf[a:b]] * power[: b - a], out=total[1:])
+            at, to = self.starts[i:j] - a, self.ends[i:j] - a
+            self.hashes[i:j] = mix((total[to] - total[at]) * inverse[at])
+            i = j
         at = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.bounds = np.searchsorted(self.starts, at)
 
@@ -80,18 +89,22 @@ class Words:
         first = np.repeat(np.cumsum(n) - n, n)
         pos = np.arange(len(doc)) - first
         at = self.bounds[:-1][doc] + pos
-        power, inverse = powers(_WBASE, len(self.hashes) + 1)
-        total = np.zeros(len(self.hashes) + 1, np.uint64)
-        np.cumsum(self.hashes * power[: len(self.hashes)], out=total[1:])
-        return mix((total[at + k] - total[at]) * inverse[at] + _PLACE[k % 64]), doc, pos
-
-
-def slices(ids: list, texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[list, list]]:
-    """Cut parallel lists into runs of at most about ``limit`` bytes of text."""
+        every = np.empty(max(0, len(self.hashes) - k + 1), np.uint64)
+        for a in range(0, len(every), STRETCH):
+            own = self.hashes[a : a + STRETCH + k - 1]
+            power, inverse = powers(_WBASE, len(own) + 1)
+            total = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(own * power[: len(own)], out=total[1:])
+            every[a : a + STRETCH] = mix((total[k:] - total[:-k]) * inverse[: len(own) - k + 1] + _PLACE[k % 64])
+        return every[at], doc, pos
+
+
+def slices(ids: list, texts: list, limit: int = SLICE_BYTES, most: int = 4096) -> Iterator[tuple[list, list]]:
+    """Cut parallel lists into runs of at most about ``limit`` bytes of text and ``most`` texts."""
     i, size = 0, 0
     for j, t in enumerate(texts):
         size += len(t) + 1
-        if size >= limit:
+        if size >= limit or j + 1 - i >= most:
             yield ids[i : j + 1], texts[i : j + 1]
             i, size = j + 1, 0
     if i < len(texts):

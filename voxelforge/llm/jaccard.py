@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, components, cut, id_text, mix, rows, shingle_sets, texts_of
+from .common import arrow, components, cut, id_text, mix, rows, shingle_sets, slices, texts_of
 
 _U = np.uint64
 POINT = 64  # coordinates of a point
 LEAF = 32  # points in a leaf
 #: Shingles that one task holds at most, per side (8 bytes each).
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 1_500_000
 #: Largest table of document ids that may be broadcast (16 bytes a row).
 BROADCAST_ROWS = 500_000
 CLASS_SCHEMA = "doc_id long, n long, digest binary"
@@ -243,8 +243,9 @@ def _block_parts(k: int, num: int, den: int):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates("node")
-        raw = [(t or "").encode().lower() for t in pdf["text"]]
-        part = link_block(shingle_sets(raw, k), pdf["part"].tolist(), num, den)
+        raw = [(t or "").encode().lower() for t in pdf.pop("text")]
+        sets = [s for _, own in slices(raw, raw) for s in shingle_sets(own, k)]
+        part = link_block(sets, pdf["part"].tolist(), num, den)
         first = pdf.groupby(part)["part"].transform("min")
         return pd.DataFrame({"a": pdf["part"].to_numpy(np.int64), "b": first.to_numpy(np.int64)}).drop_duplicates()
 

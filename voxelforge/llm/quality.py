@@ -69,7 +69,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
         for batch in batches:
             langs = batch.column(0).to_pylist()
             texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            for some, own in slices(langs, texts, 500_000):
+            for some, own in slices(langs, texts, 500_000, 256):
                 _, chars, bins = histograms(own)
                 both = np.concatenate((chars, bins), 1)
                 for lang in set(some):
@@ -136,7 +136,7 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, ma
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            for ids, some in slices(batch.column(0).to_pylist(), texts, 500_000):
+            for ids, some in slices(batch.column(0).to_pylist(), texts, 500_000, 256):
                 yield judge(ids, some)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).mapInArrow(run, STATS)

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import arrow, slices
 
 #: Labelled documents to fit on: clean and toxic ones at most, and their characters at most.
-SAMPLE, SAMPLE_CHARS = (3000, 800), 12_000_000
+SAMPLE, SAMPLE_CHARS = (3000, 800), 9_000_000
 CACHE_WORDS = 600_000
 SCORED = "doc_id long, held_out boolean, score double, predicted int, n_toxic long, spans string"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -104,7 +105,7 @@ class Chain:
 
 def label_words(texts: list[str], toxic: list[int]) -> tuple[list[list[str]], set[str]]:
     """Cleaned words of every text, and the words taken as toxic in toxic documents."""
-    docs = [[clean(w) for w in t.split()] for t in texts]
+    docs = [[sys.intern(clean(w)) for w in t.split()] for t in texts]
     count = [Counter(), Counter()]
     n = [max(1, toxic.count(0)), max(1, toxic.count(1))]
     for words, y in zip(docs, toxic, strict=True):
