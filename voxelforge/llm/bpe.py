@@ -17,13 +17,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow, id_text
+from .common import arrow, claim, id_text
 
 CODED = "doc_id long, n_tokens long, ids string, decoded binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NONE = 1 << 60
 #: Strings that a worker remembers; beyond it the cache starts anew.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 600_000
 _STATE: dict = {}
 
 
@@ -139,6 +139,7 @@ def _run(docs: DataFrame, path: str, pattern: str, digests: bool) -> DataFrame:
     schema = arrow(named)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", _STATE.clear)
         own = codec(path, pattern)
         for batch in batches:
             n, left, right = [], [], []

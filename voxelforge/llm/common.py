@@ -8,7 +8,7 @@ prefix sums, so no Python code runs per word.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Text handled at once inside a task; bounds the working arrays, never what is read.
 SLICE_BYTES = 2_000_000
 #: Bytes or words that are hashed at once; bounds the tables of powers, too.
-STRETCH = 1 << 20
+STRETCH = 500_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240117)
@@ -31,6 +31,20 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+_CACHES: dict[str, Callable[[], None]] = {}
+_OWNER = [""]
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """A task of an operator with a cache begins: Python workers are reused, so others' caches are dropped."""
+    _CACHES[owner] = clear
+    if _OWNER[0] != owner:
+        for name, drop in _CACHES.items():
+            if name != owner:
+                drop()
+        _OWNER[0] = owner
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit words (wraps around on purpose)."""
     x = x ^ (x >> _U(32))

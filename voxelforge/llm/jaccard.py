@@ -3,9 +3,10 @@
 Tokens (k-word shingles) are hashed into groups.  For two sets with Jaccard similarity >= num/den the
 symmetric difference is at most D, so of D + 1 or more groups one has the same content in both.  The
 content hashes of the groups therefore *route* documents: only documents that share a group's content
-can be linked.  Documents connected by routes form clusters; within a cluster (or two blocks of a large
-one) the counts of 64 coarser groups are points of an R-tree.  A node whose coordinate-wise maxima bound
-the overlap below the threshold is cut off, and surviving pairs are verified on the full sets.
+can be linked.  Among the documents of a route the counts of (coarser or finer) groups are points of an
+R-tree.  A node whose coordinate-wise maxima bound the overlap below the threshold is cut off; documents
+joined by surviving pairs form clusters.  Within a cluster (or two blocks of a large one) another tree
+proposes pairs, and these are verified on the full sets.
 
 Edge cases: a null or empty text has an empty set, is its own component and links with nothing.  With
 fewer than k words the whole sequence is the one shingle.  Rows that repeat a doc_id are one node, and
@@ -30,10 +31,14 @@ POINT = 64  # coordinates of a point
 LEAF = 32  # points in a leaf
 #: Shingles that one task holds at most, per side (8 bytes each).
 BLOCK_SHINGLES = 1_500_000
+#: Documents of one route that are compared at once in a task, and in a batch of a task before the shuffle.
+ROUTE_ROWS, BATCH_ROWS = 4096, 64
 #: Largest table of document ids that may be broadcast (16 bytes a row).
 BROADCAST_ROWS = 500_000
 CLASS_SCHEMA = "doc_id long, n long, digest binary"
 ROUTE_SCHEMA = "key long, a long, b long"
+POINT_SCHEMA = "a long, point binary"
+EDGE_SCHEMA = "a long, b long"
 
 
 def size_class(n: int, num: int, den: int) -> int:
@@ -201,8 +206,8 @@ def classes(docs: DataFrame, k: int) -> DataFrame:
 def route_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Rows (key, a, null): document a has a group content key; rows (., a, b): a and b share one.
 
-    Copies inside a batch are tied to the batch's smallest document at once, so that a large group sends
-    one row per batch and key to the shuffle.
+    More than BATCH_ROWS documents of a key in a batch are tied to the smallest of them at once, so that a
+    large group sends one row per batch and key to the shuffle.
     """
     out = arrow(ROUTE_SCHEMA)
 
@@ -210,9 +215,12 @@ def route_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         order = np.lexsort((docs_, keys))
         keys, docs_ = keys[order], docs_[order]
         first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool)
-        head = docs_[first][np.cumsum(first) - 1] if len(keys) else docs_
-        tie = ~first & (docs_ != head)
+        which = np.cumsum(first) - 1
+        large = np.bincount(which, minlength=1)[which] > BATCH_ROWS if len(keys) else first
+        head = docs_[first][which] if len(keys) else docs_
+        tie = large & ~first & (docs_ != head)
         pair = np.unique(np.stack([head[tie], docs_[tie]], 1), axis=0) if tie.any() else np.empty((0, 2), np.int64)
+        first = first | ~large
         apart = mix(pair.astype(np.uint64) @ np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64))
         key = np.concatenate((keys[first].view(np.int64), apart.view(np.int64)))
         a = np.concatenate((docs_[first], pair[:, 1]))
@@ -238,6 +246,99 @@ def route_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return id_text(docs).mapInArrow(run, ROUTE_SCHEMA)
 
 
+def fine_point(tokens: np.ndarray) -> bytes:
+    """Counts of a set in a power of two of groups, about four tokens each; the first byte is the item size."""
+    bits = max(6, int(np.ceil(np.log2(max(1, len(tokens) / 4)))))
+    count = np.bincount((tokens >> _U(64 - bits)).astype(np.int64), minlength=1 << bits)
+    kind = np.uint8 if count.max(initial=0) < 256 else np.uint32
+    return bytes([np.dtype(kind).itemsize]) + count.astype(kind).tobytes()
+
+
+def same_width(points_: list[bytes]) -> np.ndarray:
+    """Points as rows; finer ones are added up to the width of the coarsest."""
+    raw = [np.frombuffer(p, np.uint8 if p[0] == 1 else np.uint32, offset=1).astype(np.int64) for p in points_]
+    width = min(len(r) for r in raw)
+    return np.stack([r.reshape(width, -1).sum(1) for r in raw])
+
+
+def bound_parts(pts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Components of points whose summed minima allow the similarity; each is named by its first row."""
+    tree = CountTree(pts)
+    part = np.full(len(pts), -1)
+    for seed in range(len(pts)):
+        if part[seed] >= 0:
+            continue
+        part[seed], queue = seed, [seed]
+        while queue:
+            near = tree.search(pts[queue.pop()], num, den)
+            near = near[part[near] < 0]
+            part[near] = seed
+            queue.extend(near.tolist())
+    return part
+
+
+def route_edges(routed: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) edges inside every route from its rows (key, a, point), which must be sorted by key within partitions."""
+    form = arrow(EDGE_SCHEMA)
+
+    def group(ids: np.ndarray, pts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if len(ids) == 2:
+            both = same_width(pts)
+            n = both.sum(1)
+            ok = (num + den) * np.minimum(both[0], both[1]).sum() >= num * n.sum()
+            return (ids[1:], ids[:1]) if ok else (ids[:0], ids[:0])
+        part = bound_parts(same_width(pts), num, den)
+        own = np.flatnonzero(part != np.arange(len(part)))
+        return ids[own], ids[part[own]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, pts = np.empty(0, np.int64), np.empty(0, np.int64), []
+        for batch in _then_none(batches):
+            if batch is not None:
+                keys = np.concatenate((keys, batch.column(0).to_numpy()))
+                ids = np.concatenate((ids, batch.column(1).to_numpy()))
+                pts += batch.column(2).to_pylist()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist()] if len(keys) else []
+            ends = [*cuts[1:], len(keys)] if cuts else []
+            left, right, done = [], [], 0
+            for i, j in zip(cuts, ends, strict=True):
+                if j == len(keys) and batch is not None and j - i < ROUTE_ROWS:
+                    break  # the route may go on in the next batch
+                for c in range(i, j, ROUTE_ROWS):  # a longer route: pieces, whose first documents are tied as they are
+                    a, b = group(ids[c : min(c + ROUTE_ROWS, j)], pts[c : min(c + ROUTE_ROWS, j)])
+                    left.append(a)
+                    right.append(b)
+                if j - i > ROUTE_ROWS:
+                    left.append(ids[i + 1 : j])
+                    right.append(np.full(j - i - 1, ids[i]))
+                done = j
+                if j == len(keys) and batch is not None:  # keep one document of a route that goes on
+                    done = j - 1
+                    left.append(ids[i + 1 : j])
+                    right.append(np.full(j - i - 1, ids[i]))
+            keys, ids, pts = keys[done:], ids[done:], pts[done:]
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], schema=form)
+
+    return routed.mapInArrow(run, EDGE_SCHEMA)
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def fine_points(docs: DataFrame, k: int) -> DataFrame:
+    form = arrow(POINT_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in texts_of(batch, lower=True):
+                yield rows(form, (ids, [fine_point(x) for x in shingle_sets(texts, k)]))
+
+    return docs.mapInArrow(run, POINT_SCHEMA)
+
+
 def _block_parts(k: int, num: int, den: int):
     """(doc, part, text) of one block -> (doc, part) with parts joined; part is a document of it."""
 
@@ -260,10 +361,18 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     of = cut(of.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n").alias("n")))
 
     found = route_rows(docs, k, num, den)
-    first = F.first("a").over(Window.partitionBy("key").orderBy("a"))
-    tied = found.withColumn("h", F.coalesce("b", first)).where("h <> a").select("a", "h").distinct()
-    rep_a, rep_h = of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), of.select(F.col("doc_id").alias("h"), F.col("rep").alias("rh"))
-    tied = cut(tied.join(rep_a, "a").join(rep_h, "h").where("ra <> rh").select(F.least("ra", "rh").alias("a"), F.greatest("ra", "rh").alias("b")).distinct())
+    rep = of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
+    often = found.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1 OR b IS NOT NULL").drop("n")
+    routed = cut(often.join(rep, "a").select("key", F.col("ra").alias("a"), "b").distinct())
+    # rows of one key that are copies of each other have become one row
+    members = routed.where("b IS NULL").select("a").distinct()
+    few = members.count() <= BROADCAST_ROWS
+    members = members.withColumnRenamed("a", "id")
+    pts = fine_points(id_text(docs).join(F.broadcast(members) if few else members, "id", "left_semi"), k).dropDuplicates(["a"])
+    ordered = routed.where("b IS NULL").join(pts, "a").select("key", "a", "point").repartition("key").sortWithinPartitions("key", "a")
+    known_b = routed.where("b IS NOT NULL").select("a", "b").join(rep.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b").select("a", F.col("rb").alias("b"))
+    pairs = route_edges(ordered, num, den).union(known_b).where("a <> b")
+    tied = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     clusters = components(tied)
 
     held = clusters.join(of.select(F.col("doc_id").alias("node"), "n"), "node")

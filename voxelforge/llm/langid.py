@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, slices
+from .common import arrow, claim
 
 SYMBOLS, DIM = 96, 512
 PROFILE = "lang string, sums binary"
@@ -98,10 +98,10 @@ def bundle(text: str) -> np.ndarray | None:
         a, b, c = _STATE["letters"]
         n = _STATE["known"]
         if n + len(new) > len(_STATE["table"]):
-            if n + len(new) > 32768:  # bounded: start anew
+            if n + len(new) > 16384:  # bounded: start anew
                 slot[:], n = -1, 0
                 new = kind
-            _STATE["table"] = np.concatenate((_STATE["table"][:n], np.empty((max(4096, 2 * len(new), n), DIM), np.float32)))
+            _STATE["table"] = np.concatenate((_STATE["table"][:n], np.empty((max(4096, 2 * len(new)), DIM), np.float32)))
         slot[new] = np.arange(n, n + len(new))
         _STATE["table"][n : n + len(new)] = c[new // SYMBOLS**2] * b[new // SYMBOLS % SYMBOLS] * a[new % SYMBOLS]
         _STATE["known"] = n + len(new)
@@ -113,6 +113,7 @@ def prototypes(train: DataFrame) -> dict[str, np.ndarray]:
     form = arrow(PROFILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid", _STATE.clear)
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -141,6 +142,7 @@ def language_id(docs: DataFrame, train: DataFrame, held_out: Column | None = Non
     form = arrow(OUT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid", _STATE.clear)
         for batch in batches:
             ids, held, texts = (batch.column(i) for i in range(3))
             lang, score = [], []
@@ -170,6 +172,7 @@ def keep_known(docs: DataFrame, train: DataFrame, min_score: float = -1.0) -> Da
         return v is not None and float((matrix @ v).max()) >= min_score * float(np.linalg.norm(v))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid", _STATE.clear)
         for batch in batches:
             yield batch.filter(pa.array([known(t.as_py()) for t in batch.column("text")], pa.bool_()))
 

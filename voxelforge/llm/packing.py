@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, id_text, slices
+from .common import arrow, claim, id_text, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 PLACED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, sequence_id long, offset long"
 #: Words that a worker remembers; beyond it the cache starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 700_000
 _MARK = "<|startoftext|>"
 _STATE: dict = {}
 
@@ -90,6 +90,7 @@ def token_pieces(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1
     schema = arrow(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("packing", _STATE.clear)
         encode = word_encoder(path)
         tail = np.array([end_id], np.uint32).tobytes()
         for batch in batches:
