@@ -127,6 +127,7 @@ def slices(ids: list, texts: list, limit: int = SLICE_BYTES, most: int = 4096) -
 
 def texts_of(batch: pa.RecordBatch, lower: bool = False, limit: int = SLICE_BYTES) -> Iterator[tuple[list, list]]:
     """(ids, UTF-8 texts) of a batch whose first two columns are an id and a text; a null text is empty."""
+    claim("words", lambda: None)
     raw = batch.column(1).cast(pa.large_binary()).to_pylist()
     texts = [(t or b"").lower() if lower else (t or b"") for t in raw]
     return slices(batch.column(0).to_pylist(), texts, limit)
@@ -150,8 +151,16 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
+def small_batches(spark: SparkSession, most: int = 1024) -> None:
+    """Texts are long: fewer rows a batch than Spark's default keep both sides of a Python stage small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, most)
+
+
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that the Python stages read, under fixed names."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 

@@ -237,7 +237,7 @@ def route_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                         keys.append(r)
                         own.append(np.full(len(r), i, np.int64))
                         held += len(r)
-                if held > 1_000_000:
+                if held > 400_000:
                     yield emit(np.concatenate(keys), np.concatenate(own))
                     keys, own, held = [], [], 0
             if keys:
@@ -281,18 +281,36 @@ def route_edges(routed: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b) edges inside every route from its rows (key, a, point), which must be sorted by key within partitions."""
     form = arrow(EDGE_SCHEMA)
 
-    def group(ids: np.ndarray, pts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    none = np.empty(0, np.int64)
+
+    def group(ids: np.ndarray, pts: list[bytes], up: dict[int, int], seen: set) -> tuple[np.ndarray, np.ndarray]:
+        """Edges of one route that this task has not found yet; near copies share many routes."""
+
+        def root(i: int) -> int:
+            while (j := up.get(i, i)) != i:
+                up[i] = up.get(j, j)
+                i = j
+            return i
+
+        own = ids.tolist()
+        if len({root(i) for i in own}) == 1 or (name := hash(tuple(own))) in seen:
+            return none, none
+        if len(seen) > 500_000:
+            seen.clear()
+        seen.add(name)
+        wide = same_width(pts)
         if len(ids) == 2:
-            both = same_width(pts)
-            n = both.sum(1)
-            ok = (num + den) * np.minimum(both[0], both[1]).sum() >= num * n.sum()
-            return (ids[1:], ids[:1]) if ok else (ids[:0], ids[:0])
-        part = bound_parts(same_width(pts), num, den)
-        own = np.flatnonzero(part != np.arange(len(part)))
-        return ids[own], ids[part[own]]
+            n, both = wide.sum(1), int(np.minimum(wide[0], wide[1]).sum())
+            part = np.array([0, 0 if (num + den) * both >= num * n.sum() else 1])
+        else:
+            part = bound_parts(wide, num, den)
+        new = np.flatnonzero(part != np.arange(len(part)))
+        for i in new.tolist():
+            up[root(own[i])] = root(own[part[i]])
+        return ids[new], ids[part[new]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, pts = np.empty(0, np.int64), np.empty(0, np.int64), []
+        keys, ids, pts, up, seen = none, none, [], {}, set()
         for batch in _then_none(batches):
             if batch is not None:
                 keys = np.concatenate((keys, batch.column(0).to_numpy()))
@@ -305,7 +323,7 @@ def route_edges(routed: DataFrame, num: int, den: int) -> DataFrame:
                 if j == len(keys) and batch is not None and j - i < ROUTE_ROWS:
                     break  # the route may go on in the next batch
                 for c in range(i, j, ROUTE_ROWS):  # a longer route: pieces, whose first documents are tied as they are
-                    a, b = group(ids[c : min(c + ROUTE_ROWS, j)], pts[c : min(c + ROUTE_ROWS, j)])
+                    a, b = group(ids[c : min(c + ROUTE_ROWS, j)], pts[c : min(c + ROUTE_ROWS, j)], up, seen)
                     left.append(a)
                     right.append(b)
                 if j - i > ROUTE_ROWS:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, claim
+from .common import arrow, claim, small_batches
 
 SYMBOLS, DIM = 96, 512
 PROFILE = "lang string, sums binary"
@@ -136,6 +136,7 @@ def prototypes(train: DataFrame) -> dict[str, np.ndarray]:
 
 def language_id(docs: DataFrame, train: DataFrame, held_out: Column | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score: cosine with the nearest prototype, negative ones as 0."""
+    small_batches(docs.sparkSession)
     protos = prototypes(train)
     names = list(protos)
     matrix = np.array([protos[x] for x in names]).reshape(len(names), DIM)
@@ -164,6 +165,7 @@ def language_id(docs: DataFrame, train: DataFrame, held_out: Column | None = Non
 
 def keep_known(docs: DataFrame, train: DataFrame, min_score: float = -1.0) -> DataFrame:
     """The rows and columns of ``docs`` that are not ``und``: some letter, and a cosine of ``min_score`` if that is asked for."""
+    small_batches(docs.sparkSession)
     protos = prototypes(train)
     matrix = np.array(list(protos.values())).reshape(len(protos), DIM)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, id_text
+from .common import arrow, id_text, small_batches
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("iban", "ssn", "secret")
@@ -151,6 +151,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
             new = [None if t is None else mask(t) for t in batch.column(i).to_pylist()]
             yield batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

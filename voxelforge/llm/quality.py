@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, arrow, slices
+from .common import Words, arrow, slices, small_batches
 
 BINS, COMMON = 4096, 128
 #: lower, upper, digit, white space, sentence marks, brackets and quotes, symbols, other ASCII, accented (per lead byte C3, C2-C5), other
@@ -92,6 +92,7 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.nd
 
 def quality_rules(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, max_chars: float = MAX_CHARS, max_words: float = MAX_WORDS) -> DataFrame:
     """Base counts, their verdict, divergences and the verdict of both, per document."""
+    small_batches(docs.sparkSession)
     refs = references(docs)
     form = arrow(STATS)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, slices
+from .common import arrow, slices, small_batches
 
 #: Labelled documents to fit on: clean and toxic ones at most, and their characters at most.
 SAMPLE, SAMPLE_CHARS = (3000, 800), 9_000_000
@@ -207,6 +207,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, allowed: Column, per_label:
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted, number of toxic words, their spans (start:end, code points)."""
+    small_batches(docs.sparkSession)
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     shared_model = docs.sparkSession.sparkContext.broadcast(fit(*sample_rows(docs, labels, ~held)))  # bounded by the sample, whatever the input
     form = arrow(SCORED)
