@@ -22,8 +22,8 @@ from .common import arrow, claim, id_text
 CODED = "doc_id long, n_tokens long, ids string, decoded binary"
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 NONE = 1 << 60
-#: Strings that a worker remembers; beyond it the cache starts anew.
-CACHE_PIECES = 600_000
+#: Strings that a worker remembers, beyond which its cache starts anew, and the longest string that it remembers.
+CACHE_PIECES, CACHE_CHARS = 600_000, 64
 _STATE: dict = {}
 
 
@@ -100,10 +100,14 @@ class Codec:
     def direct(self, text: str) -> str:
         """Decimal ids joined by a space, each match of the pattern for itself."""
         out, known = [], self.matches
+        if len(known) > CACHE_PIECES:
+            known.clear()
         for m in self.find(text):
             s = known.get(m)
             if s is None:
-                s = known[m] = " ".join(map(str, bpe(m.encode(), self.ranks)))
+                s = " ".join(map(str, bpe(m.encode(), self.ranks)))
+                if len(m) <= CACHE_CHARS:
+                    known[m] = s
             out.append(s)
         return " ".join(out)
 
@@ -115,13 +119,13 @@ class Codec:
             return self.direct(text)
         if len(self.parts) > CACHE_PIECES:
             self.parts.clear()
-        if len(self.matches) > CACHE_PIECES:
-            self.matches.clear()
         first, *rest = text.replace("\n", " \n").split(" ")
-        known, out = self.parts, [self.direct(first)]
+        known, own, out = self.parts, {}, [self.direct(first)]
         for p in set(rest).difference(known):
-            known[p] = self.direct(p if p[0] == "\n" else " " + p)
-        out.extend(map(known.__getitem__, rest))
+            own[p] = s = self.direct(p if p[0] == "\n" else " " + p)
+            if len(p) <= CACHE_CHARS:
+                known[p] = s
+        out.extend([known[p] if p in known else own[p] for p in rest] if len(own) else map(known.__getitem__, rest))
         return " ".join(out)
 
     def decode(self, ids: str) -> bytes:
