@@ -35,6 +35,8 @@ BLOCK_SHINGLES = 1_500_000
 ROUTE_ROWS, BATCH_ROWS = 4096, 64
 #: Largest table of document ids that may be broadcast (16 bytes a row).
 BROADCAST_ROWS = 500_000
+#: A digest of more than one in HOT rows is hot, so fewer than HOT are, whatever the input: they may be broadcast.
+HOT = 4096
 CLASS_SCHEMA = "doc_id long, n long, digest binary"
 ROUTE_SCHEMA = "key long, a long, b long"
 POINT_SCHEMA = "a long, point binary"
@@ -374,8 +376,10 @@ def _block_parts(k: int, num: int, den: int):
 def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: components of the links with Jaccard similarity >= num/den."""
     known = cut(classes(docs, k))
-    reps = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    of = known.where("digest is not null").join(reps, "digest").select("doc_id", "rep", known["n"])
+    reps = cut(known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    hot = F.broadcast(reps.where(F.col("copies") * HOT > known.count()))
+    usual = known.where("digest is not null").join(hot, "digest", "left_anti").join(reps.join(hot, "digest", "left_anti"), "digest")
+    of = usual.unionByName(known.join(hot, "digest")).select("doc_id", "rep", "n")  # rows of hot digests stay where they are
     of = cut(of.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n").alias("n")))
 
     found = route_rows(docs, k, num, den)
