@@ -377,7 +377,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     """doc_id, n_shingles, component_id: components of the links with Jaccard similarity >= num/den."""
     known = cut(classes(docs, k))
     reps = cut(known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    hot = F.broadcast(reps.where(F.col("copies") * HOT > known.count()))
+    hot = F.broadcast(cut(reps.where(F.col("copies") * HOT > known.count())))
     usual = known.where("digest is not null").join(hot, "digest", "left_anti").join(reps.join(hot, "digest", "left_anti"), "digest")
     of = usual.unionByName(known.join(hot, "digest")).select("doc_id", "rep", "n")  # rows of hot digests stay where they are
     of = cut(of.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n").alias("n")))
@@ -414,7 +414,10 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
         pairs = parts.select("*", other).where("other <> block").withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
         links = alone.union(cut(pairs.groupBy("component", "lo", "hi").applyInPandas(work, "a long, b long")))
     linked = components(links).select(F.col("node").alias("rep"), F.col("component").alias("root"))
-    of = of.join(linked, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("component_id"))
+    hot = F.broadcast(hot.select("rep"))
+    usual = of.join(hot, "rep", "left_anti").join(linked, "rep", "left")
+    hottest = of.join(hot, "rep", "left_semi").join(F.broadcast(linked.join(hot, "rep", "left_semi")), "rep", "left")
+    of = usual.unionByName(hottest).select("doc_id", F.coalesce("root", "rep").alias("component_id"))
     size = known.select("doc_id", F.col("n").alias("n_shingles"))
     return size.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
