@@ -289,3 +289,11 @@ def test_pipeline_run_masks_and_keeps_clean_documents(spark):
     got = corpus_pipeline.run(spark, sf)
     parts = links([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()], 5, 80, 100)
     assert {r["doc_id"] for r in got.select("doc_id").distinct().collect()} == {i for i, (_, c) in parts.items() if i == c}
+
+
+def test_long_words_are_scored_but_not_remembered():
+    chain = toxicity.Chain({"3xxx": 1.5, "n12": 0.25, "wok": -2.0}, np.zeros((2, 2)), np.zeros(3))
+    words = ["ok", "x" * 500, "ok", "x" * 20]
+    want = [sum(chain.weights.get(f, 0.0) for f in toxicity.features(w)) for w in words]
+    assert chain.emission(words).tolist() == want == chain.emission(words).tolist()
+    assert set(chain.cache) == {"ok", "x" * 20}

@@ -8,7 +8,7 @@ whole text are summed up to a document's score by a logistic model, and words wi
 one half are the offending spans.
 
 The classifier is fitted on at most ``SAMPLE`` (clean, toxic) labelled documents, those with the smallest
-hashes of their ids; scoring covers everything.
+hashes of their ids, less those of more than a hundredth of ``SAMPLE_CHARS``; scoring covers everything.
 
 Edge cases: null and empty texts have no words and get the score of a document without toxic words.  Rows
 without a label are only scored.  Several labels of one document count as rows of their own.  Without
@@ -32,7 +32,8 @@ from .common import arrow, slices, small_batches
 
 #: Labelled documents to fit on: clean and toxic ones at most, and their characters at most.
 SAMPLE, SAMPLE_CHARS = (3000, 800), 9_000_000
-CACHE_WORDS = 600_000
+#: Words that a task remembers, beyond which its cache starts anew, and the longest word that it remembers.
+CACHE_WORDS, CACHE_CHARS = 600_000, 64
 SCORED = "doc_id long, held_out boolean, score double, predicted int, n_toxic long, spans string"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -54,13 +55,14 @@ class Chain:
         self.cache: dict[str, float] = {}
 
     def emission(self, words: list[str]) -> np.ndarray:
-        known = self.cache
+        known, own = self.cache, {}
         if len(known) > CACHE_WORDS:
             known.clear()
         get = self.weights.get
         for w in set(words).difference(known):
-            known[w] = sum([get(f, 0.0) for f in features(clean(w))])
-        return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
+            (known if len(w) <= CACHE_CHARS else own)[w] = sum([get(f, 0.0) for f in features(clean(w))])
+        each = (known[w] if w in known else own[w] for w in words) if own else map(known.__getitem__, words)
+        return np.fromiter(each, np.float64, len(words))
 
     def marginals(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
         """P(toxic) of each word; e and mask are (texts, words) padded at the right."""
