@@ -209,6 +209,22 @@ def test_language_odd(spark, odd):
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
 
 
+def test_language_stage_rejects_by_language(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(6)
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    junk = ["".join(rng.choice(list("qxzjkvwpfg   "), 3000)), "".join(rng.choice(list("бвгджзклмн   "), 3000)), "%$ #@ {}; " * 200 + "x"]
+    short = ["The of and.", "Der und die.", "Avec les.", "Edrere."]
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(junk)] + [(-101 - i, t) for i, t in enumerate(short)], "doc_id long, text string")
+    both = docs.unionByName(more, allowMissingColumns=True)
+    got = {r["doc_id"] for r in corpus_pipeline.language(spark, both, "").select("doc_id").collect()}
+    want = {r["doc_id"] for r in docs.select("doc_id").collect()} | {-101 - i for i in range(len(short))}
+    assert got == want
+    unlabelled = both.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, unlabelled, "").count() == both.count()
+
+
 def test_pii_base_is_plain_matching(docs, spark):
     text = "mail a.b@c.de, 10.0.0.256 and 10.0.0.25, card 4111 1111 1111 1111 x, 4111-1111-1111-1112; tel +49 (30) 123456 IBAN DE89 3704 0044 0532 0130 00. ssn 123-45-6789; " + "1" * 9000 + ".2.3.4"
     got = pii.spans(text)

@@ -9,8 +9,8 @@ Letters are lower-cased, everything else is a word gap.  a to z have symbols of
 letters of the Latin blocks too; all other letters share the remaining symbols by code point.
 
 Edge cases: texts that are null or hold no letter get ``und`` and score 0.  Ties go to the language that
-sorts first.  Rows are judged one by one.  With nothing to learn from every text is ``und``.  Extra
-columns are ignored.
+sorts first.  Rows are judged one by one.  With nothing to learn from every text is ``und``, and
+``keep_known`` keeps every text with a letter.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +28,10 @@ from .common import arrow, claim, small_batches
 SYMBOLS, DIM = 96, 512
 PROFILE = "lang string, sums binary"
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
+#: (distinct trigrams from which it holds, least cosine of a known language): short texts score low by chance.
+LIMITS = ((1, 0.03), (30, 0.06), (60, 0.11), (120, 0.2), (200, 0.3), (400, 0.4))
+#: Least share of letters in the characters that are not blank.
+LETTERS = 0.15
 _STATE: dict = {}
 
 
@@ -85,8 +89,8 @@ def trigram_slots(text: str) -> np.ndarray:
     return (sym[:-2] * SYMBOLS + sym[1:-1]) * SYMBOLS + sym[2:]
 
 
-def bundle(text: str) -> np.ndarray | None:
-    """Sum of the trigram vectors."""
+def bundle(text: str, damped: bool = False) -> np.ndarray | None:
+    """Sum of the trigram vectors; ``damped``: one that comes n times counts 1 + log n times, so that repeated phrases do not hide the rest."""
     grams = trigram_slots(text)
     if not len(grams):
         return None
@@ -105,11 +109,11 @@ def bundle(text: str) -> np.ndarray | None:
         slot[new] = np.arange(n, n + len(new))
         _STATE["table"][n : n + len(new)] = c[new // SYMBOLS**2] * b[new // SYMBOLS % SYMBOLS] * a[new % SYMBOLS]
         _STATE["known"] = n + len(new)
-    return count.astype(np.float32) @ _STATE["table"][slot[kind]]
+    return (1 + np.log(count) if damped else count).astype(np.float32) @ _STATE["table"][slot[kind]]
 
 
-def prototypes(train: DataFrame) -> dict[str, np.ndarray]:
-    """lang -> normalised bundle of all its texts, from rows (lang, text)."""
+def prototypes(train: DataFrame, damped: bool = False) -> dict[str, np.ndarray]:
+    """lang -> normalised bundle of all its texts, from rows (lang, text); ``damped``: texts of any length count alike, too."""
     form = arrow(PROFILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +121,9 @@ def prototypes(train: DataFrame) -> dict[str, np.ndarray]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                v = bundle(text.as_py() or "")
+                v = bundle(text.as_py() or "", damped)
+                if v is not None and damped:
+                    v = v * (2**20 / max(1e-9, float(np.linalg.norm(v))))
                 if v is not None:
                     total[lang] = total.get(lang, 0) + np.rint(v).astype(np.int64)
         names = list(total)
@@ -163,20 +169,32 @@ def language_id(docs: DataFrame, train: DataFrame, held_out: Column | None = Non
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, OUT)
 
 
-def keep_known(docs: DataFrame, train: DataFrame, min_score: float = -1.0) -> DataFrame:
-    """The rows and columns of ``docs`` that are not ``und``: some letter, and a cosine of ``min_score`` if that is asked for."""
+def letter_share(text: str) -> float:
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    table = _symbols()
+    return np.count_nonzero(table[np.minimum(code, len(table) - 1)]) / max(1, np.count_nonzero(code > 32))
+
+
+def limit(text: str) -> float:
+    """Least cosine of a text with as many distinct trigrams."""
+    n = len(np.unique(trigram_slots(text)))
+    return next((least for start, least in reversed(LIMITS) if n >= start), 0.0)
+
+
+def keep_known(docs: DataFrame, train: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs`` with some letter and, if there is a prototype, the share of letters and cosine asked for."""
     small_batches(docs.sparkSession)
-    protos = prototypes(train)
+    protos = prototypes(train, damped=True)
     matrix = np.array(list(protos.values())).reshape(len(protos), DIM)
 
-    def known(text: str | None) -> bool:
-        v = bundle(text or "") if protos else None
-        return v is not None and float((matrix @ v).max()) >= min_score * float(np.linalg.norm(v))
+    def known(text: str) -> bool:
+        v = bundle(text, damped=True)
+        return v is not None and (not protos or letter_share(text) >= LETTERS and float((matrix @ v).max()) >= limit(text) * float(np.linalg.norm(v)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid", _STATE.clear)
         for batch in batches:
-            yield batch.filter(pa.array([known(t.as_py()) for t in batch.column("text")], pa.bool_()))
+            yield batch.filter(pa.array([known(t.as_py() or "") for t in batch.column("text")], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
