@@ -81,6 +81,31 @@ def test_jaccard_in_several_blocks(docs, monkeypatch):
     assert got == links(texts, 5, 80, 100)
 
 
+def repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = c.replace("c7 ", "other ")
+    return table(spark, [(1, a), (2, b), (2, c), (3, near), (3, d), (4, a), (4, b + " end"), (5, "e"), (5, "e"), (5, ""), (None, "f g"), (None, "h i"), (None, a), (None, None), (None, "j k"), (None, "j k")]), (a, b, c, d)
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    df, (a, b, c, d) = repeated_ids(spark)
+    want = [(1, a), (2, b), (2, c), (3, d), (5, ""), (5, "e"), (None, None), (None, "f g"), (None, "h i"), (None, "j k")]
+    for parts in (1, 7):
+        got = [(r["doc_id"], r["text"]) for r in jaccard.keep_one(df.repartition(parts), 5, 80, 100).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("hot", [jaccard.HOT, 1])
+def test_jaccard_with_repeated_and_null_ids(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 500_000 if hot > 1 else 0)
+    df, (a, *_) = repeated_ids(spark)
+    got = jaccard.ngram_jaccard(df, 5, 80, 100).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == [(1, 1), (2, 1), (2, 1), (3, 1), (3, 1), (4, 1), (4, 1), (5, 5), (5, 5), (5, 5)]
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None] * 6
+    assert jaccard.keep_one(df, 5, 80, 100).count() == 10
+
+
 def test_count_tree_loses_no_pair():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)

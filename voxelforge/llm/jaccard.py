@@ -9,8 +9,11 @@ joined by surviving pairs form clusters.  Within a cluster (or two blocks of a l
 proposes pairs, and these are verified on the full sets.
 
 Edge cases: a null or empty text has an empty set, is its own component and links with nothing.  With
-fewer than k words the whole sequence is the one shingle.  Rows that repeat a doc_id are one node, and
-their sets count as one class each.  Extra columns are ignored.  An empty table gives an empty result.
+fewer than k words the whole sequence is the one shingle.  Nodes are texts, named by a 64-bit hash of
+the text (N^2 / 2^65 expected pairs taken for one by chance), so rows that share a doc_id keep their own
+sets and links; only the reported component unites all texts of a doc_id.  Rows without a doc_id link
+nothing in ``ngram_jaccard`` and get no component; ``keep_one`` compares their texts like all others and
+prefers a copy that has a doc_id.  Extra columns are ignored.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, components, cut, id_text, mix, rows, shingle_sets, slices, texts_of
+from .common import arrow, components, cut, mix, rows, shingle_sets, slices, small_batches, texts_of
 
 _U = np.uint64
 POINT = 64  # coordinates of a point
@@ -37,7 +40,7 @@ ROUTE_ROWS, BATCH_ROWS = 4096, 64
 BROADCAST_ROWS = 500_000
 #: A digest of more than one in HOT rows is hot, so fewer than HOT are, whatever the input: they may be broadcast.
 HOT = 4096
-CLASS_SCHEMA = "doc_id long, n long, digest binary"
+CLASS_SCHEMA = "doc_id long, id long, n long, digest binary"
 ROUTE_SCHEMA = "key long, a long, b long"
 POINT_SCHEMA = "a long, point binary"
 EDGE_SCHEMA = "a long, b long"
@@ -192,20 +195,43 @@ def link_block(sets: list[np.ndarray], start: list[int], num: int, den: int) ->
     return part
 
 
-def classes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (set size), digest of the set (null when empty)."""
+def text_key(text: Column) -> Column:
+    """The node of a text."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """id (the node), text, doc_id."""
+    small_batches(docs.sparkSession)
+    return docs.select(text_key(F.col("text")).alias("id"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+
+
+def classes(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id, id, n (set size), digest of the set (null when empty)."""
     out = arrow(CLASS_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in texts_of(batch, lower=True):
-                sets = shingle_sets(texts, k)
-                yield rows(out, (ids, [len(s) for s in sets], [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]))
+            size, digest = [], []
+            for _, own in texts_of(batch, lower=True):
+                sets = shingle_sets(own, k)
+                size += [len(s) for s in sets]
+                digest += [hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets]
+            yield rows(out, (batch.column(2).cast(pa.int64()), batch.column(0), size, digest))
 
-    return id_text(docs).mapInArrow(run, CLASS_SCHEMA)
+    return texts.mapInArrow(run, CLASS_SCHEMA)
 
 
-def route_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """Left join with a table that has a key once; the rows of ``left`` with hot keys stay where they are."""
+    if hot is None:
+        hot = cut(left.groupBy(key).count().where(F.col("count") * HOT > left.count()).select(key))
+    hot = F.broadcast(hot)
+    usual = left.join(hot, key, "left_anti").join(right.join(hot, key, "left_anti"), key, "left")
+    return usual.unionByName(left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, "left"))
+
+
+def route_rows(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Rows (key, a, null): document a has a group content key; rows (., a, b): a and b share one.
 
     More than BATCH_ROWS documents of a key in a batch are tied to the smallest of them at once, so that a
@@ -231,10 +257,11 @@ def route_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, own, held = [], [], 0
-            for ids, texts in texts_of(batch, lower=True):
-                for i, s in zip(ids, shingle_sets(texts, k), strict=True):
-                    if len(s) and i is not None:
+            keys, own, held, met = [], [], 0, set()
+            for ids, some in texts_of(batch, lower=True):
+                for i, s in zip(ids, shingle_sets(some, k), strict=True):
+                    if len(s) and i not in met:
+                        met.add(i)
                         r = routes(s, num, den)
                         keys.append(r)
                         own.append(np.full(len(r), i, np.int64))
@@ -245,7 +272,7 @@ def route_rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             if keys:
                 yield emit(np.concatenate(keys), np.concatenate(own))
 
-    return id_text(docs).mapInArrow(run, ROUTE_SCHEMA)
+    return texts.mapInArrow(run, ROUTE_SCHEMA)
 
 
 def fine_point(tokens: np.ndarray) -> bytes:
@@ -373,35 +400,46 @@ def _block_parts(k: int, num: int, den: int):
     return run
 
 
-def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id: components of the links with Jaccard similarity >= num/den."""
-    known = cut(classes(docs, k))
-    reps = cut(known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    hot = F.broadcast(cut(reps.where(F.col("copies") * HOT > known.count())))
-    usual = known.where("digest is not null").join(hot, "digest", "left_anti").join(reps.join(hot, "digest", "left_anti"), "digest")
-    of = usual.unionByName(known.join(hot, "digest")).select("doc_id", "rep", "n")  # rows of hot digests stay where they are
-    of = cut(of.groupBy("doc_id").agg(F.min("rep").alias("rep"), F.max("n").alias("n")))
-
-    found = route_rows(docs, k, num, den)
-    rep = of.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"))
+def text_nodes(known: DataFrame) -> DataFrame:
+    """id, n, digest, copies (rows), and the first row: none (no doc_id), doc_id, same (rows like it)."""
+    each = known.where("digest is not null").groupBy("id", "doc_id").agg(F.min("n").alias("n"), F.min("digest").alias("digest"), F.count("*").alias("same"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("first")
+    return cut(each.groupBy("id").agg(F.min("n").alias("n"), F.min("digest").alias("digest"), F.sum("same").alias("copies"), first).select("id", "n", "digest", "copies", "first.*"))
+
+
+def text_parts(texts: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(id, root): components of the texts by links with Jaccard similarity >= num/den."""
+    reps = nodes.groupBy("digest").agg(F.min("id").alias("rep"))
+    of = cut(join_hot(nodes.select("id", "n", "digest"), reps, "digest").select("id", "rep", "n"))
+    first = nodes.select("id", F.col("doc_id").alias("first"), "same")
+
+    def first_rows(picked: DataFrame, small: bool) -> DataFrame:
+        """The rows of texts in ``picked``, of each only the first one or those like it."""
+        picked = picked.withColumnRenamed("id", "node")
+        return texts.join(F.broadcast(picked) if small else picked, (F.col("id") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("first")))
+
+    found = route_rows(texts, k, num, den)
+    rep = of.select(F.col("id").alias("a"), F.col("rep").alias("ra"))
     often = found.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1 OR b IS NOT NULL").drop("n")
     routed = cut(often.join(rep, "a").select("key", F.col("ra").alias("a"), "b").distinct())
     # rows of one key that are copies of each other have become one row
-    members = routed.where("b IS NULL").select("a").distinct()
+    members = routed.where("b IS NULL").select(F.col("a").alias("id")).distinct().join(first, "id")
     few = members.count() <= BROADCAST_ROWS
-    members = members.withColumnRenamed("a", "id")
-    pts = fine_points(id_text(docs).join(F.broadcast(members) if few else members, "id", "left_semi"), k).dropDuplicates(["a"])
+    pts = fine_points(first_rows(members, few).select("id", "text"), k).dropDuplicates(["a"])
     ordered = routed.where("b IS NULL").join(pts, "a").select("key", "a", "point").repartition("key").sortWithinPartitions("key", "a")
     known_b = routed.where("b IS NOT NULL").select("a", "b").join(rep.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b").select("a", F.col("rb").alias("b"))
     pairs = route_edges(ordered, num, den).union(known_b).where("a <> b")
     tied = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     clusters = components(tied)
 
-    held = clusters.join(of.select(F.col("doc_id").alias("node"), "n"), "node")
+    held = clusters.join(of.select(F.col("id").alias("node"), "n"), "node")
     total = held.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("blocks"))
-    held = cut(held.join(total, "component").select("node", "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")))
-    small = held.count() <= BROADCAST_ROWS
-    body = id_text(docs).join(F.broadcast(held) if small else held, F.col("id") == F.col("node")).select("node", "component", "blocks", "block", "text")
+    held = held.join(total, "component").select(F.col("node").alias("id"), "component", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
+    held = cut(held.join(first, "id"))
+    body = first_rows(held, held.count() <= BROADCAST_ROWS).select("node", "component", "blocks", "block", "same", "text")
+    if not held.where("same > 1").isEmpty():
+        body = body.where("same = 1").union(body.where("same > 1").dropDuplicates(["node"]))
+    body = body.drop("same")
 
     work = _block_parts(k, num, den)
     alone = cut(body.withColumn("part", F.col("node")).groupBy("component", "block").applyInPandas(work, "a long, b long"))
@@ -414,22 +452,58 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
         pairs = parts.select("*", other).where("other <> block").withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
         links = alone.union(cut(pairs.groupBy("component", "lo", "hi").applyInPandas(work, "a long, b long")))
     linked = components(links).select(F.col("node").alias("rep"), F.col("component").alias("root"))
-    hot = F.broadcast(hot.select("rep"))
-    usual = of.join(hot, "rep", "left_anti").join(linked, "rep", "left")
-    hottest = of.join(hot, "rep", "left_semi").join(F.broadcast(linked.join(hot, "rep", "left_semi")), "rep", "left")
-    of = usual.unionByName(hottest).select("doc_id", F.coalesce("root", "rep").alias("component_id"))
-    size = known.select("doc_id", F.col("n").alias("n_shingles"))
-    return size.join(of, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return cut(join_hot(of.select("id", "rep"), linked, "rep").select("id", F.coalesce("root", "rep").alias("root")))
+
+
+def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id: components of the links with Jaccard similarity >= num/den."""
+    texts = keyed(docs)
+    known = cut(classes(texts, k))
+    named = known.where("doc_id is not null")
+    nodes = text_nodes(named)
+    roots = text_parts(texts.where("doc_id is not null"), nodes, k, num, den)
+    several = cut(named.select("doc_id", "id").distinct().groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    united = not several.isEmpty()
+    if united:  # doc_ids with several texts tie the components of these texts
+        pairs = named.select("doc_id", "id").distinct().join(several, "doc_id").withColumn("doc", F.xxhash64(F.lit("doc"), "doc_id"))
+        ties = cut(components(join_hot(cut(pairs), roots, "id").where("root is not null").select(F.col("root").alias("a"), F.col("doc").alias("b"))))
+        roots = cut(join_hot(roots, ties.select(F.col("node").alias("root"), "component"), "root").select("id", F.coalesce("component", "root").alias("root")))
+    roots = cut(roots.join(nodes.select("id", "doc_id"), "id"))
+    least = roots.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of = cut(join_hot(roots.select("id", "root"), least, "root"))
+    out = join_hot(known, of.select("id", "component_id"), "id").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
+    if united:  # also for their texts without shingles
+        own = ties.join(of.groupBy("root").agg(F.min("component_id").alias("least")), F.col("component") == F.col("root")).select(F.col("node").alias("doc"), "least")
+        named = several.withColumn("doc", F.xxhash64(F.lit("doc"), "doc_id")).join(own, "doc").select("doc_id", "least")
+        out = join_hot(cut(out), named, "doc_id").withColumn("component_id", F.coalesce("least", "component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows and columns of ``docs``, one document (the smallest doc_id) of every component."""
-    parts = cut(ngram_jaccard(docs, k, num, den))
-    gone = parts.where("doc_id <> component_id").select("doc_id").distinct()
-    few = gone.count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
-    twice = parts.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """The rows and columns of ``docs``, one row (the smallest doc_id) of every component of texts.
+
+    Of rows that agree in doc_id and text one stays.  Texts without shingles are no copies of each other.
+    """
+    texts = keyed(docs)
+    known = cut(classes(texts, k))
+    nodes = text_nodes(known)
+    roots = text_parts(texts, nodes, k, num, den)
+    best = roots.join(nodes, "id").groupBy("root").agg(F.min(F.struct("none", "doc_id", "id")).alias("best"))
+    judged = nodes.join(best.select("best.id", F.lit(True).alias("stays")), "id", "left").where("stays is null or copies > 1")
+    judged = cut(judged.select(F.col("id").alias("__id"), "copies", F.coalesce("stays", F.lit(False)).alias("__stays"), F.col("doc_id").alias("__first")))
+    own = docs.withColumns({"__id": text_key(F.col("text")), "__doc": F.col("doc_id").cast("long")})
+    verdict = judged.drop("copies")
+    if judged.count() <= BROADCAST_ROWS:
+        kept = own.join(F.broadcast(verdict), "__id", "left")
+    else:
+        kept = join_hot(own, verdict, "__id", judged.where(F.col("copies") * HOT > known.count()).select("__id"))
+    kept = kept.where(F.col("__stays").isNull() | (F.col("__stays") & F.col("__doc").eqNullSafe(F.col("__first"))))
+    twice = known.where("doc_id is not null or digest is not null").groupBy("id", "doc_id").count().where("count > 1")
+    twice = cut(twice.select(F.col("id").alias("i"), F.col("doc_id").alias("d")))
+    if not twice.isEmpty():
+        like = (F.col("__id") == F.col("i")) & F.col("__doc").eqNullSafe(F.col("d"))
+        kept = kept.join(twice, like, "left_anti").unionByName(kept.join(twice, like, "left_semi").dropDuplicates(["__id", "__doc"]))
+    return kept.select(docs.columns)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
