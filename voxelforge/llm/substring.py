@@ -1,16 +1,15 @@
-"""Substring deduplication with prefix-partitioned suffix trees.
+"""Substring deduplication with hashed fingerprints of fixed windows; not the suffix trees of the survey.
 
-Every word position starts a suffix.  Only its first ``window`` words matter, so the trees are cut at
-that depth.  A suffix is held as a 64-bit label: the code of its two-word prefix, then the code of its
-first ``window`` words.  Sorted labels list the leaves of the tree from left to right; equal prefix codes
-are the nodes near the root, equal labels the deep inner nodes, that is the repeats.
+Every word position starts a suffix, of which only the first ``window`` words matter.  They are held as a
+64-bit label: 12 bits of a hash of the first two words, then 52 bits of a hash of all.  Equal labels are
+the repeats; there are no inner nodes of other depth and no order of words.
 
 Suffixes are split by prefix: a histogram over all prefix codes is taken first, rare codes share a group
 and frequent codes are continued by further bits of the label until a group holds about ``GROUP`` suffixes.
 Tasks send their suffixes as sorted, compressed blocks, after settling those that already repeat inside
 the batch: only the occurrences in a batch's smallest document go on, so a passage found everywhere
 arrives once per batch.  Two different windows are taken for equal when 64 bits agree by chance: about
-N^2 / 2^75 expected pairs for N windows.
+N^2 / 2^65 expected pairs for N windows, and M / 2^52 for M pairs that share their first two words.
 
 Edge cases: null and empty texts and those shorter than a window have no repeats.  Windows that repeat
 inside one document only are kept.  Rows that share a doc_id count as one document: marks found for any
