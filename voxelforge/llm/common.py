@@ -1,12 +1,13 @@
 """Helpers shared by the training-data operators: word hashing in NumPy, checkpoints, components.
 
-Words are maximal runs of bytes outside space, tab, LF, VT, FF and CR.  They are hashed whole batches
-at a time: a polynomial over the bytes is summed once and every word's hash is a difference of two
-prefix sums, so no Python code runs per word.
+Words are maximal runs of bytes outside space, tab, LF, VT, FF and CR.  Arrow numbers the distinct words
+of a slice of texts, so Python code runs once per distinct word; a word's hash is cut from BLAKE2, so no
+words with equal hashes can be made up on purpose short of 2**32 trials.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
@@ -17,18 +18,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a task; bounds the working arrays, never what is read.
-SLICE_BYTES = 2_000_000
-#: Bytes or words that are hashed at once; bounds the tables of powers, too.
-STRETCH = 500_000
+SLICE_BYTES = 4_000_000
+#: Words whose runs are hashed at once.
+STRETCH = 200_000
+
+#: Longest word, and number of words, whose hashes a worker remembers; beyond it the cache starts anew.
+CACHE_BYTES, CACHE_WORDS = 64, 400_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240117)
-_LETTER = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _PLACE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | _U(1)
-_BASE, _WBASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_KNOWN: dict[bytes, int] = {}
 
 
 _CACHES: dict[str, Callable[[], None]] = {}
@@ -54,25 +56,69 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n (base is odd, so it has an inverse)."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        size = 1 << (size - 1).bit_length()
-        grown = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            step = np.full(size, b, np.uint64)
-            step[0] = 1
-            grown.append(np.cumprod(step, dtype=np.uint64))
-        have = _POWERS[base] = (grown[0], grown[1])
-    return have
+def distinct(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(index of every string, the distinct strings) of the strings ``buf[at[i]:at[i + 1]]``."""
+    own = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at, np.int64)), pa.py_buffer(buf)])
+    own = own.dictionary_encode()
+    return own.indices.to_numpy(), own.dictionary.to_pylist()
+
+
+def assemble(values: list[bytes], index: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """(all of ``values[index]`` joined, where each begins and the last ends)."""
+    out = pa.array(values, pa.large_binary()).take(pa.array(index))
+    _, at, data = out.buffers()
+    at = np.frombuffer(at, np.int64)[out.offset : out.offset + len(index) + 1]
+    return memoryview(data) if data is not None else memoryview(b""), at
+
+
+GAP, LETTER, DIGIT, SIGN, OTHER = range(5)
+_KIND = np.full(256, OTHER, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = GAP
+_KIND[0x21:0x7F] = SIGN
+_KIND[0x30:0x3A], _KIND[0x41:0x5B], _KIND[0x61:0x7B], _KIND[39] = DIGIT, LETTER, LETTER, OTHER
+
+
+def byte_kinds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(kind of every byte of a UTF-8 text, where accented Latin letters of two bytes begin).
+
+    Kinds: white space, ASCII and accented Latin letters, ASCII digits, ASCII signs, and all else, which
+    includes the apostrophe.  Between two of the first four kinds no pretokeniser at hand sees one word.
+    """
+    kind = _KIND[buf]
+    pair = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7))
+    kind[pair] = kind[pair + 1] = LETTER
+    return kind, pair
+
+
+def word_hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+def _pair(a: np.ndarray, b: np.ndarray, place: int) -> np.ndarray:
+    return mix(mix(a + _PLACE[place % 64]) + b * _U(0x9E3779B97F4A7C15))
+
+
+def runs(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k neighbours of ``h``, made from those of runs of powers of two."""
+    if len(h) < k:
+        return np.empty(0, np.uint64)
+    size, power, out, done = 1, h, None, 0
+    while True:
+        if k & size:
+            at = power[done : done + len(h) - k + 1]
+            out, done = (at if out is None else _pair(out, at, size)), done + size
+        if 2 * size > k:
+            return mix(out + _PLACE[k % 64])
+        power, size = _pair(power[: len(power) - size], power[size:], size), 2 * size
 
 
 class Words:
-    """Words of a list of texts: ``hashes`` of all, ``bounds[i]:bounds[i+1]`` those of text i."""
+    """Words of a list of texts: ``hashes`` of all, ``bounds[i]:bounds[i+1]`` those of text i.
 
-    __slots__ = ("bounds", "ends", "hashes", "starts")
+    ``index`` numbers equal words alike (exactly, within this object); a word's hash is 64 bits of BLAKE2.
+    """
+
+    __slots__ = ("bounds", "ends", "hashes", "index", "starts")
 
     def __init__(self, texts: list[bytes]):
         buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -81,17 +127,18 @@ class Words:
         if len(buf) and not gap[0]:
             edge = np.concatenate(([0], edge))
         self.starts, self.ends = edge[0::2], edge[1::2]
-        self.hashes = np.empty(len(self.starts), np.uint64)
-        i = 0
-        while i < len(self.starts):  # stretches of whole words of at most STRETCH bytes, or one longer word
-            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + STRETCH, "right")))
-            a, b = int(self.starts[i]), int(self.ends[j - 1])
-            power, inverse = powers(_BASE, b - a + 1)
-            total = np.zeros(b - a + 1, np.uint64)
-            np.cumsum(_LETTER[buf[a:b]] * power[: b - a], out=total[1:])
-            at, to = self.starts[i:j] - a, self.ends[i:j] - a
-            self.hashes[i:j] = mix((total[to] - total[at]) * inverse[at])
-            i = j
+        self.index, own = distinct(buf[~gap], np.concatenate(([0], np.cumsum(self.ends - self.starts))))
+        if len(_KNOWN) > CACHE_WORDS:
+            _KNOWN.clear()
+        hashes = []
+        for w in own:
+            h = _KNOWN.get(w)
+            if h is None:
+                h = word_hash(w)
+                if len(w) <= CACHE_BYTES:
+                    _KNOWN[w] = h
+            hashes.append(h)
+        self.hashes = np.array(hashes, np.uint64)[self.index]
         at = np.cumsum([0] + [len(t) + 1 for t in texts])
         self.bounds = np.searchsorted(self.starts, at)
 
@@ -105,11 +152,7 @@ class Words:
         at = self.bounds[:-1][doc] + pos
         every = np.empty(max(0, len(self.hashes) - k + 1), np.uint64)
         for a in range(0, len(every), STRETCH):
-            own = self.hashes[a : a + STRETCH + k - 1]
-            power, inverse = powers(_WBASE, len(own) + 1)
-            total = np.zeros(len(own) + 1, np.uint64)
-            np.cumsum(own * power[: len(own)], out=total[1:])
-            every[a : a + STRETCH] = mix((total[k:] - total[:-k]) * inverse[: len(own) - k + 1] + _PLACE[k % 64])
+            every[a : a + STRETCH] = runs(self.hashes[a : a + STRETCH + k - 1], k)
         return every[at], doc, pos
 
 
@@ -125,14 +168,21 @@ def slices(ids: list, texts: list, limit: int = SLICE_BYTES, most: int = 4096) -
         yield ids[i:], texts[i:]
 
 
-def texts_of(batch: pa.RecordBatch, lower: bool = False, limit: int = SLICE_BYTES) -> Iterator[tuple[list, list]]:
+def texts_of(batch: pa.RecordBatch, lower: bool = False, limit: int = SLICE_BYTES, owner: str = "words") -> Iterator[tuple[list, list]]:
     """(ids, UTF-8 texts) of a batch whose first two columns are an id and a text; a null text is empty."""
-    claim("words", lambda: None)
+    if owner == "words":
+        claim("words", _KNOWN.clear)
     raw = batch.column(1).cast(pa.large_binary()).to_pylist()
     texts = [(t or b"").lower() if lower else (t or b"") for t in raw]
     return slices(batch.column(0).to_pylist(), texts, limit)
 
 
+def sorted_set(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     """Each text's sorted distinct k-word shingle hashes; with fewer words the whole sequence is one."""
     words = Words(texts)
@@ -142,10 +192,10 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     out = []
     for i, n in enumerate(counts):
         if n >= k:
-            out.append(np.unique(grams[at[i] : at[i + 1]]))
+            out.append(sorted_set(grams[at[i] : at[i + 1]]))
         elif n:
             own = words.hashes[words.bounds[i] : words.bounds[i + 1]]
-            out.append(mix((own * _PLACE[:n]).sum(dtype=np.uint64, keepdims=True) + _PLACE[63 - n]))
+            out.append(runs(own, int(n)))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -169,6 +219,8 @@ def shared(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
