@@ -136,6 +136,29 @@ def repeats(texts, window):
     return out
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    df = spark.createDataFrame([(1, b, 1), (7, b, 1), (7, a, 1), (7, a, 1), (None, a, 1), (8, a + " end", 1), (9, "", 1), (9, None, 1)], "doc_id long, text string, row_key int")
+    want = sorted([(1, b, 1), (7, "", 1), (7, a, 1), (7, a, 1), (None, a, 1), (8, "end", 1), (9, "", 1), (9, None, 1)], key=str)
+    for parts in (1, 5):
+        assert sorted(map(tuple, substring.dedupe_texts(df.repartition(parts), 13).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_windows_with_equal_labels_are_told_apart_by_their_words(docs, monkeypatch, broadcast):
+    texts = [(r[0], r[1]) for r in docs.select("doc_id", "text").collect()]
+    plain = substring.suffixes
+    monkeypatch.setattr(substring, "BROADCAST_ROWS", broadcast)
+
+    def coarse(words, window):
+        label, doc, pos = plain(words, window)
+        return label & np.uint64(0xFFF000000000000F), doc, pos
+
+    monkeypatch.setattr(substring, "suffixes", coarse)
+    got = {r["id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.dedupe_substrings(docs.repartition(4), 13).collect()}
+    assert got == repeats(texts, 13)
+
+
 @pytest.mark.parametrize("group", [substring.GROUP, 200])
 def test_substrings_are_brute_force(docs, odd, group):
     for texts, df in (([(r[0], r[1]) for r in docs.select("doc_id", "text").collect()], docs), odd):

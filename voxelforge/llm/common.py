@@ -47,6 +47,10 @@ def claim(owner: str, clear: Callable[[], None]) -> None:
         _OWNER[0] = owner
 
 
+def claim_words() -> None:
+    claim("words", _KNOWN.clear)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit words (wraps around on purpose)."""
     x = x ^ (x >> _U(32))
@@ -171,7 +175,7 @@ def slices(ids: list, texts: list, limit: int = SLICE_BYTES, most: int = 4096) -
 def texts_of(batch: pa.RecordBatch, lower: bool = False, limit: int = SLICE_BYTES, owner: str = "words") -> Iterator[tuple[list, list]]:
     """(ids, UTF-8 texts) of a batch whose first two columns are an id and a text; a null text is empty."""
     if owner == "words":
-        claim("words", _KNOWN.clear)
+        claim_words()
     raw = batch.column(1).cast(pa.large_binary()).to_pylist()
     texts = [(t or b"").lower() if lower else (t or b"") for t in raw]
     return slices(batch.column(0).to_pylist(), texts, limit)

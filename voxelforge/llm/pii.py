@@ -5,8 +5,8 @@ when their validator fails (parts up to 255; 16 to 19 digits with a right Luhn s
 Base spans always stay.  Further kinds need their score to reach ``THRESHOLD``: a checksum (mod-97 for
 iban) or a strict form gives most of it, words near the span add to or take from it.
 
-Edge cases: null and empty texts have no spans; very long texts and digit runs are handled whole; rows
-are judged one by one, so repeated rows repeat; extra columns are kept by ``mask_pii`` and ignored by
+Edge cases: null and empty texts have no spans; very long texts and runs of digits or letters are handled
+whole, in time that grows with their length; rows are judged one by one, so repeated rows repeat; extra columns are kept by ``mask_pii`` and ignored by
 ``find_pii``; an empty table gives an empty result.
 """
 
@@ -25,21 +25,25 @@ BASE = ("email", "ip", "card", "phone")
 MORE = ("iban", "ssn", "secret")
 FOUND = "doc_id long, kind string, start long, end long, score double"
 COUNTS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string, scores string"
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# The base patterns, written so that every match begins at the first character that can begin it: a run of
+# digits or address characters is then read once, not once per character.  Same matches as the plain forms.
+_ADDRESS = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+_EMAIL, _EMAIL_ON = re.compile(r"(?<![A-Za-z0-9._%+-])" + _ADDRESS), re.compile(_ADDRESS)
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9[0-9][0-9])[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9_/+-]{16,}(?![A-Za-z0-9])")
 _DIGIT = re.compile(r"[0-9]")
-#: Context words within WINDOW characters before a span, and what they add.
+#: Whole words of letters within WINDOW characters before or after a span, and what they add.
 WINDOW, THRESHOLD = 40, 0.6
 CONTEXT = {
     "email": {"mail": 0.1, "contact": 0.1}, "ip": {"ip": 0.1, "host": 0.1, "version": -0.2}, "card": {"card": 0.1, "visa": 0.1, "order": -0.2}, "phone": {"tel": 0.1, "call": 0.1, "phone": 0.1},
     "iban": {"iban": 0.2, "account": 0.1, "konto": 0.1}, "ssn": {"ssn": 0.4, "social": 0.3, "part": -0.2},
-    "secret": {"token": 0.5, "password": 0.5, "passwd": 0.5, "secret": 0.5, "api_key": 0.5, "apikey": 0.5, "key": 0.3, "http": -0.4, "sha": -0.2},
+    "secret": {"token": 0.5, "password": 0.5, "passwd": 0.5, "secret": 0.5, "apikey": 0.5, "api": 0.3, "key": 0.3, "http": -0.4, "https": -0.4, "sha": -0.2},
 }
+_WORD = re.compile(r"[a-z]+")
 BEFORE_VALIDATION = {"email": 0.8, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.7, "ssn": 0.4, "secret": 0.2}
 
 
@@ -83,12 +87,36 @@ def _secret_ok(s: str) -> bool:
     return any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
 
 
-#: kind, pattern, validator, a string every match contains (a cheap first look; "" for none)
-RULES = (("email", _EMAIL, None, "@"), ("ip", _IP, _ip_ok, "."), ("card", _CARD, _card_ok, ""), ("phone", _PHONE, _phone_ok, "+"), ("iban", _IBAN, _iban_ok, ""), ("ssn", _SSN, None, "-"), ("secret", _SECRET, _secret_ok, ""))
+def _emails(text: str) -> Iterator[re.Match]:
+    """Leftmost matches; after one, the next may begin within the same run of characters."""
+    at = 0
+    while True:
+        m = (_EMAIL_ON.match(text, at) if at else None) or _EMAIL.search(text, at)
+        if m is None:
+            return
+        yield m
+        at = m.end()
 
 
-def context_score(kind: str, text: str, start: int) -> float:
-    near = text[max(0, start - WINDOW) : start].lower()
+#: kind, finder, validator, a string every match contains (a cheap first look; "" for none)
+RULES = (
+    ("email", _emails, None, "@"), ("ip", _IP.finditer, _ip_ok, "."), ("card", _CARD.finditer, _card_ok, ""), ("phone", _PHONE.finditer, _phone_ok, "+"),
+    ("iban", _IBAN.finditer, _iban_ok, ""), ("ssn", _SSN.finditer, None, "-"), ("secret", _SECRET.finditer, _secret_ok, ""),
+)
+
+
+def near_words(text: str, start: int, end: int) -> set[str]:
+    """Words of letters of which some part is near the span."""
+    a, b = max(0, start - WINDOW), min(len(text), end + WINDOW)
+    while a > 0 and start - a < 2 * WINDOW and text[a - 1].isalpha():  # not the tail of a longer word
+        a -= 1
+    while b < len(text) and b - end < 2 * WINDOW and text[b].isalpha():
+        b += 1
+    return {*_WORD.findall(text[a:start].lower()), *_WORD.findall(text[end:b].lower())}
+
+
+def context_score(kind: str, text: str, start: int, end: int) -> float:
+    near = near_words(text, start, end)
     return BEFORE_VALIDATION[kind] + sum(v for w, v in CONTEXT[kind].items() if w in near)
 
 
@@ -96,13 +124,13 @@ def spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) by kind, then start; code points, end exclusive."""
     out = []
     digits = _DIGIT.search(text) is not None
-    for kind, pattern, valid, sign in RULES:
+    for kind, find, valid, sign in RULES:
         if (kind != "email" and not digits) or sign not in text:
             continue
-        for m in pattern.finditer(text):
+        for m in find(text):
             if valid is not None and not valid(m[0]):
                 continue
-            score = min(1.0, max(0.0, context_score(kind, text, m.start())))
+            score = min(1.0, max(0.0, context_score(kind, text, m.start(), m.end())))
             if kind in BASE or score >= THRESHOLD:
                 out.append((kind, m.start(), m.end(), round(score, 3)))
     return out

@@ -1,24 +1,31 @@
-"""Substring deduplication with hashed fingerprints of fixed windows; not the suffix trees of the survey.
+"""Substring deduplication with prefix-partitioned trees of word suffixes, cut off at the window's depth.
 
-Every word position starts a suffix, of which only the first ``window`` words matter.  They are held as a
-64-bit label: 12 bits of a hash of the first two words, then 52 bits of a hash of all.  Equal labels are
-the repeats; there are no inner nodes of other depth and no order of words.
+Every word position starts a suffix, of which only the first ``window`` words matter.  A suffix is held as
+a 64-bit label of its prefixes: 12 bits of a hash of its first two words, 12 bits of one of its first four,
+40 bits of one of the whole window.  Sorted labels are the leaves of a tree with inner nodes at these three
+depths.  The deep nodes, those of equal labels, are the repeats of a window; runs of them that go on side by
+side in both documents are joined to maximal repeats.  The trees hold hashes instead of words, since the
+words of all windows would exceed the disk budget; every repeat is therefore confirmed by its words.
 
-Suffixes are split by prefix: a histogram over all prefix codes is taken first, rare codes share a group
-and frequent codes are continued by further bits of the label until a group holds about ``GROUP`` suffixes.
-Tasks send their suffixes as sorted, compressed blocks, after settling those that already repeat inside
-the batch: only the occurrences in a batch's smallest document go on, so a passage found everywhere
-arrives once per batch.  Two different windows are taken for equal when 64 bits agree by chance: about
-N^2 / 2^65 expected pairs for N windows, and M / 2^52 for M pairs that share their first two words.
+Suffixes are split by prefix: a histogram over all two-word codes is taken first, rare codes share a group
+and frequent codes are continued by longer prefixes until a group holds about ``GROUP`` suffixes.  Tasks
+send their suffixes as sorted, compressed blocks, after settling those that repeat inside the batch (by
+comparing the words): only the occurrences in a batch's smallest document go on, so a passage found
+everywhere arrives once per batch.
+
+Repeats between batches are confirmed by 128-bit BLAKE2 digests of the words on both sides.  Where they
+differ, two windows have had equal labels by chance: the documents of such labels are grouped anew by the
+digests of the windows.  So nothing is removed unless its words come in a smaller document.
 
 Edge cases: null and empty texts and those shorter than a window have no repeats.  Windows that repeat
-inside one document only are kept.  Rows that share a doc_id count as one document: marks found for any
-of them hold for all, so exact copies of a row stay alike.  A null doc_id neither marks nor is marked.
-Extra columns are kept by ``dedupe_texts``.  An empty table gives an empty result.
+inside one document only are kept.  Rows that share a doc_id are judged each by its own text, and none marks
+another.  A null doc_id neither marks nor is marked.  Extra columns are kept by ``dedupe_texts``, whatever
+their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -26,37 +33,40 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Words, arrow, cut, id_text, texts_of
+from .common import Words, arrow, claim_words, cut, slices, small_batches
 
-CODE_BITS = 12
+CODE_BITS, NEXT_BITS = 12, 12
 REST_BITS = 64 - CODE_BITS
-#: Suffixes of one group, about; one group is one tree in a task's memory (20 bytes a suffix).
+#: Suffixes of one group, about; one group is one tree in a task's memory (28 bytes a suffix).
 GROUP = 2_000_000
-#: Suffixes of one batch of a task.
-BATCH = 1_000_000
-#: Largest table of marked ids that may be broadcast (8 bytes a row).
-BROADCAST_ROWS = 500_000
+#: Bytes of text of one batch of a task.
+BATCH_BYTES = 6_000_000
+#: Largest table of marked rows that may be broadcast (8 bytes a row), and most partitions of the trees.
+BROADCAST_ROWS, PARTITIONS = 500_000, 20_000
 BLOCKS = "grp long, block binary"
-MARKS = "id long, starts binary"
+RUNS = "id long, key long, pos long, n long, known boolean, l_id long, l_key long, l_pos long"
+DIGESTS = "id long, key long, pos long, n long, digest binary"
 KEPT = "id long, n_words long, n_removed long, kept string"
 _U = np.uint64
 
 
-def suffixes(texts: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suffixes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(label, text index, word position) of every suffix of at least ``window`` words."""
-    words = Words(texts)
     whole, doc, pos = words.grams(window)
-    pair, pair_doc, pair_pos = words.grams(2)
-    first = np.searchsorted(pair_doc, np.arange(len(texts)))
-    code = pair[first[doc] + pos] >> _U(REST_BITS)
-    return (code << _U(REST_BITS)) | (whole >> _U(CODE_BITS)), doc, pos
+    label = whole >> _U(CODE_BITS + NEXT_BITS)
+    for k, bits, shift in ((2, CODE_BITS, REST_BITS), (min(4, window), NEXT_BITS, REST_BITS - NEXT_BITS)):
+        gram, gram_doc, _ = words.grams(k)
+        first = np.searchsorted(gram_doc, np.arange(len(words.bounds) - 1))
+        label |= gram[first[doc] + pos] >> _U(64 - bits) << _U(shift)
+    return label, doc, pos
 
 
 def prefix_groups(counts: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first group, further label bits) of every prefix code."""
+    """(first group, bits of longer prefixes) of every prefix code."""
     base, bits = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
     group, held = 0, 0
     for c, n in enumerate(counts.tolist()):
@@ -73,43 +83,48 @@ def prefix_groups(counts: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarr
     return base, bits
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+def pack(columns: list[tuple[np.ndarray, bool]]) -> bytes:
+    """Columns of whole numbers as byte planes, compressed; those marked True as differences."""
+    head, body = [], []
+    for x, rising in columns:
+        x = np.diff(x, prepend=x.dtype.type(0)) if rising else x
+        head += [len(x), x.dtype.itemsize]
+        body.append(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes())
+    return struct.pack(f"<{len(head)}q", *head) + zstandard.ZstdCompressor(level=1).compress(b"".join(body))
 
 
-def _unplanes(raw: bytes, n: int, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).view(kind).ravel()
+def unpack(raw: bytes, kinds: list[tuple[type, bool]]) -> list[np.ndarray]:
+    head = struct.unpack(f"<{2 * len(kinds)}q", raw[: 16 * len(kinds)])
+    sizes = [n * size for n, size in zip(head[::2], head[1::2], strict=True)]
+    body = zstandard.ZstdDecompressor().decompress(raw[16 * len(kinds) :], max_output_size=max(1, sum(sizes)))
+    out, at = [], 0
+    for n, size, total, (kind, rising) in zip(head[::2], head[1::2], sizes, kinds, strict=True):
+        x = np.ascontiguousarray(np.frombuffer(body[at : at + total], np.uint8).reshape(size, n).T).view(kind).ravel() if n else np.empty(0, kind)
+        out.append(np.cumsum(x, dtype=kind) if rising else x)
+        at += total
+    return out
 
 
-def write_block(labels: np.ndarray, docs: np.ndarray, at: np.ndarray) -> bytes:
-    """Sorted labels with the document and word position of each."""
-    ids, own = np.unique(docs, return_inverse=True)
-    body = _planes(np.diff(labels, prepend=_U(0))) + _planes(np.diff(ids, prepend=np.int64(0))) + _planes(own.astype(np.uint32)) + _planes(at.astype(np.uint32))
-    return struct.pack("<qq", len(labels), len(ids)) + zstandard.ZstdCompressor(level=1).compress(body)
+def write_block(labels: np.ndarray, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> bytes:
+    """Sorted labels with the row (by its place in ids and keys) and word position of each."""
+    used = np.flatnonzero(np.bincount(doc, minlength=len(ids)))
+    place = np.zeros(len(ids), np.uint32)
+    place[used] = np.arange(len(used))
+    return pack([(labels, True), (ids[used], True), (keys[used], False), (place[doc], False), (pos.astype(np.uint32), False)])
 
 
-def read_block(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = struct.unpack("<qq", raw[:16])
-    body = zstandard.ZstdDecompressor().decompress(raw[16:], max_output_size=16 * n + 8 * m)
-    labels = np.cumsum(_unplanes(body[: 8 * n], n, np.uint64), dtype=np.uint64)
-    ids = np.cumsum(_unplanes(body[8 * n : 8 * (n + m)], m, np.int64))
-    own = _unplanes(body[8 * (n + m) : 12 * n + 8 * m], n, np.uint32)
-    return labels, ids[own], _unplanes(body[12 * n + 8 * m :], n, np.uint32)
+def read_block(raw: bytes) -> tuple[np.ndarray, ...]:
+    labels, ids, keys, doc, pos = unpack(raw, [(np.uint64, True), (np.int64, True), (np.int64, False), (np.uint32, False), (np.uint32, False)])
+    return labels, ids[doc], keys[doc], pos
 
 
-def repeats(labels: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order of the leaves, for each leaf whether its deep node has a leaf of a smaller document)."""
-    order = np.argsort(labels, kind="stable")
-    labels, docs = labels[order], docs[order]
-    if not len(labels):
-        return order, np.empty(0, bool)
+def leaders(labels: np.ndarray) -> np.ndarray:
+    """For each of the sorted labels, where its deep node begins."""
     head = np.concatenate(([True], labels[1:] != labels[:-1]))
-    least = np.minimum.reduceat(docs, np.flatnonzero(head))
-    return order, docs > least[np.cumsum(head) - 1]
+    return np.flatnonzero(head)[np.cumsum(head) - 1]
 
 
-def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+def _stretches(keys: np.ndarray) -> list[tuple[int, int]]:
     """Bounds of the runs of equal keys."""
     if not len(keys):
         return []
@@ -117,40 +132,68 @@ def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[:-1], at[1:], strict=True))
 
 
-def write_marks(ids: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket of documents, block of (id, start) pairs), one block a bucket."""
-    where = ((ids.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(33)).astype(np.int64) % buckets
-    order = np.lexsort((pos, ids, where))
-    where, ids, pos = where[order], ids[order], pos[order].astype(np.uint32)
-    for a, b in _runs(where):
-        body = _planes(np.diff(ids[a:b], prepend=np.int64(0))) + _planes(pos[a:b])
-        yield int(where[a]), struct.pack("<q", b - a) + zstandard.ZstdCompressor(level=1).compress(body)
+#: id, key and position of a repeat, then of its first occurrence (none if the repeat is already confirmed)
+_PAIR = [(np.int64, True), (np.int64, True), (np.int32, True), (np.int64, True), (np.int64, True), (np.int32, True)]
 
 
-def read_marks(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = struct.unpack("<q", raw[:8])[0]
-    body = zstandard.ZstdDecompressor().decompress(raw[8:], max_output_size=12 * n)
-    return np.cumsum(_unplanes(body[: 8 * n], n, np.int64)), _unplanes(body[8 * n :], n, np.uint32)
+def write_pairs(columns: tuple[np.ndarray, ...], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket of rows, block of pairs), one block a bucket."""
+    where = ((columns[1].astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(33)).astype(np.int64) % buckets
+    order = np.lexsort((columns[2], columns[1], columns[0], where))
+    where, columns = where[order], tuple(c[order] for c in columns)
+    for a, b in _stretches(where):
+        yield int(where[a]), pack([(c[a:b].astype(kind), rising) for c, (kind, rising) in zip(columns, _PAIR, strict=False)] + [(np.empty(0, kind), rising) for kind, rising in _PAIR[len(columns) :]])
 
 
-def merge_marks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One row per document of a bucket, with its distinct start positions."""
-    ids, pos = (np.concatenate(x) for x in zip(*map(read_marks, pdf["block"]), strict=True))
-    order = np.lexsort((pos, ids))
-    ids, pos = ids[order], pos[order]
-    head = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-    return pd.DataFrame({"id": ids[head], "starts": [np.unique(p).tobytes() for p in np.split(pos, head[1:])]})
+def merge_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Maximal repeats of the rows of a bucket: n windows in a row whose first occurrences are in a row, too."""
+    parts = []
+    for raw in pdf["block"]:
+        cols = unpack(raw, _PAIR)
+        known = len(cols[3]) < len(cols[0])
+        parts.append([*cols[:3], np.full(len(cols[0]), known), *(np.zeros(len(cols[0]), c.dtype) if known else c for c in cols[3:])])
+    i, key, pos, known, l_id, l_key, l_pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((pos, l_pos - pos, l_key, l_id, known, key, i))
+    order = np.concatenate((order[~known[order]], np.flatnonzero(known)[np.lexsort((pos[known], key[known], i[known]))]))
+    i, key, pos, known, l_id, l_key, l_pos = (x[order] for x in (i, key, pos, known, l_id, l_key, l_pos))
+    goes_on = (i[1:] == i[:-1]) & (key[1:] == key[:-1]) & (pos[1:] - pos[:-1] <= 1) & (pos[1:] >= pos[:-1]) & (known[1:] == known[:-1])
+    goes_on &= known[1:] | ((l_id[1:] == l_id[:-1]) & (l_key[1:] == l_key[:-1]) & (l_pos[1:] - pos[1:] == l_pos[:-1] - pos[:-1]))
+    head = np.flatnonzero(np.concatenate(([True], ~goes_on)))
+    last = np.concatenate((head[1:], [len(i)])) - 1
+    return pd.DataFrame({"id": i[head], "key": key[head], "pos": pos[head].astype(np.int64), "n": (pos[last] - pos[head] + 1).astype(np.int64), "known": known[head], "l_id": l_id[head], "l_key": l_key[head], "l_pos": l_pos[head].astype(np.int64)})
 
 
-def marks(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
-    """(id, starts): uint32 word positions at which a window starts that a smaller document also has."""
-    text = id_text(docs).where("id is not null")
+def row_key(id_col: Column, text: Column) -> Column:
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64(id_col, text)
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """id, key, text of the rows that have an id."""
+    small_batches(docs.sparkSession)
+    i, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.where("doc_id is not null").select(i.alias("id"), row_key(i, text).alias("key"), text.alias("text"))
+
+
+def _batches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """(ids, keys, texts) of distinct rows in order of id, a slice at a time."""
+    claim_words()
+    ids, keys = (np.asarray(batch.column(i).to_numpy()) for i in (0, 1))
+    order = np.lexsort((keys, ids))
+    order = order[np.concatenate(([True], (ids[order][1:] != ids[order][:-1]) | (keys[order][1:] != keys[order][:-1])))] if len(order) else order
+    texts = batch.column(2).cast(pa.large_binary()).take(pa.array(order)).to_pylist()
+    for own, some in slices(order.tolist(), texts, BATCH_BYTES):
+        yield ids[own], keys[own], some
+
+
+def repeats(text: DataFrame, window: int, group: int) -> DataFrame:
+    """Maximal repeats: ``n`` windows from ``pos`` on come from ``l_pos`` on in row (l_id, l_key), or are known to repeat."""
     codes = arrow("code long, n long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CODE_BITS, np.int64)
         for batch in batches:
-            for _, texts in texts_of(batch):
+            for _, _, texts in _batches(batch):
                 words = Words(texts)
                 pair, doc, pos = words.grams(2)
                 full = pos <= (np.diff(words.bounds) - window)[doc]
@@ -165,63 +208,125 @@ def marks(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
     n_groups = int(base.max() + (1 << int(bits[base.argmax()]))) if counts.any() else 1
     form = arrow(BLOCKS)
 
-    def send(labels: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order, dup = repeats(labels, ids)
-        labels, ids, pos = labels[order], ids[order], pos[order]
+    def send(words: Words, ids: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        labels, doc, pos = suffixes(words, window)
+        order = np.argsort(labels, kind="stable")  # equal ones stay in order of id and position
+        labels, doc, pos = labels[order], doc[order], pos[order]
+        first = leaders(labels) if len(labels) else labels.astype(np.int64)
+        at = words.bounds[:-1][doc] + pos
+        settled = np.flatnonzero(ids[doc] > ids[doc[first]])
+        same = np.ones(len(settled), bool)
+        for k in range(window):
+            same &= words.index[at[settled] + k] == words.index[at[first[settled]] + k]
+        settled = settled[same]
+        go = np.ones(len(labels), bool)
+        go[settled] = False
         code = (labels >> _U(REST_BITS)).astype(np.int64)
-        more = bits[code].astype(np.uint64)
-        tail = (labels & _U((1 << REST_BITS) - 1)) >> (_U(REST_BITS) - more)
-        grp = base[code] + tail.astype(np.int64)
-        go = ~dup
-        grp, labels_go, ids_go, pos_go = grp[go], labels[go], ids[go], pos[go]
-        keys, blocks = [], []
-        for a, b in _runs(grp):
-            keys.append(int(grp[a]))
-            blocks.append(write_block(labels_go[a:b], ids_go[a:b], pos_go[a:b]))
-        for bucket, block in write_marks(ids[dup], pos[dup], n_groups):  # settled here
-            keys.append(-1 - bucket)
-            blocks.append(block)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], schema=form)
+        tail = (labels & _U((1 << REST_BITS) - 1)) >> (_U(REST_BITS) - bits[code].astype(np.uint64))
+        grp = (base[code] + tail.astype(np.int64))[go]
+        labels, own, pos_go = labels[go], doc[go], pos[go]
+        out: list[tuple[int, bytes]] = []
+        for a, b in _stretches(grp):
+            out.append((int(grp[a]), write_block(labels[a:b], ids, keys, own[a:b], pos_go[a:b])))
+        if len(settled):
+            out += [(-1 - bucket, block) for bucket, block in write_pairs((ids[doc[settled]], keys[doc[settled]], pos[settled]), n_groups)]
+        return pa.RecordBatch.from_arrays([pa.array([g for g, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], schema=form)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        n = 0
         for batch in batches:
-            for ids, texts in texts_of(batch):
-                labels, doc, pos = suffixes(texts, window)
-                held.append((labels, np.array(ids, np.int64)[doc], pos))
-                n += len(labels)
-                if n >= BATCH:
-                    yield from send(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held, n = [], 0
-        if n:
-            yield from send(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            for ids, keys, texts in _batches(batch):
+                yield send(Words(texts), ids, keys)
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         if pdf["grp"].iloc[0] < 0:
             return pd.DataFrame({"grp": -1 - pdf["grp"], "block": pdf["block"]})
-        labels, ids, pos = (np.concatenate(x) for x in zip(*map(read_block, pdf["block"]), strict=True))
-        order, dup = repeats(labels, ids)
-        own = order[dup]
-        return pd.DataFrame(list(write_marks(ids[own], pos[own], n_groups)), columns=["grp", "block"])
+        labels, ids, keys, pos = (np.concatenate(x) for x in zip(*map(read_block, pdf["block"]), strict=True))
+        order = np.lexsort((pos, keys, ids, labels))
+        labels, ids, keys, pos = labels[order], ids[order], keys[order], pos[order]
+        first = leaders(labels)
+        dup = np.flatnonzero(ids > ids[first])
+        head = first[dup]
+        return pd.DataFrame(list(write_pairs((ids[dup], keys[dup], pos[dup], ids[head], keys[head], pos[head]), n_groups)), columns=["grp", "block"])
+
+    parts = min(2 * n_groups, PARTITIONS)
+    found = text.mapInArrow(split, BLOCKS).repartition(parts, "grp").groupBy("grp").applyInPandas(tree, BLOCKS)
+    return found.groupBy("grp").applyInPandas(merge_pairs, RUNS)
 
-    found = text.mapInArrow(split, BLOCKS).groupBy("grp").applyInPandas(tree, BLOCKS)
-    return found.groupBy("grp").applyInPandas(merge_marks, MARKS)
 
+def segment_digests(text: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """(id, key, pos, n, digest) of distinct wanted (id, key, pos, n): the words from pos to the end of window pos + n - 1."""
+    form = arrow(DIGESTS)
+    asked = wanted.distinct().groupBy(F.col("id").alias("w_id"), F.col("key").alias("w_key")).agg(F.collect_list(F.struct("pos", "n")).alias("at"))
 
-def keep_words(text: bytes, starts: bytes | None, window: int) -> tuple[int, int, bytes]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, key, text, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = text.encode().split()
+                digest = [hashlib.blake2b(b" ".join(words[a["pos"] : a["pos"] + a["n"] + window - 1]), digest_size=16).digest() for a in at]
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([i] * n, [key] * n, [a["pos"] for a in at], [a["n"] for a in at], digest), form, strict=True)], schema=form)
+
+    asked = cut(asked)
+    rows = text
+    if asked.count() <= BROADCAST_ROWS:  # only the texts of these rows are shuffled
+        rows = text.join(F.broadcast(asked.select(F.col("w_key").alias("key"))), "key", "left_semi").select("id", "key", "text")
+    both = rows.join(asked, (F.col("id") == F.col("w_id")) & (F.col("key") == F.col("w_key")))
+    return both.select("id", "key", "text", "at").mapInArrow(run, DIGESTS).distinct()
+
+
+def confirmed(text: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    """(id, key, pos, n) of the repeats whose words come in a row with a smaller id."""
+    guess = found.where("NOT known")
+    names = ["id", "key", "pos", "n"]
+    first = [F.col(f"l_{c}").alias(c) for c in names[:3]]
+    digests = cut(segment_digests(text, guess.select(*names).union(guess.select(*first, "n")), window))
+    theirs = digests.select(*(F.col(c).alias(f"l_{c}") for c in names[:3]), "n", F.col("digest").alias("l_digest"))
+    if digests.count() <= BROADCAST_ROWS // 4:
+        theirs = F.broadcast(theirs)
+    judged = cut(guess.join(digests, names).join(theirs, ["l_id", "l_key", "l_pos", "n"]).withColumn("ok", F.col("digest") == F.col("l_digest")).drop("digest", "l_digest"))
+    right = found.where("known").select(*names).union(judged.where("ok").select(*names))
+    if judged.where("NOT ok").isEmpty():
+        return right
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("step")  # windows with equal labels by chance
+    each = judged.select("*", step).select("id", "key", (F.col("pos") + F.col("step")).alias("pos"), "l_id", "l_key", (F.col("l_pos") + F.col("step")).alias("l_pos"), "ok")
+    doubtful = each.where("NOT ok").select("l_id", "l_key", "l_pos").distinct()
+    members = cut(each.join(doubtful, ["l_id", "l_key", "l_pos"], "left_semi").select("id", "key", "pos", "l_id", "l_key", "l_pos"))
+    members = members.union(doubtful.select(F.col("l_id"), F.col("l_key"), F.col("l_pos"), "l_id", "l_key", "l_pos")).withColumn("n", F.lit(1).cast("long")).distinct()
+    told = cut(members.join(segment_digests(text, members.select(*names), window), names))
+    least = told.groupBy("l_id", "l_key", "l_pos", "digest").agg(F.min("id").alias("least"))
+    return right.union(told.join(least, ["l_id", "l_key", "l_pos", "digest"]).where("id > least").select(*names))
+
+
+def marks(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
+    """(id, key, spans): pos and n of the runs of windows of a row that come in a row with a smaller id."""
+    text = keyed(docs)
+    found = cut(repeats(text, window, group))
+    return confirmed(text, found, window).groupBy("id", "key").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
+
+
+def keep_words(text: bytes, spans: list[dict] | None, window: int) -> tuple[int, int, bytes]:
     """(words, removed words, kept words joined by one space)."""
     words = text.split()
     n = len(words)
-    if not starts:
+    if not spans:
         return n, 0, b" ".join(words)
-    at = np.frombuffer(starts, np.uint32).astype(np.int64)
-    at = np.unique(at[at + window <= n])
-    edge = np.bincount(at, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(at + window, n), minlength=n + 1)[: n + 1]
+    edge = np.zeros(n + 1, np.int64)
+    for s in spans:
+        edge[s["pos"]] += 1
+        edge[s["pos"] + s["n"] - 1 + window] -= 1
     gone = np.cumsum(edge)[:n] > 0
     return n, int(gone.sum()), b" ".join([words[i] for i in np.flatnonzero(~gone)])
 
 
+def with_spans(docs: DataFrame, found: DataFrame, id_col: Column, key: str, spans: str) -> tuple[DataFrame, DataFrame | None]:
+    """(rows with their spans, the rest if apart); ``docs`` has a column ``key`` from ``row_key``."""
+    small = found.count() <= BROADCAST_ROWS
+    own = found.select(F.col("id").alias(f"{key}_i"), F.col("key").alias(f"{key}_k"), F.col("spans").alias(spans))
+    keys = F.broadcast(found.select(F.col("key").alias(key)))
+    some = docs.join(keys, key, "left_semi") if small else docs
+    return some.join(own, (F.col(key) == F.col(f"{key}_k")) & (id_col == F.col(f"{key}_i")), "left").drop(f"{key}_i", f"{key}_k"), docs.join(keys, key, "left_anti") if small else None
+
+
 def dedupe_substrings(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
     """id, n_words, n_removed, kept: each text without the words of repeats of a smaller document."""
     found = cut(marks(docs, window, group))
@@ -231,41 +336,50 @@ def dedupe_substrings(docs: DataFrame, window: int = 13, group: int = GROUP) ->
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
-                texts, starts = some.column(1).cast(pa.large_binary()).to_pylist(), some.column(2).to_pylist()
-                out = [keep_words(t or b"", s, window) for t, s in zip(texts, starts, strict=True)]
+                texts, spans = some.column(1).cast(pa.large_binary()).to_pylist(), some.column(2).to_pylist()
+                out = [keep_words(t or b"", s, window) for t, s in zip(texts, spans, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()).cast(pa.string())], schema=form
                 )
 
-    text = id_text(docs)
-    if found.count() <= BROADCAST_ROWS:  # few marked documents: only their texts are shuffled
-        ids = F.broadcast(found.select("id"))
-        marked = text.join(ids, "id", "left_semi").join(found, "id")
-        plain = text.join(ids, "id", "left_anti").withColumn("starts", F.lit(None).cast("binary"))
-        return marked.select("id", "text", "starts").mapInArrow(run, KEPT).union(plain.mapInArrow(run, KEPT))
-    return text.join(found, "id", "left").select("id", "text", "starts").mapInArrow(run, KEPT)
+    small_batches(docs.sparkSession)
+    i, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(i.alias("id"), text.alias("text"), row_key(i, text).alias("key"))
+    marked, rest = with_spans(rows, found, F.col("id"), "key", "spans")
+    out = marked.select("id", "text", "spans").mapInArrow(run, KEPT)
+    return out if rest is None else out.union(rest.select("id", "text", F.lit(None).cast("array<struct<pos:long,n:long>>").alias("spans")).mapInArrow(run, KEPT))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name
 
 
 def dedupe_texts(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
     """The rows and columns of ``docs``; texts that lose words are their kept words joined by one space."""
-    found = cut(marks(docs, window, group)).withColumnsRenamed({"id": "__id", "starts": "__starts"})
-    names = docs.columns
+    found = cut(marks(docs, window, group))
+    names, key, spans = docs.columns, fresh(docs, "row_key"), fresh(docs, "row_spans")
+    text = next(f for f in docs.schema if f.name == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             i = batch.schema.get_field_index("text")
             new = []
-            for t, s in zip(batch.column(i).to_pylist(), batch.column("__starts").to_pylist(), strict=True):
+            for t, s in zip(batch.column(i).to_pylist(), batch.column(spans).to_pylist(), strict=True):
                 kept = keep_words(t.encode(), s, window) if t and s else (0, 0, b"")
                 new.append(kept[2].decode() if kept[1] else t)
             out = batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
             yield out.select(names)
 
-    own = F.col("doc_id").cast("long") == F.col("__id")
-    if found.count() > BROADCAST_ROWS:
-        return docs.join(found, own, "left").drop("__id").mapInArrow(run, docs.schema)
-    ids = F.broadcast(found.select("__id"))
-    return docs.join(ids, own, "left_semi").join(found, own).drop("__id").mapInArrow(run, docs.schema).union(docs.join(ids, own, "left_anti"))
+    small_batches(docs.sparkSession)
+    own = docs if isinstance(text.dataType, T.StringType) else docs.withColumn("text", F.col("text").cast("string"))
+    own = own.withColumn(key, row_key(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    marked, rest = with_spans(own, found, F.col("doc_id").cast("long"), key, spans)
+    schema = own.drop(key).schema
+    out = marked.drop(key).mapInArrow(run, schema)
+    return out if rest is None else out.union(rest.drop(key).select(*names))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
