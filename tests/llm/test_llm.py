@@ -3,6 +3,7 @@
 import os
 import re
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -249,6 +250,29 @@ def test_language_held_out(spark):
     assert (got.lang == got.lang_pred).mean() > 0.97 and got.score.between(0, 1).all()
 
 
+def test_languages_of_one_script_and_rare_letters(spark):
+    rng = np.random.default_rng(3)
+    letters = {"ka": "აბგდევზთიკლმნოპ", "kb": "ჟრსტუფქღყშჩცძწჭ"}
+
+    def text(alphabet):
+        return " ".join("".join(rng.choice(list(alphabet), 5)) for _ in range(30))
+
+    rows = [(i, lang, text(alphabet[:10] + alphabet[5:])) for i, (lang, alphabet) in enumerate(sorted(letters.items()) * 40)]
+    df = spark.createDataFrame([*rows, (900, None, "𰀀𰀁𰀂"), (901, None, "1 2 3")], "doc_id long, lang string, text string")
+    got = {r["doc_id"]: r for r in langid.language_id(df, df.where("doc_id % 4 < 2 AND lang IS NOT NULL").select("lang", "text")).collect()}
+    assert all(got[i]["lang_pred"] == lang for i, lang, _ in rows)
+    assert got[900]["lang_pred"] != "und" and got[901]["lang_pred"] == "und"
+
+
+def test_bundle_is_the_sum_of_bound_letters():
+    text = "Ab, ab Яж"
+    v = lambda c, by: np.roll(langid.letter_vectors(np.array([ord(c) if c != " " else 0]))[0].astype(int), by)
+    padded = " ab ab яж "
+    want = sum(v(a, 2) * v(b, 1) * v(c, 0) for a, b, c in zip(padded, padded[1:], padded[2:], strict=False))
+    assert np.array_equal(langid.bundle(text), want)
+    langid._STATE.clear()
+
+
 def test_language_odd(spark, odd):
     texts, df = odd
     got = {r["doc_id"]: r for r in langid.language_id(df, df.select("lang", "text")).collect()}
@@ -273,13 +297,49 @@ def test_language_stage_rejects_by_language(spark):
     assert corpus_pipeline.language(spark, unlabelled, "").count() == both.count()
 
 
-def test_pii_base_is_plain_matching(docs, spark):
+PLAIN = {  # the base patterns as they are stated, with their checks
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+    "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(re.findall("[0-9]", m)) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(re.findall("[0-9]", m)))) % 10 == 0),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(re.findall("[0-9]", m)) <= 15),
+}
+
+
+def plain_spans(text):
+    return [(k, m.start(), m.end()) for k, (p, ok) in PLAIN.items() for m in re.finditer(p, text) if ok(m[0])]
+
+
+def test_pii_base_is_plain_matching(docs, odd):
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list(letters), n)) for letters in ("a1.@-_ +", "19.. a", "4 -1", "+1( )-.", "4111 -@.+a") for n in (5, 30, 80) for _ in range(300)]
+    texts += ["4111 1111 1111 1111", "x@y.z_q@r.s", "a@b@c.de", "1.2.3.4.5.6.7.8"]
+    for t in texts:
+        assert [s[:3] for s in pii.spans(t) if s[0] in PLAIN] == plain_spans(t), t
+    for df in (docs, odd[1]):
+        rows = Counter((r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect())
+        want = Counter()
+        for (i, t), n in rows.items():
+            own = plain_spans(t or "")
+            want[i, tuple(sum(s[0] == k for s in own) for k in PLAIN), ",".join(f"{k}:{a}:{b}" for k, a, b in own)] += n
+        assert Counter((r["doc_id"], tuple(r[f"n_{k}"] for k in PLAIN), r["base"]) for r in pii.find_pii(df).collect()) == want
+
+
+def test_pii_of_very_long_runs_takes_linear_time():
+    for t in ("1" * 1_000_000 + " . ", "a" * 1_000_000 + " @ b", "1." * 300_000, "a@" * 300_000, "+1 " * 200_000, "-" * 500_000 + "1"):
+        began = time.process_time()
+        pii.spans(t)
+        assert time.process_time() - began < 6
+
+
+def test_pii_further_kinds_and_masks():
     text = "mail a.b@c.de, 10.0.0.256 and 10.0.0.25, card 4111 1111 1111 1111 x, 4111-1111-1111-1112; tel +49 (30) 123456 IBAN DE89 3704 0044 0532 0130 00. ssn 123-45-6789; " + "1" * 9000 + ".2.3.4"
     got = pii.spans(text)
     assert [(k, text[a:b]) for k, a, b, _ in got] == [("email", "a.b@c.de"), ("ip", "10.0.0.25"), ("card", "4111 1111 1111 1111"), ("phone", "+49 (30) 123456"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ssn", "123-45-6789")]
     assert pii.mask("a b@c.de " + "x" * 20) == "a [EMAIL] " + "x" * 20
-    for r in pii.find_pii(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
-        assert r["n_email"] == sum(1 for _ in pii._EMAIL.finditer(r["text"] or ""))
+    key = "0a1b2c3d4e5f60718293"
+    assert pii.mask(f"api_key={key}") == "api_key=[SECRET]" and pii.mask(f"{key} is the password") == "[SECRET] is the password"
+    assert pii.mask(f"the monkey {key} ate") == f"the monkey {key} ate"  # no whole word
+    assert pii.mask("DE89 3704 0044 0532 0130 01") == "DE89 3704 0044 0532 0130 01"
 
 
 def test_toxicity_held_out(spark):
@@ -298,8 +358,35 @@ def test_marginals_are_those_of_the_chain():
     for code in range(64):
         y = [(code >> i) & 1 for i in range(6)]
         weight[tuple(y)] = np.exp(sum(e[0, i] * y[i] for i in range(6)) + sum(t[y[i], y[i + 1]] for i in range(5)))
-    want = [sum(w for y, w in weight.items() if y[i]) / sum(weight.values()) for i in range(6)]
+    total = sum(weight.values())
+    want = [sum(w for y, w in weight.items() if y[i]) / total for i in range(6)]
     assert np.allclose(model.marginals(e, np.ones((1, 6), bool))[0], want)
+    longer, mask = np.zeros((1, 9)), np.arange(9)[None] < 6
+    longer[:, :6] = e
+    pairs = model.pair_marginals(longer, mask)
+    for i in range(5):
+        for a in (0, 1):
+            for b in (0, 1):
+                assert np.isclose(pairs[a, b, 0, i], sum(w for y, w in weight.items() if y[i] == a and y[i + 1] == b) / total)
+    assert not pairs[..., 5:].any()
+
+
+def test_toxicity_odd(spark, odd):
+    _, df = odd
+    more = df.unionByName(spark.createDataFrame([(100 + i, f"plain words and {w} here number {i}", "en", "s", 1, 1, "x", 1, "y", 2) for i in range(60) for w in [("vile" if i % 3 == 0 else "kind")]], SCHEMA))
+    labels = more.where("doc_id >= 100").selectExpr("doc_id", "CAST(doc_id % 3 = 1 AS INT) AS toxic", "'z' AS text").union(spark.sql("SELECT 4L, 1, 'z' UNION ALL SELECT NULL, 1, NULL UNION ALL SELECT 5L, NULL, ''"))
+    got = toxicity.toxicity(more, labels).collect()
+    assert len(got) == more.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
+    assert {r["score"] for r in got if r["doc_id"] in (4, 5, 6)} == {next(r["score"] for r in got if r["doc_id"] == 5)}
+    one = toxicity.toxicity(more, labels.where("toxic = 0"))
+    assert {r["predicted"] for r in one.collect()} == {0}
+
+
+def test_toxicity_sample_is_bounded_before_it_is_collected(docs, spark):
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 4 = 0 AS INT) AS toxic")
+    texts, toxic = toxicity.sample_rows(docs.union(docs), labels, F.lit(True), (30, 10), 100_000)
+    assert 0 < sum(map(len, texts)) <= 100_000 and len(texts) == len(toxic) <= 40 and max(map(len, texts)) <= 1000
+    assert toxicity.sample_rows(docs, labels.where("false"), F.lit(True)) == ([], [])
 
 
 def test_top_k_odd(spark):

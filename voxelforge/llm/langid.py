@@ -1,21 +1,22 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1.  A trigram binds its letters: the first vector permuted
+Every letter (code point) has a random vector of +1 and -1, drawn from its number.  A trigram binds its letters: the first vector permuted
 twice, the second once, the third as it is, multiplied component by component.  A text bundles (adds) its
 trigrams' vectors, a language's prototype bundles its training texts, and a text gets the language whose
 prototype has the largest cosine with it.
 
-Letters are lower-cased, everything else is a word gap.  a to z have symbols of their own and accented
-letters of the Latin blocks too; all other letters share the remaining symbols by code point.
+Letters of all scripts are lower-cased, everything else is a word gap.
 
 Edge cases: texts that are null or hold no letter get ``und`` and score 0.  Ties go to the language that
-sorts first.  Rows are judged one by one.  With nothing to learn from every text is ``und``, and
-``keep_known`` keeps every text with a letter.  Extra columns are ignored.
+sorts first.  Rows are judged one by one, so repeated rows repeat.  Very long texts are read whole.  With
+nothing to learn from every text is ``und``, and ``keep_known`` keeps every text with a letter.  Extra
+columns are kept by ``keep_known`` and ignored by ``language_id``.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,93 +24,82 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, claim, small_batches
+from .common import arrow, claim, mix, small_batches
 
-SYMBOLS, DIM = 96, 512
+#: Components of a vector, and trigrams whose vectors a task remembers.
+DIM, TABLE = 512, 65_536
 PROFILE = "lang string, sums binary"
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 #: (distinct trigrams from which it holds, least cosine of a known language): short texts score low by chance.
-LIMITS = ((1, 0.03), (30, 0.06), (60, 0.11), (120, 0.2), (200, 0.3), (400, 0.4))
+LIMITS = ((1, 0.0), (30, 0.08), (60, 0.13), (120, 0.24), (200, 0.3), (400, 0.42))
 #: Least share of letters in the characters that are not blank.
 LETTERS = 0.15
 _STATE: dict = {}
 
 
-def _symbols() -> np.ndarray:
-    """Symbol of every code point: 0 is a gap, 1 to 26 a to z, further ones other letters."""
-    if "symbols" not in _STATE:
-        out = np.zeros(0x30000, np.uint8)
-        seen = 27
-        for c in range(len(out)):
-            if 0xD800 <= c < 0xE000:
-                continue
-            ch = chr(c)
-            if not ch.isalpha():
-                continue
-            low = ch.lower()[0]
-            if "a" <= low <= "z":
-                out[c] = ord(low) - 96
-            elif out[ord(low)] and low != ch:
-                out[c] = out[ord(low)]
-            elif ord(low) < 0x100 and low == ch and seen < SYMBOLS - 16:
-                out[c] = seen
-                seen += 1
-            elif ord(low) < 0x100:
-                out[c] = 0
-            else:
-                out[c] = SYMBOLS - 16 + ord(low) % 16
-        for c in range(0xC0, 0x100):  # capitals of accented letters
-            low = ord(chr(c).lower()[0])
-            out[c] = out[low]
-        _STATE["symbols"] = out
-    return _STATE["symbols"]
-
-
-def _vectors() -> np.ndarray:
-    """Trigram vectors, made from the letters' vectors when a trigram is first met."""
-    if "letters" not in _STATE:
-        rng = np.random.default_rng(7)
-        letters = rng.integers(0, 2, (SYMBOLS, DIM)).astype(np.float32) * 2 - 1
-        _STATE["letters"] = letters, np.roll(letters, 1, 1), np.roll(letters, 2, 1)
-        _STATE["known"], _STATE["table"], _STATE["slot"] = 0, np.empty((4096, DIM), np.float32), np.full(SYMBOLS**3, -1, np.int32)
-    return _STATE["table"]
-
-
-def trigram_slots(text: str) -> np.ndarray:
-    """The trigrams of a text as numbers; none without a letter."""
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = _symbols()
-    sym = table[np.minimum(code, len(table) - 1)].astype(np.int32)
+def _alphabet() -> np.ndarray:
+    """Whether a code point is a letter."""
+    if "alphabet" not in _STATE:
+        _STATE["alphabet"] = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    return _STATE["alphabet"]
+
+
+def letter_vectors(letters: np.ndarray) -> np.ndarray:
+    """A vector of +1 and -1 for every code point, drawn from it alone; 0 stands for a gap between words."""
+    seed = letters.astype(np.uint64)[:, None] * np.uint64(2 * DIM // 64) + np.arange(DIM // 64, dtype=np.uint64)
+    bits = np.unpackbits(mix(mix(seed + np.uint64(0x9E3779B97F4A7C15))).view(np.uint8), axis=1)
+    return bits.astype(np.int8) * 2 - 1
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def trigrams(text: str) -> np.ndarray:
+    """The trigrams of a text, 21 bits a letter; none without a letter."""
+    sym = code_points(text.lower()).astype(np.int64)
+    sym[~_alphabet()[sym]] = 0
     keep = np.ones(len(sym), bool)
     keep[1:] = (sym[1:] > 0) | (sym[:-1] > 0)  # runs of gaps are one gap
     sym = sym[keep]
     if not sym.any():
-        return np.empty(0, np.int32)
-    sym = np.concatenate(([0], sym[1:] if sym[0] == 0 else sym, [0] if sym[-1] else np.empty(0, np.int32))).astype(np.int32)
-    return (sym[:-2] * SYMBOLS + sym[1:-1]) * SYMBOLS + sym[2:]
+        return np.empty(0, np.int64)
+    sym = np.concatenate(([0], sym[1:] if sym[0] == 0 else sym, [0] if sym[-1] else np.empty(0, np.int64))).astype(np.int64)
+    return sym[:-2] << 42 | sym[1:-1] << 21 | sym[2:]
+
+
+def trigram_vectors(kind: np.ndarray) -> np.ndarray:
+    """Bound vectors of distinct trigrams, from a bounded table of those that were met before."""
+    slot = _STATE.setdefault("slot", {})
+    table = _STATE.setdefault("table", np.empty((TABLE, DIM), np.int8))
+    at = np.array(list(map(slot.get, kind.tolist(), repeat(-1))), np.int64)
+    new = kind[at < 0]
+    if len(new):
+        three = [letter_vectors(new >> shift & 0x1FFFFF) for shift in (42, 21, 0)]
+        made = np.roll(three[0], 2, 1) * np.roll(three[1], 1, 1) * three[2]
+        if len(new) > TABLE // 4:  # not worth remembering
+            out = np.empty((len(kind), DIM), np.int8)
+            out[at < 0], out[at >= 0] = made, table[at[at >= 0]]
+            return out
+        if len(slot) + len(new) > TABLE:
+            slot.clear()
+            return trigram_vectors(kind)
+        at[at < 0] = own = np.arange(len(slot), len(slot) + len(new))
+        table[own] = made
+        slot.update(zip(new.tolist(), own.tolist(), strict=True))
+    return table[at]
 
 
 def bundle(text: str, damped: bool = False) -> np.ndarray | None:
     """Sum of the trigram vectors; ``damped``: one that comes n times counts 1 + log n times, so that repeated phrases do not hide the rest."""
-    grams = trigram_slots(text)
+    grams = trigrams(text)
     if not len(grams):
         return None
-    _vectors()
     kind, count = np.unique(grams, return_counts=True)
-    slot = _STATE["slot"]
-    new = kind[slot[kind] < 0]
-    if len(new):
-        a, b, c = _STATE["letters"]
-        n = _STATE["known"]
-        if n + len(new) > len(_STATE["table"]):
-            if n + len(new) > 16384:  # bounded: start anew
-                slot[:], n = -1, 0
-                new = kind
-            _STATE["table"] = np.concatenate((_STATE["table"][:n], np.empty((max(4096, 2 * len(new)), DIM), np.float32)))
-        slot[new] = np.arange(n, n + len(new))
-        _STATE["table"][n : n + len(new)] = c[new // SYMBOLS**2] * b[new // SYMBOLS % SYMBOLS] * a[new % SYMBOLS]
-        _STATE["known"] = n + len(new)
-    return (1 + np.log(count) if damped else count).astype(np.float32) @ _STATE["table"][slot[kind]]
+    weight, out = (1 + np.log(count) if damped else count).astype(np.float32), np.zeros(DIM, np.float32)
+    for i in range(0, len(kind), 4096):
+        out += weight[i : i + 4096] @ trigram_vectors(kind[i : i + 4096]).astype(np.float32)
+    return out
 
 
 def prototypes(train: DataFrame, damped: bool = False) -> dict[str, np.ndarray]:
@@ -170,14 +160,13 @@ def language_id(docs: DataFrame, train: DataFrame, held_out: Column | None = Non
 
 
 def letter_share(text: str) -> float:
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = _symbols()
-    return np.count_nonzero(table[np.minimum(code, len(table) - 1)]) / max(1, np.count_nonzero(code > 32))
+    code = code_points(text)
+    return np.count_nonzero(_alphabet()[code]) / max(1, np.count_nonzero(code > 32))
 
 
 def limit(text: str) -> float:
     """Least cosine of a text with as many distinct trigrams."""
-    n = len(np.unique(trigram_slots(text)))
+    n = len(np.unique(trigrams(text)))
     return next((least for start, least in reversed(LIMITS) if n >= start), 0.0)
 
 

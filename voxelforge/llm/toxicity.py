@@ -10,9 +10,12 @@ one half are the offending spans.
 The classifier is fitted on at most ``SAMPLE`` (clean, toxic) labelled documents, those with the smallest
 hashes of their ids, less those of more than a hundredth of ``SAMPLE_CHARS``; scoring covers everything.
 
+Very long texts are read whole, words of any length count.  An empty table gives an empty result.
+
 Edge cases: null and empty texts have no words and get the score of a document without toxic words.  Rows
 without a label are only scored.  Several labels of one document count as rows of their own.  Without
-both labels to learn from, all scores are 0.  Extra columns are ignored; repeated rows repeat.
+both labels to learn from, all scores are 0.  Extra columns are ignored; repeated rows repeat; of rows that
+share a labelled doc_id every different text is an example of its own.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow, slices, small_batches
@@ -64,8 +67,8 @@ class Chain:
         each = (known[w] if w in known else own[w] for w in words) if own else map(known.__getitem__, words)
         return np.fromiter(each, np.float64, len(words))
 
-    def marginals(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """P(toxic) of each word; e and mask are (texts, words) padded at the right."""
+    def messages(self, e: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of the forward (with the word itself) and backward messages, (words, texts); e and mask are padded at the right."""
         t = np.exp(self.trans)
         step = lambda x, num0, num1, den0, den1: np.log((num0 + x * num1) / (den0 + x * den1))
         n, m = e.shape
@@ -80,8 +83,21 @@ class Chain:
             x = np.exp(np.clip(cols[i + 1] + b, -40, 40))
             b = np.where(live[i + 1], step(x, t[1, 0], t[1, 1], t[0, 0], t[0, 1]), 0.0)
             bwd[i] = b
+        return fwd, bwd
+
+    def marginals(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """P(toxic) of each word."""
+        fwd, bwd = self.messages(e, mask)
         return (mask / (1 + np.exp(-np.clip((fwd + bwd).T, -40, 40)))).astype(np.float64)
 
+    def pair_marginals(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """[a, b, text, i]: P(word i is in state a and word i + 1 in state b), 0 beyond the text."""
+        fwd, bwd = self.messages(e, mask)
+        left, right = np.clip(fwd[:-1].T, -40, 40), np.clip((e.T + bwd)[1:].T, -40, 40)
+        weight = np.stack([[self.trans[a, b] + a * left + b * right for b in (0, 1)] for a in (0, 1)])
+        weight = np.exp(weight - weight.max((0, 1)))
+        return weight / weight.sum((0, 1)) * mask[:, 1:]
+
     def score(self, total: np.ndarray, most: np.ndarray) -> np.ndarray:
         z = self.head[0] + self.head[1] * np.log1p(total) + self.head[2] * most
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
@@ -168,12 +184,11 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 3, rate: float = 0.3,
             grad2[own] += g * g
             weights[own] += rate * g / np.sqrt(grad2[own])
             both = mask[:, 1:]
-            t = np.zeros((2, 2))
-            for a in (0, 1):  # observed pairs minus expected ones, the expectation taken from the two marginals
+            pairs, t = model.pair_marginals(e, mask), np.zeros((2, 2))
+            for a in (0, 1):  # observed pairs minus expected ones
                 for b in (0, 1):
                     ya, yb = (y if a else 1 - y)[:, :-1], (y if b else 1 - y)[:, 1:]
-                    pa_, pb = (p if a else 1 - p)[:, :-1], (p if b else 1 - p)[:, 1:]
-                    t[a, b] = ((ya * yb - pa_ * pb) * both).sum()
+                    t[a, b] = (ya * yb * both).sum() - pairs[a, b].sum()
             t /= max(1, both.sum())
             trans2 += t * t
             model.trans = np.clip(model.trans + rate * t / np.sqrt(trans2), -2, 2)
@@ -198,13 +213,14 @@ def sample_rows(docs: DataFrame, labels: DataFrame, allowed: Column, per_label:
         some = own.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label[y])
         picked = some if picked is None else picked.union(some)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = text.join(F.broadcast(picked), "doc_id").select("toxic", F.xxhash64("doc_id").alias("h"), "doc_id", "text", F.length("text").alias("n"))
-    got, used = [], 0
-    for r in sorted(rows.where(F.col("n") <= chars // 100).collect(), key=lambda r: (r["h"], r["doc_id"])):
-        if used + r["n"] <= chars:
-            got.append((r["text"], r["toxic"]))
-            used += r["n"]
-    return [t for t, _ in got], [y for _, y in got]
+    rows = text.join(F.broadcast(picked), "doc_id").select("toxic", F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("key"), F.length("text").alias("n"), "text")
+    rows = rows.where(F.col("n") <= chars // 100)
+    order = ["h", "doc_id", "key", "toxic"]
+    first = rows.select(*order, "n").distinct().orderBy(*order).limit(sum(per_label))
+    used = first.withColumn("used", F.sum("n").over(Window.orderBy(*order))).where(F.col("used") <= chars).select("doc_id", "key", "toxic")
+    got = rows.join(F.broadcast(used), ["doc_id", "key", "toxic"]).groupBy(*order).agg(F.min("text").alias("text")).collect()  # at most ``chars`` characters
+    got.sort(key=lambda r: (r["h"], r["doc_id"], r["key"], r["toxic"]))
+    return [r["text"] for r in got], [r["toxic"] for r in got]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column | None = None) -> DataFrame:
