@@ -237,6 +237,28 @@ def test_quality_base_counts(docs, odd):
         assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
+def test_distance_is_that_of_jensen_and_shannon():
+    from math import log2, sqrt
+
+    p, q = [3, 0, 5, 2], [1, 4, 0, 5]
+    a, b = [x / 10 for x in p], [x / 10 for x in q]
+    kl = lambda x, y: sum(u * log2(u / ((u + v) / 2)) for u, v in zip(x, y, strict=True) if u)
+    assert np.isclose(quality.distance(np.array([p]), np.array(q))[0], sqrt((kl(a, b) + kl(b, a)) / 2))
+    assert quality.distance(np.zeros((1, 4)), np.array(q))[0] == 1.0
+
+
+def test_quality_references_are_plain_counts(docs):
+    want = {}
+    for r in docs.where("lang IS NOT NULL").collect():
+        want.setdefault(r["lang"], Counter()).update(WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or "")))
+    got = quality.references(docs)
+    assert set(got) == set(want)
+    for lang, (chars, place, n) in got.items():
+        top = sorted(want[lang].items(), key=lambda x: (-x[1], x[0].encode()))[: quality.COMMON]
+        assert list(place) == [w for w, _ in top] and list(n[: len(top)]) == [c for _, c in top]
+        assert n.sum() == sum(want[lang].values()) and chars.sum() == sum(len(r["text"] or "") for r in docs.where(F.col("lang") == lang).collect())
+
+
 def test_quality_keeps_prose_and_drops_symbols(spark, docs):
     prose = [r["text"] for r in docs.where("n_chars > 2000").limit(1).collect()]
     junk = " ".join(w + "%%%***" for w in prose[0].split())

@@ -9,4 +9,4 @@ QUERIES = {
         quality.op6_quality, langid.op7_language_id, bpe.op8_byte_bpe, pii.op9_pii, toxicity.op10_toxicity,
     )
 }
-ORACLES = {"op1_topk": topk.ORACLE, "op2_ngram_jaccard": jaccard.ORACLE, "op4_chat_format": chat.ORACLE, "op5_substring_dedup": substring.ORACLE}
+ORACLES = {"op1_topk": topk.ORACLE, "op2_ngram_jaccard": jaccard.ORACLE, "op4_chat_format": chat.ORACLE, "op5_substring_dedup": substring.ORACLE, "op6_quality": quality.ORACLE}

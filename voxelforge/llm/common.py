@@ -119,10 +119,10 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
 class Words:
     """Words of a list of texts: ``hashes`` of all, ``bounds[i]:bounds[i+1]`` those of text i.
 
-    ``index`` numbers equal words alike (exactly, within this object); a word's hash is 64 bits of BLAKE2.
+    ``values[index]`` are the words themselves; a word's hash is 64 bits of BLAKE2.
     """
 
-    __slots__ = ("bounds", "ends", "hashes", "index", "starts")
+    __slots__ = ("bounds", "ends", "hashes", "index", "starts", "values")
 
     def __init__(self, texts: list[bytes]):
         buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -131,11 +131,11 @@ class Words:
         if len(buf) and not gap[0]:
             edge = np.concatenate(([0], edge))
         self.starts, self.ends = edge[0::2], edge[1::2]
-        self.index, own = distinct(buf[~gap], np.concatenate(([0], np.cumsum(self.ends - self.starts))))
+        self.index, self.values = distinct(buf[~gap], np.concatenate(([0], np.cumsum(self.ends - self.starts))))
         if len(_KNOWN) > CACHE_WORDS:
             _KNOWN.clear()
         hashes = []
-        for w in own:
+        for w in self.values:
             h = _KNOWN.get(w)
             if h is None:
                 h = word_hash(w)

@@ -6,7 +6,8 @@ content hashes of the groups therefore *route* documents: only documents that sh
 can be linked.  Among the documents of a route the counts of (coarser or finer) groups are points of an
 R-tree.  A node whose coordinate-wise maxima bound the overlap below the threshold is cut off; documents
 joined by surviving pairs form clusters.  Within a cluster (or two blocks of a large one) another tree
-proposes pairs, and these are verified on the full sets.
+proposes pairs, and these are verified on the full sets.  A set holds 64-bit hashes (cut from BLAKE2) of
+its shingles, so sizes and overlaps are exact up to chance collisions.
 
 Edge cases: a null or empty text has an empty set, is its own component and links with nothing.  With
 fewer than k words the whole sequence is the one shingle.  Nodes are texts, named by a 64-bit hash of
@@ -35,7 +36,9 @@ LEAF = 32  # points in a leaf
 #: Shingles that one task holds at most, per side (8 bytes each).
 BLOCK_SHINGLES = 1_500_000
 #: Documents of one route that are compared at once in a task, and in a batch of a task before the shuffle.
-ROUTE_ROWS, BATCH_ROWS = 4096, 64
+ROUTE_ROWS, BATCH_ROWS = 4096, 16
+#: Keys of large groups that a task remembers.
+HEADS = 20_000
 #: Largest table of document ids that may be broadcast (16 bytes a row).
 BROADCAST_ROWS = 500_000
 #: A digest of more than one in HOT rows is hot, so fewer than HOT are, whatever the input: they may be broadcast.
@@ -234,21 +237,30 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, hot: DataFrame | None
 def route_rows(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Rows (key, a, null): document a has a group content key; rows (., a, b): a and b share one.
 
-    More than BATCH_ROWS documents of a key in a batch are tied to the smallest of them at once, so that a
-    large group sends one row per batch and key to the shuffle.
+    More than BATCH_ROWS documents of a key in a batch are tied to the smallest of them at once, and so are
+    those of later batches of the task, so that a large group sends one row per task and key to the shuffle.
     """
     out = arrow(ROUTE_SCHEMA)
 
-    def emit(keys: np.ndarray, docs_: np.ndarray) -> pa.RecordBatch:
+    def emit(keys: np.ndarray, docs_: np.ndarray, heads: dict[int, int]) -> pa.RecordBatch:
         order = np.lexsort((docs_, keys))
         keys, docs_ = keys[order], docs_[order]
         first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.empty(0, bool)
         which = np.cumsum(first) - 1
-        large = np.bincount(which, minlength=1)[which] > BATCH_ROWS if len(keys) else first
         head = docs_[first][which] if len(keys) else docs_
-        tie = large & ~first & (docs_ != head)
+        large = np.bincount(which, minlength=1)[which] > BATCH_ROWS if len(keys) else first
+        known = np.zeros(len(keys), bool)
+        if heads:
+            hot = np.array(sorted(heads), np.uint64)
+            at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+            known = hot[at] == keys
+            head = np.where(known, np.array([heads[k] for k in hot.tolist()], np.int64)[at], head)
+        for k, h in zip(keys[first & large & ~known].tolist(), head[first & large & ~known].tolist(), strict=True):
+            if len(heads) < HEADS:
+                heads[k] = h
+        tie = (large | known) & (docs_ != head)
         pair = np.unique(np.stack([head[tie], docs_[tie]], 1), axis=0) if tie.any() else np.empty((0, 2), np.int64)
-        first = first | ~large
+        first = (first | ~large) & ~known
         apart = mix(pair.astype(np.uint64) @ np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64))
         key = np.concatenate((keys[first].view(np.int64), apart.view(np.int64)))
         a = np.concatenate((docs_[first], pair[:, 1]))
@@ -256,6 +268,7 @@ def route_rows(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(a), b], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads: dict[int, int] = {}  # keys that were large in a batch, with the document that stands for them in this task
         for batch in batches:
             keys, own, held, met = [], [], 0, set()
             for ids, some in texts_of(batch, lower=True):
@@ -267,10 +280,10 @@ def route_rows(texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
                         own.append(np.full(len(r), i, np.int64))
                         held += len(r)
                 if held > 400_000:
-                    yield emit(np.concatenate(keys), np.concatenate(own))
+                    yield emit(np.concatenate(keys), np.concatenate(own), heads)
                     keys, own, held = [], [], 0
             if keys:
-                yield emit(np.concatenate(keys), np.concatenate(own))
+                yield emit(np.concatenate(keys), np.concatenate(own), heads)
 
     return texts.mapInArrow(run, ROUTE_SCHEMA)
 
@@ -445,16 +458,44 @@ def text_parts(texts: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -
     alone = cut(body.withColumn("part", F.col("node")).groupBy("component", "block").applyInPandas(work, "a long, b long"))
     links = alone
     wide = held.where("blocks > 1")
-    if not wide.isEmpty():  # clusters of several blocks: every two blocks meet, knowing what each already joined
-        joined = components(alone).select(F.col("node").alias("pn"), F.col("component").alias("part"))
-        parts = body.where("blocks > 1").join(joined, F.col("node") == F.col("pn")).drop("pn")
-        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-        pairs = parts.select("*", other).where("other <> block").withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-        links = alone.union(cut(pairs.groupBy("component", "lo", "hi").applyInPandas(work, "a long, b long")))
+    if not wide.isEmpty():
+        links = _across_blocks(body.where("blocks > 1"), wide.join(of.select(F.col("id"), "n"), "id"), alone, work)
     linked = components(links).select(F.col("node").alias("rep"), F.col("component").alias("root"))
     return cut(join_hot(of.select("id", "rep"), linked, "rep").select("id", F.coalesce("root", "rep").alias("root")))
 
 
+def _across_blocks(body: DataFrame, members: DataFrame, links: DataFrame, work) -> DataFrame:
+    """Links of clusters of several blocks, given those inside every block.
+
+    First one document of every part of a block meets those of the other blocks.  Of each cluster the largest
+    part that this gives is then at peace with itself; all other documents, in blocks of their own, meet
+    every block.
+    """
+
+    def parts(links: DataFrame) -> DataFrame:
+        own = components(links).select(F.col("node").alias("pn"), F.col("component").alias("part"))
+        return cut(members.join(own, F.col("id") == F.col("pn")).select("id", "component", "part", "n"))
+
+    def blocks(some: DataFrame, name: str) -> DataFrame:
+        total = some.groupBy("component").agg(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).alias("count"))
+        return some.join(total, "component").withColumn(name, F.pmod(F.xxhash64("id"), F.col("count"))).withColumnRenamed("count", f"{name}s")
+
+    now = parts(links)
+    first = blocks(now.where("id = part"), "meet").select(F.col("id").alias("node"), "part", "meet")
+    links = cut(links.union(body.join(first, "node").groupBy("component", "meet").applyInPandas(work, "a long, b long")))
+    now = parts(links)
+    sizes = now.groupBy("component", "part").agg(F.sum("n").alias("size"))
+    main = sizes.groupBy("component").agg(F.max_by("part", F.struct("size", "part")).alias("main"))
+    rest = cut(blocks(now.join(main, "component").where("part <> main"), "other").select(F.col("id").alias("node"), "other", "others", "component"))
+    if rest.isEmpty():
+        return links
+    known = body.join(now.select(F.col("id").alias("node"), "part"), "node")
+    each = lambda n, name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias(name)
+    mine = known.join(rest.select("node", "other"), "node").select("component", "node", "part", "text", "other", each("blocks", "block"))
+    theirs = known.join(rest.select("component", "others").distinct(), "component").select("component", "node", "part", "text", each("others", "other"), "block")
+    return links.union(cut(theirs.unionByName(mine).groupBy("component", "block", "other").applyInPandas(work, "a long, b long")))
+
+
 def ngram_jaccard(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: components of the links with Jaccard similarity >= num/den."""
     texts = keyed(docs)

@@ -2,21 +2,25 @@
 
 Scores are integers.  Every pass scores all rows against a block of queries and adds up, per query, a
 histogram over the interval that still holds the k-th largest score; the bin of the k-th value becomes
-the next interval.  A task only reports its bins from the top until they hold k rows, which is all that
-can matter.  When an interval is one score wide, the rows above it, and of the rows at it the smallest
-ids that are still needed, are the answer.  The same selection runs whatever the ties: a task reports at
-most k rows at the k-th value for a query.
+the next interval.  A task adds up all its rows and then reports, per query, its bins from the top until
+they hold k rows, which is all that can matter.  When an interval is one score wide, the rows above it,
+and of the rows at it the smallest ids that are still needed, are the answer.  The same selection runs
+whatever the ties: of a piece of 2048 rows at most k at the k-th value are reported for a query.
 
-Queries are taken in blocks of bounded size, and only a block is ever broadcast.
+Queries are taken in blocks of bounded size, and only a block is ever broadcast.  A block of 32,768 queries
+of 64 components asks for 4 million operations a row, so scoring, not reading the table again for every
+block, is what the work consists of; the hits of the blocks are written to the shared folder.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part, neither do
 null ids; vectors of another length than the query's are no candidates; a query never finds its own id,
-so rows that repeat an id do not find each other.  Repeated candidates each take a rank.  Products beyond
-64 bits are computed exactly and clipped to 62 bits.
+so rows that repeat an id do not find each other; of vectors that share a query's id the smallest asks.
+Repeated candidates each take a rank.  Products beyond 64 bits are computed exactly and clipped to 62 bits.
+An empty table gives an empty result.  Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, cut
+from .common import arrow, shared
 
 BINS = 256
-#: Queries of one block at most (the broadcast side: 8 bytes a component).
-BLOCK_QUERIES = 4096
+#: Queries of one block at most, and bytes of their vectors at most (the broadcast side: 8 bytes a component).
+BLOCK_QUERIES, BLOCK_BYTES = 32_768, 64_000_000
 HIST = "q long, bin long, n long"
 HITS = "q long, vec_id long, score long"
 _TOP = 2**62 - 1
@@ -62,67 +66,71 @@ def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.clip(whole, -_TOP, _TOP).astype(np.int64)
 
 
-def _passes(rows: DataFrame, block, state, schema: str, work) -> DataFrame:
-    """Run ``work(query ids, per-query state, scores, row ids)`` over all rows; yields column tuples."""
-    form = arrow(schema)
+def _scored(batches: Iterator[pa.RecordBatch], by_len: dict) -> Iterator[tuple]:
+    """(places of the queries, their ids, scores, whether the row is another one, row ids), in pieces."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2048):
+            for ids, v in _blocks(batch.slice(i, 2048)):
+                at, qid, q = by_len.get(v.shape[1], ((), (), ()))
+                for j in range(0, len(qid), 256):
+                    yield at[j : j + 256], qid[j : j + 256], _scores(q[j : j + 256], v), ids[None, :] != qid[j : j + 256, None], ids
+
+
+def histograms(rows: DataFrame, block, state: np.ndarray, k: int) -> DataFrame:
+    """(q, bin, n): scores of all rows in the bins of each query's interval; BINS is what lies above it."""
+    form = arrow(HIST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_len, st = block.value, state
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                for ids, v in _blocks(batch.slice(i, 2048)):
-                    if v.shape[1] not in by_len:
-                        continue
-                    at, qid, q = by_len[v.shape[1]]
-                    for j in range(0, len(qid), 256):
-                        s = _scores(q[j : j + 256], v)
-                        own = ids[None, :] == qid[j : j + 256, None]
-                        cols = work(qid[j : j + 256], st[at[j : j + 256]], s, ~own, ids)
-                        if len(cols[0]):
-                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=form)
-
-    return rows.mapInArrow(run, schema)
-
-
-def _hist(k: int):
-    def work(qid, st, s, ok, ids):
-        lo, width = st[:, 0:1], st[:, 1:2]
-        b = (np.maximum(s, lo) - lo) // width  # scores below the interval cannot be the k-th
-        ok = ok & (s >= lo)
-        b = np.minimum(b, BINS)  # BINS: above the interval
-        key = (np.arange(len(qid))[:, None] * (BINS + 1) + b)[ok]
-        count = np.bincount(key, minlength=len(qid) * (BINS + 1)).reshape(len(qid), BINS + 1)
-        above = np.cumsum(count[:, ::-1], 1)[:, ::-1] - count
-        r, c = np.nonzero((count > 0) & (above < k))
-        return qid[r], c, count[r, c]
-
-    return work
-
-
-def _take(k: int):
-    def work(qid, st, s, ok, ids):
-        kth, need = st[:, 0], st[:, 1]
-        r, c = np.nonzero(ok & (s > kth[:, None]))
-        out = [(qid[r], ids[c], s[r, c])]
-        order = np.argsort(ids, kind="stable")
-        tie = (ok & (s == kth[:, None]))[:, order]
-        r, c = np.nonzero(tie & (np.cumsum(tie, 1) <= need[:, None]))
-        out.append((qid[r], ids[order][c], s[:, order][r, c]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
-
-    return work
+        names = np.empty(len(state), np.int64)
+        for at, qid, _ in block.value.values():
+            names[at] = qid
+        total = np.zeros((len(state), BINS + 1), np.int32)
+        for at, qid, s, ok, _ in _scored(batches, block.value):
+            lo, width = state[at, 0:1], state[at, 1:2]
+            bins = np.minimum((np.maximum(s, lo) - lo) // width, BINS)  # scores below the interval cannot be the k-th
+            key = (np.arange(len(qid))[:, None] * (BINS + 1) + bins)[ok & (s >= lo)]
+            total[at] += np.bincount(key, minlength=len(qid) * (BINS + 1)).reshape(len(qid), BINS + 1).astype(np.int32)
+        for i in range(0, len(total), 4096):
+            count = total[i : i + 4096].astype(np.int64)
+            above = np.cumsum(count[:, ::-1], 1)[:, ::-1] - count
+            r, c = np.nonzero((count > 0) & (above < k))
+            yield pa.RecordBatch.from_arrays([pa.array(names[i + r]), pa.array(c), pa.array(count[r, c])], schema=form)
+
+    return rows.mapInArrow(run, HIST)
+
+
+def taken(rows: DataFrame, block, state: np.ndarray) -> DataFrame:
+    """(q, vec_id, score): rows above each query's k-th score, and of those at it the smallest ids of a batch."""
+    form = arrow(HITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, qid, s, ok, ids in _scored(batches, block.value):
+            kth, need = state[at, 0], state[at, 1]
+            r, c = np.nonzero(ok & (s > kth[:, None]))
+            order = np.argsort(ids, kind="stable")
+            tie = (ok & (s == kth[:, None]))[:, order]
+            tr, tc = np.nonzero(tie & (np.cumsum(tie, 1) <= need[:, None]))
+            if len(r) or len(tr):
+                cols = (np.concatenate((qid[r], qid[tr])), np.concatenate((ids[c], ids[order][tc])), np.concatenate((s[r, c], s[:, order][tr, tc])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], schema=form)
+
+    return rows.mapInArrow(run, HITS)
 
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) for integer vectors (id, v) as ``integer_vectors`` gives them."""
     spark = rows.sparkSession
     total = queries.count()
-    n_blocks = max(1, -(-2 * total // BLOCK_QUERIES)) if total > BLOCK_QUERIES // 2 else 1
     peak = rows.select(F.max(F.array_max(F.transform("v", F.abs))).alias("m"), F.max(F.size("v")).alias("d")).first()
-    found: list[DataFrame] = []
+    most = min(BLOCK_QUERIES, max(1, BLOCK_BYTES // (8 * (peak["d"] or 1))))
+    n_blocks = max(1, -(-2 * total // most)) if total > most // 2 else 1  # about half full, by hash
+    queries = queries.groupBy("id").agg(F.min("v").alias("v"))
+    shared(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/topk-{uuid.uuid4().hex}"
+    found: DataFrame | None = None
     for b in range(n_blocks):
         own = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b) if n_blocks > 1 else queries
-        got = [(r["id"], r["v"]) for r in own.dropDuplicates(["id"]).toLocalIterator()]
+        got = [(r["id"], r["v"]) for r in own.toLocalIterator()]
         if not got or peak["m"] is None:
             continue
         by_len, qids = {}, []
@@ -141,7 +149,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
         while live.any():
             st = np.stack([np.array([max(-_TOP, int(x)) for x in low], np.int64), np.array([min(_TOP, int(x)) for x in width], np.int64)], 1)
             st[~live] = (_TOP, 1)
-            hist = _passes(rows, block, st, HIST, _hist(k)).groupBy("q", "bin").agg(F.sum("n").alias("n"))
+            hist = histograms(rows, block, st, k).groupBy("q", "bin").agg(F.sum("n").alias("n"))
             over = Window.partitionBy("q").orderBy(F.desc("bin"))
             cum = hist.withColumn("c", F.sum("n").over(over)).where(F.col("c") - F.col("n") < k)
             last = cum.groupBy("q").agg(F.min_by("bin", "bin").alias("bin"), F.max_by(F.col("c") - F.col("n"), "c").alias("above"), F.max("c").alias("c"))
@@ -165,14 +173,13 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
                 if i not in seen:
                     low[i], live[i] = -_TOP - 1, False
         st = np.stack([np.array([max(-_TOP - 1, int(x)) for x in low], np.int64), need], 1)
-        found.append(cut(_passes(rows, block, st, HITS, _take(k))) if n_blocks > 1 else _passes(rows, block, st, HITS, _take(k)))
+        found = taken(rows, block, st)
         if n_blocks > 1:
+            found.write.parquet(f"{folder}/block={b}")
             block.unpersist()
-    if not found:
+    if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    hits = found[0]
-    for f in found[1:]:
-        hits = hits.union(f)
+    hits = found if n_blocks == 1 else spark.read.schema(HITS).parquet(f"{folder}/block=*")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "rank", "vec_id", "score")
 
