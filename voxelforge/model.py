@@ -5,10 +5,30 @@ An axis of size one is an absent column and an absent row is zero.  Values are c
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes of tiles that a task holds at once; a single larger tile is held alone.
+PIECE_BYTES = 32_000_000
+
+
+def small_batches(spark: SparkSession, row_bytes: int) -> None:
+    """Arrow batches are bounded by rows only: lower the session's number for rows as large as these."""
+    name, most = "spark.sql.execution.arrow.maxRecordsPerBatch", max(1, PIECE_BYTES // max(1, row_bytes))
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, most)
+
+
+def pieces(batch: pa.RecordBatch, row_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most PIECE_BYTES."""
+    step = max(1, PIECE_BYTES // max(1, row_bytes))
+    for i in range(0, batch.num_rows, step):
+        yield batch.slice(i, step)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,32 +48,57 @@ def flat_index(axes: Sequence[str], shape: Sequence[int]) -> Column:
     return at
 
 
-def unflatten(pos: Column, axes: Sequence[str], shape: Sequence[int]) -> dict[str, Column]:
+def unflatten(pos: Column, axes: Sequence[str], shape: Sequence[int | Column]) -> dict[str, Column]:
     """Axis columns of a row-major position."""
-    out, step = {}, 1
+    out, step = {}, F.lit(1)
     for a, n in reversed(list(zip(axes, shape, strict=True))):
-        out[a] = F.pmod(F.floor(pos / step), F.lit(n)).cast("int")
-        step *= n
+        out[a] = F.pmod(F.floor(pos / step), n if isinstance(n, Column) else F.lit(n)).cast("int")
+        step = step * n
     return {a: out[a] for a in axes}
 
 
-def tiles_to_cells(tiles: DataFrame, axes: Sequence[str], shape: Sequence[int]) -> DataFrame:
-    """Dissolve tiles without a shuffle."""
+def tiles_to_cells(tiles: DataFrame, axes: Sequence[str], shape: Sequence[int] | None = None) -> DataFrame:
+    """Dissolve tiles without a shuffle; without ``shape`` every tile's own one counts."""
     keep = [c for c in tiles.columns if c not in ("re", "im", "shape")]
-    flat = tiles.select(*keep, F.posexplode(F.arrays_zip("re", "im")).alias("__p", "__v"))
-    at = unflatten(F.col("__p"), axes, shape)
+    flat = tiles.select(*keep, *([] if shape else ["shape"]), F.posexplode(F.arrays_zip("re", "im")).alias("__p", "__v"))
+    sizes = [F.lit(n) for n in shape] if shape else [F.get("shape", F.lit(i)) for i in range(len(axes))]
+    at = unflatten(F.col("__p"), axes, sizes)
     return flat.select(*keep, *(c.alias(a) for a, c in at.items()), F.col("__v.re").cast("double").alias("re"), F.col("__v.im").cast("double").alias("im"))
 
 
 def cells_to_tiles(cells: DataFrame, keys: Sequence[str], axes: Sequence[str], shape: Sequence[int]) -> DataFrame:
-    """Gather each key's cells in row-major order; absent cells become zeros (one shuffle on the keys)."""
-    size = 1
-    for n in shape:
-        size *= n
-    got = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(flat_index(axes, shape).alias("p"), F.struct("re", "im")))).alias("__m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda p: F.col("__m")[p])
-    part = lambda name: F.transform(dense, lambda v: F.coalesce(v[name], F.lit(0.0)))
-    return got.select(*keys, F.array(*map(F.lit, shape)).alias("shape"), part("re").alias("re"), part("im").alias("im"))
+    """Gather each key's cells in row-major order (one shuffle on the keys).
+
+    Absent cells become zeros, cells that come several times add up, cells outside the shape are left out.
+    """
+    size = int(np.prod(list(shape)))
+    small_batches(cells.sparkSession, 16 * size)
+    inside = cells
+    for a, n in zip(axes, shape, strict=True):
+        inside = inside.where((F.col(a) >= 0) & (F.col(a) < n))
+    got = inside.groupBy(*keys).agg(F.collect_list(F.struct(flat_index(axes, shape).cast("int").alias("p"), F.col("re").cast("double").alias("re"), F.col("im").cast("double").alias("im"))).alias("v"))
+    flat = got.select(*keys, *(F.col(f"v.{n}").alias(f"__{n}") for n in ("p", "re", "im")))
+    kept = [f for f in flat.schema if f.name in keys]
+    form = T.StructType([*kept, T.StructField("shape", T.ArrayType(T.IntegerType())), T.StructField("re", T.ArrayType(T.DoubleType())), T.StructField("im", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, 16 * size):
+                count = np.diff(b.column("__p").offsets.to_numpy())
+                at = np.repeat(np.arange(b.num_rows), count) * size + b.column("__p").flatten().to_numpy()
+                dense = [np.bincount(at, b.column(c).flatten().to_numpy(), minlength=b.num_rows * size) for c in ("__re", "__im")]
+                edge = pa.array(np.arange(b.num_rows + 1) * size, pa.int32())
+                shapes = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * len(shape), pa.int32()), pa.array(list(shape) * b.num_rows, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(b.column(k.name) for k in kept), shapes, *(pa.ListArray.from_arrays(edge, pa.array(d)) for d in dense)], form.names)
+
+    return flat.mapInArrow(run, form)
+
+
+def kspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as k-space of two coils of 4 x 4: vec_id, label, shape, re, im."""
+    e = table(spark, sf_dir, "embeddings")
+    part = lambda a: F.transform(F.slice("embedding", a, 32), lambda v: v.cast("double"))
+    return e.select("vec_id", "label", F.array(F.lit(2), F.lit(4), F.lit(4)).alias("shape"), part(1).alias("re"), part(33).alias("im"))
 
 
 def tile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import cells_to_tiles, small_batches
 from .elementwise import modulus
 
 
@@ -123,20 +126,30 @@ def data_scaling(df: DataFrame, kept: Sequence[str]) -> DataFrame:
 
 
 def channel_gram(df: DataFrame, sample: str, channel: str, n: int, mean: bool = True) -> DataFrame:
-    """mean over samples of x_i conj(x_j) for i <= j.
+    """mean (or sum) over samples of x_i conj(x_j) for i <= j; absent channels are zero.
 
-    Channels of a sample are gathered once (a shuffle on the sample), pairs are made in the row, and partial
-    sums leave a task, so only n^2 rows are shuffled for the result.
+    Channels of a sample are gathered once (a shuffle on the sample); a task multiplies whole batches of
+    samples and sends one partial matrix, so only n^2 / 2 rows a task are shuffled for the result.
     """
-    g = df.groupBy(sample).agg(F.collect_list(F.struct(F.col(channel).alias("c"), "re", "im")).alias("v"))
-    return gram_of_rows(g, n, mean)
+    return gram_of_tiles(cells_to_tiles(df, [sample], [channel], [n]), n, mean)
 
 
-def gram_of_rows(g: DataFrame, n: int, mean: bool = True) -> DataFrame:
-    a = g.withColumn("a", F.explode("v")).select("v", F.col("a.c").alias("i"), F.col("a.re").alias("xr"), F.col("a.im").alias("xi"))
-    b = a.withColumn("b", F.explode("v")).where("b.c >= i").select("i", F.col("b.c").alias("j"), "xr", "xi", F.col("b.re").alias("yr"), F.col("b.im").alias("yi"))
-    f = F.avg if mean else F.sum
-    return b.groupBy("i", "j").agg(f(F.col("xr") * F.col("yr") + F.col("xi") * F.col("yi")).alias("re"), f(F.col("xi") * F.col("yr") - F.col("xr") * F.col("yi")).alias("im"))
+def gram_of_tiles(tiles: DataFrame, n: int, mean: bool = True) -> DataFrame:
+    """As ``channel_gram`` for tiles of n channels each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros((n, n), complex), 0
+        for b in batches:
+            x = (b.column("re").flatten().to_numpy(zero_copy_only=False) + 1j * b.column("im").flatten().to_numpy(zero_copy_only=False)).reshape(-1, n)
+            total, rows = total + x.T @ np.conj(x), rows + len(x)
+        i, j = np.triu_indices(n)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j].real), pa.array(total[i, j].imag), pa.array(np.full(len(i), rows))], ["i", "j", "re", "im", "rows"])
+
+    small_batches(tiles.sparkSession, 16 * n)
+    parts = tiles.select("re", "im").mapInArrow(run, "i int, j int, re double, im double, rows long")
+    by = F.sum("rows") if mean else F.lit(1)
+    return parts.groupBy("i", "j").agg((F.sum("re") / by).alias("re"), (F.sum("im") / by).alias("im"))
 
 
 def density(df: DataFrame, cell: Sequence[str]) -> DataFrame:

@@ -14,57 +14,89 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
+from ..model import pieces, small_batches
 from .joins import fmac
 from .reduce import channel_gram
 
 MAX_DRIVER_SIDE = 512  # channels or frames of a matrix that the driver may solve
 
 
-def _stack(batch: pa.RecordBatch, re: str, im: str, shape: Sequence[int]) -> np.ndarray:
-    part = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, *shape).astype(float)
-    return part(re) + 1j * part(im)
+def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(float)
 
 
 def _lists(x: np.ndarray) -> pa.Array:
     flat = np.ascontiguousarray(x.reshape(len(x), -1), float)
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, max(1, flat.shape[1])), pa.int32()), pa.array(flat.ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * flat.shape[1], pa.int32()), pa.array(flat.ravel()))
 
 
-def tile_map(tiles: DataFrame, shape: Sequence[int], fn: Callable[..., np.ndarray], inputs: Sequence[tuple[str, str]] = (("re", "im"),)) -> DataFrame:
-    """Replace re and im by those of ``fn`` of the stacked tiles; further inputs name more column pairs."""
+def _stacks(batch: pa.RecordBatch, shapes: Sequence[Sequence[int] | None], inputs: Sequence[tuple[str, str]]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of rows of one shape and of bounded size, with each input stacked.
+
+    A shape of None is the one in the row's ``shape`` column.
+    """
+    if not batch.num_rows:
+        return
+    groups: dict[tuple, list[int]] = {(): list(range(batch.num_rows))}
+    if any(s is None for s in shapes):
+        groups = {}
+        for i, own in enumerate(batch.column("shape").to_pylist()):
+            groups.setdefault(tuple(own), []).append(i)
+    for own, rows in groups.items():
+        some = batch if len(rows) == batch.num_rows else batch.take(pa.array(rows))
+        sizes = [tuple(own if s is None else s) for s in shapes]
+        for b in pieces(some, 16 * sum(int(np.prod(s)) for s in sizes)):
+            yield b, [(_flat(b, r) + 1j * _flat(b, i)).reshape(-1, *s) for (r, i), s in zip(inputs, sizes, strict=True)]
+
+
+def _declared(tiles: DataFrame, shape: Sequence[int] | None, inputs: Sequence, shapes: Sequence | None) -> list:
+    out = list(shapes) if shapes is not None else [shape] * len(inputs)
+    small_batches(tiles.sparkSession, 16 * sum(int(np.prod(s)) if s else 4096 for s in out))
+    return out
+
+
+def tile_map(tiles: DataFrame, shape: Sequence[int] | None, fn: Callable[..., np.ndarray], inputs: Sequence[tuple[str, str]] = (("re", "im"),), shapes: Sequence[Sequence[int] | None] | None = None) -> DataFrame:
+    """Replace shape, re and im by those of ``fn`` of the stacked tiles.
+
+    Further inputs name more column pairs, ``shapes`` their shapes where they differ.  Without a shape the
+    rows' own ``shape`` counts, and tiles of several shapes may be mixed.
+    """
     used = {c for p in inputs for c in p} | {"re", "im", "shape"}
     keep = [f for f in tiles.schema if f.name not in used]
-    out = T.StructType([*keep, T.StructField("re", T.ArrayType(T.DoubleType())), T.StructField("im", T.ArrayType(T.DoubleType()))])
-    names = [f.name for f in keep]
+    array = lambda t: T.ArrayType(t)
+    out = T.StructType([*keep, T.StructField("shape", array(T.IntegerType())), T.StructField("re", array(T.DoubleType())), T.StructField("im", array(T.DoubleType()))])
+    names, every = [f.name for f in keep], _declared(tiles, shape, inputs, shapes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                y = fn(*(_stack(b, r, i, shape) for r, i in inputs))
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), _lists(y.real), _lists(np.imag(y) + np.zeros(y.shape))], [*names, "re", "im"])
+        for batch in batches:
+            for b, own in _stacks(batch, every, inputs):
+                y = fn(*own)
+                dims = np.tile(np.array(y.shape[1:], np.int32), (len(y), 1))
+                made = pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * dims.shape[1], pa.int32()), pa.array(dims.ravel()))
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), made, _lists(y.real), _lists(np.imag(y) + np.zeros(y.shape))], [*names, "shape", "re", "im"])
 
     return tiles.mapInArrow(run, out)
 
 
-def tile_values(tiles: DataFrame, shape: Sequence[int], fn: Callable[..., np.ndarray], names: Sequence[str], inputs: Sequence[tuple[str, str]] = (("re", "im"),)) -> DataFrame:
+def tile_values(tiles: DataFrame, shape: Sequence[int] | None, fn: Callable[..., np.ndarray], names: Sequence[str], inputs: Sequence[tuple[str, str]] = (("re", "im"),), shapes: Sequence[Sequence[int] | None] | None = None) -> DataFrame:
     """A column per value that ``fn`` gives for each tile."""
     used = {c for p in inputs for c in p} | {"shape"}
     keep = [f for f in tiles.schema if f.name not in used]
     out = T.StructType([*keep, *(T.StructField(n, T.DoubleType()) for n in names)])
-    kept = [f.name for f in keep]
+    kept, every = [f.name for f in keep], _declared(tiles, shape, inputs, shapes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                y = np.asarray(fn(*(_stack(b, r, i, shape) for r, i in inputs)), float).reshape(b.num_rows, len(names))
+        for batch in batches:
+            for b, own in _stacks(batch, every, inputs):
+                y = np.asarray(fn(*own), float).reshape(b.num_rows, len(names))
                 yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), *(pa.array(y[:, i]) for i in range(len(names)))], [*kept, *names])
 
     return tiles.mapInArrow(run, out)
 
 
-def fft(tiles: DataFrame, shape: Sequence[int], inverse: bool = False, unitary: bool = False, centred: bool = True) -> DataFrame:
-    axes = tuple(range(1, len(shape) + 1))
-    return tile_map(tiles, shape, lambda x: kernels.fft(x, axes, inverse, unitary, centred))
+def fft(tiles: DataFrame, shape: Sequence[int] | None = None, inverse: bool = False, unitary: bool = False, centred: bool = True) -> DataFrame:
+    """Transform over all axes of every tile."""
+    return tile_map(tiles, shape, lambda x: kernels.fft(x, tuple(range(1, x.ndim)), inverse, unitary, centred))
 
 
 def to_matrix(rows: list, n: int) -> np.ndarray:
