@@ -22,7 +22,7 @@ def test_fft_is_the_centred_sum(n):
 
 
 def test_adjoint_pairs():
-    maps, mask = B.birdcage(4, (8, 8)), (RNG.random((8, 8)) > 0.5).astype(float)
+    maps, mask = birdcage(4, (8, 8)), (RNG.random((8, 8)) > 0.5).astype(float)
     x, y = cplx(2, 8, 8), cplx(2, 4, 8, 8)
     assert np.isclose(np.vdot(K.sense_forward(x, maps, mask), y), np.vdot(x, K.sense_adjoint(y, maps, mask)))
     k = RNG.uniform(-4, 4, (20, 2))
@@ -32,17 +32,48 @@ def test_adjoint_pairs():
     assert np.isclose(np.vdot(K.grad(x), g), np.vdot(x, K.grad_adjoint(g)))
 
 
-@pytest.mark.parametrize("name", ["haar", "dau2"])
-@pytest.mark.parametrize("n", [16, 33, 64])
-def test_wavelet_round_trip(name, n):
-    x = RNG.standard_normal((3, n))
-    bands = K.fwt(x, name)
-    assert bands[1][0].shape[-1] == (bands[1][1] + len(K.LOW[name]) - 1) // 2
-    assert np.allclose(K.iwt(bands, name), x)
+def birdcage(coils, shape):
+    """Smooth unit-norm sensitivities, for simulated encodings."""
+    y, x = np.mgrid[0 : shape[0], 0 : shape[1]]
+    t = 2 * np.pi * np.arange(coils) / coils
+    cy, cx = shape[0] / 2 + 0.7 * shape[0] * np.sin(t), shape[1] / 2 + 0.7 * shape[1] * np.cos(t)
+    d = np.hypot(y - cy[:, None, None], x - cx[:, None, None])
+    m = np.exp(-((d / max(shape)) ** 2)) * np.exp(1j * (t[:, None, None] + 0.1 * (x - y)))
+    return m / np.sqrt((np.abs(m) ** 2).sum(0, keepdims=True))
+
+
+@pytest.mark.parametrize("name", ["haar", "dau2", "cdf44", "cdf97"])
+@pytest.mark.parametrize(("shape", "axes"), [((3, 16), (-1,)), ((3, 33), (-1,)), ((3, 64), (1,)), ((3, 20, 24), (-2, -1)), ((20, 3), (0,)), ((2, 17, 16, 18), (1, 3)), ((1, 70, 65), (1, 2))])
+def test_wavelet_round_trip(name, shape, axes):
+    x = cplx(*shape)
+    c = K.fwt(x, axes, name)
+    assert np.allclose(K.iwt(c, tuple(shape[a] for a in axes), axes, name), x)
+    if name == "cdf97":
+        assert c.shape == x.shape
+
+
+def test_wavelet_conventions():
+    x = RNG.standard_normal((4, 30))
+    assert K.fwt(x, (1,), "dau2").shape[-1] == 9 + 9 + 16  # bands of 16, then of 9, as a band of 16 goes on
+    taps = {name: len(K.filters(name)[0]) for name in ("haar", "dau2", "cdf44")}
+    for name, n in taps.items():
+        low, high = K.dwt1(x, name)
+        assert low.shape[-1] == high.shape[-1] == (30 + n - 1) // 2
+        flat, smooth = np.ones((1, 40)), K.dwt1(np.ones((1, 40)), name)
+        assert np.allclose(smooth[0], np.sqrt(2)) and np.allclose(smooth[1], 0, atol=1e-9) and flat.shape == (1, 40)
+    even = RNG.standard_normal((2, 32, 64))
+    assert np.isclose((K.fwt(even, (1, 2), "haar") ** 2).sum(), (even**2).sum())  # orthogonal on even lengths
+    one = K.fwt(np.ones((1, 32)), (1,), "cdf97")
+    assert np.allclose(one[:, 16:], 0, atol=1e-9) and np.allclose(one[:, :16], np.sqrt(2) / np.sqrt(2) * one[0, 0])
+    assert not np.allclose(K.fwt(x[:, :16], (1,), "cdf97")[:, :8], x[:, :16:2])
+    with pytest.raises(ValueError):
+        K.fwt(x[:, :15], (1,))
+    kept = K.wavelet_top_k(RNG.standard_normal((2, 16, 16)), 5, "haar")
+    assert (np.abs(K.fwt(kept, (1, 2), "haar")) > 1e-9).sum() == 10
 
 
 def test_cg_sense_recovers_the_image():
-    maps, mask = B.birdcage(4, (8, 8)), np.ones((8, 8))
+    maps, mask = birdcage(4, (8, 8)), np.ones((8, 8))
     mask[1::4] = 0
     x = cplx(2, 8, 8)
     y = K.sense_forward(x, maps, mask)
@@ -80,7 +111,7 @@ def test_metrics_and_maps():
     blob = np.exp(-((y - 15) ** 2 + (x - 16) ** 2) / 20.0)[None]
     moved = np.roll(blob, (2, -3), (1, 2))
     assert np.allclose(K.shift(blob, moved)[0], [-2, 3], atol=0.05)
-    maps = K.espirit(K.sense_forward(np.ones((1, 8, 8)), B.birdcage(4, (8, 8)), np.ones((8, 8)))[0])
+    maps = K.espirit(K.sense_forward(np.ones((1, 8, 8)), birdcage(4, (8, 8)), np.ones((8, 8)))[0])[0]
     norm = (np.abs(maps) ** 2).sum(0)
     assert np.all(np.isclose(norm, 1) | np.isclose(norm, 0))
 

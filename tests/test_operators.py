@@ -1,9 +1,11 @@
 """Edge inputs: empty tables, zeros, odd sizes, repeated coordinates, padding, ties; and refusals."""
 
 import pytest
+from pyspark.sql import functions as F
 from voxelforge.operators import arrange as R
 from voxelforge.operators import elementwise as E
 from voxelforge.operators import joins as J
+from voxelforge.operators import recon as B
 from voxelforge.operators import reduce as A
 from voxelforge.operators import windows as W
 from voxelforge.streaming import frames as X
@@ -88,8 +90,66 @@ def test_partition_count_does_not_matter(spark):
         assert got == want
 
 
-def test_damped_stream_equals_the_fold(spark):
-    path = "/root/testdata/sf0.001/events.parquet"
-    stream = X.run(X.damped(X.source(spark, path), "user_id", "event_id", "value", 0.9), "test")
-    fold = X.damped_batch(spark.read.parquet(path), "user_id", "event_id", "value", 0.9)
-    assert rows(stream, "user_id", "event_id", "state") == rows(fold, "user_id", "event_id", "state")
+@pytest.fixture(scope="module")
+def dealt(spark, tmp_path_factory):
+    """The events out of order over twelve files, so that a stream takes several micro-batches."""
+    folder = str(tmp_path_factory.mktemp("dealt") / "events")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartition(12, F.xxhash64("event_id")).sortWithinPartitions(F.xxhash64("ts")).write.parquet(folder)
+    return folder
+
+
+def damped(spark, path, late="40 days"):
+    events, close = X.ending(spark, X.source(spark, path), "ts", "user_id")
+    return X.run(X.damped(events, "user_id", "ts", "event_id", "value", 0.9, late), "test", close=close).where("user_id >= 0")
+
+
+def test_damped_stream_equals_the_fold(spark, dealt):
+    got = damped(spark, dealt)
+    assert got.select("batch").distinct().count() >= 1
+    want = rows(X.damped_batch(spark.read.parquet(dealt), "user_id", "ts", "event_id", "value", 0.9), "user_id", "event_id", "state")
+    assert [(u, e, pytest.approx(v)) for u, e, v in want] == rows(got, "user_id", "event_id", "state")
+
+
+def test_late_samples_are_dropped(spark, tmp_path):
+    folder = str(tmp_path / "late")
+    for event, day, value in ([(1, "2024-01-10", 1.0), (2, "2024-01-01", 5.0), (3, "2024-01-20", 2.0), (4, "2024-01-12", 3.0), (5, "2024-01-05", 9.0)]):
+        spark.createDataFrame([(7, event, day, value)], "user_id long, event_id long, ts string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    events, close = X.ending(spark, stream, "ts", "user_id")
+    got = X.run(X.damped(events, "user_id", "ts", "event_id", "value", 0.5, "1 day"), "late", close=close).where("user_id >= 0")
+    assert rows(got, "event_id", "state") == [(1, 3.5), (2, 5.0), (3, 4.375), (4, 4.75)]  # 5 comes after 1 was released
+
+
+@pytest.mark.parametrize("mode", ["update"])
+def test_frames_and_bins_over_several_micro_batches(spark, dealt, mode):
+    table = spark.read.parquet(dealt)
+    got = X.latest(X.run(X.frames(X.source(spark, dealt), "user_id", "ts", "value", "1 day", "40 days"), "frames", mode=mode), ["user_id", "start"])
+    want = table.groupBy("user_id", F.date_trunc("day", "ts").alias("start")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+    assert rows(got.withColumn("total", F.round("total", 6)), "user_id", "start", "n", "total") == rows(want, "user_id", "start", "n", "total")
+    labels = table.select("user_id", (F.col("user_id") % 3).alias("g")).distinct()
+    got = X.latest(X.run(X.binned(X.source(spark, dealt), labels, "user_id", "g", "value"), "binned", mode=mode), ["g"])
+    assert rows(got, "g", "n") == rows(table.groupBy((F.col("user_id") % 3).alias("g")).agg(F.count("*").alias("n")), "g", "n")
+
+
+def test_both_outputs_of_a_tee_count_a_repeated_batch_once(spark, dealt, tmp_path):
+    rest, write = str(tmp_path / "rest"), None
+    write = X.tee(rest, "event_type = 'click'")
+    table = spark.read.parquet(dealt)
+
+    def twice(batch, number):
+        write(batch, number)  # as after a failure
+        return write(batch, number)
+
+    kept = X.run(X.source(spark, dealt), "tee", twice)
+    assert kept.count() == table.where("event_type = 'click'").count()
+    assert spark.read.parquet(rest).count() == table.where("event_type <> 'click'").count()
+
+
+def test_stack_embed_and_iterate(spark, line):
+    both = R.stack([line, E.scale(line, 2.0)], "part")
+    assert both.where("part = 1").agg({"re": "sum"}).first()[0] == 20.0
+    assert rows(R.embed(R.extract(line, {"i": (2, 4)}), {"i": 2}), "i", "re") == [(2, 2.0), (3, 3.0)]
+    assert list(B.iterate(iter([1.0, 1.0, 1.0]), 0.5, lambda y, prior: y + prior)) == [1.0, 1.5, 1.75]
+    with pytest.raises(ValueError):
+        B.Registry().add("x", adjoint=lambda y: y)

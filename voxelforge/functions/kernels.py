@@ -31,21 +31,43 @@ def nufft_adjoint(y: np.ndarray, k: np.ndarray, shape: tuple[int, int]) -> np.nd
     return np.einsum("sy,bs,sx->byx", ey, y, ex, optimize=True) / np.sqrt(nx * ny)
 
 
-#: Analysis low-pass filters, coarse first, of the wavelets haar and dau2.
-LOW = {"haar": (0.7071067811865476, 0.7071067811865476), "dau2": (-0.12940952255092145, 0.22414386804185735, 0.836516303737469, 0.48296291314469025)}
+def psf(weights: np.ndarray, k: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """h(m) = 1/N sum_j w_j exp(2 pi i k_j m / n) on the doubled grid, for the weights (batch, samples) of one trajectory."""
+    ny, nx = shape
+    ey = np.exp(2j * np.pi * np.outer(k[:, 0], np.arange(2 * ny) - ny) / ny)
+    ex = np.exp(2j * np.pi * np.outer(k[:, 1], np.arange(2 * nx) - nx) / nx)
+    return np.einsum("sy,bs,sx->byx", ey, weights, ex, optimize=True) / (nx * ny)
 
 
-def _filters(name: str) -> tuple[np.ndarray, np.ndarray]:
+#: Analysis low-pass filters of the orthogonal wavelets haar and dau2.
+LOW = {"haar": (0.7071067811865476, 0.7071067811865476), "dau2": (-0.12940952255092145, 0.22414386804185735, 0.836516303737469, 0.48296291314469025)}
+#: Analysis and synthesis low-pass filters of the biorthogonal wavelet cdf44.
+CDF44 = (
+    (0.0, 0.03782845550726404, -0.023849465019556843, -0.11062440441843718, 0.37740285561283066, 0.8526986790088938, 0.37740285561283066, -0.11062440441843718, -0.023849465019556843, 0.03782845550726404),
+    (0.0, -0.06453888262869706, -0.04068941760916406, 0.41809227322161724, 0.7884856164055829, 0.41809227322161724, -0.04068941760916406, -0.06453888262869706, 0.0, 0.0),
+)
+#: Lifting steps and the scale of cdf97.
+LIFT, SCALE = (-1.586134342059924, -0.052980118572961, 0.882911075530934, 0.443506852043971), 1.149604398860241
+#: Coarsest scale of a wavelet transform.
+COARSEST = 16
+
+
+def filters(name: str) -> tuple[np.ndarray, ...]:
+    """Analysis low and high, synthesis low and high."""
+    if name == "cdf44":
+        low, back = (np.array(f) for f in CDF44)
+        sign = np.where(np.arange(len(low)) % 2 == 0, -1.0, 1.0)
+        return low, sign * back, back, -sign * low
     low = np.array(LOW[name])
     high = low[::-1] * np.where(np.arange(len(low)) % 2 == 0, -1.0, 1.0)
-    return low, high
+    return low, high, low[::-1], high[::-1]
 
 
 def dwt1(x: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
     """One level along the last axis with symmetric extension: floor((n + taps - 1) / 2) values a band."""
-    low, high = _filters(name)
+    low, high, *_ = filters(name)
     taps, n = len(low), x.shape[-1]
-    ext = np.concatenate((x[..., : taps - 1][..., ::-1], x, x[..., n - taps + 1 :][..., ::-1]), -1) if taps > 1 else x
+    ext = np.concatenate((x[..., : taps - 1][..., ::-1], x, x[..., n - taps + 1 :][..., ::-1]), -1)
     size = (n + taps - 1) // 2
     at = np.arange(size) * 2 + 1
     pick = np.stack([ext[..., at + j] for j in range(taps)], -1)
@@ -53,32 +75,122 @@ def dwt1(x: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def idwt1(a: np.ndarray, d: np.ndarray, n: int, name: str) -> np.ndarray:
-    """Synthesis: upsample, filter with the reversed filters, keep the n values in the middle."""
-    low, high = _filters(name)
+    """Synthesis: upsample, filter, keep the n values in the middle."""
+    *_, low, high = filters(name)
     taps, size = len(low), a.shape[-1]
     out = np.zeros((*a.shape[:-1], 2 * size + taps - 2), np.result_type(a, float))
     for j in range(taps):
-        out[..., j : j + 2 * size : 2] += a * low[::-1][j] + d * high[::-1][j]
+        out[..., j : j + 2 * size : 2] += a * low[j] + d * high[j]
     return out[..., taps - 2 : taps - 2 + n]
 
 
-def fwt(x: np.ndarray, name: str = "haar", least: int = 16) -> list[np.ndarray]:
-    """Bands coarse first along the last axis; halves while a half has at least ``least`` values."""
-    if x.shape[-1] < least:
-        raise ValueError("too short")
-    bands = []
-    while x.shape[-1] // 2 >= least or not bands:
-        n = x.shape[-1]
-        x, d = dwt1(x, name)
-        bands.append((d, n))
-    return [x, *bands[::-1]]
-
-
-def iwt(bands: list, name: str = "haar") -> np.ndarray:
-    x = bands[0]
-    for d, n in bands[1:]:
-        x = idwt1(x[..., : d.shape[-1]], d, n, name)
-    return x
+def _levels(sizes: tuple[int, ...], taps: int) -> list[tuple[tuple[int, ...], list[bool], tuple[int, ...]]]:
+    """(sizes, axes that are halved, sizes of a band) of every level; an axis goes on while its band has COARSEST values."""
+    if min(sizes) < COARSEST:
+        raise ValueError(f"every transformed axis needs {COARSEST} values")
+    out, active = [], [True] * len(sizes)
+    while any(active):
+        band = tuple((n + taps - 1) // 2 if a else n for n, a in zip(sizes, active, strict=True))
+        out.append((sizes, active, band))
+        active = [a and n >= COARSEST for n, a in zip(band, active, strict=True)]
+        sizes = band
+    return out
+
+
+def fwt(x: np.ndarray, axes: tuple[int, ...] = (-1,), name: str = "dau2") -> np.ndarray:
+    """Coefficients of all transformed axes, coarse first, in one last axis; cdf97 keeps the shape."""
+    if name == "cdf97":
+        return _cdf97(x, axes)
+    k = len(axes)
+    low = np.moveaxis(x, axes, range(-k, 0))
+    lead, parts = low.shape[:-k], []
+    for _, active, band in _levels(low.shape[-k:], len(filters(name)[0])):
+        bands = [low]
+        for i in np.flatnonzero(active).tolist():
+            bands = [np.moveaxis(h, -1, i - k) for b in bands for h in dwt1(np.moveaxis(b, i - k, -1), name)]
+        low = bands[0]
+        parts.insert(0, np.concatenate([b.reshape(*lead, -1) for b in bands[1:]], -1))
+        assert low.shape[-k:] == band
+    return np.concatenate([low.reshape(*lead, -1), *parts], -1)
+
+
+def iwt(c: np.ndarray, sizes: tuple[int, ...], axes: tuple[int, ...] = (-1,), name: str = "dau2") -> np.ndarray:
+    """The samples, of ``sizes`` along ``axes``, whose coefficients are ``c``."""
+    if name == "cdf97":
+        return _cdf97(c, axes, inverse=True)
+    k, lead = len(axes), c.shape[:-1]
+    levels = _levels(tuple(sizes), len(filters(name)[0]))
+    at = int(np.prod(levels[-1][2]))
+    low = c[..., :at].reshape(*lead, *levels[-1][2])
+    for whole, active, band in reversed(levels):
+        moved, n = np.flatnonzero(active).tolist(), int(np.prod(band))
+        bands = [low]
+        for _ in range(2 ** len(moved) - 1):
+            bands.append(c[..., at : at + n].reshape(*lead, *band))
+            at += n
+        for i in reversed(moved):
+            bands = [np.moveaxis(idwt1(np.moveaxis(a, i - k, -1), np.moveaxis(d, i - k, -1), whole[i], name), -1, i - k) for a, d in zip(bands[::2], bands[1::2], strict=True)]
+        low = bands[0]
+    return np.moveaxis(low, range(-k, 0), axes)
+
+
+def _lift(x: np.ndarray, inverse: bool) -> np.ndarray:
+    """One level of cdf97 along the last axis, in place: coarse half, then the negated detail; periodic if even, else mirrored."""
+    n = x.shape[-1]
+    half = n - n // 2
+    s, d = (x[..., :half].copy(), x[..., half:].copy()) if inverse else (x[..., ::2].copy(), x[..., 1::2].copy())
+    if n % 2:
+        right = lambda v: v[..., 1:]
+        pair = lambda v: np.concatenate((v[..., :1], v), -1) + np.concatenate((v, v[..., -1:]), -1)
+    else:
+        right = lambda v: np.roll(v, -1, -1)
+        pair = lambda v: np.roll(v, 1, -1) + v
+    left = lambda v: v[..., : d.shape[-1]]
+    steps = list(enumerate(LIFT))
+    if inverse:
+        s, d = s / SCALE, -d * SCALE
+    for i, f in reversed(steps) if inverse else steps:
+        f = -f if inverse else f
+        if i % 2 == 0:
+            d = d + f * (left(s) + right(s))
+        else:
+            s = s + f * pair(d)
+    if not inverse:
+        return np.concatenate((s * SCALE, -d / SCALE), -1)
+    out = np.empty_like(x)
+    out[..., ::2], out[..., 1::2] = s, d
+    return out
+
+
+def _cdf97(x: np.ndarray, axes: tuple[int, ...], inverse: bool = False) -> np.ndarray:
+    k = len(axes)
+    out = np.moveaxis(x, axes, range(-k, 0)).copy()
+    boxes = [out.shape[-k:]]
+    if min(boxes[0]) < COARSEST:
+        raise ValueError(f"every transformed axis needs {COARSEST} values")
+    while min(boxes[-1]) > 2 * COARSEST:
+        boxes.append(tuple(n - n // 2 for n in boxes[-1]))
+    for box in reversed(boxes) if inverse else boxes:
+        part = (..., *(slice(0, n) for n in box))
+        for i in reversed(range(k)) if inverse else range(k):
+            out[part] = np.moveaxis(_lift(np.moveaxis(out[part], i - k, -1), inverse), -1, i - k)
+    return np.moveaxis(out, range(-k, 0), axes)
+
+
+def wavelet_soft(x: np.ndarray, lam: float, name: str = "dau2") -> np.ndarray:
+    """Soft threshold of the wavelet coefficients over all axes of every tile."""
+    axes = tuple(range(1, x.ndim))
+    return iwt(soft(fwt(x, axes, name), lam), x.shape[1:], axes, name)
+
+
+def wavelet_top_k(x: np.ndarray, k: int, name: str = "dau2") -> np.ndarray:
+    """The k largest wavelet coefficients of every tile; ties to the first."""
+    axes = tuple(range(1, x.ndim))
+    c = fwt(x, axes, name)
+    flat = c.reshape(len(c), -1).copy()
+    rank = np.argsort(np.argsort(-np.abs(flat), axis=1, kind="stable"), axis=1, kind="stable")
+    flat[rank >= k] = 0
+    return iwt(flat.reshape(c.shape), x.shape[1:], axes, name)
 
 
 def ssim(x: np.ndarray, r: np.ndarray, width: int = 7) -> np.ndarray:
@@ -97,13 +209,14 @@ def ssim(x: np.ndarray, r: np.ndarray, width: int = 7) -> np.ndarray:
 
 
 def shift(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sub-voxel (dy, dx) that moves b onto a, from the phase slope of the cross spectrum at low frequencies."""
-    cross = np.fft.fft2(a) * np.conj(np.fft.fft2(b))
-    out = []
+    """Sub-voxel (dy, dx) that moves b onto a: slope of the cross spectrum's phase over the low quarter, weighted by its size."""
+    cross = np.fft.fftshift(np.fft.fft2(a) * np.conj(np.fft.fft2(b)), (1, 2))
+    low = [slice(n // 2 - max(1, n // 4), n // 2 + max(1, n // 4) + 1) for n in a.shape[1:]]
+    cross, out = cross[:, low[0], low[1]], []
     for axis in (1, 2):
-        n = a.shape[axis]
-        step = np.take(cross, 1, axis) * np.conj(np.take(cross, 0, axis))
-        out.append(-np.angle(step.sum(-1)) * n / (2 * np.pi))
+        last = cross.shape[axis] - 1
+        step = np.take(cross, range(1, last + 1), axis) * np.conj(np.take(cross, range(last), axis))
+        out.append(-np.angle(step.sum((1, 2))) * a.shape[axis] / (2 * np.pi))
     return np.stack(out, -1)
 
 
@@ -122,22 +235,38 @@ def sense_adjoint(y: np.ndarray, maps: np.ndarray, mask: np.ndarray) -> np.ndarr
     return (np.conj(maps) * fft(y * np.conj(mask), (-2, -1), inverse=True, unitary=True)).sum(1)
 
 
-def conjugate_gradient(normal, b: np.ndarray, steps: int, lam: float = 0.0) -> np.ndarray:
-    """Solve (normal + lam) x = b for every tile of the batch, a fixed number of steps."""
+def conjugate_gradient(normal, b: np.ndarray, steps: int, lam: float = 0.0, tolerance: float = 1e-12) -> np.ndarray:
+    """Solve (normal + lam) x = b for every tile of the batch; tiles below the relative residual stand still, and all end it."""
     dot = lambda u, v: (np.conj(u) * v).reshape(len(u), -1).sum(1).real
     wide = lambda s: s.reshape(-1, *([1] * (b.ndim - 1)))
     x, r = np.zeros_like(b), b.copy()
     p, rr = r.copy(), dot(r, r)
+    enough = tolerance**2 * rr
     for _ in range(steps):
+        live = rr > enough
+        if not live.any():
+            break
         q = normal(p) + lam * p
-        a = rr / np.maximum(dot(p, q), 1e-300)
+        a = np.where(live, rr / np.maximum(dot(p, q), 1e-300), 0)
         x, r = x + wide(a) * p, r - wide(a) * q
         new = dot(r, r)
-        p, rr = r + wide(new / np.maximum(rr, 1e-300)) * p, new
+        p, rr = np.where(wide(live), r + wide(new / np.maximum(rr, 1e-300)) * p, p), new
     return x
 
 
-def fista(forward, adjoint, y: np.ndarray, prox, steps: int, rate: float = 0.95, accelerate: bool = True) -> np.ndarray:
+def largest_eigenvalue(normal, like: np.ndarray, steps: int = 30) -> np.ndarray:
+    """Of every tile, by power iterations from a fixed start."""
+    x = np.broadcast_to(np.cos(np.arange(like[0].size)).reshape(like.shape[1:]), like.shape).astype(complex)
+    size = lambda v: np.sqrt((np.abs(v) ** 2).reshape(len(v), -1).sum(1))
+    wide = lambda v: v.reshape(-1, *([1] * (like.ndim - 1)))
+    top = np.zeros(len(like))
+    for _ in range(steps):
+        x = normal(x / np.maximum(wide(size(x)), 1e-300))
+        top = size(x)
+    return top
+
+
+def fista(forward, adjoint, y: np.ndarray, prox, steps: int, rate: float | np.ndarray = 0.95, accelerate: bool = True) -> np.ndarray:
     """Proximal gradient steps, with momentum unless plain."""
     x = np.zeros_like(adjoint(y))
     z, t = x, 1.0
@@ -181,8 +310,11 @@ def rof(x: np.ndarray, lam: float, steps: int = 50, rho: float = 0.1) -> np.ndar
     return u
 
 
-def tgv(x: np.ndarray, lam: float, ratio: float = 2.0, steps: int = 100) -> np.ndarray:
-    """Second-order total generalised variation by primal-dual steps: lam |grad u - v| + ratio lam |sym grad v|."""
+def tgv(x: np.ndarray, lam: float, ratio: float = 3**0.5, steps: int = 200) -> np.ndarray:
+    """Second-order total generalised variation by primal-dual steps: lam |grad u - v| + ratio lam |sym grad v|.
+
+    The weights (1, sqrt 3) are the documented ones; the minimum is the same whatever solver finds it.
+    """
     u, v = x.copy(), np.zeros((len(x), 2, *x.shape[1:]), x.dtype)
     ub, vb = u, v
     p, q = np.zeros_like(v), np.zeros((len(x), 3, *x.shape[1:]), x.dtype)
@@ -206,7 +338,7 @@ def tgv(x: np.ndarray, lam: float, ratio: float = 2.0, steps: int = 100) -> np.n
     return u
 
 
-def nlmeans(x: np.ndarray, patch: int = 3, distance: int = 2, h: float = 0.1, a: float = 1.0) -> np.ndarray:
+def nlmeans(x: np.ndarray, patch: int = 5, distance: int = 2, h: float = 0.1, a: float = 1.0) -> np.ndarray:
     """Gaussian-weighted patch distances, reflected edges; distance 0 is the identity."""
     if patch % 2 == 0:
         raise ValueError("patch length must be odd")
@@ -282,16 +414,28 @@ def dominant(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return w[..., -1], v * np.conj(ph)
 
 
-def espirit(k: np.ndarray, kernel: int = 3, threshold: float = 0.02, crop: float = 0.8) -> np.ndarray:
-    """Sensitivity maps (coil, y, x) from one slice's k-space: calibration matrix, its signal space in the image, eigenvectors."""
+def espirit(k: np.ndarray, kernel: int = 3, threshold: float = 0.02, crop: float = 0.8, calibration: int | None = None, sets: int = 1, soft_weight: bool = False) -> np.ndarray:
+    """Sensitivities (set, coil, y, x) from one slice's k-space: calibration matrix of the centre, its signal space in the image, eigenvectors.
+
+    Voxels whose eigenvalue, as a share of the largest, is below ``crop`` are zero, or with ``soft_weight``
+    are weighted by a ramp that is one from ``crop`` on.
+    """
     nc, ny, nx = k.shape
-    blocks = [k[:, i : i + kernel, j : j + kernel].ravel() for i in range(ny - kernel + 1) for j in range(nx - kernel + 1)]
-    _, s, v = np.linalg.svd(np.array(blocks), full_matrices=False)
+    cy, cx = (min(n, calibration or n) for n in (ny, nx))
+    inner = k[:, ny // 2 - cy // 2 : ny // 2 - cy // 2 + cy, nx // 2 - cx // 2 : nx // 2 - cx // 2 + cx]
+    blocks = np.lib.stride_tricks.sliding_window_view(inner, (kernel, kernel), (1, 2)).transpose(1, 2, 0, 3, 4).reshape(-1, nc * kernel * kernel)
+    _, s, v = np.linalg.svd(blocks, full_matrices=False)
     v = v[s > threshold * s[0]].reshape(-1, nc, kernel, kernel)
-    wide = np.zeros((len(v), nc, ny, nx), complex)
-    wide[:, :, ny // 2 - kernel // 2 : ny // 2 - kernel // 2 + kernel, nx // 2 - kernel // 2 : nx // 2 - kernel // 2 + kernel] = np.conj(v[:, :, ::-1, ::-1])
-    im = fft(wide, (-2, -1), inverse=True) / kernel
-    c = np.einsum("kayx,kbyx->yxab", im, np.conj(im))
-    w, e = dominant(c)
-    e = np.where((w / max(w.max(), 1e-300) >= crop)[..., None], e, 0)
-    return np.moveaxis(e, -1, 0)
+    c = np.zeros((ny, nx, nc, nc), complex)
+    for own in v:  # a kernel at a time keeps one image of every coil in memory
+        wide = np.zeros((nc, ny, nx), complex)
+        wide[:, ny // 2 - kernel // 2 : ny // 2 - kernel // 2 + kernel, nx // 2 - kernel // 2 : nx // 2 - kernel // 2 + kernel] = np.conj(own[:, ::-1, ::-1])
+        im = fft(wide, (-2, -1), inverse=True) / kernel
+        c += np.einsum("ayx,byx->yxab", np.conj(im), im)
+    w, e = np.linalg.eigh(c)
+    w, e = w[..., ::-1][..., :sets], e[..., ::-1][..., :sets]
+    first = e[..., :1, :]
+    e = e * np.conj(first / np.maximum(np.abs(first), 1e-300))
+    share = w / max(w.max(), 1e-300)
+    e = e * (np.clip(share / crop, 0, 1) if soft_weight else (share >= crop))[..., None, :]
+    return e.transpose(3, 2, 0, 1)

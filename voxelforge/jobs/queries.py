@@ -14,6 +14,7 @@ from .. import model as M
 from ..functions import kernels as K
 from ..functions.shared import shared_folder
 from ..operators import arrange as R
+from ..operators import calib as C
 from ..operators import elementwise as E
 from ..operators import joins as J
 from ..operators import recon as B
@@ -28,6 +29,7 @@ ORACLES: dict[str, str] = {}
 VIEWS = {
     "img": "img AS (SELECT vec_id, label, (i//8)::INT AS y, (i%8)::INT AS x, embedding[i+1]::DOUBLE AS re, 0.0::DOUBLE AS im FROM embeddings, range(64) t(i))",
     "coils": "coils AS (SELECT vec_id, i::INT AS c, embedding[i+1]::DOUBLE AS re, embedding[i+33]::DOUBLE AS im FROM embeddings, range(32) t(i))",
+    "kspace": "kspace AS (SELECT vec_id, label, (i//16)::INT AS coil, ((i%16)//4)::INT AS y, (i%4)::INT AS x, embedding[i+1]::DOUBLE AS re, embedding[i+33]::DOUBLE AS im FROM embeddings, range(32) t(i))",
     "signal": "signal AS (SELECT user_id AS ch, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1)::INT AS i, value AS re, 0.0::DOUBLE AS im FROM events)",
     "sparse": "sparse AS (SELECT l_suppkey AS coil, l_partkey AS k, l_quantity AS re, l_discount AS im FROM lineitem)",
     "echo": "echo AS (SELECT p_partkey, e::INT AS e, 12.5::DOUBLE*e AS te, p_retailprice*exp(-12.5::DOUBLE*e/(20+p_size)) AS re, 0.0::DOUBLE AS im FROM part, range(1,9) t(e))",
@@ -86,19 +88,25 @@ def s2(s, d):
     return files.select(F.regexp_extract("path", r"([^/]+)\.cfl$", 1).alias("array_id"), F.col("length").alias("bytes"))
 
 
-@query("s3_multicfl", "SELECT vec_id, label, len(embedding)::INT AS n FROM embeddings WHERE label IN (1, 3)")
+@query("s3_multicfl", "SELECT vec_id, label, len(embedding)::INT AS n FROM embeddings")
 def s3(s, d):
     folder = f"{shared_folder(s)}/bundle-{uuid.uuid4().hex}"
     M.tile(s, d).repartition("label").write.partitionBy("label").parquet(folder)
-    return s.read.parquet(folder).where("label IN (1, 3)").select("vec_id", "label", F.size("re").alias("n"))
+    every = s.read.parquet(folder)
+    names = [r["label"] for r in M.table(s, d, "embeddings").select("label").distinct().collect()]  # one per array of the bundle
+    parts = [every.where(F.col("label") == n) for n in names]
+    out_ = parts[0]
+    for p in parts[1:]:
+        out_ = out_.unionByName(p)
+    return out_.select("vec_id", "label", F.size("re").alias("n"))
 
 
-@query("s4_toraw", "SELECT vec_id, string_agg(([[re]])::VARCHAR, ',' ORDER BY y, x) AS raw FROM img GROUP BY vec_id", "img")
+@query("s4_toraw", "SELECT vec_id, y, x, [[re]] AS re, [[im]] AS im FROM img", "img")
 def s4(s, d):
-    return M.tile(s, d).select("vec_id", F.array_join(F.transform("re", lambda v: M.rounded(v).cast("string")), ",").alias("raw"))
-
-
-ORACLES.pop("s4_toraw")  # number formatting differs between the engines
+    folder = f"{shared_folder(s)}/raw-{uuid.uuid4().hex}"
+    cfl.write_raw(M.tile(s, d).withColumn("array_id", F.concat(F.lit("a"), "vec_id")), folder).write.format("noop").mode("overwrite").save()
+    back = cfl.read_raw(s, folder).withColumn("vec_id", F.substring("array_id", 2, 20).cast("long")).drop("array_id")
+    return out(M.tiles_to_cells(back, ["y", "x"], [8, 8]), *IM)
 
 
 @query("s5_toimg", "+m AS (SELECT vec_id, max(abs(re)) AS m FROM img GROUP BY 1) SELECT vec_id, y, x, CASE WHEN m=0 THEN 0 ELSE least(255, floor(255*abs(re)/(0.75*m))) END::INT AS grey FROM img JOIN m USING (vec_id)", "img")
@@ -122,13 +130,37 @@ def s7(s, d):
 
 
 # generators: applied to the axes of a table, so that they grow with it
-cells("g1_index", M.signal, ("ch", "i"), lambda x: x.withColumns({"re": 1.0 + F.col("i") * 0.5, "im": F.lit(0.0)}), "[[1.0 + i*0.5]] AS re, 0.0::DOUBLE AS im")
-cells("g2_delta", M.img, IM, lambda x: x.withColumns({"re": (F.col("y") == F.col("x")).cast("double"), "im": F.lit(0.0)}), "(y=x)::INT::DOUBLE AS re, 0.0::DOUBLE AS im")
+@query("g1_index", "SELECT i::INT AS i, log, [[CASE WHEN log THEN exp(ln(2.0)+i/15.0*ln(8.0)) ELSE -1.0+i/15.0*3.0 END]] AS re, 0.0::DOUBLE AS im FROM range(16) t(i), (SELECT DISTINCT label%2=1 AS log FROM embeddings)")
+def g1(s, d):
+    logs = M.table(s, d, "embeddings").select((F.col("label") % 2 == 1).alias("log")).distinct()
+    both = R.index(s, 16, -1.0, 2.0).withColumn("log", F.lit(False)).unionByName(R.index(s, 16, 2.0, 16.0, log=True).withColumn("log", F.lit(True)))
+    return out(both.join(logs, "log"), "i", "log")
+
+
+cells("g2_delta", M.img, IM, lambda x: R.delta(x, ["y", "x"]), "(y=x)::INT::DOUBLE AS re, 0.0::DOUBLE AS im")
+
+
+@query("g2_constants", "SELECT vec_id, y, x, [[3*re + (y+1)*(x+2)]] AS re, [[3*im]] AS im FROM img", "img")
+def g2(s, d):
+    x = M.img(s, d)
+    ones, zeros = R.ones(s, {"y": 8, "x": 8}), R.zeros(s, {"y": 8, "x": 8})
+    line = lambda axis, first: R.vector(s, [float(first + i) for i in range(8)], axis)
+    product = J.fmac(J.fmac(ones, line("y", 1), ["y"], ["y", "x"]), line("x", 2), ["x"], ["y", "x"])
+    keys = x.select("vec_id").distinct()
+    spread = R.add_parts([product, zeros], ["y", "x"]).join(keys, how="cross")  # 64 cells for every image
+    return out(R.add_parts([E.scale(x, 3.0), spread], IM), *IM)
 
 
-@query("g3_grid", "SELECT vec_id, y, x, [[(y-4)/8.0::DOUBLE]] AS py, [[(x-4)/8.0::DOUBLE]] AS px FROM img", "img")
+@query("g3_grid", "SELECT vec_id, y, x, [[(y-4)/8.0::DOUBLE]] AS py, [[(x-4)/8.0::DOUBLE]] AS px, [[0.5+label*0.25]] AS plabel FROM img", "img")
 def g3(s, d):
-    return out(R.grid(M.img(s, d), {"y": 8, "x": 8}), *IM, values=("py", "px"))
+    return out(R.grid(M.img(s, d), {"y": 8, "x": 8}, time=("label", 0.5, 0.25)), *IM, values=("py", "px", "plabel"))
+
+
+@query("g5_traj_options", "SELECT p_partkey, q::INT AS sample, false AS line, [[(q-8.0::DOUBLE+0.5)/2*cos(p_partkey*2*pi()/13)]] AS kx, [[(q-8.0::DOUBLE+0.5)/2*sin(p_partkey*2*pi()/13)]] AS ky FROM part, range(16) t(q) UNION ALL SELECT p_partkey, q::INT, true, q-8.0::DOUBLE, p_partkey-100.0::DOUBLE FROM part, range(16) t(q)")
+def g5_more(s, d):
+    p = M.table(s, d, "part").select("p_partkey")
+    spokes = R.radial(p, "p_partkey", 13, 16, full_circle=True, oversampling=2.0, half_sample=True).withColumn("line", F.lit(False))
+    return out(spokes.unionByName(R.cartesian(p, "p_partkey", 200, 16).withColumn("line", F.lit(True))), "p_partkey", "sample", "line", values=("kx", "ky"))
 
 
 cells("g4_poly", M.signal, ("ch", "i"), lambda x: R.polynomial(x, "i", [1.0, -2.0, 0.5]), "[[1 - 2.0*i + 0.5*i*i]] AS re, 0.0::DOUBLE AS im")
@@ -159,10 +191,12 @@ def g9(s, d):
     return R.one_hot(M.table(s, d, "embeddings"), "label", 10).select("vec_id", "cls", "re")
 
 
-@query("g10_noise")
+@query("g10_noise", "SELECT 0.0::DOUBLE AS mean, 2.0::DOUBLE AS var, count(*)*32 AS n FROM embeddings")
 def g10(s, d):
-    x = R.add_noise(M.coils(s, d), 2.0, 11).join(M.coils(s, d).withColumnsRenamed({"re": "r", "im": "i"}), list(CO))
-    return x.groupBy("c").agg(F.round(F.avg(F.col("re") - F.col("r")), 2).alias("mean"), F.var_samp(F.col("re") - F.col("r")).alias("var"))
+    x = M.coils(s, d)
+    noisy = R.add_noise(x.withColumnsRenamed({"re": "r", "im": "i"}).withColumns({"re": F.col("r"), "im": F.col("i")}), 2.0, 11)
+    e = noisy.select((F.col("re") - F.col("r")).alias("a"), (F.col("im") - F.col("i")).alias("b"))
+    return e.agg(M.rounded(F.avg(F.col("a") + F.col("b")), 1).alias("mean"), M.rounded(F.var_samp("a") + F.var_samp("b"), 1).alias("var"), F.count("*").alias("n"))
 
 
 # element-wise
@@ -203,6 +237,16 @@ cells("e10_prox", M.coils, CO, lambda x: E.prox_imaginary_l1(E.prox_l2(x, 0.25),
 cells("e11_window", M.img, IM, lambda x: E.window(x, {"y": 8, "x": 8}), "[[re*(0.54-0.46*cos(2*pi()*y/7))*(0.54-0.46*cos(2*pi()*x/7))]] AS re, 0.0::DOUBLE AS im")
 cells("e12_fftmod", M.img, IM, lambda x: E.fft_modulation(x, {"y": 8, "x": 8}), "[[re*cos(2*pi()*4*(y-2.0)/8+2*pi()*4*(x-2.0)/8)]] AS re, [[re*sin(2*pi()*4*(y-2.0)/8+2*pi()*4*(x-2.0)/8)]] AS im")
 cells("e13_fovshift", M.img, IM, lambda x: E.fov_shift(x, {"y": (8, 0.1), "x": (8, -0.3)}), "[[re*cos(2*pi()*((y-4)*0.1-(x-4)*0.3))]] AS re, [[re*sin(2*pi()*((y-4)*0.1-(x-4)*0.3))]] AS im")
+cells("e3_logarithm", M.coils, CO, E.logarithm, "[[ln(sqrt(re*re+im*im))]] AS re, [[atan2(im,re)]] AS im")
+cells("e8_binary", M.coils, CO, lambda x: E.binary_threshold(x, 0.2), "(sqrt(re*re+im*im)>0.2)::INT::DOUBLE AS re, 0.0::DOUBLE AS im")
+
+
+@query("e13_fovshift_trajectory", "+p AS (SELECT p_partkey%7-3.0::DOUBLE AS kx, p_partkey AS k FROM part) SELECT coil, k, [[re*cos(2*pi()*kx*0.3)-im*sin(2*pi()*kx*0.3)]] AS re, [[re*sin(2*pi()*kx*0.3)+im*cos(2*pi()*kx*0.3)]] AS im FROM sparse JOIN p USING (k)", "sparse")
+def e13(s, d):
+    p = M.table(s, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 7 - 3.0).alias("kx"))
+    return out(E.fov_shift_along(M.sparse(s, d), p, ["k"], {"kx": 0.3}), "coil", "k")
+
+
 cells("e14_calc", M.coils, CO, lambda x: E.calc(x, "re * re - im * im", "2 * re * im + c"), "[[re*re-im*im]] AS re, [[2*re*im+c]] AS im")
 
 # rearranging
@@ -233,19 +277,35 @@ def r9(s, d):
     return out(R.add_parts([x.where("y < 4"), E.scale(x.where("y >= 4"), -1.0)], ["vec_id", "x"]), "vec_id", "x")
 
 
+@query("r9_block_matrix", "SELECT vec_id, y, x, [[sum(v)]] AS re, 0.0::DOUBLE AS im FROM (SELECT vec_id, y, x, CASE WHEN y<4 THEN 2*re END AS v FROM img WHERE y<4 UNION ALL SELECT vec_id, y-4, x, re FROM img WHERE y>=4 UNION ALL SELECT vec_id, y, x, -re FROM img WHERE y>=4) GROUP BY 1,2,3", "img")
+def r9_matrix(s, d):
+    x = M.img(s, d).drop("label")
+    top, low = x.where("y < 4"), R.extract(x, {"y": (4, 8)})
+    rows = [([lambda t: E.scale(t, 2.0), lambda t: t], 4), ([None, lambda t: E.scale(t, -1.0)], 4)]
+    return out(R.block_matrix(rows, [top, low], IM, "y"), *IM)
+
+
 @query("r10_copy", "SELECT vec_id, y, x, [[CASE WHEN y BETWEEN 1 AND 2 AND x>=3 THEN -re ELSE re END]] AS re, [[im]] AS im FROM img", "img")
 def r10(s, d):
     x = M.img(s, d)
     return out(R.overlay(x, E.scale(x.where("y BETWEEN 1 AND 2 AND x >= 3"), -1.0), IM), *IM)
 
 
-@query("r11_compress", "SELECT vec_id, y, x, [[re]] AS re, [[im]] AS im FROM img WHERE (vec_id, x) IN (SELECT vec_id, x FROM img WHERE y=0 AND re>0)", "img")
+@query("r11_compress", "SELECT vec_id, y, x, [[re]] AS re, [[im]] AS im FROM img JOIN (SELECT vec_id, x FROM img WHERE y=0 AND re>0) m USING (vec_id, x)", "img")
 def r11(s, d):
     x = M.img(s, d)
     mask = x.where("y = 0").select("vec_id", "x", (F.col("re") > 0).cast("double").alias("re"))
     return out(R.compress(x, mask, ["vec_id", "x"]), *IM)
 
 
+@query("r11_expand", "+m AS (SELECT vec_id, x FROM img WHERE y=0 AND re>0) SELECT m.vec_id, y, m.x, [[CASE WHEN re>-0.1 THEN re ELSE 0 END]] AS re, 0.0::DOUBLE AS im FROM img JOIN m ON m.vec_id=img.vec_id AND m.x=img.x", "img")
+def r11_expand(s, d):
+    x = M.img(s, d).drop("label")
+    line = x.where("y = 0 AND re > 0").select("vec_id", "x")
+    mask = line.select("*", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("y"), F.lit(1.0).alias("re"))
+    return out(R.expand(x.where("re > -0.1"), mask, IM), *IM)
+
+
 # joins
 
 
@@ -274,6 +334,12 @@ def j4(s, d):
     return out(J.data_consistency(x, E.scale(x, 2.0).where("x % 3 = 0"), IM), *IM)
 
 
+@query("j4_robust", "SELECT vec_id, y, x, [[CASE WHEN x%3=0 AND abs(re)>0.1 THEN re+sign(re)*(abs(re)-0.1) ELSE re END]] AS re, [[im]] AS im FROM img", "img")
+def j4_robust(s, d):
+    x = M.img(s, d)
+    return out(J.data_consistency(x, E.scale(x, 2.0).where("x % 3 = 0"), IM, 0.1), *IM)
+
+
 @query("j5_matrix", "SELECT vec_id, v::INT AS v, [[sum(re*cos(v*c*0.1)-im*sin(v*c*0.1))]] AS re, [[sum(re*sin(v*c*0.1)+im*cos(v*c*0.1))]] AS im FROM coils, range(4) t(v) GROUP BY 1,2", "coils")
 def j5(s, d):
     m = np.exp(0.1j * np.outer(np.arange(4), np.arange(32)))
@@ -303,7 +369,7 @@ def j8(s, d):
     return out(J.warp(x, x.select(*IM, F.lit(0.0).alias("cy"), F.lit(0.3).alias("cx")), AXES, 1, ["vec_id"]), *IM)
 
 
-@query("j9_affine", "SELECT a.vec_id, a.y, a.x, [[b.re]] AS re, 0.0::DOUBLE AS im FROM img a JOIN img b ON a.vec_id=b.vec_id AND b.y=a.x AND b.x=8-a.y", "img")
+@query("j9_affine", "+a AS (SELECT vec_id, 8-x AS y, y AS x, re FROM img WHERE x>0) SELECT vec_id, y, x, [[re]] AS re, 0.0::DOUBLE AS im FROM a", "img")
 def j9(s, d):
     x = M.img(s, d)
     return out(J.affine(x, x.select(*IM), [[0.0, 1.0, 0.0], [-1.0, 0.0, 0.0]], AXES, 1, ["vec_id"]), *IM)
@@ -337,6 +403,8 @@ def keyed(name: str, keys: tuple[str, ...], fn: Callable, sql: str, view: Callab
 
 keyed("a2_rss", ("vec_id",), lambda x: A.rss(x, ["vec_id"]), "[[sqrt(sum(re*re+im*im))]] AS re, 0.0::DOUBLE AS im", M.coils)
 keyed("a3_var_std", ("vec_id",), lambda x: A.variance(x, ["vec_id"]), "[[var_samp(re)+var_samp(im)]] AS var, [[sqrt(var_samp(re)+var_samp(im))]] AS std", M.coils, ("var", "std"))
+keyed("a1_weighted_mean", ("label", "x"), lambda x: A.weighted_mean(x.withColumn("re", F.when(F.col("re") > 0, F.col("re")).otherwise(0.0)), ["label", "x"]), "[[coalesce(sum(greatest(re,0))/nullif(sum((re>0)::INT),0),0)]] AS re, 0.0::DOUBLE AS im")
+keyed("a4_minimum", ("vec_id", "y"), lambda x: A.projection(x, ["vec_id", "y"], minimum=True), "[[min(re)]] AS re, 0.0::DOUBLE AS im")
 keyed("a4_mip", ("vec_id", "x"), lambda x: A.projection(x, ["vec_id", "x"]), "[[greatest(max(re),0)]] AS re, 0.0::DOUBLE AS im")
 
 
@@ -364,6 +432,12 @@ def a8(s, d):
     return out(A.region_statistics(M.img(s, d), "label"), "label", values=("count", "sum", "mean", "energy", "variance", "std"))
 
 
+@query("a8_regions", "+g AS (SELECT g, y, x, (1+g*y)::DOUBLE AS w FROM range(3) a(g), range(8) b(y), range(8) c(x) WHERE y>=g AND x<8-g), s AS (SELECT g, label, sum(w) AS n, sum(w*re) AS s, sum(w*re*re) AS e FROM img JOIN g USING (y,x) GROUP BY 1,2) SELECT g::INT AS g, label, [[n]] AS count, [[s/n]] AS mean, [[(e-s*s/n)/(n-1)]] AS variance FROM s", "img")
+def a8_regions(s, d):
+    g = R.ones(s, {"g": 3, "y": 8, "x": 8}).where("y >= g AND x < 8 - g").withColumn("re", 1.0 + F.col("g") * F.col("y"))
+    return out(A.weighted_regions(M.img(s, d), g, ["y", "x"], "g", ["label"], bessel=True), "g", "label", values=("count", "mean", "variance"))
+
+
 def _pair(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     x = M.img(s, d)
     return x, R.flip(x, {"x": 8}).select(*IM, "re", "im")
@@ -389,9 +463,16 @@ def _tile_pair(s: SparkSession, d: str, fn: Callable) -> DataFrame:
     return fn(M.tile(s, d)).withColumns({"re2": F.reverse("re"), "im2": F.reverse("im")})
 
 
-@query("a12_ssim")
+SSIM = (
+    "+m AS (SELECT vec_id, max(abs(re)) AS m FROM img GROUP BY 1), p AS (SELECT a.vec_id, a.y, a.x, abs(a.re)/m AS a, abs(b.re)/m AS b FROM img a JOIN img b ON a.vec_id=b.vec_id AND b.y=7-a.y AND b.x=7-a.x JOIN m ON m.vec_id=a.vec_id), "
+    "w AS (SELECT vec_id, u, v, avg(a) AS ma, avg(b) AS mb, avg(a*a) AS aa, avg(b*b) AS bb, avg(a*b) AS ab FROM p, range(2) r(u), range(2) t(v) WHERE y-u BETWEEN 0 AND 6 AND x-v BETWEEN 0 AND 6 GROUP BY 1,2,3) "
+    "SELECT w.vec_id, label, [[avg((2*ma*mb+1e-4)*(2*(ab-ma*mb)+9e-4)/((ma*ma+mb*mb+1e-4)*(aa-ma*ma+bb-mb*mb+9e-4)))]] AS ssim FROM w JOIN embeddings e ON e.vec_id=w.vec_id GROUP BY 1,2"
+)
+
+
+@query("a12_ssim", SSIM, "img")
 def a12(s, d):
-    v = T.tile_values(_tile_pair(s, d, lambda t: t), (8, 8), lambda x, r: K.ssim(x, r)[:, None], ["ssim"], (("re", "im"), ("re2", "im2")))
+    v = T.tile_values(_tile_pair(s, d, lambda t: t), None, lambda x, r: K.ssim(x, r)[:, None], ["ssim"], (("re", "im"), ("re2", "im2")))
     return out(v, "vec_id", "label", values=("ssim",))
 
 
@@ -400,6 +481,25 @@ def a13(s, d):
     return out(A.data_scaling(M.signal(s, d), ["ch"]), "ch", values=("scale",))
 
 
+IDFT = "i AS (SELECT vec_id, coil, u::INT AS y, v::INT AS x, sum(re*cos(t)-im*sin(t))/4 AS re, sum(re*sin(t)+im*cos(t))/4 AS im FROM (SELECT k.*, u, v, 2*pi()*((u-2)*(y-2)+(v-2)*(x-2))/4 AS t FROM {0} k, range(4) a(u), range(4) b(v)) GROUP BY 1,2,3,4)"
+LOW = "l AS (SELECT * FROM kspace WHERE y BETWEEN 1 AND 2 AND x BETWEEN 1 AND 2), "
+
+
+def _rss_of_centre(s: SparkSession, d: str, size: int) -> DataFrame:
+    """Magnitudes of the centre of k-space: cropped, transformed, root of sums of squares over the coils."""
+
+    def image(y: np.ndarray) -> np.ndarray:
+        y = y[:, :, max(0, y.shape[2] // 2 - size // 2) :][:, :, :size, max(0, y.shape[3] // 2 - size // 2) :][..., :size]
+        return np.sqrt((np.abs(K.fft(y, (2, 3), inverse=True, unitary=True)) ** 2).sum(1))
+
+    return M.tiles_to_cells(T.tile_map(M.kspace(s, d), None, image), ["y", "x"])
+
+
+@query("a13_scaling_from_kspace", "+" + IDFT.format("kspace") + ", r AS (SELECT vec_id, y, x, sqrt(sum(re*re+im*im)) AS re FROM i GROUP BY 1,2,3), q AS (SELECT vec_id, quantile_cont(re,0.5) AS m, quantile_cont(re,0.9) AS p, max(re) AS t FROM r GROUP BY 1), v AS (SELECT vec_id, CASE WHEN t-p>=2*(p-m) THEN t ELSE p END AS v FROM q) SELECT vec_id, [[CASE WHEN v=0 THEN 1 ELSE v END]] AS scale FROM v", "kspace")
+def a13_kspace(s, d):
+    return out(A.data_scaling(_rss_of_centre(s, d, 32), ["vec_id"]), "vec_id", values=("scale",))
+
+
 @query("a14_covariance", "SELECT a.c AS i, b.c AS j, [[avg(a.re*b.re+a.im*b.im)]] AS re, [[avg(a.im*b.re-a.re*b.im)]] AS im FROM coils a JOIN coils b ON a.vec_id=b.vec_id AND b.c>=a.c GROUP BY 1,2", "coils")
 def a14(s, d):
     return out(A.channel_gram(M.coils(s, d), "vec_id", "c", 32), "i", "j")
@@ -458,6 +558,13 @@ def w8(s, d):
     return out(W.convolve(M.img(s, d), [0.25, 0.5, 0.125], ["vec_id", "y"], "x", 8), *IM, values=("re",))
 
 
+@query("w8_modes", "+n AS (SELECT ch, count(*) AS n FROM signal GROUP BY 1), f AS (SELECT ch, i+j AS i, sum(re*([0.25,0.5,0.125])[j+1]) AS re FROM signal, range(3) t(j) GROUP BY 1,2) SELECT ch, 'full' AS mode, i::INT AS i, [[re]] AS re FROM f UNION ALL SELECT ch, 'same', (i-1)::INT, [[re]] FROM f JOIN n USING (ch) WHERE i>=1 AND i<=n UNION ALL SELECT ch, 'valid', (i-2)::INT, [[re]] FROM f JOIN n USING (ch) WHERE i>=2 AND i<n", "signal")
+def w8_modes(s, d):
+    x = M.signal(s, d).withColumn("n", W.length_of(["ch"]))
+    parts = [W.convolve(x, [0.25, 0.5, 0.125], ["ch"], "i", F.col("n"), mode).withColumn("mode", F.lit(mode)) for mode in ("full", "same", "valid")]
+    return out(parts[0].unionByName(parts[1]).unionByName(parts[2]), "ch", "mode", "i", values=("re",))
+
+
 @query("w9_ssa")
 def w9(s, d):
     x = M.signal(s, d).withColumns({"n": W.length_of(["ch"]), "re": F.col("re") - F.avg("re").over(Window.partitionBy("ch"))})
@@ -473,6 +580,17 @@ def w10(s, d):
     return W.phase_bins(M.coils(s, d), "re", "im", 6).select(*CO, "bin")
 
 
+@query("w10_amplitude_and_two_way_bins", "+w AS (SELECT ch, i, ntile(4) OVER (PARTITION BY ch ORDER BY re, i)-1 AS a, ntile(3) OVER (PARTITION BY ch ORDER BY -re, i)-1 AS b FROM signal) SELECT ch, i, (a*3+b)::INT AS bin FROM w", "signal")
+def w10_more(s, d):
+    x = W.amplitude_bins(M.signal(s, d), ["ch"], "re", "i", 4).withColumnRenamed("bin", "a").withColumn("m", -F.col("re"))
+    return W.two_way_bins(W.amplitude_bins(x, ["ch"], "m", "i", 3).withColumnRenamed("bin", "b"), ("a", 4), ("b", 3)).select("ch", "i", "bin")
+
+
+@query("w10_smoothed", "+m AS (SELECT vec_id, c, re - avg(re) OVER k AS re, im - avg(im) OVER k AS im FROM coils WINDOW k AS (PARTITION BY vec_id ORDER BY c ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) SELECT vec_id, c, least(floor((CASE WHEN atan2(im,re)<0 THEN atan2(im,re)+2*3.141592653589793 ELSE atan2(im,re) END)*6/(2*3.141592653589793)),5)::INT AS bin FROM m", "coils")
+def w10_smoothed(s, d):
+    return W.smooth_phase_bins(M.coils(s, d), ["vec_id"], "c", "re", "im", 7, 6).select(*CO, "bin")
+
+
 # dense transforms
 DFT = "SELECT vec_id, u::INT AS y, v::INT AS x, [[sum(re*cos(t))]] AS re, [[-sum(re*sin(t))]] AS im FROM (SELECT vec_id, u, v, re, 2*pi()*((u-4)*(y-4)+(v-4)*(x-4))/8 AS t FROM img, range(8) a(u), range(8) b(v)) GROUP BY 1,2,3"
 
@@ -482,6 +600,16 @@ def t1(s, d):
     return out(M.tiles_to_cells(T.fft(M.tile(s, d), (8, 8)), ["y", "x"], [8, 8]), *IM)
 
 
+@query("t1_fft_128", "+m AS (SELECT DISTINCT floor(vec_id/256)::BIGINT AS m FROM embeddings), p AS (SELECT floor(vec_id/256)::BIGINT AS m, sum(re*re) AS e FROM img GROUP BY 1) SELECT m, [[e]] AS energy, 16384::BIGINT AS n FROM p", "img")
+def t1_large(s, d):
+    """256 images side by side as 128 x 128 (missing ones are zero), transformed: the energy stays."""
+    at = F.pmod("vec_id", F.lit(256))
+    x = M.img(s, d).select(F.floor(F.col("vec_id") / 256).alias("m"), (F.col("y") + F.floor(at / 16) * 8).cast("int").alias("y"), (F.col("x") + at % 16 * 8).cast("int").alias("x"), "re", "im")
+    k = T.fft(M.cells_to_tiles(x, ["m"], ["y", "x"], [128, 128]), None, unitary=True)
+    e = F.aggregate(F.zip_with("re", "im", lambda a, b: a * a + b * b), F.lit(0.0), lambda a, v: a + v)
+    return k.select("m", M.rounded(e).alias("energy"), F.size("re").cast("long").alias("n"))
+
+
 def _spokes() -> np.ndarray:
     t = np.arange(6) * np.pi / 6
     r = np.arange(8) - 4
@@ -517,26 +645,34 @@ def t4(s, d):
 
 
 def _mosaic(s: SparkSession, d: str) -> DataFrame:
-    """Four images side by side as 16 x 16; incomplete groups are dropped."""
+    """Four images side by side as 16 x 16; missing ones are zero."""
     x = M.img(s, d).select(F.floor(F.col("vec_id") / 4).alias("m"), (F.col("y") + F.floor(F.pmod("vec_id", F.lit(4)) / 2) * 8).cast("int").alias("y"), (F.col("x") + F.pmod("vec_id", F.lit(2)) * 8).cast("int").alias("x"), "re", "im")
-    full = x.groupBy("m").count().where("count = 256").select("m")
-    return M.cells_to_tiles(x.join(full, "m", "left_semi"), ["m"], ["y", "x"], [16, 16])
+    return M.cells_to_tiles(x, ["m"], ["y", "x"], [16, 16])
+
+
+@query("t4_psf_plane", "+k AS (SELECT (sp*8+q)::INT AS s, (q-4)*sin(sp*pi()/6) AS ky, (q-4)*cos(sp*pi()/6) AS kx FROM range(6) a(sp), range(8) b(q)), w AS (SELECT vec_id, (i)::INT AS s, embedding[i+1]::DOUBLE*embedding[i+1]::DOUBLE AS w FROM embeddings, range(48) t(i)) SELECT vec_id, u::INT AS y, v::INT AS x, [[sum(w*cos(2*pi()*(ky*(u-8)+kx*(v-8))/8))/64]] AS re, [[sum(w*sin(2*pi()*(ky*(u-8)+kx*(v-8))/8))/64]] AS im FROM w JOIN k USING (s), range(16) a(u), range(16) b(v) GROUP BY 1,2,3")
+def t4_plane(s, d):
+    w = M.tile(s, d).withColumns({"re": F.slice("re", 1, 48), "im": F.slice("im", 1, 48)}).drop("shape")
+    return out(M.tiles_to_cells(T.tile_map(w, (48,), lambda v: K.psf(np.abs(v) ** 2, _spokes(), (8, 8))), ["y", "x"], [16, 16]), *IM)
 
 
 @query("t5_wavelet")
 def t5(s, d):
-    def thresholded(x: np.ndarray) -> np.ndarray:
-        bands = K.fwt(x, "dau2")
-        return K.iwt([bands[0], *((K.soft(b, 0.05), n) for b, n in bands[1:])], "dau2")
+    return out(M.tiles_to_cells(T.tile_map(_mosaic(s, d), None, lambda x: K.wavelet_soft(x, 0.05, "cdf44")), ["y", "x"]), "m", "y", "x", values=("re",))
 
-    return out(M.tiles_to_cells(T.tile_map(_mosaic(s, d), (16, 16), thresholded), ["y", "x"], [16, 16]), "m", "y", "x", values=("re",))
 
+@query("t5_haar_level", "+p AS (SELECT floor(vec_id/4)::BIGINT AS m, (y+floor((vec_id%4)/2)*8)::INT AS y, (x+(vec_id%2)*8)::INT AS x, re FROM img), z AS (SELECT m, a.y::INT AS y, b.x::INT AS x FROM (SELECT DISTINCT m FROM p), range(16) a(y), range(16) b(x)), f AS (SELECT z.*, coalesce(re,0) AS re FROM z LEFT JOIN p ON p.m=z.m AND p.y=z.y AND p.x=z.x) SELECT m, c::INT AS c, [[sum(CASE WHEN ((c//64)//2=1 AND y%2=1) <> ((c//64)%2=1 AND x%2=1) THEN -re ELSE re END)/2]] AS re FROM f JOIN range(256) r(c) ON (c%64)//8=y//2 AND c%8=x//2 GROUP BY 1,2", "img")
+def t5_haar(s, d):
+    return out(M.tiles_to_cells(T.tile_map(_mosaic(s, d), None, lambda x: K.fwt(x, (1, 2), "haar")), ["c"]), "m", "c", values=("re",))
 
-@query("t6_svd")
+
+@query("t6_svd", "SELECT vec_id, c, [[re]] AS re, [[im]] AS im FROM coils", "coils")
 def t6(s, d):
-    sv, v = T.singular_values(M.coils(s, d), "vec_id", "c", 32)
-    u = T.apply_channels(M.coils(s, d), (v / np.maximum(sv, 1e-12)).T[:3], "vec_id", "c")
-    return u.groupBy("v").agg(M.rounded(F.sqrt(F.sum(A.energy()))).alias("norm"))
+    """U, singular values and V of the samples by channels matrix, multiplied again."""
+    x = M.coils(s, d)
+    sv, v = T.singular_values(x, "vec_id", "c", 32)
+    u = T.apply_channels(x, (v / np.maximum(sv, 1e-12)).T, "vec_id", "c", "k")
+    return out(T.apply_channels(u, np.conj(v) * sv, "vec_id", "k", "c"), *CO)
 
 
 @query("t7_cc")
@@ -562,55 +698,44 @@ def t10(s, d):
     return out(W.casorati(R.extract(M.img(s, d), {"y": (2, 6), "x": (2, 6)}), [("y", 4, 2), ("x", 4, 2)]), "vec_id", "element", "block", values=("re",))
 
 
-MAPS = B.birdcage(4, (8, 8))
-MASK = np.where((np.arange(8)[:, None] % 2 == 0) | (np.abs(np.arange(8)[:, None] - 4) <= 1), 1.0, 0.0) * np.ones((8, 8))
-
+def _own_maps(s: SparkSession, d: str) -> DataFrame:
+    return C.caldir(M.kspace(s, d), 2)
 
-def _kspace(s: SparkSession, d: str, mask: np.ndarray = MASK) -> DataFrame:
-    return B.simulate_kspace(M.tile(s, d), MAPS, mask)
 
+def _pattern(s: SparkSession, d: str) -> DataFrame:
+    """A pattern per label: every second line for odd labels, every one for even ones, and the two in the middle."""
+    line = lambda p: ((F.floor(p / 4) % (1 + F.col("label") % 2) == 0) | F.floor(p / 4).between(1, 2)).cast("double")
+    p = M.table(s, d, "embeddings").select("label").distinct().withColumn("re", F.transform(F.sequence(F.lit(0), F.lit(15)), line))
+    return p.withColumn("im", F.transform("re", lambda v: v * 0))
 
-def _coil_cells(df: DataFrame, n: int = 4) -> DataFrame:
-    return M.tiles_to_cells(df, ["coil", "y", "x"], [n, 8, 8])
 
+PATTERN = "(y % (1+label%2)=0 OR y BETWEEN 1 AND 2)"
 
-@query("t11_caldir")
-def t11(s, d):
-    def low(y: np.ndarray) -> np.ndarray:
-        c = np.zeros_like(y)
-        c[:, :, 2:6, 2:6] = y[:, :, 2:6, 2:6]
-        im = K.fft(c, (2, 3), inverse=True, unitary=True)
-        return im / np.maximum(np.sqrt((np.abs(im) ** 2).sum(1, keepdims=True)), 1e-12)
 
-    return out(_coil_cells(T.tile_map(_kspace(s, d), (4, 8, 8), low)), "vec_id", "coil", "y", "x")
+def _sides(s: SparkSession, d: str) -> tuple:
+    """k-space, and the maps of every item and the pattern of every label as tables."""
+    return M.kspace(s, d), (_own_maps(s, d), ["vec_id"]), (_pattern(s, d), ["label"])
 
 
-@query("t12_walsh")
-def t12(s, d):
-    def maps(y: np.ndarray) -> np.ndarray:
-        im = K.fft(y, (2, 3), inverse=True, unitary=True)
-        c = np.einsum("baij,bcij->bijac", im, np.conj(im))
-        c = sum(np.roll(c, (p, q), (1, 2)) for p in (-1, 0, 1) for q in (-1, 0, 1))
-        return np.moveaxis(K.dominant(c)[1], -1, 1)
+def _coil_cells(df: DataFrame) -> DataFrame:
+    return out(M.tiles_to_cells(df, ["coil", "y", "x"]), "vec_id", "coil", "y", "x")
 
-    return out(_coil_cells(T.tile_map(_kspace(s, d), (4, 8, 8), maps)), "vec_id", "coil", "y", "x")
 
+MAPS = LOW + IDFT.format("l") + ", n AS (SELECT vec_id, y, x, greatest(sqrt(sum(re*re+im*im)),1e-12) AS n FROM i GROUP BY 1,2,3), m AS (SELECT vec_id, coil, y, x, re/n AS re, im/n AS im FROM i JOIN n USING (vec_id,y,x))"
+query("t11_caldir", "+" + MAPS + " SELECT vec_id, coil, y, x, [[re]] AS re, [[im]] AS im FROM m", "kspace")(lambda s, d: _coil_cells(_own_maps(s, d)))
+query("t12_walsh")(lambda s, d: _coil_cells(C.walsh(M.kspace(s, d))))
+query("t13_ecalib")(lambda s, d: _coil_cells(C.ecalib(M.kspace(s, d), 2, 0.02, 0.5)))
+UNITARY = "f AS (SELECT vec_id, u::INT AS y, v::INT AS x, sum(re*cos(t))/8 AS re, -sum(re*sin(t))/8 AS im FROM (SELECT vec_id, u, v, re, 2*pi()*((u-4)*(y-4)+(v-4)*(x-4))/8 AS t FROM img, range(8) a(u), range(8) b(v)) GROUP BY 1,2,3)"
 
-@query("t13_ecalib")
-def t13(s, d):
-    m = T.tile_map(_kspace(s, d, np.ones((8, 8))), (4, 8, 8), lambda y: np.stack([K.espirit(k) for k in y]))
-    return _coil_cells(m).groupBy("vec_id", "y", "x").agg(F.round(F.sum(A.energy()), 4).alias("norm"))
 
-
-@query("t14_kernels", None)
+@query("t14_kernels", "+" + UNITARY + " SELECT vec_id, y-2 AS y, x-2 AS x, [[re]] AS re, [[im]] AS im FROM f WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5", "img")
 def t14(s, d):
-    def smooth(x: np.ndarray) -> np.ndarray:
-        k = K.fft(x, (1, 2), unitary=True)
-        c = np.zeros_like(k)
-        c[:, 2:6, 2:6] = k[:, 2:6, 2:6]
-        return K.fft(c, (1, 2), inverse=True, unitary=True)
+    return out(M.tiles_to_cells(C.maps_to_kernels(M.tile(s, d), 4), ["y", "x"]), *IM)
+
 
-    return out(M.tiles_to_cells(T.tile_map(M.tile(s, d), (8, 8), smooth), ["y", "x"], [8, 8]), *IM)
+@query("t14_maps", "+" + UNITARY + " SELECT vec_id, u::INT AS y, v::INT AS x, [[sum(re*cos(t)-im*sin(t))/8]] AS re, [[sum(re*sin(t)+im*cos(t))/8]] AS im FROM (SELECT f.*, u, v, 2*pi()*((u-4)*(y-4)+(v-4)*(x-4))/8 AS t FROM f, range(8) a(u), range(8) b(v) WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5) GROUP BY 1,2,3", "img")
+def t14_maps(s, d):
+    return out(M.tiles_to_cells(C.kernels_to_maps(C.maps_to_kernels(M.tile(s, d), 4), (8, 8)), ["y", "x"]), *IM)
 
 
 @query("t15_low_rank")
@@ -619,7 +744,7 @@ def t15(s, d):
     return out(M.tiles_to_cells(B.locally_low_rank(t, "g", "frame", (8, 8), 4, 0.2), ["y", "x"], [8, 8]), "g", "frame", "y", "x", values=("re",))
 
 
-@query("t16_estshift")
+@query("t16_estshift", "SELECT vec_id, 1.0::DOUBLE AS dy, 0.0::DOUBLE AS dx FROM embeddings")
 def t16(s, d):
     x = M.tile(s, d).withColumns({"re2": F.concat(F.slice("re", 9, 56), F.slice("re", 1, 8)), "im2": F.col("im")})
     return out(T.tile_values(x, (8, 8), K.shift, ["dy", "dx"], (("re", "im"), ("re2", "im2"))), "vec_id", values=("dy", "dx"))
@@ -629,26 +754,76 @@ def t16(s, d):
 
 
 def _image(df: DataFrame) -> DataFrame:
-    return out(M.tiles_to_cells(df, ["y", "x"], [8, 8]), *IM)
+    return out(M.tiles_to_cells(df, ["y", "x"]), *IM)
 
 
-query("b1_sense")(lambda s, d: _image(B.sense_adjoint(_kspace(s, d), MAPS, MASK)))
+def sense(k: str) -> str:
+    """SQL of the SENSE adjoint a of the k-space table k, whose rows carry the pattern already."""
+    return f"s AS (SELECT vec_id, coil, u::INT AS y, v::INT AS x, sum(re*cos(t)-im*sin(t))/4 AS re, sum(re*sin(t)+im*cos(t))/4 AS im FROM (SELECT k.*, u, v, 2*pi()*((u-2)*(y-2)+(v-2)*(x-2))/4 AS t FROM {k} k, range(4) a(u), range(4) b(v)) GROUP BY 1,2,3,4), a AS (SELECT vec_id, y, x, sum(m.re*s.re+m.im*s.im) AS re, sum(m.re*s.im-m.im*s.re) AS im FROM s JOIN m USING (vec_id,coil,y,x) GROUP BY 1,2,3)"
+
+
+SAMPLED = f", k AS (SELECT * FROM kspace WHERE {PATTERN})"
+query("b1_sense", "+" + MAPS + SAMPLED + ", " + sense("k") + " SELECT vec_id, y, x, [[re]] AS re, [[im]] AS im FROM a", "kspace")(lambda s, d: _image(B.sense_adjoint(*_sides(s, d))))
+FIXED = np.stack([np.exp(0.3j * np.add.outer(np.arange(8), c * np.arange(8))) / 2 for c in range(4)])
 
 
 @query("b2_noncartesian")
 def b2(s, d):
     k = _spokes()
-    fwd = lambda x: np.stack([K.nufft(x * m, k) for m in MAPS], 1)
-    adj = lambda y: sum(np.conj(m) * K.nufft_adjoint(y[:, i], k, (8, 8)) for i, m in enumerate(MAPS))
-    return _image(T.tile_map(M.tile(s, d), (8, 8), lambda x: adj(fwd(x))))
+    w = np.hypot(k[:, 0], k[:, 1]) / 4 + 0.25
+    return _image(B.nufft_sense_adjoint(B.nufft_sense(M.tile(s, d), (8, 8), FIXED, k, w), FIXED, k, w))
+
+
+@query("b2_samples", "+k AS (SELECT (sp*8+q)::INT AS s, (q-4)*sin(sp*pi()/6) AS ky, (q-4)*cos(sp*pi()/6) AS kx FROM range(6) a(sp), range(8) b(q)), e AS (SELECT vec_id, c::INT AS coil, s, re, 0.3*(y+c*x) - 2*pi()*(ky*(y-4)+kx*(x-4))/8 AS t, sqrt(ky*ky+kx*kx)/4+0.25 AS w FROM img, k, range(4) r(c)) SELECT vec_id, coil, s, [[sum(w*re*cos(t))/16]] AS re, [[sum(w*re*sin(t))/16]] AS im FROM e GROUP BY 1,2,3", "img")
+def b2_samples(s, d):
+    k = _spokes()
+    y = B.nufft_sense(M.tile(s, d), (8, 8), FIXED, k, np.hypot(k[:, 0], k[:, 1]) / 4 + 0.25)
+    return out(M.tiles_to_cells(y, ["coil", "s"]), "vec_id", "coil", "s")
+
+
+@query("b3_cg")
+def b3(s, d):
+    return _image(B.cg_sense(*_sides(s, d), 40, 0.05, 0.01))
+
+
+@query("b3_tikhonov", "+" + MAPS + ", k AS (SELECT * FROM kspace), " + sense("k") + ", r AS (SELECT vec_id, y, x, sum(re*re+im*im) AS w FROM m GROUP BY 1,2,3) SELECT vec_id, y, x, [[re/(w+0.5)]] AS re, [[im/(w+0.5)]] AS im FROM a JOIN r USING (vec_id,y,x)", "kspace")
+def b3_tikhonov(s, d):
+    """With every line measured the damped least squares solution is a quotient per voxel."""
+    k, maps, _ = _sides(s, d)
+    return _image(B.cg_sense(k, maps, np.ones((4, 4)), 40, 0.5))
+
 
+query("b4_pics")(lambda s, d: _image(B.pics(*_sides(s, d), 0.01, eigen_step=True)))
 
-query("b3_cg", "SELECT vec_id, y, x, round(re,3)+0.0::DOUBLE AS re FROM img", "img")(lambda s, d: M.tiles_to_cells(B.cg_sense(_kspace(s, d), MAPS, MASK, 80), ["y", "x"], [8, 8]).select(*IM, M.rounded("re", 3).alias("re")))
-ORACLES.pop("b3_cg")  # the solution agrees to about 1e-6, so single values may round to either side
-query("b4_pics")(lambda s, d: _image(B.pics(_kspace(s, d), MAPS, MASK, 0.01)))
-query("b5_admm")(lambda s, d: _image(B.admm_tv(_kspace(s, d), MAPS, MASK, 0.01)))
-query("b6_pocsense")(lambda s, d: out(_coil_cells(B.pocsense(_kspace(s, d), MAPS, MASK, 20)), "vec_id", "coil", "y", "x"))
-query("b7_nlinv")(lambda s, d: _image(B.nlinv(_kspace(s, d), 4, (8, 8), MASK)))
+
+@query("b4_wavelet")
+def b4_wavelet(s, d):
+    """One coil of 16 x 16: the mosaic's spectrum, of which every second line is known, with a wavelet term."""
+    k = T.tile_map(_mosaic(s, d), None, lambda x: K.fft(x, (1, 2), unitary=True)[:, None])
+    mask = np.where((np.arange(16)[:, None] % 2 == 0) | (np.abs(np.arange(16)[:, None] - 8) <= 2), 1.0, 0.0) * np.ones((16, 16))
+    return out(M.tiles_to_cells(B.pics(k, np.ones((1, 16, 16)), mask, 0.01, wavelet="dau2"), ["y", "x"]), "m", "y", "x")
+
+
+query("b5_admm")(lambda s, d: _image(B.admm_tv(*_sides(s, d), 0.01)))
+query("b5_primal_dual")(lambda s, d: _image(B.primal_dual(*_sides(s, d), 0.01, 0.005)))
+query("b6_pocsense")(lambda s, d: _coil_cells(B.pocsense(*_sides(s, d), 20)))
+query("b6_robust")(lambda s, d: _coil_cells(B.pocsense(*_sides(s, d), 20, 0.01, robust=0.02)))
+query("b7_nlinv")(lambda s, d: _image(B.nlinv(M.kspace(s, d), (_pattern(s, d), ["label"]))))
+
+
+@query("b7_coils")
+def b7_coils(s, d):
+    return out(M.tiles_to_cells(B.nlinv(M.kspace(s, d), (_pattern(s, d), ["label"]), coils=True), ["plane", "y", "x"]), "vec_id", "plane", "y", "x")
+
+
+@query("b8_recovery", "SELECT p_partkey, round(p_retailprice,2)+0.0::DOUBLE AS m0, round(400.0+20*p_size,2)+0.0::DOUBLE AS t1 FROM part")
+def b8_recovery(s, d):
+    times = [50.0, 200.0, 400.0, 800.0, 1500.0, 2500.0, 4000.0, 6000.0]
+    at = F.get(F.array(*map(F.lit, times)), F.col("e"))
+    x = M.table(s, d, "part").select("p_partkey", "p_size", "p_retailprice", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("e"))
+    x = x.select("p_partkey", "e", (F.col("p_retailprice") * (1 - 2 * F.exp(-at / (400.0 + 20 * F.col("p_size"))))).alias("re"))
+    f = B.fit_voxels(x, "p_partkey", times, K.fit_recovery, (1.0, 900.0), ("m0", "t1"))
+    return f.select("p_partkey", M.rounded("m0", 2).alias("m0"), M.rounded("t1", 2).alias("t1"))
 
 
 @query("b8_mobafit", "SELECT p_partkey, round(p_retailprice,3)+0.0::DOUBLE AS m0, round(20.0+p_size,3)+0.0::DOUBLE AS t2 FROM part")
@@ -681,7 +856,18 @@ query("b13_tgv")(lambda s, d: _image(T.tile_map(M.tile(s, d), (8, 8), lambda x:
 query("b14_nlmeans")(lambda s, d: _image(T.tile_map(M.tile(s, d), (8, 8), lambda x: K.nlmeans(x, 3, 2, 0.1))))
 query("b15_homodyne")(lambda s, d: _image(T.tile_map(M.tile(s, d), (8, 8), lambda x: K.homodyne(K.fft(x, (1, 2), unitary=True), 0.75) + 0j)))
 _PH = np.exp(0.2j * np.arange(8)[:, None] * np.ones((8, 8)))
-query("b16_field_corrected")(lambda s, d: _image(B.field_corrected(M.tile(s, d), (8, 8), [np.ones((8, 8)), _PH], [np.full((8, 8), 0.5), np.conj(_PH) * 0.5])))
+SEGMENTS = [np.ones((8, 8)), _PH], [np.full((8, 8), 0.5), np.conj(_PH) * 0.5]
+
+
+@query("b16_field_corrected", "+e AS (SELECT vec_id, l, u, v, re, 0.2*l*y - 2*pi()*((u-4)*(y-4)+(v-4)*(x-4))/8 - 0.2*l*u AS t FROM img, range(2) s(l), range(8) a(u), range(8) b(v)) SELECT vec_id, u::INT AS y, v::INT AS x, [[sum(re*cos(t))/16]] AS re, [[sum(re*sin(t))/16]] AS im FROM e GROUP BY 1,2,3", "img")
+def b16(s, d):
+    return _image(B.field_corrected(M.tile(s, d), None, *SEGMENTS))
+
+
+@query("b16_adjoint", "+e AS (SELECT vec_id, l, u, v, re, 0.2*l*y + 2*pi()*((u-4)*(y-4)+(v-4)*(x-4))/8 - 0.2*l*u AS t FROM img, range(2) s(l), range(8) a(u), range(8) b(v)) SELECT vec_id, u::INT AS y, v::INT AS x, [[sum(re*cos(t))/16]] AS re, [[sum(re*sin(t))/16]] AS im FROM e GROUP BY 1,2,3", "img")
+def b16_adjoint(s, d):
+    return _image(B.field_corrected(M.tile(s, d), None, *SEGMENTS, adjoint=True))
+
 
 # streaming
 
@@ -692,7 +878,8 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 
 @query("x1_frames", "SELECT user_id, date_trunc('day', ts) AS start, count(*) AS n, [[sum(value)]] AS total FROM events GROUP BY 1,2")
 def x1(s, d):
-    got = X.run(X.frames(_events(s, d), "user_id", "ts", "value", "1 day", "365 days"), "frames", mode="update")
+    span = M.table(s, d, "events").select(F.datediff(F.max("ts"), F.min("ts")).alias("n")).first()["n"] or 0
+    got = X.run(X.frames(_events(s, d), "user_id", "ts", "value", "1 day", f"{span + 1} days"), "frames", mode="update")  # nothing in the table is late
     return X.latest(got, ["user_id", "start"]).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", M.rounded("total").alias("total"))
 
 
@@ -703,19 +890,20 @@ def x2(s, d):
     return X.latest(got, ["segment"]).select("segment", "n", M.rounded("total").alias("total"))
 
 
-@query("x3_damped")
+@query("x3_damped", "+e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT a.user_id, a.event_id, round(sum(b.value*pow(0.9::DOUBLE, a.n-b.n)),4)+0.0::DOUBLE AS state FROM e a JOIN e b ON a.user_id=b.user_id AND b.n<=a.n GROUP BY 1,2")
 def x3(s, d):
-    return out(X.run(X.damped(_events(s, d), "user_id", "event_id", "value", 0.9), "damped"), "user_id", "event_id", values=("state",))
+    span = M.table(s, d, "events").select(F.datediff(F.max("ts"), F.min("ts")).alias("n")).first()["n"] or 0
+    events, close = X.ending(s, _events(s, d), "ts", "user_id")
+    got = X.run(X.damped(events, "user_id", "ts", "event_id", "value", 0.9, f"{span + 1} days"), "damped", close=close)
+    return got.where("user_id >= 0").select("user_id", "event_id", M.rounded("state", 4).alias("state"))
 
 
-@query("x4_tee", "SELECT event_id, [[value]] AS value FROM events WHERE event_type='click'")
+@query("x4_tee", "SELECT event_id, event_type='click' AS kept, [[value]] AS value FROM events")
 def x4(s, d):
-    def tee(batch: DataFrame, base: str) -> DataFrame:
-        batch.persist()
-        batch.where("event_type <> 'click'").write.mode("append").parquet(f"{base}/rest")
-        return batch.where("event_type = 'click'")
-
-    return X.run(_events(s, d), "tee", tee).select("event_id", M.rounded("value").alias("value"))
+    rest = f"{shared_folder(s)}/rest-{uuid.uuid4().hex}"
+    kept = X.run(_events(s, d), "tee", X.tee(rest, "event_type = 'click'"))
+    other = s.read.parquet(rest).drop("micro_batch")
+    return kept.withColumn("kept", F.lit(True)).drop("batch").unionByName(other.withColumn("kept", F.lit(False))).select("event_id", "kept", M.rounded("value").alias("value"))
 
 
 # user functions
@@ -732,7 +920,32 @@ def u2(s, d):
     return f.select("p_partkey", M.rounded("m0", 2).alias("m0"), M.rounded("r2", 4).alias("r2"))
 
 
-query("u3_denoiser_prior")(lambda s, d: _image(B.pics(_kspace(s, d), MAPS, MASK, 0.0, 15, lambda x, rate: K.rof(x, 0.01 * rate, 10))))
+@query("u1_registry", "SELECT vec_id, y, x, [[2*re]] AS re, [[2*im]] AS im FROM img", "img")
+def u1_registry(s, d):
+    known = B.Registry()
+    known.add("twice", forward=lambda x: 2 * x, adjoint=lambda y: 2 * y)
+    return _image(known.apply("twice", M.tile(s, d), None))
+
+
+query("u3_denoiser_prior")(lambda s, d: _image(B.pics(*_sides(s, d), 0.0, 15, lambda x, rate: K.rof(x, 0.01 * rate, 10))))
+
+
+@query("flow_sense", "+" + MAPS + SAMPLED + ", " + sense("k") + ", f AS (SELECT vec_id, y, x, sqrt(sum(re*re+im*im)) AS r FROM ff GROUP BY 1,2,3), p AS (SELECT a.vec_id, sqrt(a.re*a.re+a.im*a.im) AS v, r FROM a JOIN f USING (vec_id,y,x)), q AS (SELECT vec_id, sqrt(greatest(sum(v*v)-sum(v*r)*sum(v*r)/sum(r*r),0)/(sum(v*r)*sum(v*r)/sum(r*r))) AS e FROM p GROUP BY 1) SELECT label, count(*)::DOUBLE AS count, [[avg(e)]] AS mean, [[max(e)]] AS worst FROM q JOIN embeddings USING (vec_id) GROUP BY 1".replace(", f AS", ", " + IDFT.format("kspace").replace("i AS", "ff AS", 1) + ", f AS", 1), "kspace")
+def flow_sense(s, d):
+    """Pattern of each label, maps from each item's own centre, SENSE, and its scaled error from the root of sums of squares of all data, by label."""
+    image = M.tiles_to_cells(B.sense_adjoint(*_sides(s, d)), ["y", "x"]).withColumns({"re": E.modulus(), "im": F.lit(0.0)})
+    full = M.tiles_to_cells(T.tile_map(M.kspace(s, d), None, lambda y: K.fft(y, (2, 3), inverse=True, unitary=True)), ["coil", "y", "x"])
+    e = A.nrmse(image, A.rss(full, ["vec_id", "y", "x"]), ["vec_id", "y", "x"], ["vec_id"], True)
+    by = e.join(M.table(s, d, "embeddings").select("vec_id", "label"), "vec_id").groupBy("label")
+    return out(by.agg(F.count("*").cast("double").alias("count"), F.avg("nrmse").alias("mean"), F.max("nrmse").alias("worst")), "label", values=("count", "mean", "worst"))
+
+
+@query("flow_voxel_fit", "SELECT p_size % 5 AS region, count(*)::DOUBLE AS count, [[avg(20.0+p_size)]] AS mean, [[stddev_pop(20.0+p_size)]] AS std FROM part GROUP BY 1")
+def flow_voxel_fit(s, d):
+    """Straight line through the logarithms, then statistics of T2 by region."""
+    fit = B.log_linear(M.echo(s, d), "p_partkey", "te").join(M.table(s, d, "part").select("p_partkey", (F.col("p_size") % 5).alias("region")), "p_partkey")
+    stat = A.region_statistics(fit.select("region", F.col("t2").alias("re"), F.lit(0.0).alias("im")), "region")
+    return out(stat, "region", values=("count", "mean", "std"))
 
 
 @query("flow_coil_image", "+k AS (SELECT vec_id, label, u, v, sum(re*cos(2*pi()*((u-4)*(y-4)+(v-4)*(x-4))/8))/8 AS re, sum(re*sin(2*pi()*((u-4)*(y-4)+(v-4)*(x-4))/8))/8 AS im FROM img, range(8) a(u), range(8) b(v) GROUP BY 1,2,3,4), m AS (SELECT label, u, v, sqrt(sum(re*re+im*im)) AS re FROM k GROUP BY 1,2,3) SELECT label, count(*)::DOUBLE AS count, [[avg(re)]] AS mean, [[stddev_pop(re)]] AS std FROM m GROUP BY 1", "img")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .joins import small
+
 
 def extract(df: DataFrame, block: dict[str, tuple[int, int]]) -> DataFrame:
     """Half-open block per axis, moved to the origin."""
@@ -54,7 +56,7 @@ def pad(df: DataFrame, axis: str, n: int, before: int, after: int, mode: str = "
         return df.withColumn(axis, F.col(axis) + before)
     t = df.sparkSession.range(before + n + after).select(F.col("id").cast("int").alias("__t"))
     t = t.withColumn("__s", source_index(F.col("__t") - before, n, mode).cast("int"))
-    return df.join(F.broadcast(t), F.col(axis) == F.col("__s")).withColumn(axis, F.col("__t")).drop("__t", "__s")  # n + before + after rows
+    return df.join(small(t, before + n + after), F.col(axis) == F.col("__s")).withColumn(axis, F.col("__t")).drop("__t", "__s")
 
 
 def flip(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
@@ -120,6 +122,61 @@ def compress(df: DataFrame, mask: DataFrame, axes: Sequence[str]) -> DataFrame:
     return df.join(mask.where("re <> 0").select(*axes), list(axes), "left_semi")
 
 
+def expand(df: DataFrame, mask: DataFrame, axes: Sequence[str], kept: Sequence[str] = ()) -> DataFrame:
+    """Adjoint of ``compress``: a cell wherever the mask is not zero, zero where the compressed cells have none."""
+    m = mask.where("re <> 0").select(*axes)
+    return m.join(df, list(axes), "left").select(*axes, *kept, F.coalesce("re", F.lit(0.0)).alias("re"), F.coalesce("im", F.lit(0.0)).alias("im"))
+
+
+def block_diagonal(parts: Sequence[tuple[DataFrame, int, Callable[[DataFrame], DataFrame], int]], axis: str) -> DataFrame:
+    """Operators on parts of their own, results end to end: (cells, _, operator, size of its result)."""
+    return concatenate([(fn(df), n) for df, _, fn, n in parts], axis)
+
+
+def block_row(parts: Sequence[tuple[DataFrame, Callable[[DataFrame], DataFrame]]], axes: Sequence[str]) -> DataFrame:
+    """Operators side by side: their results add up."""
+    return add_parts([fn(df) for df, fn in parts], axes)
+
+
+def block_matrix(rows: Sequence[tuple[Sequence[Callable[[DataFrame], DataFrame] | None], int]], parts: Sequence[DataFrame], axes: Sequence[str], axis: str) -> DataFrame:
+    """A matrix of operators (None is zero): each row adds up over the parts, rows lie end to end; (operators, size of the row's result)."""
+    return concatenate([(block_row([(p, fn) for p, fn in zip(parts, ops, strict=True) if fn is not None], axes), n) for ops, n in rows], axis)
+
+
+def full(spark: SparkSession, sizes: dict[str, int], value: complex = 1.0) -> DataFrame:
+    """A constant array: a cell for every position."""
+    df = spark.range(math.prod(sizes.values()))
+    step = 1
+    for axis, n in reversed(sizes.items()):
+        df = df.withColumn(axis, F.pmod(F.floor(F.col("id") / step), F.lit(n)).cast("int"))
+        step *= n
+    v = complex(value)
+    return df.select(*sizes, F.lit(v.real).alias("re"), F.lit(v.imag).alias("im"))
+
+
+def ones(spark: SparkSession, sizes: dict[str, int]) -> DataFrame:
+    return full(spark, sizes)
+
+
+def zeros(spark: SparkSession, sizes: dict[str, int]) -> DataFrame:
+    """Cells that say zero; an absent cell means the same."""
+    return full(spark, sizes, 0.0)
+
+
+def vector(spark: SparkSession, values: Sequence[complex], axis: str = "i") -> DataFrame:
+    """Listed values along one axis."""
+    rows = F.explode(F.array(*(F.struct(F.lit(i).alias(axis), F.lit(complex(v).real).alias("re"), F.lit(complex(v).imag).alias("im")) for i, v in enumerate(values))))
+    return spark.range(1).select(rows.alias("v")).select("v.*")
+
+
+def delta(df: DataFrame, axes: Sequence[str]) -> DataFrame:
+    """1 where all the axes of a cell agree, else 0."""
+    same = F.lit(True)
+    for a in axes[1:]:
+        same = same & (F.col(a) == F.col(axes[0]))
+    return df.withColumns({"re": same.cast("double"), "im": F.lit(0.0)})
+
+
 def index(spark: SparkSession, n: int, low: float | None = None, high: float | None = None, log: bool = False) -> DataFrame:
     """0..n-1, or n values from low to high, evenly or by a constant factor."""
     df = spark.range(n).select(F.col("id").cast("int").alias("i"))
@@ -130,9 +187,12 @@ def index(spark: SparkSession, n: int, low: float | None = None, high: float | N
     return df.select("i", v.alias("re"), F.lit(0.0).alias("im"))
 
 
-def grid(df: DataFrame, sizes: dict[str, int], kspace: bool = False) -> DataFrame:
-    """Coordinates i - n // 2 of every cell, in units of the field of view unless ``kspace``."""
-    return df.withColumns({f"p{a}": (F.col(a) - n // 2) / (1.0 if kspace else float(n)) for a, n in sizes.items()})
+def grid(df: DataFrame, sizes: dict[str, int], kspace: bool = False, time: tuple[str, float, float] | None = None) -> DataFrame:
+    """Coordinates i - n // 2 of every cell, in units of the field of view unless ``kspace``; time: (axis, start, step)."""
+    out = {f"p{a}": (F.col(a) - n // 2) / (1.0 if kspace else float(n)) for a, n in sizes.items()}
+    if time is not None:
+        out[f"p{time[0]}"] = F.lit(float(time[1])) + F.col(time[0]) * float(time[2])
+    return df.withColumns(out)
 
 
 def polynomial(df: DataFrame, x: str, coefficients: Sequence[float]) -> DataFrame:
@@ -141,10 +201,20 @@ def polynomial(df: DataFrame, x: str, coefficients: Sequence[float]) -> DataFram
     return df.withColumns({"re": v, "im": F.lit(0.0)})
 
 
-def radial(spokes: DataFrame, spoke: str, n: int, samples: int, golden: bool = False) -> DataFrame:
-    """Coordinates (kx, ky) in grid units of radial spokes, even or by the golden angle."""
-    t = F.col(spoke) * (math.pi * (math.sqrt(5) - 1) / 2 if golden else math.pi / n)
-    r = F.col("sample") - samples / 2
+def cartesian(lines: DataFrame, line: str, n: int, samples: int) -> DataFrame:
+    """Coordinates (kx, ky) in grid units of readouts along x, line by line."""
+    out = lines.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    return out.withColumns({"kx": F.col("sample") - float(samples // 2), "ky": F.col(line) - float(n // 2)})
+
+
+def radial(spokes: DataFrame, spoke: str, n: int, samples: int, golden: bool = False, full_circle: bool = False, oversampling: float = 1.0, half_sample: bool = False) -> DataFrame:
+    """Coordinates (kx, ky) in grid units of radial spokes, even (over half or the full circle) or by the golden angle.
+
+    ``oversampling`` divides the step between samples; ``half_sample`` moves them by half a step, so that
+    they are symmetric about zero.
+    """
+    t = F.col(spoke) * (math.pi * (math.sqrt(5) - 1) / 2 if golden else (2 if full_circle else 1) * math.pi / n)
+    r = (F.col("sample") - samples / 2 + (0.5 if half_sample else 0.0)) / oversampling
     return spokes.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumns({"kx": r * F.cos(t), "ky": r * F.sin(t)})
 
 

@@ -6,7 +6,7 @@ import math
 import re as _re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -94,9 +94,12 @@ def component_diagonal(df: DataFrame, wre: float, wim: float) -> DataFrame:
 def soft_threshold(df: DataFrame, lam: float, joint_over: Sequence[str] | None = None) -> DataFrame:
     """x * max(1 - lam / |x|, 0); with ``joint_over`` the norm is taken over all cells that agree on those axes."""
     e = F.col("re") ** 2 + F.col("im") ** 2
-    m = F.sqrt(F.sum(e).over(Window.partitionBy(*joint_over)) if joint_over is not None else e)
+    m = F.sqrt(e)
+    if joint_over is not None:  # aggregated first, so a large group never sits in one window partition
+        norms = df.groupBy(*joint_over).agg(F.sqrt(F.sum(e)).alias("__m"))
+        df, m = df.join(norms, list(joint_over)) if joint_over else df.crossJoin(F.broadcast(norms)), F.col("__m")  # of one row
     df = df.withColumn("__f", F.when(m == 0, 0.0).otherwise(F.greatest(1 - lam / m, F.lit(0.0))))
-    return _set(df, F.col("re") * F.col("__f"), F.col("im") * F.col("__f")).drop("__f")
+    return _set(df, F.col("re") * F.col("__f"), F.col("im") * F.col("__f")).drop("__f", "__m")
 
 
 def hard_threshold(df: DataFrame, lam: float) -> DataFrame:
@@ -147,6 +150,12 @@ def fft_modulation(df: DataFrame, sizes: dict[str, int], inverse: bool = False)
     return rotate(df, -t if inverse else t)
 
 
+def fov_shift_along(df: DataFrame, trajectory: DataFrame, on: Sequence[str], shift: dict[str, float]) -> DataFrame:
+    """exp(2 pi i k shift) of samples whose coordinates stand in a trajectory table; shift maps a coordinate to fields of view."""
+    t = sum((F.col(f"__{c}") * (2 * math.pi * v) for c, v in shift.items()), F.lit(0.0))
+    return rotate(df.join(trajectory.select(*on, *(F.col(c).alias(f"__{c}") for c in shift)), list(on)), t).drop(*(f"__{c}" for c in shift))
+
+
 def fov_shift(df: DataFrame, shift: dict[str, tuple[int, float]]) -> DataFrame:
     """exp(2 pi i k shift) with k = p - n // 2; shift maps an axis to (size, shift in fields of view)."""
     t = F.lit(0.0)

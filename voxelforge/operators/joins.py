@@ -45,10 +45,19 @@ def scatter(samples: DataFrame, axes: Sequence[str]) -> DataFrame:
     return samples.groupBy(*axes).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
-def data_consistency(x: DataFrame, y: DataFrame, axes: Sequence[str]) -> DataFrame:
-    """Measured cells of y win, others keep the iterate x."""
+def data_consistency(x: DataFrame, y: DataFrame, axes: Sequence[str], robust: float | None = None) -> DataFrame:
+    """Measured cells of y win, others keep the iterate x.
+
+    ``robust``: x plus the residual y - x soft-thresholded by it, so that small differences stay.
+    """
     m = y.select(*axes, F.col("re").alias("__r"), F.col("im").alias("__i"))
-    return x.join(m, list(axes), "left").withColumns({"re": F.coalesce("__r", "re"), "im": F.coalesce("__i", "im")}).drop("__r", "__i")
+    both = x.join(m, list(axes), "left")
+    if robust is None:
+        return both.withColumns({"re": F.coalesce("__r", "re"), "im": F.coalesce("__i", "im")}).drop("__r", "__i")
+    dr, di = F.coalesce(F.col("__r") - F.col("re"), F.lit(0.0)), F.coalesce(F.col("__i") - F.col("im"), F.lit(0.0))
+    size = F.sqrt(dr * dr + di * di)
+    f = F.when(size > robust, 1 - robust / size).otherwise(0.0)
+    return both.withColumns({"re": F.col("re") + f * dr, "im": F.col("im") + f * di}).drop("__r", "__i")
 
 
 def apply_matrix(df: DataFrame, matrix: DataFrame, axis: str, out: str, kept: Sequence[str]) -> DataFrame:

@@ -13,43 +13,82 @@ from ..functions import kernels as K
 from .transforms import tile_map, tile_values
 
 
-def birdcage(coils: int, shape: tuple[int, int]) -> np.ndarray:
-    """Smooth unit-norm sensitivities, for simulated encodings."""
-    y, x = np.mgrid[0 : shape[0], 0 : shape[1]]
-    t = 2 * np.pi * np.arange(coils) / coils
-    cy, cx = shape[0] / 2 + 0.7 * shape[0] * np.sin(t), shape[1] / 2 + 0.7 * shape[1] * np.cos(t)
-    d = np.hypot(y - cy[:, None, None], x - cx[:, None, None])
-    m = np.exp(-((d / max(shape)) ** 2)) * np.exp(1j * (t[:, None, None] + 0.1 * (x - y)))
-    return m / np.sqrt((np.abs(m) ** 2).sum(0, keepdims=True))
+#: Maps or a pattern for all items at once, or a table of tiles and the columns that join it.
+Side = np.ndarray | tuple[DataFrame, Sequence[str]]
 
 
-def simulate_kspace(tiles: DataFrame, maps: np.ndarray, mask: np.ndarray) -> DataFrame:
-    """Multi-coil k-space of images: re and im hold (coil, y, x)."""
-    return tile_map(tiles, maps.shape[1:], lambda x: K.sense_forward(x, maps, mask))
+def encoded(kspace: DataFrame, maps: Side, mask: Side, solve: Callable, shape: Sequence[int] | None = None) -> DataFrame:
+    """``solve(y, maps, mask)`` for every item, with the maps (coil, y, x) and the pattern (y, x) of its own.
+
+    Tables of maps and patterns are joined on the columns that they have (a pattern per slice, per label or
+    per study); arrays hold for all items.  Without ``shape`` every row's own one counts.
+    """
+    df, inputs, shapes, fixed = kspace, [("re", "im")], [shape], {}
+    sides = {"maps": (maps, shape), "mask": (mask, tuple(shape[-2:]) if shape else (lambda own: own[-2:]))}
+    for name, (side, size) in sides.items():
+        if isinstance(side, np.ndarray):
+            fixed[name] = side
+            continue
+        table, keys = side
+        df = df.join(table.select(*keys, F.col("re").alias(f"{name}_re"), F.col("im").alias(f"{name}_im")), list(keys))
+        inputs.append((f"{name}_re", f"{name}_im"))
+        shapes.append(size)
+    joined = [n for n in sides if n not in fixed]
+
+    def run(y: np.ndarray, *more: np.ndarray) -> np.ndarray:
+        own = fixed | dict(zip(joined, more, strict=True))
+        pattern = own["mask"] if own["mask"].ndim == 2 else own["mask"][:, None]
+        return solve(y, own["maps"], pattern)
+
+    return tile_map(df, shape, run, inputs, shapes)
+
+
+def normal_of(maps: np.ndarray, mask: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    return lambda x: K.sense_adjoint(K.sense_forward(x, maps, mask), maps, mask)
+
+
+def sense_forward(images: DataFrame, maps: Side, mask: Side, shape: Sequence[int] | None = None) -> DataFrame:
+    """Images that are stored as (1, y, x) to k-space (coil, y, x); the maps of a table must then have their shape given."""
+    return encoded(images, maps, mask, lambda x, m, p: K.sense_forward(x[:, 0], m, p), shape)
 
 
-def sense_adjoint(kspace: DataFrame, maps: np.ndarray, mask: np.ndarray) -> DataFrame:
-    return tile_map(kspace, maps.shape, lambda y: K.sense_adjoint(y, maps, mask))
+def sense_adjoint(kspace: DataFrame, maps: Side, mask: Side, shape: Sequence[int] | None = None) -> DataFrame:
+    return encoded(kspace, maps, mask, K.sense_adjoint, shape)
 
 
-def cg_sense(kspace: DataFrame, maps: np.ndarray, mask: np.ndarray, steps: int = 30, lam: float = 0.0) -> DataFrame:
-    normal = lambda x: K.sense_adjoint(K.sense_forward(x, maps, mask), maps, mask)
-    return tile_map(kspace, maps.shape, lambda y: K.conjugate_gradient(normal, K.sense_adjoint(y, maps, mask), steps, lam))
+def cg_sense(kspace: DataFrame, maps: Side, mask: Side, steps: int = 30, lam: float = 0.0, smooth: float = 0.0, shape: Sequence[int] | None = None) -> DataFrame:
+    """(A^H A + lam + smooth G^H G) x = A^H y, G being circular differences; converged items stop."""
 
+    def solve(y: np.ndarray, m: np.ndarray, p: np.ndarray) -> np.ndarray:
+        a = normal_of(m, p)
+        full = (lambda x: a(x) + smooth * K.grad_adjoint(K.grad(x))) if smooth else a
+        return K.conjugate_gradient(full, K.sense_adjoint(y, m, p), steps, lam)
 
-def pics(kspace: DataFrame, maps: np.ndarray, mask: np.ndarray, lam: float, steps: int = 30, prox: Callable | None = None, accelerate: bool = True) -> DataFrame:
-    """Proximal-gradient reconstruction with an image term (l1 by default) or a given prox, e.g. a denoiser."""
-    shrink = prox or (lambda x, rate: K.soft(x, lam * rate))
-    fwd, adj = lambda x: K.sense_forward(x, maps, mask), lambda y: K.sense_adjoint(y, maps, mask)
-    return tile_map(kspace, maps.shape, lambda y: K.fista(fwd, adj, y, shrink, steps, accelerate=accelerate))
+    return encoded(kspace, maps, mask, solve, shape)
 
 
-def admm_tv(kspace: DataFrame, maps: np.ndarray, mask: np.ndarray, lam: float, rho: float = 0.5, steps: int = 20) -> DataFrame:
+def pics(kspace: DataFrame, maps: Side, mask: Side, lam: float, steps: int = 30, prox: Callable | None = None, accelerate: bool = True, wavelet: str | None = None, eigen_step: bool = False, shape: Sequence[int] | None = None) -> DataFrame:
+    """Proximal-gradient reconstruction with an l1 term of the image or of its wavelet coefficients, or a given prox, e.g. a denoiser.
+
+    ``eigen_step`` divides the step by the largest eigenvalue of A^H A, found for every item.
+    """
+
+    def solve(y: np.ndarray, m: np.ndarray, p: np.ndarray) -> np.ndarray:
+        shrink = prox or (lambda x, rate: K.soft(x, lam * rate) if wavelet is None else K.wavelet_soft(x, lam * (rate[..., 0] if isinstance(rate, np.ndarray) else rate), wavelet))
+        rate: float | np.ndarray = 0.95
+        if eigen_step:
+            rate = 0.95 / np.maximum(K.largest_eigenvalue(normal_of(m, p), K.sense_adjoint(y, m, p)), 1e-12)[:, None, None]
+        return K.fista(lambda x: K.sense_forward(x, m, p), lambda r: K.sense_adjoint(r, m, p), y, shrink, steps, rate, accelerate)
+
+    return encoded(kspace, maps, mask, solve, shape)
+
+
+def admm_tv(kspace: DataFrame, maps: Side, mask: Side, lam: float, rho: float = 0.5, steps: int = 20, shape: Sequence[int] | None = None) -> DataFrame:
     """Total variation by ADMM with conjugate-gradient inner solves."""
 
-    def solve(y: np.ndarray) -> np.ndarray:
-        b = K.sense_adjoint(y, maps, mask)
-        normal = lambda x: K.sense_adjoint(K.sense_forward(x, maps, mask), maps, mask) + rho * K.grad_adjoint(K.grad(x))
+    def solve(y: np.ndarray, m: np.ndarray, p: np.ndarray) -> np.ndarray:
+        b, a = K.sense_adjoint(y, m, p), normal_of(m, p)
+        normal = lambda x: a(x) + rho * K.grad_adjoint(K.grad(x))
         z = np.zeros((len(b), 2, *b.shape[1:]), complex)
         w, x = np.zeros_like(z), b
         for _ in range(steps):
@@ -59,66 +98,113 @@ def admm_tv(kspace: DataFrame, maps: np.ndarray, mask: np.ndarray, lam: float, r
             w = g - z
         return x
 
-    return tile_map(kspace, maps.shape, solve)
+    return encoded(kspace, maps, mask, solve, shape)
 
 
-def pocsense(kspace: DataFrame, maps: np.ndarray, mask: np.ndarray, sweeps: int = 50, lam: float = 0.0) -> DataFrame:
-    """Sweeps of data consistency, projection on the coil model, and an optional threshold; gives k-space."""
+def primal_dual(kspace: DataFrame, maps: Side, mask: Side, lam: float, fourier: float = 0.0, steps: int = 60, shape: Sequence[int] | None = None) -> DataFrame:
+    """Primal-dual steps for total variation plus, with ``fourier``, an l1 term of the image's spectrum."""
 
-    def solve(y: np.ndarray) -> np.ndarray:
-        k, one = y.copy(), np.ones_like(mask)
+    def solve(y: np.ndarray, m: np.ndarray, p: np.ndarray) -> np.ndarray:
+        b, a = K.sense_adjoint(y, m, p), normal_of(m, p)
+        x, dual, spectrum = b.copy(), np.zeros((len(b), 2, *b.shape[1:]), complex), np.zeros_like(b)
+        tau, sigma = 0.3, 0.2  # tau (1 / 2 + 9 sigma) < 1: the largest eigenvalues are 1 of A^H A, 8 of G^H G, 1 of F^H F
+        clip = lambda v, top: v / np.maximum(1, np.abs(v) / max(top, 1e-300))
+        for _ in range(steps):
+            new = x - tau * (a(x) - b + K.grad_adjoint(dual) + K.fft(spectrum, (1, 2), inverse=True, unitary=True))
+            dual = clip(dual + sigma * K.grad(2 * new - x), lam)
+            spectrum = clip(spectrum + sigma * K.fft(2 * new - x, (1, 2), unitary=True), fourier)
+            x = new
+        return x
+
+    return encoded(kspace, maps, mask, solve, shape)
+
+
+def pocsense(kspace: DataFrame, maps: Side, mask: Side, sweeps: int = 50, lam: float = 0.0, wavelet: str | None = None, robust: float = 0.0, shape: Sequence[int] | None = None) -> DataFrame:
+    """Sweeps of data consistency, projection on the coil model, and an optional threshold; gives k-space.
+
+    ``robust`` keeps only what of the data's residual is beyond it, so that noise is not forced on the image.
+    """
+
+    def solve(y: np.ndarray, m: np.ndarray, p: np.ndarray) -> np.ndarray:
+        k, one = y.copy(), np.ones_like(p)
         for _ in range(sweeps):
-            x = K.sense_adjoint(k, maps, one)
-            x = K.soft(x, lam) if lam else x
-            k = K.sense_forward(x, maps, one)
-            k = (1 - mask) * k + mask * y
+            x = K.sense_adjoint(k, m, one)
+            x = (K.wavelet_soft(x, lam, wavelet) if wavelet else K.soft(x, lam)) if lam else x
+            k = K.sense_forward(x, m, one)
+            k = k + p * (K.soft(y - k, robust) if robust else y - k)
         return k
 
-    return tile_map(kspace, maps.shape, solve)
+    return encoded(kspace, maps, mask, solve, shape)
 
 
-def nlinv(kspace: DataFrame, coils: int, shape: tuple[int, int], mask: np.ndarray, steps: int = 6, a: float = 220.0, b: float = 32.0) -> DataFrame:
-    """Joint image and coils by a regularised Gauss-Newton method; the coil weight is (1 + a |k|^2)^(-b / 2)."""
-    ny, nx = shape
-    ky, kx = np.mgrid[-(ny // 2) : ny - ny // 2, -(nx // 2) : nx - nx // 2]
-    weight = (1 + a * ((ky / ny) ** 2 + (kx / nx) ** 2)) ** (-b / 2)
+def nlinv(kspace: DataFrame, mask: Side, steps: int = 6, a: float = 220.0, b: float = 32.0, coils: bool = False, shape: Sequence[int] | None = None) -> DataFrame:
+    """Joint image and coils by a regularised Gauss-Newton method; the coil weight is (1 + a |k|^2)^(-b / 2).
+
+    Gives the image times the root of sums of squares of the coils, or with ``coils`` a tile of
+    1 + coils planes: that image, then the coils over that root.
+    """
     f = lambda x: K.fft(x, (-2, -1), unitary=True)
     fh = lambda x: K.fft(x, (-2, -1), inverse=True, unitary=True)
 
-    def solve(y: np.ndarray) -> np.ndarray:
+    def solve(y: np.ndarray, _: np.ndarray, p: np.ndarray) -> np.ndarray:
+        ny, nx = y.shape[2:]
+        ky, kx = np.mgrid[-(ny // 2) : ny - ny // 2, -(nx // 2) : nx - nx // 2]
+        weight = (1 + a * ((ky / ny) ** 2 + (kx / nx) ** 2)) ** (-b / 2)
         norm = np.sqrt((np.abs(y) ** 2).sum((1, 2, 3), keepdims=True))
-        y = y * 100 / np.maximum(norm, 1e-300)
-        z = np.zeros((len(y), coils + 1, ny, nx), complex)
+        y = p * y * 100 / np.maximum(norm, 1e-300)
+        z = np.zeros((len(y), y.shape[1] + 1, ny, nx), complex)
         z[:, 0] = 1
         start, alpha = z.copy(), 1.0
         for _ in range(steps):
             m, c = z[:, 0], fh(weight * z[:, 1:])
-            fwd = lambda d, m=m, c=c: mask * f(d[:, :1] * c + m[:, None] * fh(weight * d[:, 1:]))
-            adj = lambda r, m=m, c=c: np.concatenate([(np.conj(c) * fh(mask * r)).sum(1, keepdims=True), weight * f(np.conj(m)[:, None] * fh(mask * r))], 1)
-            res = y - mask * f(m[:, None] * c)
+            fwd = lambda d, m=m, c=c: p * f(d[:, :1] * c + m[:, None] * fh(weight * d[:, 1:]))
+            adj = lambda r, m=m, c=c: np.concatenate([(np.conj(c) * fh(p * r)).sum(1, keepdims=True), weight * f(np.conj(m)[:, None] * fh(p * r))], 1)
+            res = y - p * f(m[:, None] * c)
             z = z + K.conjugate_gradient(lambda d: adj(fwd(d)), adj(res) + alpha * (start - z), 12, alpha)  # noqa: B023
             alpha /= 2
-        return z[:, 0] * np.sqrt((np.abs(fh(weight * z[:, 1:])) ** 2).sum(1)) * norm[:, 0] / 100
+        c = fh(weight * z[:, 1:])
+        root = np.sqrt((np.abs(c) ** 2).sum(1))
+        image = z[:, 0] * root * norm[:, 0] / 100
+        return np.concatenate((image[:, None], c / np.maximum(root, 1e-300)[:, None]), 1) if coils else image
+
+    return encoded(kspace, np.zeros(0), mask, solve, shape)
+
+
+def nufft_sense(images: DataFrame, shape: Sequence[int], maps: np.ndarray, trajectory: np.ndarray, weights: np.ndarray | None = None) -> DataFrame:
+    """W NUFFT S: images (y, x) to samples (coil, sample)."""
+    w = 1.0 if weights is None else weights
+    return tile_map(images, shape, lambda x: np.stack([w * K.nufft(x * m, trajectory) for m in maps], 1))
 
-    return tile_map(kspace, (coils, ny, nx), solve)
 
+def nufft_sense_adjoint(samples: DataFrame, maps: np.ndarray, trajectory: np.ndarray, weights: np.ndarray | None = None) -> DataFrame:
+    w = 1.0 if weights is None else np.conj(weights)
+    return tile_map(samples, (len(maps), len(trajectory)), lambda y: sum(np.conj(m) * K.nufft_adjoint(w * y[:, i], trajectory, m.shape) for i, m in enumerate(maps)))
 
-def field_corrected(tiles: DataFrame, shape: tuple[int, int], before: Sequence[np.ndarray], after: Sequence[np.ndarray]) -> DataFrame:
-    """Sum over segments of diag(after) E diag(before)."""
-    return tile_map(tiles, shape, lambda x: sum(b * K.fft(c * x, (1, 2), unitary=True) for c, b in zip(before, after, strict=True)))
+
+def field_corrected(tiles: DataFrame, shape: Sequence[int] | None, before: Sequence[np.ndarray], after: Sequence[np.ndarray], adjoint: bool = False) -> DataFrame:
+    """Sum over segments of diag(after) E diag(before), E the unitary transform over the last two axes (so of every coil); or its adjoint."""
+    e = lambda x, inverse: K.fft(x, (-2, -1), inverse=inverse, unitary=True)
+    if adjoint:
+        return tile_map(tiles, shape, lambda y: sum(np.conj(c) * e(np.conj(b) * y, True) for c, b in zip(before, after, strict=True)))
+    return tile_map(tiles, shape, lambda x: sum(b * e(c * x, False) for c, b in zip(before, after, strict=True)))
 
 
 def locally_low_rank(tiles: DataFrame, key: str, frame: str, shape: tuple[int, int], block: int, lam: float) -> DataFrame:
-    """Soft-threshold the singular values of every block x block patch over the frames of a key (grid unshifted)."""
+    """Soft-threshold the singular values of every block x block patch over the frames of a key (grid unshifted).
+
+    Blocks at the far edges are smaller where the size is no multiple of the block.
+    """
     ny, nx = shape
-    size = block * block
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(frame)
-        x = np.array(pdf["re"].tolist()) + 1j * np.array(pdf["im"].tolist())
-        t = len(x)
-        m = x.reshape(t, ny // block, block, nx // block, block).transpose(1, 3, 2, 4, 0).reshape(-1, size, t)
-        y = K.soft_singular(m, lam).reshape(ny // block, nx // block, block, block, t).transpose(4, 0, 2, 1, 3).reshape(t, -1)
+        x = (np.array(pdf["re"].tolist()) + 1j * np.array(pdf["im"].tolist())).reshape(-1, ny, nx)
+        y = np.empty_like(x)
+        for a in range(0, ny, block):
+            for b in range(0, nx, block):
+                part = x[:, a : a + block, b : b + block]
+                y[:, a : a + block, b : b + block] = K.soft_singular(part.reshape(len(x), -1).T[None], lam)[0].T.reshape(part.shape)
+        y = y.reshape(len(x), -1)
         return pdf.assign(re=list(y.real), im=list(y.imag))
 
     cols = f"{key} long, {frame} int, re array<double>, im array<double>"

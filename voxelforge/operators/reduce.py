@@ -71,15 +71,23 @@ def histogram(df: DataFrame, bins: int, kept: Sequence[str] = ()) -> DataFrame:
     return every.join(got, [*kept, "bin"], "left").select(*kept, "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def region_statistics(df: DataFrame, region: str, weight: Column | None = None) -> DataFrame:
+def weighted_regions(df: DataFrame, regions: DataFrame, axes: Sequence[str], region: str, kept: Sequence[str] = (), bessel: bool = False) -> DataFrame:
+    """Statistics of regions that may overlap: rows (region, axes, re) of ``regions`` give the weights."""
+    w = regions.where("re <> 0").select(region, *axes, F.col("re").alias("__w"))
+    return region_statistics(df.join(w, list(axes)), [region, *kept], F.col("__w"), bessel)
+
+
+def region_statistics(df: DataFrame, region: str | Sequence[str], weight: Column | None = None, bessel: bool = False) -> DataFrame:
     """count, sum, mean, energy (squared deviation), variance and std of a region; sums of weights count.
 
-    One pass over n, sum x and sum |x|^2; the deviation follows from them.
+    ``bessel`` divides by count - 1.  One pass over n, sum x and sum |x|^2; the deviation follows from them.
     """
     w = F.lit(1.0) if weight is None else weight
-    s = df.groupBy(region).agg(F.sum(w).alias("count"), F.sum(w * F.col("re")).alias("s"), F.sum(w * F.col("im")).alias("si"), F.sum(w * energy()).alias("e"))
+    region = [region] if isinstance(region, str) else list(region)
+    s = df.groupBy(*region).agg(F.sum(w).alias("count"), F.sum(w * F.col("re")).alias("s"), F.sum(w * F.col("im")).alias("si"), F.sum(w * energy()).alias("e"))
     dev = F.greatest(F.col("e") - (F.col("s") ** 2 + F.col("si") ** 2) / F.col("count"), F.lit(0.0))
-    return s.select(region, "count", F.col("s").alias("sum"), (F.col("s") / F.col("count")).alias("mean"), dev.alias("energy"), (dev / F.col("count")).alias("variance"), F.sqrt(dev / F.col("count")).alias("std"))
+    by = F.col("count") - (1 if bessel else 0)
+    return s.select(*region, "count", F.col("s").alias("sum"), (F.col("s") / F.col("count")).alias("mean"), dev.alias("energy"), (dev / by).alias("variance"), F.sqrt(dev / by).alias("std"))
 
 
 def pair(x: DataFrame, r: DataFrame, axes: Sequence[str]) -> DataFrame:

@@ -33,25 +33,25 @@ def _lists(x: np.ndarray) -> pa.Array:
 def _stacks(batch: pa.RecordBatch, shapes: Sequence[Sequence[int] | None], inputs: Sequence[tuple[str, str]]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of rows of one shape and of bounded size, with each input stacked.
 
-    A shape of None is the one in the row's ``shape`` column.
+    A shape of None is the one in the row's ``shape`` column, a function is applied to that one.
     """
     if not batch.num_rows:
         return
     groups: dict[tuple, list[int]] = {(): list(range(batch.num_rows))}
-    if any(s is None for s in shapes):
+    if any(s is None or callable(s) for s in shapes):
         groups = {}
         for i, own in enumerate(batch.column("shape").to_pylist()):
             groups.setdefault(tuple(own), []).append(i)
     for own, rows in groups.items():
         some = batch if len(rows) == batch.num_rows else batch.take(pa.array(rows))
-        sizes = [tuple(own if s is None else s) for s in shapes]
+        sizes = [tuple(own if s is None else s(own) if callable(s) else s) for s in shapes]
         for b in pieces(some, 16 * sum(int(np.prod(s)) for s in sizes)):
             yield b, [(_flat(b, r) + 1j * _flat(b, i)).reshape(-1, *s) for (r, i), s in zip(inputs, sizes, strict=True)]
 
 
 def _declared(tiles: DataFrame, shape: Sequence[int] | None, inputs: Sequence, shapes: Sequence | None) -> list:
     out = list(shapes) if shapes is not None else [shape] * len(inputs)
-    small_batches(tiles.sparkSession, 16 * sum(int(np.prod(s)) if s else 4096 for s in out))
+    small_batches(tiles.sparkSession, 16 * sum(4096 if s is None or callable(s) else int(np.prod(s)) for s in out))
     return out
 
 

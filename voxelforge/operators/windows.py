@@ -112,6 +112,22 @@ def phase_bins(df: DataFrame, a: str, b: str, bins: int, offset: float = 0.0) ->
     return df.withColumn("bin", F.least(F.floor(t * bins / (2 * 3.141592653589793)), F.lit(bins - 1)).cast("int"))
 
 
+def smooth_phase_bins(df: DataFrame, rest: Sequence[str], axis: str, a: str, b: str, length: int, bins: int) -> DataFrame:
+    """Phase bins of a quadrature pair from which a moving average of ``length`` was taken (as far as the ends allow)."""
+    w = _ordered(rest, axis).rowsBetween(-(length // 2), length - 1 - length // 2)
+    return phase_bins(df.withColumns({f"__{c}": F.col(c) - F.avg(c).over(w) for c in (a, b)}), f"__{a}", f"__{b}", bins).drop(f"__{a}", f"__{b}")
+
+
+def amplitude_bins(df: DataFrame, rest: Sequence[str], value: str, order: str, bins: int) -> DataFrame:
+    """Bins with equal numbers of samples, from small to large values; ties by ``order``."""
+    return df.withColumn("bin", (F.ntile(bins).over(Window.partitionBy(*rest).orderBy(value, order)) - 1).cast("int"))
+
+
+def two_way_bins(df: DataFrame, first: tuple[str, int], second: tuple[str, int]) -> DataFrame:
+    """One number for two sets of bins, e.g. respiratory times cardiac; (column, bins)."""
+    return df.withColumn("bin", (F.col(first[0]) * second[1] + F.col(second[0])).cast("int"))
+
+
 def bin_by_label(df: DataFrame, label: str, rest: Sequence[str], time: Sequence[str]) -> DataFrame:
     """Regroup samples by label: the label is a new axis, the place within it another."""
     return df.withColumn("slot", F.row_number().over(Window.partitionBy(*rest, label).orderBy(*time)) - 1)

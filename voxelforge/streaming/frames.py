@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,22 +20,38 @@ def source(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(glob)
 
 
-def run(stream: DataFrame, name: str, write: Callable[[DataFrame, str], DataFrame] | None = None, mode: str = "append") -> DataFrame:
+def run(stream: DataFrame, name: str, write: Callable[[DataFrame, int], DataFrame] | None = None, mode: str = "append", close: Callable[[], None] | None = None) -> DataFrame:
     """Run a stream over all that is there into Parquet in the shared folder and give its table.
 
-    Every micro-batch overwrites its own folder, so a batch that is repeated after a failure counts once.
+    Every micro-batch overwrites its own folder, so a batch that is repeated after a failure counts once.  ``write``
+    gives what is kept of a batch; ``close`` adds the last input, and what it releases is read too.
     """
     spark = stream.sparkSession
     base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
-        (write(batch, base) if write else batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/micro_batch={number}")
+        (write(batch, number) if write else batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/micro_batch={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    def once() -> None:
+        stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+
+    once()
+    if close is not None:  # what only a later watermark would release
+        close()
+        once()
     return spark.read.parquet(f"{base}/out").drop("micro_batch")
 
 
+def tee(folder: str, condition: str) -> Callable[[DataFrame, int], DataFrame]:
+    """A ``write`` for ``run``: rows that miss the condition go to ``folder``, a batch that is repeated overwrites its own part."""
+
+    def write(batch: DataFrame, number: int) -> DataFrame:
+        batch.where(f"NOT coalesce({condition}, false)").write.mode("overwrite").parquet(f"{folder}/micro_batch={number}")
+        return batch.where(condition)
+
+    return write
+
+
 def frames(events: DataFrame, key: str, time: str, value: str, width: str, late: str) -> DataFrame:
     """Samples assembled into frames of fixed length in time; later samples than the watermark are dropped."""
     w = F.window(time, width)
@@ -52,31 +69,62 @@ def binned(events: DataFrame, labels: DataFrame, key: str, label: str, value: st
     return events.join(labels, key).groupBy(label).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
-def damped(events: DataFrame, key: str, order: str, value: str, damp: float) -> DataFrame:
-    """Per key, in order: state = value + damp * state; state kept between micro-batches.  One row per sample."""
+def ending(spark: SparkSession, rows: DataFrame, time: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
+    """(stream with an end, function that sends the end).
+
+    The end is a row of a key below all others, long after every sample, which moves the watermark past them.
+    """
+    folder = f"{shared_folder(spark)}/end-{uuid.uuid4().hex}"
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+    last = spark.range(1).select(*nulls).withColumns({key: F.lit(-1).cast(rows.schema[key].dataType), time: F.lit("2200-01-01").cast(rows.schema[time].dataType)})
+    last.where("false").write.parquet(folder)
+    return rows.unionByName(spark.readStream.schema(last.schema).parquet(folder)), lambda: last.write.mode("append").parquet(folder)
+
+
+def damped(events: DataFrame, key: str, time: str, order: str, value: str, damp: float, late: str) -> DataFrame:
+    """Per key, in order of time: state = value + damp * state; one row per sample.
+
+    Samples wait in the state until the watermark has passed them, so their order does not depend on how
+    they are dealt over micro-batches.  Samples without a value are left out; those that are older than the
+    last one that was released are late and dropped.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0.0
-        pdf = pd.concat(list(batches)).sort_values(order)
+        last, done, times, orders, values = state.get if state.exists else (0.0, -1, [], [], [])
+        held = pd.DataFrame({"t": list(times), "o": list(orders), "v": list(values)}, dtype=object)
+        new = [] if state.hasTimedOut else [pd.DataFrame({"t": p[time].astype("int64").to_numpy(), "o": p[order].to_numpy(), "v": p[value].to_numpy()}) for p in batches]
+        new = [n[n["o"].notna() & n["v"].notna()] for n in new]  # the row that ends a stream has neither
+        held = pd.concat([held, *new]) if new else held
+        held = held[held["t"].astype("int64") > done].sort_values(["t", "o"])
+        mark = state.getCurrentWatermarkMs()
+        ready = held["t"].astype("int64") <= mark
         out = []
-        for v in pdf[value]:
-            last = v + damp * last
+        for v in held["v"][ready]:
+            last = float(v) + damp * last
             out.append(last)
-        state.update((float(last),))
-        yield pd.DataFrame({key: k[0], order: pdf[order].to_numpy(), "state": out})
+        free, held = held[ready], held[~ready]
+        if len(free):
+            done = int(free["t"].iloc[-1])
+        state.update((float(last), int(done), [int(t) for t in held["t"]], [int(o) for o in held["o"]], [float(v) for v in held["v"]]))
+        if len(held):
+            state.setTimeoutTimestamp(max(mark + 1, int(held["t"].iloc[0])))
+        yield pd.DataFrame({key: k[0], order: free["o"].astype("int64").to_numpy(), "state": np.array(out, float)})
 
-    return events.select(key, order, value).groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, state double", "last double", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withWatermark(time, late).select(key, F.unix_millis(F.col(time).cast("timestamp")).alias(f"{time}_ms"), time, order, value)
+    form = "last double, done long, times array<long>, orders array<long>, held array<double>"
+    rows = rows.withColumnsRenamed({time: "__at", f"{time}_ms": time}).where("__at IS NOT NULL")
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, state double", form, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def damped_batch(rows: DataFrame, key: str, order: str, value: str, damp: float) -> DataFrame:
+def damped_batch(rows: DataFrame, key: str, time: str, order: str, value: str, damp: float) -> DataFrame:
     """The same recursion over a table, as an ordered fold."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         last, out = 0.0, []
-        pdf = pdf.sort_values(order)
+        pdf = pdf.sort_values([time, order])
         for v in pdf[value]:
             last = v + damp * last
             out.append(last)
         return pd.DataFrame({key: pdf[key], order: pdf[order], "state": out})
 
-    return rows.select(key, order, value).groupBy(key).applyInPandas(fold, f"{key} long, {order} long, state double")
+    return rows.select(key, time, order, value).groupBy(key).applyInPandas(fold, f"{key} long, {order} long, state double")
