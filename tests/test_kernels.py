@@ -72,6 +72,27 @@ def test_wavelet_conventions():
     assert (np.abs(K.fwt(kept, (1, 2), "haar")) > 1e-9).sum() == 10
 
 
+def test_gridding_is_close_to_the_explicit_sum():
+    for shape in ((32, 32), (31, 40)):
+        k = RNG.uniform(-0.5, 0.5, (200, 2)) * shape
+        x, y = cplx(2, *shape), cplx(2, 200)
+        want = K.nufft(x, k, gridded=False)
+        assert np.abs(K.nufft(x, k, gridded=True) - want).max() < 1e-3 * np.abs(want).max()
+        back = K.nufft_adjoint(y, k, shape, gridded=True)
+        want = K.nufft_adjoint(y, k, shape, gridded=False)
+        assert np.abs(back - want).max() < 1e-3 * np.abs(want).max()
+        assert np.isclose(np.vdot(K.nufft(x, k, gridded=True), y), np.vdot(x, back))
+    w = RNG.random(200)
+    assert np.allclose(K.nufft(x, k, w), w * K.nufft(x, k))
+
+
+def test_subspace_pair_and_solution():
+    maps, basis = birdcage(3, (8, 8)), np.linalg.qr(RNG.standard_normal((5, 2)))[0].T
+    mask = (RNG.random((5, 8, 8)) > 0.4).astype(float)
+    x, y = cplx(2, 2, 8, 8), cplx(2, 5, 3, 8, 8)
+    assert np.isclose(np.vdot(K.subspace_forward(x, maps, mask, basis), y), np.vdot(x, K.subspace_adjoint(y, maps, mask, basis)))
+
+
 def test_cg_sense_recovers_the_image():
     maps, mask = birdcage(4, (8, 8)), np.ones((8, 8))
     mask[1::4] = 0

@@ -130,3 +130,27 @@ def test_field_correction_is_adjoint(spark):
     x, y = cplx(3, 8, 8), cplx(3, 8, 8)
     ax, ay = back(B.field_corrected(tiles(spark, [x]), None, before, after))[0], back(B.field_corrected(tiles(spark, [y]), None, before, after, adjoint=True))[0]
     assert np.isclose(np.vdot(ax, y), np.vdot(x, ay))
+
+
+def test_subspace_coefficients_are_recovered(spark):
+    maps, basis = birdcage(3, (8, 8)), np.linalg.qr(RNG.standard_normal((6, 2)))[0].T
+    mask = np.ones((6, 8, 8))
+    mask[::2, 1::4] = 0
+    x = cplx(2, 8, 8)
+    y = K.subspace_forward(x[None], maps, mask, basis)[0]
+    assert np.allclose(back(B.subspace_cg(tiles(spark, [y]), (6, 3, 8, 8), maps, mask, basis, 200))[0], x, atol=1e-3)
+    k = RNG.uniform(-4, 4, (30, 2))
+    s, v = back(T.nufft(tiles(spark, [x]), (2, 8, 8), k, basis=basis))[0], cplx(6, 30)
+    assert np.isclose(np.vdot(s, v), np.vdot(x, back(T.nufft_adjoint(tiles(spark, [v]), (8, 8), k, basis=basis))[0]))
+
+
+def test_long_series_are_cut_into_stretches(spark, monkeypatch):
+    from voxelforge.operators import windows as W
+
+    x = M.signal(spark, "/root/testdata/sf0.001")
+    calls = (lambda: W.moving_average(x, ["ch"], "i", 5), lambda: W.median_filter(x, ["ch"], "i", 4), lambda: W.unwrap(x, ["ch"], "i", 20.0), lambda: W.geometric_median(x, ["ch"], "i", 5))
+    take = lambda f: sorted((r["ch"], r["i"], round(r["re"], 6)) for r in f().collect())
+    whole = [take(f) for f in calls]
+    for n in (1, 3, 7):
+        monkeypatch.setattr(W, "STRETCH", n)
+        assert [take(f) for f in calls] == whole

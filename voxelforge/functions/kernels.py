@@ -16,19 +16,76 @@ def fft(x: np.ndarray, axes: tuple[int, ...], inverse: bool = False, unitary: bo
     return np.fft.fftshift(y, axes) if centred else y
 
 
-def nufft(x: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """y_j = N^-1/2 sum_m x_m exp(-2 pi i k_j m / n); x (batch, ny, nx), k (samples, 2) as (ky, kx)."""
-    ny, nx = x.shape[1:]
-    ey = np.exp(-2j * np.pi * np.outer(k[:, 0], np.arange(ny) - ny // 2) / ny)
-    ex = np.exp(-2j * np.pi * np.outer(k[:, 1], np.arange(nx) - nx // 2) / nx)
-    return np.einsum("sy,byx,sx->bs", ey, x, ex, optimize=True) / np.sqrt(nx * ny)
-
-
-def nufft_adjoint(y: np.ndarray, k: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+def _phases(k: np.ndarray, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """exp(-2 pi i k (m - n // 2) / n) along y and x."""
     ny, nx = shape
-    ey = np.exp(2j * np.pi * np.outer(k[:, 0], np.arange(ny) - ny // 2) / ny)
-    ex = np.exp(2j * np.pi * np.outer(k[:, 1], np.arange(nx) - nx // 2) / nx)
-    return np.einsum("sy,bs,sx->byx", ey, y, ex, optimize=True) / np.sqrt(nx * ny)
+    return np.exp(-2j * np.pi * np.outer(k[:, 0], np.arange(ny) - ny // 2) / ny), np.exp(-2j * np.pi * np.outer(k[:, 1], np.arange(nx) - nx // 2) / nx)
+
+
+class Gridding:
+    """Kaiser-Bessel interpolation between a trajectory and a grid of twice the size, for images too large for explicit sums."""
+
+    WIDTH, BETA = 6, 13.8
+
+    def __init__(self, k: np.ndarray, shape: tuple[int, int]):
+        self.shape, self.wide = shape, tuple(2 * n for n in shape)
+        at, weight, self.roll_off = [], [], []
+        for axis in (0, 1):
+            n, grid = shape[axis], self.wide[axis]
+            place = 2 * k[:, axis] + grid // 2
+            first = np.ceil(place - self.WIDTH / 2).astype(int)
+            near = first[:, None] + np.arange(self.WIDTH)
+            at.append(near % grid)
+            weight.append(self._kernel(near - place[:, None]))
+            fine = np.linspace(-self.WIDTH / 2, self.WIDTH / 2, 4001)
+            step = fine[1] - fine[0]
+            m = np.arange(n) - n // 2
+            self.roll_off.append((self._kernel(fine) * np.cos(2 * np.pi * np.outer(m, fine) / grid)).sum(1) * step)
+        self.at = (at[0][:, :, None] * self.wide[1] + at[1][:, None, :]).reshape(len(k), -1)
+        self.weight = (weight[0][:, :, None] * weight[1][:, None, :]).reshape(len(k), -1)
+        self.scale = 1 / np.outer(*self.roll_off)
+
+    def _kernel(self, d: np.ndarray) -> np.ndarray:
+        t = 1 - (2 * d / self.WIDTH) ** 2
+        return np.where(t >= 0, np.i0(self.BETA * np.sqrt(np.maximum(t, 0))), 0) / np.i0(self.BETA)
+
+    def _box(self) -> tuple:
+        return (..., *(slice(g // 2 - n // 2, g // 2 - n // 2 + n) for n, g in zip(self.shape, self.wide, strict=True)))
+
+    def forward(self, x: np.ndarray) -> np.ndarray:
+        wide = np.zeros((len(x), *self.wide), complex)
+        wide[self._box()] = x * self.scale
+        g = fft(wide, (1, 2)).reshape(len(x), -1)
+        return (g[:, self.at] * self.weight).sum(2) / np.sqrt(np.prod(self.shape))
+
+    def adjoint(self, y: np.ndarray) -> np.ndarray:
+        g = np.zeros((len(y), int(np.prod(self.wide))), complex)
+        for i, v in enumerate(y):  # a tile at a time: the samples of all grid cells add up
+            spread = (v[:, None] * self.weight).ravel()
+            g[i] = np.bincount(self.at.ravel(), spread.real, g.shape[1]) + 1j * np.bincount(self.at.ravel(), spread.imag, g.shape[1])
+        im = fft(g.reshape(len(y), *self.wide), (1, 2), inverse=True)
+        return im[self._box()] * self.scale / np.sqrt(np.prod(self.shape))
+
+
+#: Voxels from which the transform goes over a grid instead of explicit sums.
+GRID_FROM = 4096
+
+
+def nufft(x: np.ndarray, k: np.ndarray, weights: np.ndarray | None = None, gridded: bool | None = None) -> np.ndarray:
+    """y_j = w_j N^-1/2 sum_m x_m exp(-2 pi i k_j m / n); x (batch, ny, nx), k (samples, 2) as (ky, kx)."""
+    w = 1.0 if weights is None else weights
+    if x[0].size >= GRID_FROM if gridded is None else gridded:
+        return w * Gridding(k, x.shape[1:]).forward(x)
+    ey, ex = _phases(k, x.shape[1:])
+    return w * np.einsum("sy,byx,sx->bs", ey, x, ex, optimize=True) / np.sqrt(x[0].size)
+
+
+def nufft_adjoint(y: np.ndarray, k: np.ndarray, shape: tuple[int, int], weights: np.ndarray | None = None, gridded: bool | None = None) -> np.ndarray:
+    y = y if weights is None else y * np.conj(weights)
+    if shape[0] * shape[1] >= GRID_FROM if gridded is None else gridded:
+        return Gridding(k, tuple(shape)).adjoint(y)
+    ey, ex = _phases(k, shape)
+    return np.einsum("sy,bs,sx->byx", ey.conj(), y, ex.conj(), optimize=True) / np.sqrt(shape[0] * shape[1])
 
 
 def psf(weights: np.ndarray, k: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
@@ -235,6 +292,17 @@ def sense_adjoint(y: np.ndarray, maps: np.ndarray, mask: np.ndarray) -> np.ndarr
     return (np.conj(maps) * fft(y * np.conj(mask), (-2, -1), inverse=True, unitary=True)).sum(1)
 
 
+def subspace_forward(x: np.ndarray, maps: np.ndarray, mask: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """(batch, a, y, x) -> (batch, t, coil, y, x): coefficients to frames by basis (a, t), coils, transform, pattern (t, y, x)."""
+    spectra = fft(x[:, :, None] * maps, (-2, -1), unitary=True)
+    return np.einsum("at,bacyx->btcyx", basis, spectra) * mask[:, None]
+
+
+def subspace_adjoint(y: np.ndarray, maps: np.ndarray, mask: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    spectra = np.einsum("at,btcyx->bacyx", np.conj(basis), y * np.conj(mask)[:, None])
+    return (np.conj(maps) * fft(spectra, (-2, -1), inverse=True, unitary=True)).sum(2)
+
+
 def conjugate_gradient(normal, b: np.ndarray, steps: int, lam: float = 0.0, tolerance: float = 1e-12) -> np.ndarray:
     """Solve (normal + lam) x = b for every tile of the batch; tiles below the relative residual stand still, and all end it."""
     dot = lambda u, v: (np.conj(u) * v).reshape(len(u), -1).sum(1).real

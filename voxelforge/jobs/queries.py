@@ -621,7 +621,7 @@ NUFFT = "+k AS (SELECT (sp*8+q)::INT AS s, (q-4)*sin(sp*pi()/6) AS ky, (q-4)*cos
 
 def _samples(s: SparkSession, d: str) -> DataFrame:
     k = _spokes()
-    return T.tile_map(M.tile(s, d), (8, 8), lambda x: K.nufft(x, k))
+    return T.nufft(M.tile(s, d), (8, 8), k)
 
 
 @query("t2_nufft", NUFFT + "SELECT vec_id, s, [[re]] AS re, [[im]] AS im FROM y", "img")
@@ -632,7 +632,7 @@ def t2(s, d):
 @query("t3_nufft_adjoint", NUFFT + "SELECT vec_id, u::INT AS y, v::INT AS x, [[sum(re*cos(t)-im*sin(t))/8]] AS re, [[sum(re*sin(t)+im*cos(t))/8]] AS im FROM (SELECT y.*, u, v, 2*pi()*(ky*(u-4)+kx*(v-4))/8 AS t FROM y JOIN k USING (s), range(8) a(u), range(8) b(v)) GROUP BY 1,2,3", "img")
 def t3(s, d):
     k = _spokes()
-    im = T.tile_map(_samples(s, d), (48,), lambda y: K.nufft_adjoint(y, k, (8, 8)))
+    im = T.nufft_adjoint(_samples(s, d), (8, 8), k)
     return out(M.tiles_to_cells(im, ["y", "x"], [8, 8]), *IM)
 
 
@@ -653,7 +653,7 @@ def _mosaic(s: SparkSession, d: str) -> DataFrame:
 @query("t4_psf_plane", "+k AS (SELECT (sp*8+q)::INT AS s, (q-4)*sin(sp*pi()/6) AS ky, (q-4)*cos(sp*pi()/6) AS kx FROM range(6) a(sp), range(8) b(q)), w AS (SELECT vec_id, (i)::INT AS s, embedding[i+1]::DOUBLE*embedding[i+1]::DOUBLE AS w FROM embeddings, range(48) t(i)) SELECT vec_id, u::INT AS y, v::INT AS x, [[sum(w*cos(2*pi()*(ky*(u-8)+kx*(v-8))/8))/64]] AS re, [[sum(w*sin(2*pi()*(ky*(u-8)+kx*(v-8))/8))/64]] AS im FROM w JOIN k USING (s), range(16) a(u), range(16) b(v) GROUP BY 1,2,3")
 def t4_plane(s, d):
     w = M.tile(s, d).withColumns({"re": F.slice("re", 1, 48), "im": F.slice("im", 1, 48)}).drop("shape")
-    return out(M.tiles_to_cells(T.tile_map(w, (48,), lambda v: K.psf(np.abs(v) ** 2, _spokes(), (8, 8))), ["y", "x"], [16, 16]), *IM)
+    return out(M.tiles_to_cells(T.psf(w, _spokes(), (8, 8)), ["y", "x"], [16, 16]), *IM)
 
 
 @query("t5_wavelet")
@@ -767,6 +767,17 @@ query("b1_sense", "+" + MAPS + SAMPLED + ", " + sense("k") + " SELECT vec_id, y,
 FIXED = np.stack([np.exp(0.3j * np.add.outer(np.arange(8), c * np.arange(8))) / 2 for c in range(4)])
 
 
+BASIS = np.stack([np.cos(0.4 * np.arange(3)), np.sin(0.4 * np.arange(3))])
+
+
+@query("b1_subspace", "+c AS (SELECT vec_id, coil AS t, y, x, re, im FROM (SELECT vec_id, (i//16)::INT AS coil, ((i%16)//4)::INT AS y, (i%4)::INT AS x, embedding[i+1]::DOUBLE AS re, 0.0::DOUBLE AS im FROM embeddings, range(48) t(i))), i AS (SELECT vec_id, t, u::INT AS y, v::INT AS x, sum(re*cos(p))/4 AS re, sum(re*sin(p))/4 AS im FROM (SELECT c.*, u, v, 2*pi()*((u-2)*(y-2)+(v-2)*(x-2))/4 AS p FROM c, range(4) a(u), range(4) b(v) WHERE (y+t)%2=0) GROUP BY 1,2,3,4) SELECT vec_id, a::INT AS a, y, x, [[sum(re*CASE WHEN a=0 THEN cos(0.4*t) ELSE sin(0.4*t) END)]] AS re, [[sum(im*CASE WHEN a=0 THEN cos(0.4*t) ELSE sin(0.4*t) END)]] AS im FROM i, range(2) r(a) GROUP BY 1,2,3,4")
+def b1_subspace(s, d):
+    """Three frames of one coil of 4 x 4, of each of which every second line is known, to two coefficients."""
+    k = M.tile(s, d).withColumns({"re": F.slice("re", 1, 48), "im": F.slice("im", 1, 48)}).drop("shape")
+    mask = np.stack([np.repeat(((np.arange(4) + t) % 2 == 0).astype(float)[:, None], 4, 1) for t in range(3)])
+    return out(M.tiles_to_cells(B.subspace_adjoint(k, (3, 1, 4, 4), np.ones((1, 4, 4)), mask, BASIS), ["a", "y", "x"]), "vec_id", "a", "y", "x")
+
+
 @query("b2_noncartesian")
 def b2(s, d):
     k = _spokes()

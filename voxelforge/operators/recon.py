@@ -170,15 +170,30 @@ def nlinv(kspace: DataFrame, mask: Side, steps: int = 6, a: float = 220.0, b: fl
     return encoded(kspace, np.zeros(0), mask, solve, shape)
 
 
+def subspace_adjoint(kspace: DataFrame, shape: Sequence[int], maps: np.ndarray, mask: np.ndarray, basis: np.ndarray) -> DataFrame:
+    """Coefficient images (a, y, x) from frames of k-space (t, coil, y, x)."""
+    return tile_map(kspace, shape, lambda y: K.subspace_adjoint(y, maps, mask, basis))
+
+
+def subspace_cg(kspace: DataFrame, shape: Sequence[int], maps: np.ndarray, mask: np.ndarray, basis: np.ndarray, steps: int = 30, lam: float = 0.0) -> DataFrame:
+    """Least squares coefficients; the normal operator mixes frames once, by sum_t |pattern|^2 conj(basis) basis."""
+    kernel = np.einsum("at,tyx,dt->adyx", np.conj(basis), np.abs(mask) ** 2, basis)
+
+    def normal(x: np.ndarray) -> np.ndarray:
+        spectra = K.fft(x[:, :, None] * maps, (-2, -1), unitary=True)
+        mixed = np.einsum("adyx,bdcyx->bacyx", kernel, spectra)
+        return (np.conj(maps) * K.fft(mixed, (-2, -1), inverse=True, unitary=True)).sum(2)
+
+    return tile_map(kspace, shape, lambda y: K.conjugate_gradient(normal, K.subspace_adjoint(y, maps, mask, basis), steps, lam))
+
+
 def nufft_sense(images: DataFrame, shape: Sequence[int], maps: np.ndarray, trajectory: np.ndarray, weights: np.ndarray | None = None) -> DataFrame:
     """W NUFFT S: images (y, x) to samples (coil, sample)."""
-    w = 1.0 if weights is None else weights
-    return tile_map(images, shape, lambda x: np.stack([w * K.nufft(x * m, trajectory) for m in maps], 1))
+    return tile_map(images, shape, lambda x: np.stack([K.nufft(x * m, trajectory, weights) for m in maps], 1))
 
 
 def nufft_sense_adjoint(samples: DataFrame, maps: np.ndarray, trajectory: np.ndarray, weights: np.ndarray | None = None) -> DataFrame:
-    w = 1.0 if weights is None else np.conj(weights)
-    return tile_map(samples, (len(maps), len(trajectory)), lambda y: sum(np.conj(m) * K.nufft_adjoint(w * y[:, i], trajectory, m.shape) for i, m in enumerate(maps)))
+    return tile_map(samples, (len(maps), len(trajectory)), lambda y: sum(np.conj(m) * K.nufft_adjoint(y[:, i], trajectory, m.shape, weights) for i, m in enumerate(maps)))
 
 
 def field_corrected(tiles: DataFrame, shape: Sequence[int] | None, before: Sequence[np.ndarray], after: Sequence[np.ndarray], adjoint: bool = False) -> DataFrame:

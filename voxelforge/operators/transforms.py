@@ -99,6 +99,26 @@ def fft(tiles: DataFrame, shape: Sequence[int] | None = None, inverse: bool = Fa
     return tile_map(tiles, shape, lambda x: kernels.fft(x, tuple(range(1, x.ndim)), inverse, unitary, centred))
 
 
+def nufft(tiles: DataFrame, shape: Sequence[int] | None, trajectory: np.ndarray, weights: np.ndarray | None = None, basis: np.ndarray | None = None) -> DataFrame:
+    """Samples of images (y, x); with a basis (a, t) of coefficient images (a, y, x), as frames (t, sample)."""
+    if basis is None:
+        return tile_map(tiles, shape, lambda x: kernels.nufft(x, trajectory, weights))
+    return tile_map(tiles, shape, lambda x: np.einsum("at,abs->bts", basis, np.stack([kernels.nufft(x[:, a], trajectory, weights) for a in range(len(basis))])))
+
+
+def nufft_adjoint(samples: DataFrame, image: tuple[int, int], trajectory: np.ndarray, weights: np.ndarray | None = None, basis: np.ndarray | None = None) -> DataFrame:
+    """Adjoint of ``nufft``."""
+    if basis is None:
+        return tile_map(samples, (len(trajectory),), lambda y: kernels.nufft_adjoint(y, trajectory, image, weights))
+    n_frames = basis.shape[1]
+    return tile_map(samples, (n_frames, len(trajectory)), lambda y: np.stack([kernels.nufft_adjoint(np.einsum("t,bts->bs", np.conj(c), y), trajectory, image, weights) for c in basis], 1))
+
+
+def psf(weights: DataFrame, trajectory: np.ndarray, image: tuple[int, int]) -> DataFrame:
+    """Point spread function on the doubled grid of the squared sizes of each row's weights, one per sample."""
+    return tile_map(weights, (len(trajectory),), lambda w: kernels.psf(np.abs(w) ** 2, trajectory, image))
+
+
 def to_matrix(rows: list, n: int) -> np.ndarray:
     """Hermitian matrix from its upper triangle (i, j, re, im)."""
     if n > MAX_DRIVER_SIDE:

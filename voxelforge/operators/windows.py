@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -17,27 +17,47 @@ def length_of(rest: Sequence[str]) -> Column:
     return F.count("*").over(Window.partitionBy(*rest))
 
 
+#: Positions of a series that one task handles at once; longer series are cut into stretches.
+STRETCH = 100_000
+
+
+def stretches(df: DataFrame, rest: Sequence[str], axis: str, length: int) -> tuple[DataFrame, WindowSpec, Column]:
+    """(cells dealt to stretches, their order, whether a cell is a stretch's own).
+
+    A stretch also gets the length - 1 cells after its end, so that windows that begin in it are whole.
+    The axis must be dense, as it is in a series.
+    """
+    own = F.floor(F.col(axis) / STRETCH)
+    reach = -(-(length - 1) // STRETCH)
+    targets = F.filter(F.sequence(own - reach, own), lambda t: (t >= 0) & (F.col(axis) < (t + 1) * STRETCH + length - 1))
+    dealt = df.withColumn("__s", F.explode(targets))
+    return dealt, Window.partitionBy(*rest, "__s").orderBy(axis), F.col("__s") == own
+
+
 def moving_average(df: DataFrame, rest: Sequence[str], axis: str, length: int) -> DataFrame:
     """Means of whole windows: n cells become n - length + 1; shorter series vanish."""
-    w = _ordered(rest, axis).rowsBetween(0, length - 1)
+    df, order, own = stretches(df, rest, axis, length)
+    w = order.rowsBetween(0, length - 1)
     out = df.withColumns({"__n": F.count("*").over(w), "__r": F.avg("re").over(w), "__i": F.avg("im").over(w)})
-    return out.where(F.col("__n") == length).withColumns({"re": F.col("__r"), "im": F.col("__i")}).drop("__n", "__r", "__i")
+    return out.where(own & (F.col("__n") == length)).withColumns({"re": F.col("__r"), "im": F.col("__i")}).drop("__n", "__r", "__i", "__s")
 
 
 def median_filter(df: DataFrame, rest: Sequence[str], axis: str, length: int) -> DataFrame:
     """Median by magnitude of whole windows; the mean of the middle two for even lengths; ties by position."""
-    w = _ordered(rest, axis).rowsBetween(0, length - 1)
+    df, order, own = stretches(df, rest, axis, length)
+    w = order.rowsBetween(0, length - 1)
     got = F.sort_array(F.collect_list(F.struct(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2).alias("m"), F.col(axis).alias("p"), "re", "im")).over(w))
-    df = df.withColumn("__w", got).where(F.size("__w") == length)
+    df = df.withColumn("__w", got).where(own & (F.size("__w") == length))
     mid = [(length - 1) // 2, length // 2]
     take = lambda c: sum((F.get("__w", F.lit(m))[c] for m in mid), F.lit(0.0)) / 2
-    return df.withColumns({"re": take("re"), "im": take("im")}).drop("__w")
+    return df.withColumns({"re": take("re"), "im": take("im")}).drop("__w", "__s")
 
 
 def geometric_median(df: DataFrame, rest: Sequence[str], axis: str, length: int, iterations: int = 10) -> DataFrame:
     """Weiszfeld iterations from zero in the complex plane over whole windows."""
-    w = _ordered(rest, axis).rowsBetween(0, length - 1)
-    df = df.withColumn("__w", F.collect_list(F.struct("re", "im")).over(w)).where(F.size("__w") == length)
+    df, order, own = stretches(df, rest, axis, length)
+    w = order.rowsBetween(0, length - 1)
+    df = df.withColumn("__w", F.collect_list(F.struct("re", "im")).over(w)).where(own & (F.size("__w") == length)).drop("__s")
 
     def step(m: Column, _: Column) -> Column:
         weight = lambda v: 1.0 / F.greatest(F.sqrt((v["re"] - m["re"]) ** 2 + (v["im"] - m["im"]) ** 2), F.lit(1e-12))
@@ -51,11 +71,19 @@ def geometric_median(df: DataFrame, rest: Sequence[str], axis: str, length: int,
 
 
 def unwrap(df: DataFrame, rest: Sequence[str], axis: str, bound: float) -> DataFrame:
-    """Steps beyond the bound are corrected by whole bounds, cumulatively; real parts only."""
-    w = _ordered(rest, axis)
-    d = F.col("re") - F.lag("re").over(w)
+    """Steps beyond the bound are corrected by whole bounds, cumulatively; real parts only.
+
+    Corrections add up within a stretch; what earlier stretches add is summed over their totals.
+    """
+    dealt, order, own = stretches(df, rest, axis, 2)
+    d = F.lead("re").over(order) - F.col("re")  # of the next cell, which a stretch also has
     fix = F.when(F.abs(d) > bound, -F.signum(d) * F.ceil(F.abs(d) / bound) * bound).otherwise(0.0)
-    return df.withColumn("__f", F.coalesce(fix, F.lit(0.0))).withColumns({"re": F.col("re") + F.sum("__f").over(w), "im": F.lit(0.0)}).drop("__f")
+    steps = dealt.withColumn("__f", F.coalesce(fix, F.lit(0.0))).where(own)
+    inside = steps.withColumn("__c", F.coalesce(F.sum("__f").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    totals = steps.groupBy(*rest, "__s").agg(F.sum("__f").alias("__t"))
+    before = F.coalesce(F.sum("__t").over(Window.partitionBy(*rest).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = totals.withColumn("__b", before).drop("__t")
+    return inside.join(sums, [*rest, "__s"]).withColumns({"re": F.col("re") + F.col("__c") + F.col("__b"), "im": F.lit(0.0)}).drop("__f", "__c", "__b", "__s")
 
 
 def hankel(df: DataFrame, axis: str, n: Column | int, window: int) -> DataFrame:
