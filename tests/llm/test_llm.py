@@ -153,7 +153,7 @@ def test_windows_with_equal_labels_are_told_apart_by_their_words(docs, monkeypat
 
     def coarse(words, window):
         label, doc, pos = plain(words, window)
-        return label & np.uint64(0xFFF000000000000F), doc, pos
+        return label & np.uint64(0xFFF000000000F), doc, pos
 
     monkeypatch.setattr(substring, "suffixes", coarse)
     got = {r["id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring.dedupe_substrings(docs.repartition(4), 13).collect()}

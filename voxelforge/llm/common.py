@@ -23,7 +23,7 @@ SLICE_BYTES = 4_000_000
 STRETCH = 200_000
 
 #: Longest word, and number of words, whose hashes a worker remembers; beyond it the cache starts anew.
-CACHE_BYTES, CACHE_WORDS = 64, 400_000
+CACHE_BYTES, CACHE_WORDS = 64, 200_000
 
 _U = np.uint64
 _RNG = np.random.default_rng(20240117)

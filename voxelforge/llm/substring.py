@@ -1,8 +1,8 @@
 """Substring deduplication with prefix-partitioned trees of word suffixes, cut off at the window's depth.
 
 Every word position starts a suffix, of which only the first ``window`` words matter.  A suffix is held as
-a 64-bit label of its prefixes: 12 bits of a hash of its first two words, 12 bits of one of its first four,
-40 bits of one of the whole window.  Sorted labels are the leaves of a tree with inner nodes at these three
+a 52-bit label of its prefixes: 12 bits of a hash of its first two words, 12 bits of one of its first four,
+28 bits of one of the whole window.  Sorted labels are the leaves of a tree with inner nodes at these three
 depths.  The deep nodes, those of equal labels, are the repeats of a window; runs of them that go on side by
 side in both documents are joined to maximal repeats.  The trees hold hashes instead of words, since the
 words of all windows would exceed the disk budget; every repeat is therefore confirmed by its words.
@@ -37,14 +37,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, arrow, claim_words, cut, slices, small_batches
+from .common import Words, arrow, claim, claim_words, cut, mix, slices, small_batches
 
-CODE_BITS, NEXT_BITS = 12, 12
-REST_BITS = 64 - CODE_BITS
+LABEL_BITS, CODE_BITS, NEXT_BITS = 52, 12, 12
+REST_BITS = LABEL_BITS - CODE_BITS
 #: Suffixes of one group, about; one group is one tree in a task's memory (28 bytes a suffix).
-GROUP = 2_000_000
+GROUP = 1_000_000
 #: Bytes of text of one batch of a task.
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 4_000_000
 #: Largest table of marked rows that may be broadcast (8 bytes a row), and most partitions of the trees.
 BROADCAST_ROWS, PARTITIONS = 500_000, 20_000
 BLOCKS = "grp long, block binary"
@@ -57,7 +57,7 @@ _U = np.uint64
 def suffixes(words: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(label, text index, word position) of every suffix of at least ``window`` words."""
     whole, doc, pos = words.grams(window)
-    label = whole >> _U(CODE_BITS + NEXT_BITS)
+    label = whole >> _U(64 - REST_BITS + NEXT_BITS)
     for k, bits, shift in ((2, CODE_BITS, REST_BITS), (min(4, window), NEXT_BITS, REST_BITS - NEXT_BITS)):
         gram, gram_doc, _ = words.grams(k)
         first = np.searchsorted(gram_doc, np.arange(len(words.bounds) - 1))
@@ -138,7 +138,7 @@ _PAIR = [(np.int64, True), (np.int64, True), (np.int32, True), (np.int64, True),
 
 def write_pairs(columns: tuple[np.ndarray, ...], buckets: int) -> Iterator[tuple[int, bytes]]:
     """(bucket of rows, block of pairs), one block a bucket."""
-    where = ((columns[1].astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(33)).astype(np.int64) % buckets
+    where = (mix(columns[0].astype(np.uint64) + mix(columns[1].astype(np.uint64))) >> _U(33)).astype(np.int64) % buckets
     order = np.lexsort((columns[2], columns[1], columns[0], where))
     where, columns = where[order], tuple(c[order] for c in columns)
     for a, b in _stretches(where):
@@ -163,16 +163,23 @@ def merge_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": i[head], "key": key[head], "pos": pos[head].astype(np.int64), "n": (pos[last] - pos[head] + 1).astype(np.int64), "known": known[head], "l_id": l_id[head], "l_key": l_key[head], "l_pos": l_pos[head].astype(np.int64)})
 
 
-def row_key(id_col: Column, text: Column) -> Column:
-    """Tells rows of one doc_id with different texts apart."""
-    return F.xxhash64(id_col, text)
+def with_key(docs: DataFrame, id_col: Column, text: Column, key: str) -> DataFrame:
+    """``docs`` with a column ``key`` that tells rows of one id with different texts apart; 0 where the id comes once."""
+    several = cut(docs.select(id_col.alias(f"{key}_i")).where(F.col(f"{key}_i").isNotNull()).groupBy(f"{key}_i").count().where("count > 1").drop("count"))
+    n, zero = several.count(), F.lit(0).cast("long")
+    if not n:
+        return docs.withColumn(key, zero)
+    if n > BROADCAST_ROWS:
+        return docs.withColumn(key, F.xxhash64(id_col, text))
+    own = docs.join(F.broadcast(several), id_col == F.col(f"{key}_i"), "left")
+    return own.withColumn(key, F.when(F.col(f"{key}_i").isNull(), zero).otherwise(F.xxhash64(id_col, text))).drop(f"{key}_i")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """id, key, text of the rows that have an id."""
+    """id, key, text; a null text is empty."""
     small_batches(docs.sparkSession)
-    i, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.where("doc_id is not null").select(i.alias("id"), row_key(i, text).alias("key"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return with_key(rows, F.col("id"), F.col("text"), "key").select("id", "key", "text")
 
 
 def _batches(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -197,7 +204,7 @@ def repeats(text: DataFrame, window: int, group: int) -> DataFrame:
                 words = Words(texts)
                 pair, doc, pos = words.grams(2)
                 full = pos <= (np.diff(words.bounds) - window)[doc]
-                total += np.bincount((pair[full] >> _U(REST_BITS)).astype(np.int64), minlength=len(total))
+                total += np.bincount((pair[full] >> _U(64 - CODE_BITS)).astype(np.int64), minlength=len(total))
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], schema=codes)
 
@@ -238,17 +245,26 @@ def repeats(text: DataFrame, window: int, group: int) -> DataFrame:
                 yield send(Words(texts), ids, keys)
 
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        claim("trees", lambda: None)  # the words that the worker remembers are not needed here
         if pdf["grp"].iloc[0] < 0:
             return pd.DataFrame({"grp": -1 - pdf["grp"], "block": pdf["block"]})
-        labels, ids, keys, pos = (np.concatenate(x) for x in zip(*map(read_block, pdf["block"]), strict=True))
+        labels, ids, keys, pos = (np.concatenate(x) for x in zip(*map(read_block, pdf.pop("block")), strict=True))
+        order = np.argsort(labels, kind="stable")
+        same = labels[order][1:] == labels[order][:-1]
+        order = order[np.append(same, False) | np.append(False, same)]  # leaves that are alone go first
+        labels, ids, keys, pos = labels[order], ids[order], keys[order], pos[order]
         order = np.lexsort((pos, keys, ids, labels))
         labels, ids, keys, pos = labels[order], ids[order], keys[order], pos[order]
+        if not len(labels):
+            return pd.DataFrame({"grp": [], "block": []})
         first = leaders(labels)
-        dup = np.flatnonzero(ids > ids[first])
+        head = np.flatnonzero(first == np.arange(len(first)))
+        several = np.repeat(np.maximum.reduceat(ids, head) > ids[head], np.diff(np.append(head, len(ids))))
+        dup = np.flatnonzero(several & (first != np.arange(len(first))))  # also the leader's other places, in case its label is one by chance
         head = first[dup]
         return pd.DataFrame(list(write_pairs((ids[dup], keys[dup], pos[dup], ids[head], keys[head], pos[head]), n_groups)), columns=["grp", "block"])
 
-    parts = min(2 * n_groups, PARTITIONS)
+    parts = min(n_groups, PARTITIONS)
     found = text.mapInArrow(split, BLOCKS).repartition(parts, "grp").groupBy("grp").applyInPandas(tree, BLOCKS)
     return found.groupBy("grp").applyInPandas(merge_pairs, RUNS)
 
@@ -266,12 +282,11 @@ def segment_digests(text: DataFrame, wanted: DataFrame, window: int) -> DataFram
                 n = len(at)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([i] * n, [key] * n, [a["pos"] for a in at], [a["n"] for a in at], digest), form, strict=True)], schema=form)
 
-    asked = cut(asked)
-    rows = text
+    asked, rows = cut(asked), text
     if asked.count() <= BROADCAST_ROWS:  # only the texts of these rows are shuffled
-        rows = text.join(F.broadcast(asked.select(F.col("w_key").alias("key"))), "key", "left_semi").select("id", "key", "text")
+        rows = text.join(F.broadcast(asked.select(F.col("w_id").alias("id")).distinct()), "id", "left_semi").select("id", "key", "text")
     both = rows.join(asked, (F.col("id") == F.col("w_id")) & (F.col("key") == F.col("w_key")))
-    return both.select("id", "key", "text", "at").mapInArrow(run, DIGESTS).distinct()
+    return both.select("id", "key", "text", "at").mapInArrow(run, DIGESTS).dropDuplicates(["id", "key", "pos", "n"])
 
 
 def confirmed(text: DataFrame, found: DataFrame, window: int) -> DataFrame:
@@ -284,9 +299,10 @@ def confirmed(text: DataFrame, found: DataFrame, window: int) -> DataFrame:
     if digests.count() <= BROADCAST_ROWS // 4:
         theirs = F.broadcast(theirs)
     judged = cut(guess.join(digests, names).join(theirs, ["l_id", "l_key", "l_pos", "n"]).withColumn("ok", F.col("digest") == F.col("l_digest")).drop("digest", "l_digest"))
-    right = found.where("known").select(*names).union(judged.where("ok").select(*names))
+    right = found.where("known").select(*names).union(judged.where("ok AND id > l_id").select(*names))
     if judged.where("NOT ok").isEmpty():
         return right
+    judged = judged.join(judged.where("NOT ok").select("l_id", "l_key").distinct(), ["l_id", "l_key"], "left_semi")
     step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("step")  # windows with equal labels by chance
     each = judged.select("*", step).select("id", "key", (F.col("pos") + F.col("step")).alias("pos"), "l_id", "l_key", (F.col("l_pos") + F.col("step")).alias("l_pos"), "ok")
     doubtful = each.where("NOT ok").select("l_id", "l_key", "l_pos").distinct()
@@ -297,9 +313,9 @@ def confirmed(text: DataFrame, found: DataFrame, window: int) -> DataFrame:
     return right.union(told.join(least, ["l_id", "l_key", "l_pos", "digest"]).where("id > least").select(*names))
 
 
-def marks(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
-    """(id, key, spans): pos and n of the runs of windows of a row that come in a row with a smaller id."""
-    text = keyed(docs)
+def marks(text: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
+    """(id, key, spans) from rows (id, key, text): pos and n of the runs of windows that come in a row with a smaller id."""
+    text = text.where("id is not null")
     found = cut(repeats(text, window, group))
     return confirmed(text, found, window).groupBy("id", "key").agg(F.collect_set(F.struct("pos", "n")).alias("spans"))
 
@@ -319,17 +335,20 @@ def keep_words(text: bytes, spans: list[dict] | None, window: int) -> tuple[int,
 
 
 def with_spans(docs: DataFrame, found: DataFrame, id_col: Column, key: str, spans: str) -> tuple[DataFrame, DataFrame | None]:
-    """(rows with their spans, the rest if apart); ``docs`` has a column ``key`` from ``row_key``."""
-    small = found.count() <= BROADCAST_ROWS
+    """(rows with their spans, the rest if apart); ``docs`` has a column ``key`` from ``with_key``."""
     own = found.select(F.col("id").alias(f"{key}_i"), F.col("key").alias(f"{key}_k"), F.col("spans").alias(spans))
-    keys = F.broadcast(found.select(F.col("key").alias(key)))
-    some = docs.join(keys, key, "left_semi") if small else docs
-    return some.join(own, (F.col(key) == F.col(f"{key}_k")) & (id_col == F.col(f"{key}_i")), "left").drop(f"{key}_i", f"{key}_k"), docs.join(keys, key, "left_anti") if small else None
+    both = (F.col(key) == F.col(f"{key}_k")) & (id_col == F.col(f"{key}_i"))
+    if found.count() > BROADCAST_ROWS:
+        return docs.join(own, both, "left").drop(f"{key}_i", f"{key}_k"), None
+    ids = F.broadcast(found.select(F.col("id").alias(f"{key}_i")).distinct())
+    same = id_col == F.col(f"{key}_i")
+    return docs.join(ids, same, "left_semi").join(own, both, "left").drop(f"{key}_i", f"{key}_k"), docs.join(ids, same, "left_anti")
 
 
 def dedupe_substrings(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
     """id, n_words, n_removed, kept: each text without the words of repeats of a smaller document."""
-    found = cut(marks(docs, window, group))
+    rows = keyed(docs)
+    found = cut(marks(rows, window, group))
     form = arrow(KEPT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,9 +361,6 @@ def dedupe_substrings(docs: DataFrame, window: int = 13, group: int = GROUP) ->
                     [some.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary()).cast(pa.string())], schema=form
                 )
 
-    small_batches(docs.sparkSession)
-    i, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(i.alias("id"), text.alias("text"), row_key(i, text).alias("key"))
     marked, rest = with_spans(rows, found, F.col("id"), "key", "spans")
     out = marked.select("id", "text", "spans").mapInArrow(run, KEPT)
     return out if rest is None else out.union(rest.select("id", "text", F.lit(None).cast("array<struct<pos:long,n:long>>").alias("spans")).mapInArrow(run, KEPT))
@@ -359,7 +375,6 @@ def fresh(docs: DataFrame, name: str) -> str:
 
 def dedupe_texts(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataFrame:
     """The rows and columns of ``docs``; texts that lose words are their kept words joined by one space."""
-    found = cut(marks(docs, window, group))
     names, key, spans = docs.columns, fresh(docs, "row_key"), fresh(docs, "row_spans")
     text = next(f for f in docs.schema if f.name == "text")
 
@@ -375,7 +390,8 @@ def dedupe_texts(docs: DataFrame, window: int = 13, group: int = GROUP) -> DataF
 
     small_batches(docs.sparkSession)
     own = docs if isinstance(text.dataType, T.StringType) else docs.withColumn("text", F.col("text").cast("string"))
-    own = own.withColumn(key, row_key(F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))))
+    own = with_key(own, F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")), key)
+    found = cut(marks(own.select(F.col("doc_id").cast("long").alias("id"), F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text")), window, group))
     marked, rest = with_spans(own, found, F.col("doc_id").cast("long"), key, spans)
     schema = own.drop(key).schema
     out = marked.drop(key).mapInArrow(run, schema)
