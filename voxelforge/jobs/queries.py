@@ -901,12 +901,12 @@ def x2(s, d):
     return X.latest(got, ["segment"]).select("segment", "n", M.rounded("total").alias("total"))
 
 
-@query("x3_damped", "+e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT a.user_id, a.event_id, round(sum(b.value*pow(0.9::DOUBLE, a.n-b.n)),4)+0.0::DOUBLE AS state FROM e a JOIN e b ON a.user_id=b.user_id AND b.n<=a.n GROUP BY 1,2")
+@query("x3_damped", "+e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT a.user_id, a.event_id, round(sum(b.value*exp(-0.1::DOUBLE*(a.n-b.n))),5)+0.0::DOUBLE AS state FROM e a JOIN e b ON a.user_id=b.user_id AND b.n<=a.n GROUP BY 1,2")
 def x3(s, d):
     span = M.table(s, d, "events").select(F.datediff(F.max("ts"), F.min("ts")).alias("n")).first()["n"] or 0
     events, close = X.ending(s, _events(s, d), "ts", "user_id")
-    got = X.run(X.damped(events, "user_id", "ts", "event_id", "value", 0.9, f"{span + 1} days"), "damped", close=close)
-    return got.where("user_id >= 0").select("user_id", "event_id", M.rounded("state", 4).alias("state"))
+    got = X.run(X.damped(events, "user_id", "ts", "event_id", "value", math.exp(-0.1), f"{span + 1} days"), "damped", close=close)
+    return got.where("user_id >= 0").select("user_id", "event_id", M.rounded("state", 5).alias("state"))
 
 
 @query("x4_tee", "SELECT event_id, event_type='click' AS kept, [[value]] AS value FROM events")
