@@ -567,12 +567,13 @@ def w8_modes(s, d):
 
 @query("w9_ssa")
 def w9(s, d):
-    x = M.signal(s, d).withColumns({"n": W.length_of(["ch"]), "re": F.col("re") - F.avg("re").over(Window.partitionBy("ch"))})
-    h = W.hankel(x, "i", F.col("n"), 8).withColumn("key", F.concat_ws(":", "ch", "p"))
-    sv, eof = T.singular_values(h, "key", "w", 8)
-    proj = eof[:, :2] @ eof[:, :2].conj().T
-    back = T.apply_channels(h, proj, "key", "w", "v").withColumns({"ch": F.split_part("key", F.lit(":"), F.lit(1)).cast("long"), "i": (F.split_part("key", F.lit(":"), F.lit(2)).cast("int") + F.col("v"))})
-    return out(back.groupBy("ch", "i").agg(F.avg("re").alias("re")), "ch", "i", values=("re",))
+    return out(T.singular_spectrum(M.signal(s, d), ["ch"], "i", 8, 2), "ch", "i", values=("re",))
+
+
+@query("w9_full_rank", "+m AS (SELECT ch, avg(re) AS m FROM signal GROUP BY 1) SELECT ch, i, [[re-m]] AS re FROM signal JOIN m USING (ch)", "signal")
+def w9_full(s, d):
+    """With all vectors the decomposition gives the series without its mean."""
+    return out(T.singular_spectrum(M.signal(s, d), ["ch"], "i", 4, 4), "ch", "i", values=("re",))
 
 
 @query("w10_phase_bins", "SELECT vec_id, c, least(floor((CASE WHEN atan2(im,re)<0 THEN atan2(im,re)+2*3.141592653589793 ELSE atan2(im,re) END)*6/(2*3.141592653589793)),5)::INT AS bin FROM coils", "coils")
@@ -680,6 +681,12 @@ def t7(s, d):
     return out(T.apply_channels(M.coils(s, d), T.coil_compression(M.coils(s, d), "vec_id", "c", 32, 6), "vec_id", "c"), "vec_id", "v")
 
 
+@query("t7_energy", "SELECT vec_id, [[sqrt(sum(re*re+im*im))]] AS re, 0.0::DOUBLE AS im FROM coils GROUP BY 1", "coils")
+def t7_energy(s, d):
+    """As many virtual coils as coils: nothing of the energy is lost."""
+    return out(A.rss(T.apply_channels(M.coils(s, d), T.coil_compression(M.coils(s, d), "vec_id", "c", 32, 32), "vec_id", "c"), ["vec_id"]), "vec_id")
+
+
 @query("t8_whiten", "SELECT i::INT AS i, j::INT AS j, (i=j)::INT::DOUBLE AS re, 0.0::DOUBLE AS im FROM range(32) a(i), range(32) b(j) WHERE j>=i")
 def t8(s, d):
     x = T.apply_channels(M.coils(s, d), T.whitening(M.coils(s, d), "vec_id", "c", 32), "vec_id", "c")
@@ -724,6 +731,7 @@ def _coil_cells(df: DataFrame) -> DataFrame:
 MAPS = LOW + IDFT.format("l") + ", n AS (SELECT vec_id, y, x, greatest(sqrt(sum(re*re+im*im)),1e-12) AS n FROM i GROUP BY 1,2,3), m AS (SELECT vec_id, coil, y, x, re/n AS re, im/n AS im FROM i JOIN n USING (vec_id,y,x))"
 query("t11_caldir", "+" + MAPS + " SELECT vec_id, coil, y, x, [[re]] AS re, [[im]] AS im FROM m", "kspace")(lambda s, d: _coil_cells(_own_maps(s, d)))
 query("t12_walsh")(lambda s, d: _coil_cells(C.walsh(M.kspace(s, d))))
+query("t12_single_voxel", "+" + IDFT.format("kspace") + ", n AS (SELECT vec_id, y, x, sqrt(sum(re*re+im*im)) AS n, max(CASE WHEN coil=0 THEN re END) AS fr, max(CASE WHEN coil=0 THEN im END) AS fi FROM i GROUP BY 1,2,3) SELECT vec_id, coil, y, x, [[(re*fr+im*fi)/n/sqrt(fr*fr+fi*fi)]] AS re, [[(im*fr-re*fi)/n/sqrt(fr*fr+fi*fi)]] AS im FROM i JOIN n USING (vec_id,y,x)", "kspace")(lambda s, d: _coil_cells(C.walsh(M.kspace(s, d), 1)))
 query("t13_ecalib")(lambda s, d: _coil_cells(C.ecalib(M.kspace(s, d), 2, 0.02, 0.5)))
 UNITARY = "f AS (SELECT vec_id, u::INT AS y, v::INT AS x, sum(re*cos(t))/8 AS re, -sum(re*sin(t))/8 AS im FROM (SELECT vec_id, u, v, re, 2*pi()*((u-4)*(y-4)+(v-4)*(x-4))/8 AS t FROM img, range(8) a(u), range(8) b(v)) GROUP BY 1,2,3)"
 
@@ -744,6 +752,13 @@ def t15(s, d):
     return out(M.tiles_to_cells(B.locally_low_rank(t, "g", "frame", (8, 8), 4, 0.2), ["y", "x"], [8, 8]), "g", "frame", "y", "x", values=("re",))
 
 
+@query("t15_single_frame", "+b AS (SELECT vec_id, y//4 AS p, x//4 AS q, sqrt(sum(re*re)) AS n FROM img GROUP BY 1,2,3) SELECT vec_id AS g, 0 AS frame, y, x, [[CASE WHEN n=0 THEN 0 ELSE re*greatest(1-0.2/n,0) END]] AS re FROM img JOIN b ON b.vec_id=img.vec_id AND p=y//4 AND q=x//4".replace("SELECT vec_id AS g", "SELECT img.vec_id AS g"), "img")
+def t15_single(s, d):
+    """One frame: a block has one singular value, its norm."""
+    t = M.tile(s, d).withColumns({"g": F.col("vec_id"), "frame": F.lit(0)})
+    return out(M.tiles_to_cells(B.locally_low_rank(t, "g", "frame", (8, 8), 4, 0.2), ["y", "x"], [8, 8]), "g", "frame", "y", "x", values=("re",))
+
+
 @query("t16_estshift", "SELECT vec_id, 1.0::DOUBLE AS dy, 0.0::DOUBLE AS dx FROM embeddings")
 def t16(s, d):
     x = M.tile(s, d).withColumns({"re2": F.concat(F.slice("re", 9, 56), F.slice("re", 1, 8)), "im2": F.col("im")})
@@ -807,6 +822,13 @@ def b3_tikhonov(s, d):
 query("b4_pics")(lambda s, d: _image(B.pics(*_sides(s, d), 0.01, eigen_step=True)))
 
 
+@query("b4_all_lines", "+" + MAPS + ", k AS (SELECT * FROM kspace), " + sense("k") + " SELECT vec_id, y, x, [[re*greatest(1-0.05/greatest(sqrt(re*re+im*im),1e-300),0)]] AS re, [[im*greatest(1-0.05/greatest(sqrt(re*re+im*im),1e-300),0)]] AS im FROM a", "kspace")
+def b4_all_lines(s, d):
+    """With every line measured and maps of unit norm the l1 solution is the threshold of the adjoint."""
+    k, maps, _ = _sides(s, d)
+    return _image(B.pics(k, maps, np.ones((4, 4)), 0.05, 60))
+
+
 @query("b4_wavelet")
 def b4_wavelet(s, d):
     """One coil of 16 x 16: the mosaic's spectrum, of which every second line is known, with a wavelet term."""
@@ -818,6 +840,13 @@ def b4_wavelet(s, d):
 query("b5_admm")(lambda s, d: _image(B.admm_tv(*_sides(s, d), 0.01)))
 query("b5_primal_dual")(lambda s, d: _image(B.primal_dual(*_sides(s, d), 0.01, 0.005)))
 query("b6_pocsense")(lambda s, d: _coil_cells(B.pocsense(*_sides(s, d), 20)))
+@query("b6_measured", "SELECT vec_id, coil, y, x, [[re]] AS re, [[im]] AS im FROM kspace WHERE " + PATTERN, "kspace")
+def b6_measured(s, d):
+    """Measured cells after the sweeps are those of the data."""
+    k = M.tiles_to_cells(B.pocsense(*_sides(s, d), 10), ["coil", "y", "x"])
+    return out(k.where("y % (1 + label % 2) = 0 OR y BETWEEN 1 AND 2"), "vec_id", "coil", "y", "x")
+
+
 query("b6_robust")(lambda s, d: _coil_cells(B.pocsense(*_sides(s, d), 20, 0.01, robust=0.02)))
 query("b7_nlinv")(lambda s, d: _image(B.nlinv(M.kspace(s, d), (_pattern(s, d), ["label"]))))
 
@@ -864,8 +893,19 @@ def b11(s, d):
 
 query("b12_rof")(lambda s, d: _image(T.tile_map(M.tile(s, d), (8, 8), lambda x: K.rof(x, 0.05))))
 query("b13_tgv")(lambda s, d: _image(T.tile_map(M.tile(s, d), (8, 8), lambda x: K.tgv(x, 0.05))))
-query("b14_nlmeans")(lambda s, d: _image(T.tile_map(M.tile(s, d), (8, 8), lambda x: K.nlmeans(x, 3, 2, 0.1))))
-query("b15_homodyne")(lambda s, d: _image(T.tile_map(M.tile(s, d), (8, 8), lambda x: K.homodyne(K.fft(x, (1, 2), unitary=True), 0.75) + 0j)))
+NLMEANS = (
+    "+r AS (SELECT i::INT AS i, (CASE WHEN i<0 THEN -i WHEN i>7 THEN 14-i ELSE i END)::INT AS at FROM range(-3,11) t(i)), p AS (SELECT vec_id, a.i AS y, b.i AS x, re FROM img JOIN r a ON a.at=y JOIN r b ON b.at=x), "
+    "g AS (SELECT i::INT AS i, j::INT AS j, exp(-(i*i+j*j)/2.0::DOUBLE) AS g FROM range(-1,2) a(i), range(-1,2) b(j)), n AS (SELECT sqrt(sum(g*g)) AS n FROM g), q AS (SELECT y::INT AS y, x::INT AS x, u::INT AS u, v::INT AS v FROM range(8) a(y), range(8) b(x), range(-2,3) c(u), range(-2,3) e(v)), "
+    "d AS (SELECT s.vec_id, q.y, q.x, q.u, q.v, sum(g*(s.re-t.re)*(s.re-t.re)) AS d FROM q, g JOIN p s ON s.y=q.y+i AND s.x=q.x+j JOIN p t ON t.vec_id=s.vec_id AND t.y=q.y+q.u+i AND t.x=q.x+q.v+j GROUP BY 1,2,3,4,5), "
+    "w AS (SELECT d.*, exp(-d/(2*0.01*n)) AS w FROM d, n) SELECT w.vec_id, w.y, w.x, [[sum(w*re)/sum(w)]] AS re, 0.0::DOUBLE AS im FROM w JOIN p ON p.vec_id=w.vec_id AND p.y=w.y+u AND p.x=w.x+v GROUP BY 1,2,3"
+)
+query("b14_nlmeans", NLMEANS, "img")(lambda s, d: _image(T.tile_map(M.tile(s, d), (8, 8), lambda x: K.nlmeans(x, 3, 2, 0.1))))
+HOMODYNE = (
+    "+" + UNITARY + ", w AS (SELECT *, CASE WHEN y<2 THEN 2.0 WHEN y>=6 THEN 0.0 ELSE 1-(y-4)/2.0 END AS ramp, CASE WHEN abs(y-4)<2 THEN 1 ELSE 0 END AS low FROM f WHERE y<6), "
+    "g AS (SELECT vec_id, u::INT AS y, v::INT AS x, sum(ramp*(re*cos(t)-im*sin(t)))/8 AS re, sum(ramp*(re*sin(t)+im*cos(t)))/8 AS im, sum(low*(re*cos(t)-im*sin(t))) AS lr, sum(low*(re*sin(t)+im*cos(t))) AS li FROM (SELECT w.*, u, v, 2*pi()*((u-4)*(y-4)+(v-4)*(x-4))/8 AS t FROM w, range(8) a(u), range(8) b(v)) GROUP BY 1,2,3) "
+    "SELECT vec_id, y, x, [[(re*lr+im*li)/sqrt(lr*lr+li*li)]] AS re, 0.0::DOUBLE AS im FROM g"
+)
+query("b15_homodyne", HOMODYNE, "img")(lambda s, d: _image(T.tile_map(M.tile(s, d), (8, 8), lambda x: K.homodyne(K.fft(x, (1, 2), unitary=True), 0.75) + 0j)))
 _PH = np.exp(0.2j * np.arange(8)[:, None] * np.ones((8, 8)))
 SEGMENTS = [np.ones((8, 8)), _PH], [np.full((8, 8), 0.5), np.conj(_PH) * 0.5]
 

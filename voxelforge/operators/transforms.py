@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..model import pieces, small_batches
+from . import windows
 from .joins import fmac
 from .reduce import channel_gram
 
@@ -152,6 +153,27 @@ def singular_values(df: DataFrame, sample: str, channel: str, n: int) -> tuple[n
     return np.sqrt(np.maximum(w[::-1], 0)), _fixed(v[:, ::-1])
 
 
+def singular_spectrum(series: DataFrame, rest: Sequence[str], axis: str, window: int, rank: int, remove_mean: bool = True, zero_padding: bool = True) -> DataFrame:
+    """Rank-reduced series: the trajectory matrix of all series, its leading right vectors, back-projection, averages over diagonals.
+
+    ``zero_padding`` lets windows reach over both ends, where the series is zero, so every sample counts equally often.
+    """
+    x = series
+    if remove_mean:
+        mean = series.groupBy(*rest).agg(F.avg("re").alias("__m"))
+        x = series.join(mean, list(rest)).withColumn("re", F.col("re") - F.col("__m")).drop("__m")
+    size = series.groupBy(*rest).agg(F.count("*").alias("__n"))
+    x = x.join(size, list(rest))
+    pad = window - 1 if zero_padding else 0
+    h = windows.hankel(x.withColumns({axis: F.col(axis) + pad, "__size": F.col("__n") + 2 * pad}), axis, F.col("__size"), window)
+    named = h.withColumn("__key", F.struct(*rest, "p")).withColumn("__row", F.xxhash64(*rest, "p"))
+    _, eof = singular_values(named.select("__row", "w", "re", "im"), "__row", "w", window)
+    back = apply_channels(named.select("__key", "w", "re", "im"), eof[:, :rank] @ eof[:, :rank].conj().T, "__key", "w", "v")
+    out = back.select(*(F.col(f"__key.{r}").alias(r) for r in rest), (F.col("__key.p") + F.col("v") - pad).cast("int").alias(axis), "re", "im")
+    means = out.groupBy(*rest, axis).agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
+    return means.join(size, list(rest)).where((F.col(axis) >= 0) & (F.col(axis) < F.col("__n"))).drop("__n")
+
+
 def coil_compression(df: DataFrame, sample: str, channel: str, n: int, keep: int) -> np.ndarray:
     """(keep, n) matrix onto the leading virtual channels."""
     return singular_values(df, sample, channel, n)[1][:, :keep].T.conj()
