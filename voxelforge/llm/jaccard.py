@@ -37,6 +37,8 @@ LEAF = 32  # points in a leaf
 BLOCK_SHINGLES = 1_500_000
 #: Documents of one route that are compared at once in a task, and in a batch of a task before the shuffle.
 ROUTE_ROWS, BATCH_ROWS = 4096, 16
+#: Bits of a route's key: 48 keep chance meetings rare up to 10**13 routes, and zero bytes cost nothing in the shuffle.
+KEY_BITS = _U(0xFFFFFFFFFFFF0000)
 #: Keys of large groups that a task remembers.
 HEADS = 20_000
 #: Largest table of document ids that may be broadcast (16 bytes a row).
@@ -92,7 +94,7 @@ def routes(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
         if groups - len(filled) > spare:  # rare: only such sets can agree on more empty groups than are spare
             none = np.setdiff1d(np.arange(groups), filled).astype(np.uint64)
             out.append(mix((none + _U(1)) * _U(0xA0761D6478BD642F) ^ salt))
-    return np.concatenate(out)
+    return np.concatenate(out) & KEY_BITS
 
 
 def points(sets: list[np.ndarray]) -> np.ndarray:
