@@ -119,12 +119,12 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
 class Words:
     """Words of a list of texts: ``hashes`` of all, ``bounds[i]:bounds[i+1]`` those of text i.
 
-    ``values[index]`` are the words themselves; a word's hash is 64 bits of BLAKE2.
+    ``values[index]`` are the words themselves; a word's hash is 64 bits of BLAKE2 (none without ``hashed``).
     """
 
     __slots__ = ("bounds", "ends", "hashes", "index", "starts", "values")
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], hashed: bool = True):
         buf = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         gap = _SPACE[buf]
         edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
@@ -132,6 +132,11 @@ class Words:
             edge = np.concatenate(([0], edge))
         self.starts, self.ends = edge[0::2], edge[1::2]
         self.index, self.values = distinct(buf[~gap], np.concatenate(([0], np.cumsum(self.ends - self.starts))))
+        self.hashes = self._hashed() if hashed else None
+        at = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.bounds = np.searchsorted(self.starts, at)
+
+    def _hashed(self) -> np.ndarray:
         if len(_KNOWN) > CACHE_WORDS:
             _KNOWN.clear()
         hashes = []
@@ -142,9 +147,7 @@ class Words:
                 if len(w) <= CACHE_BYTES:
                     _KNOWN[w] = h
             hashes.append(h)
-        self.hashes = np.array(hashes, np.uint64)[self.index]
-        at = np.cumsum([0] + [len(t) + 1 for t in texts])
-        self.bounds = np.searchsorted(self.starts, at)
+        return np.array(hashes, np.uint64)[self.index]
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, text index, word index within the text) of every run of k words inside one text."""
