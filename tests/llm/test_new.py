@@ -13,7 +13,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from conftest import DATA  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
-from voxelforge.llm import periodic  # noqa: E402
+from voxelforge.llm import periodic, variants  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, n long, word string, runs string, start long, __w string, form string, page_id string, host string"
@@ -129,6 +129,69 @@ def test_periodic_runs_odd(spark):
 
 
 def test_periodic_runs_query_is_brute_force(spark):
-    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text").where(F.length("text") < 12_000)
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text").where(F.length("text") < 6000)
     texts = [tuple(r) for r in docs.collect()]
     check_runs(digests(docs), texts)
+
+
+LETTERS = re.compile("[A-Za-zÀ-ÿ]+")
+
+
+def near(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def grouped(texts):
+    n = Counter()
+    for i, t in texts:
+        for w in LETTERS.findall(t or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), w)
+            h = zlib.crc32(f"{'' if i is None else i}:{w}".encode())
+            n[w[: h % len(w)] + w[h % len(w) + 1 :] if h % 31 == 0 else w] += 1
+    n = {w: k for w, k in n.items() if len(w) >= 7 and k >= 2}
+    close = {w: [x for x in n if abs(len(x) - len(w)) < 2 and near(w, x)] for w in n}
+    form = {}
+    for w, xs in close.items():
+        best = min(xs, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best and n[best] >= 10 * n[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return Counter((w, form[w], root(w), n[w], len(close[w]), n[form[w]] if form[w] else None) for w in n)
+
+
+def variants_of(docs):
+    got = variants.group_variants(variants.count_words(docs)).select("word", "form", "root", "n", "n_near", "form_n").collect()
+    return Counter(tuple(r) for r in got)
+
+
+def test_variants_odd(spark):
+    chain = "variation " * 1100 + "variatiom " * 105 + "variatiim " * 10 + "variaiim " * 2
+    texts = [(1, chain), (1, chain), (2, None), (3, ""), (None, "élève×s÷ élève×s÷ Ābcdefgh Abcdefgh abcdefgh"), (4, "x" * 30_000 + " " + "x" * 30_001 + " " + "x" * 30_001), (5, "x" * 30_000), (6, "aaaabbb aaaabbb bbbaaaa bbbaaaa tieabcd tieabcd tieabce tieabce tieabcf")]
+    texts += [(i, "tieabcd tieabce " * 20 + "tieabcf") for i in range(10, 14)]
+    assert variants_of(table(spark, texts)) == grouped(texts)
+    assert not variants_of(table(spark, []))
+
+
+@pytest.mark.parametrize("leaf", [2000, 40])
+def test_variants_are_brute_force_in_any_leaves(spark, monkeypatch, leaf):
+    monkeypatch.setattr(variants, "LEAF", leaf)
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text").where(F.length("text") < 2500)
+    texts = [tuple(r) for r in docs.collect()]
+    assert variants_of(docs) == grouped(texts)
+
+
+def test_upper_trees_reach_every_near_word():
+    rng = np.random.default_rng(5)
+    words = sorted({bytes(rng.choice(list(b"abcd"), 8).tolist()) for _ in range(900)})
+    letters = variants.codes(words, 8)
+    kinds = variants.Points(letters[::4])
+    tree = variants.KdTree(kinds.of(letters[::4], 4), 12, tight=False)
+    points = kinds.of(letters, 4)
+    home, reached = tree.leaf_of(points), {(leaf, q) for leaf, _, own in tree.reached(points, 1) for q in own.tolist()}
+    assert tree.leaves > 6
+    assert all((home[j], i) in reached for i, a in enumerate(words) for j, b in enumerate(words) if near(a, b))
