@@ -13,7 +13,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from conftest import DATA  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
-from voxelforge.llm import periodic, variants  # noqa: E402
+from voxelforge.llm import pages, periodic, variants  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, n long, word string, runs string, start long, __w string, form string, page_id string, host string"
@@ -195,3 +195,61 @@ def test_upper_trees_reach_every_near_word():
     home, reached = tree.leaf_of(points), {(leaf, q) for leaf, _, own in tree.reached(points, 1) for q in own.tolist()}
     assert tree.leaves > 6
     assert all((home[j], i) in reached for i, a in enumerate(words) for j, b in enumerate(words) if near(a, b))
+
+
+def page_table(spark, rows):
+    return spark.createDataFrame([(i, u, h, "x", "y", "z", 1) for i, u, h in rows], "page_id long, url string, html string, host string, paths string, path string, n int")
+
+
+def page_texts(spark, rows):
+    return {r["page_id"]: r for r in pages.extract_text(page_table(spark, rows)).collect()}
+
+
+BLOG = """<html><body class="home sidebar"><div id="top-menu"><a href=/>Start</a> <a href=/b>More of it</a></div><div class="cookieNotice"><p>We use cookies and you like them, all of them, always and ever.</p></div>
+<div class="wrap"><div class="post post-{i}"><h1>Title {i} &amp; so on</h1><div class="entry">{body}</div><div class=share-buttons><p>Share this with all your friends</p></div></div>
+<div class="col side-bar2"><div class="widget"><p>Other posts that you may like to read some day or other, or never.</p></div></div></div>
+<div id="comments"><p>First comment, a very long one that goes on and on, longer than the text of many a page of this host.</p><form><p>Write one</p></form></div>
+<div class=footer>&copy; us</div></body></html>"""
+
+
+def test_page_text_by_consensus(spark):
+    body = {i: "".join(f"<p>Paragraph {j} of page {i},\n with <b>words</b> and <a href=x>one link</a>.</p>" for j in range(5)) for i in range(8)}
+    body[8] = "<p>Short.</p>"
+    body[9] = "One<br>block <div>another</div><ul><li>item <i>a</i><li>item b</ul><table><tr><td>x<td>y</table><pre> p  q </pre><script>var a = '<p>no</p>'</script><!-- <p>no</p> --> tail"
+    got = page_texts(spark, [(i, f"https://blog.example.com/{i}", BLOG.format(i=i, body=b)) for i, b in body.items()])
+    for i in range(8):
+        assert got[i]["text"] == "\n\n".join([f"Title {i} & so on"] + [f"Paragraph {j} of page {i}, with words and one link." for j in range(5)])
+    assert got[8]["text"] == "Title 8 & so on\n\nShort."
+    assert got[9]["text"] == "Title 9 & so on\n\nOne block\n\nanother\n\nitem a\n\nitem b\n\nx y\n\np q\n\ntail"
+    assert all(r["n_chars"] == len(r["text"]) for r in got.values())
+
+
+def test_page_text_odd(spark):
+    article = "<html><body><nav>m</nav><article><header><h1>T</h1></header><p>One<p>two &lt;x&gt; &#x65e5;&nbsp;&eacute &unknown; <b>bold</article><footer>f</footer>"
+    rows = [(1, None, None), (2, None, ""), (3, "not a url", "plain text & more"), (4, "http://h/", article), (4, "http://h/", article), (5, "http://H:80/x", "<html><body><article></article></body></html>"), (None, "http://h/", "<p>" * 2000 + "x" + "<div>" * 3000 + "y"), (6, "http://u@h/", "<article>cut off <p"), (7, "http://h/", "<body><script>never <p>ends"), (8, "http://h/", "</p></div>a < b <3 <article hidden>no</article>")]
+    got = pages.extract_text(page_table(spark, rows))
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    texts = {(r["page_id"], r["text"]) for r in got.collect()}
+    assert got.count() == len(rows)
+    assert texts == {(1, ""), (2, ""), (3, "plain text & more"), (4, "T\n\nOne\n\ntwo <x> 日 é &unknown; bold"), (5, ""), (None, "x\n\ny"), (6, "cut off"), (7, ""), (8, "a < b <3")}
+    assert pages.extract_text(page_table(spark, [])).count() == 0
+
+
+def test_page_text_query(spark):
+    """The pages of the tables hold one article each: plain patterns find it."""
+    import html
+
+    got = {r["page_id"]: r for r in pages.op13_page_text(spark, f"{DATA}/sf0.001").collect()}
+    for r in spark.read.parquet(f"{DATA}/sf0.001/pages.parquet").collect():
+        body = re.sub("</?b>", "", re.search("<article>(.*?)</article>", r["html"], re.S)[1])
+        want = "\n\n".join(x for x in (" ".join(html.unescape(y).split()) for y in re.split("</?(?:p|h1)>", body.replace("<br>", " "))) if x)
+        assert (got[r["page_id"]]["url"], got[r["page_id"]]["text"], got[r["page_id"]]["n_chars"]) == (r["url"], want, len(want))
+
+
+def test_pages_take_linear_time():
+    import time
+
+    for source in ("<div>" * 100_000, "<" * 300_000, '<a "' * 50_000, "<!--" * 50_000, "<script>" * 50_000, "</p>" * 100_000, "<ul><li>a" * 30_000, "<a " + "class=x " * 100_000, "<p><i>" * 50_000 + "<div>" * 30_000, "&" * 300_000):
+        began = time.time()
+        pages.Page(source).texts([">html>body"])
+        assert time.time() - began < 20
