@@ -21,7 +21,7 @@ from ..operators import recon as B
 from ..operators import reduce as A
 from ..operators import transforms as T
 from ..operators import windows as W
-from ..sources import cfl
+from ..sources import cfl, slabs
 from ..streaming import frames as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,29 @@ def s1(s, d):
     return out(M.tiles_to_cells(tiles, ["y", "x"], [8, 8]), *IM)
 
 
+def _ragged(s: SparkSession, d: str) -> DataFrame:
+    """One array (i, y, x) per label, as slabs of one image each."""
+    e = M.table(s, d, "embeddings").select("label", "vec_id", "embedding")
+    n = e.groupBy("label").agg(F.count("*").cast("int").alias("n"))
+    first = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long") * 64
+    re = F.transform("embedding", lambda v: v.cast("float"))
+    return e.withColumn("start", first).join(n, "label").select(F.concat(F.lit("l"), "label").alias("array_id"), F.array("n", F.lit(8), F.lit(8)).alias("shape"), "start", re.alias("re"), F.transform(re, lambda v: -v).alias("im"))
+
+
+@query("s1_ranges", "SELECT label::INT AS label, (row_number() OVER (PARTITION BY label, y, x ORDER BY vec_id)-1)::INT AS i, y, x, [[re]] AS re, [[-re]] AS im FROM img", "img")
+def s1_ranges(s, d):
+    """Ragged arrays written in slabs of images and read in ranges that ignore the images."""
+    folder = f"{shared_folder(s)}/slabs-{uuid.uuid4().hex}"
+    slabs.write_slabs(_ragged(s, d), folder).write.format("noop").mode("overwrite").save()
+    got = slabs.slabs_to_cells(slabs.read_slabs(s, folder, 8 * 1000, 300), ["i", "y", "x"])
+    return out(got.withColumn("label", F.substring("array_id", 2, 20).cast("int")), "label", "i", "y", "x")
+
+
+@query("s2_slabs", "SELECT 'l' || label AS array_id, (512*count(*))::BIGINT AS bytes FROM embeddings GROUP BY label")
+def s2_slabs(s, d):
+    return slabs.write_slabs(_ragged(s, d), f"{shared_folder(s)}/slabs-{uuid.uuid4().hex}")
+
+
 @query("s2_writecfl", "SELECT 'a' || vec_id AS array_id, 512::BIGINT AS bytes FROM embeddings")
 def s2(s, d):
     files = s.read.format("binaryFile").option("pathGlobFilter", "*.cfl").load(_written(s, d))
