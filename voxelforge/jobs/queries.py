@@ -17,6 +17,7 @@ from ..operators import arrange as R
 from ..operators import calib as C
 from ..operators import elementwise as E
 from ..operators import joins as J
+from ..operators import noncartesian as N
 from ..operators import recon as B
 from ..operators import reduce as A
 from ..operators import transforms as T
@@ -660,6 +661,15 @@ def t3(s, d):
     return out(M.tiles_to_cells(im, ["y", "x"], [8, 8]), *IM)
 
 
+@query("t3_gridded", NUFFT + "SELECT vec_id, u::INT AS y, v::INT AS x, [[sum(re*cos(t)-im*sin(t))/8]] AS re, [[sum(re*sin(t)+im*cos(t))/8]] AS im FROM (SELECT y.*, u, v, 2*pi()*(ky*(u-4)+kx*(v-4))/8 AS t FROM y JOIN k USING (s), range(8) a(u), range(8) b(v)) GROUP BY 1,2,3", "img")
+def t3_gridded(s, d):
+    """The same adjoint over cells: samples join their kernels and are summed by cell of the grid."""
+    k = _spokes()
+    route = s.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(k)], "s int, ky double, kx double")
+    im = N.grid_adjoint(M.tiles_to_cells(_samples(s, d), ["s"], [48]), (route, ["s"]), ["vec_id"], ["ky", "kx"], (8, 8), width=14)
+    return out(M.tiles_to_cells(im, ["y", "x"], [8, 8]), *IM)
+
+
 @query("t4_psf", "+k AS (SELECT l_suppkey AS g, l_linenumber AS a, count(*) AS w, (l_linenumber-4)*0.9::DOUBLE AS kx FROM lineitem GROUP BY 1,2,4) SELECT g, m::INT AS m, [[sum(w*cos(2*pi()*kx*(m-8)/8))/8]] AS re, [[sum(w*sin(2*pi()*kx*(m-8)/8))/8]] AS im FROM k, range(16) t(m) GROUP BY 1,2")
 def t4(s, d):
     k = M.table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("g"), ((F.col("l_linenumber") - 4) * 0.9).alias("kx")).agg(F.count("*").alias("w"))
@@ -830,6 +840,34 @@ def b2_samples(s, d):
     return out(M.tiles_to_cells(y, ["coil", "s"]), "vec_id", "coil", "s")
 
 
+JITTER = "+k AS (SELECT label, s::INT AS s, s//8-4+0.3*sin(label+s) AS ky, s%8-4+0.3*cos(label+2*s) AS kx, 1.0::DOUBLE+s%2*0.5 AS w FROM (SELECT DISTINCT label FROM embeddings), range(64) t(s))"
+
+
+def _jittered(s: SparkSession, d: str) -> tuple:
+    """A trajectory near the grid points and four maps for every label."""
+    own = M.table(s, d, "embeddings").select("label").distinct()
+    at = F.sequence(F.lit(0), F.lit(63))
+    line = lambda f: F.transform(at, lambda i: f(i).cast("double"))
+    routes = own.select("label", line(lambda i: i * 0).alias("kz"), line(lambda i: F.floor(i / 8) - 4 + 0.3 * F.sin(F.col("label") + i)).alias("ky"), line(lambda i: i % 8 - 4 + 0.3 * F.cos(F.col("label") + 2 * i)).alias("kx"), line(lambda i: 1 + i % 2 * 0.5).alias("w"))
+    phase = lambda i: 0.3 * (F.floor(i / 8) % 8 + F.floor(i / 64) * (i % 8) + F.col("label"))
+    planes = F.sequence(F.lit(0), F.lit(255))
+    maps = own.select("label", F.transform(planes, lambda i: F.cos(phase(i)) / 2).alias("re"), F.transform(planes, lambda i: F.sin(phase(i)) / 2).alias("im"))
+    return (maps, ["label"]), (routes, ["label"]), 4, 64, (8, 8)
+
+
+@query("b2_normal", JITTER + ", e AS (SELECT vec_id, c, s, w, y, x, re, 0.3*(y+c*x+label) - 2*pi()*(ky*(y-4)+kx*(x-4))/8 AS t FROM img JOIN k USING (label), range(4) r(c)), z AS (SELECT vec_id, c, s, sum(w*re*cos(t))/16 AS re, sum(w*re*sin(t))/16 AS im FROM e GROUP BY 1,2,3) SELECT vec_id, y, x, [[sum(w*(z.re*cos(t)+z.im*sin(t)))/16]] AS re, [[sum(w*(z.im*cos(t)-z.re*sin(t)))/16]] AS im FROM e JOIN z USING (vec_id, c, s) GROUP BY 1,2,3", "img")
+def b2_normal(s, d):
+    """A^H A of every image with the maps and the trajectory of its label, by the circulant form."""
+    return _image(N.normal(M.tile(s, d), *_jittered(s, d), width=14))
+
+
+@query("b2_recovered", "SELECT vec_id, y, x, [[re]] AS re, [[im]] AS im FROM img", "img")
+def b2_recovered(s, d):
+    """Every image from its own samples."""
+    sides = _jittered(s, d)
+    return _image(N.reconstruct(N.forward(M.tile(s, d), *sides, width=14), *sides, steps=60, width=14))
+
+
 @query("b3_cg")
 def b3(s, d):
     return _image(B.cg_sense(*_sides(s, d), 40, 0.05, 0.01))
