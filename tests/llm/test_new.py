@@ -192,7 +192,7 @@ def test_upper_trees_reach_every_near_word():
     kinds = variants.Points(letters[::4])
     tree = variants.KdTree(kinds.of(letters[::4], 4), 12, tight=False)
     points = kinds.of(letters, 4)
-    home, reached = tree.leaf_of(points), {(leaf, q) for leaf, _, own in tree.reached(points, 1) for q in own.tolist()}
+    home, reached = tree.leaf_of(points), {(leaf, q) for leaf, _, own in tree.reached(tree.code.of(points), 1) for q in own.tolist()}
     assert tree.leaves > 6
     assert all((home[j], i) in reached for i, a in enumerate(words) for j, b in enumerate(words) if near(a, b))
 

@@ -34,9 +34,9 @@ MIN_LETTERS, MIN_COUNT = 7, 2
 #: A form is so many times as frequent as its variant.
 RATIO = 10
 #: Words that a leaf of the upper trees should hold, and words from which their planes are drawn, each at most so long.
-LEAF, SAMPLE, SAMPLE_LETTERS = 2000, 65_536, 64
+LEAF, SAMPLE, SAMPLE_LETTERS = 8000, 65_536, 64
 #: Points of a leaf inside a task; queries and pairs handled at once.
-POINTS, BLOCK = 24, 8192
+POINTS, BLOCK = 32, 8192
 LETTERS = 90  # a to z, U+00C0 to U+00FF
 _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
@@ -124,23 +124,45 @@ class Points:
         return np.bincount(at.ravel(), minlength=n * 2 * self.width).reshape(n, 2 * self.width).astype(kind)
 
 
+class Unary:
+    """Counts as bits, one for each letter up to ``most``: what one count exceeds another by is a number of bits."""
+
+    def __init__(self, most: np.ndarray):
+        self.axis = np.repeat(np.arange(len(most)), most)
+        self.level = np.arange(len(self.axis)) - np.repeat(np.cumsum(most) - most, most)
+
+    def of(self, counts: np.ndarray) -> np.ndarray:
+        bits = np.packbits(counts[:, self.axis] > self.level, axis=1)
+        wide = np.zeros((len(counts), max(8, -(-bits.shape[1] // 8) * 8)), np.uint8)
+        wide[:, : bits.shape[1]] = bits
+        return wide.view(np.uint64)
+
+
+def excess(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Letters of a beyond those of b."""
+    return np.bitwise_count(a & ~b).sum(-1, dtype=np.int32)
+
+
 class KdTree:
     """Boxes of points, halved along the coordinate that spreads most.
 
     ``tight`` boxes are those of the points; else they are bounded by the planes alone and hold any point.
-    A node is (low, high, coordinate, value, left, right) or, for a leaf, (low, high, leaf number, points).
+    A node is (low, high, coordinate, value, left, right) or, for a leaf, (low, high, leaf number, points),
+    low and high coded by ``code``.
     """
 
-    def __init__(self, points: np.ndarray, leaves: int, tight: bool):
+    def __init__(self, points: np.ndarray, leaves: int, tight: bool, most: np.ndarray | None = None):
         self.tight, self.leaves = tight, 0
-        wide = np.iinfo(points.dtype)
-        low, high = np.zeros(points.shape[1], points.dtype), np.full(points.shape[1], wide.max, points.dtype)
+        top = points.max(0, initial=0)
+        self.code = Unary(top if most is None else np.maximum(top, most))
+        low, high = np.zeros(points.shape[1], points.dtype), np.full(points.shape[1], np.iinfo(points.dtype).max, points.dtype)
         self.root = self._node(points, np.arange(len(points)), leaves, low, high)
 
     def _node(self, points: np.ndarray, own: np.ndarray, leaves: int, low: np.ndarray, high: np.ndarray) -> tuple:
         some = points[own]
         if self.tight and len(own):
             low, high = some.min(0), some.max(0)
+        box = tuple(self.code.of(np.stack((low, high))))
         if leaves > 1 and len(own) > 1:
             spread = some.astype(np.float32).var(0)
             axis = int(spread.argmax())
@@ -153,9 +175,9 @@ class KdTree:
                 upper, lower = high.copy(), low.copy()
                 upper[axis], lower[axis] = value, value + 1
                 share = min(max(1, round(leaves * below.mean())), leaves - 1)
-                return low, high, axis, value, self._node(points, own[below], share, low, upper), self._node(points, own[~below], leaves - share, lower, high)
+                return *box, axis, value, self._node(points, own[below], share, low, upper), self._node(points, own[~below], leaves - share, lower, high)
         self.leaves += 1
-        return low, high, self.leaves - 1, own
+        return *box, self.leaves - 1, own
 
     def leaf_of(self, points: np.ndarray) -> np.ndarray:
         """The leaf in which each point lies."""
@@ -170,12 +192,12 @@ class KdTree:
         return out
 
     def reached(self, queries: np.ndarray, less: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(leaf, its points, queries) wherever a query can be a point of the box with one letter more and ``less`` letters less."""
+        """(leaf, its points, queries) wherever a coded query can be a point of the box with one letter more and ``less`` letters less."""
         todo = [(self.root, np.arange(len(queries)))]
         while todo:
             node, own = todo.pop()
             q = queries[own]
-            own = own[(np.maximum(q - np.minimum(q, node[1]), 0).sum(1, dtype=np.int32) <= 1) & ((np.maximum(q, node[0]) - q).sum(1, dtype=np.int32) <= less)]
+            own = own[(excess(q, node[1]) <= 1) & (excess(node[0], q) <= less)]
             if not len(own):
                 continue
             if len(node) == 4:
@@ -184,22 +206,18 @@ class KdTree:
                 todo += [(node[4], own), (node[5], own)]
 
 
-def _close(points: np.ndarray, queries: np.ndarray, less: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) numbers of pairs that differ by one letter more and ``less`` letters less."""
-    diff = queries[:, None, :] - points[None, :, :]
-    more = np.maximum(diff, 0).sum(2, dtype=np.int32)
-    return np.nonzero((more == 1) & (diff.sum(2, dtype=np.int32) == 1 - less))
-
-
-def search(points: np.ndarray, queries: np.ndarray, less: int, tree: KdTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers (query, point) of all pairs whose counts allow one edit."""
+def search(points: np.ndarray, queries: np.ndarray, less: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers (query, point) of all pairs of counts that differ by one letter more and ``less`` letters less."""
+    tree = KdTree(points, max(1, len(points) // POINTS), True, queries.max(0, initial=0))
+    points, queries = tree.code.of(points), tree.code.of(queries)
     for first in range(0, len(queries), BLOCK):
         for _, own, some in tree.reached(queries[first : first + BLOCK], less):
             for a in range(0, len(own), 4 * POINTS):
-                for b in range(0, len(some), 512):
-                    q, p = _close(points[own[a : a + 4 * POINTS]], queries[first + some[b : b + 512]], less)
+                for b in range(0, len(some), BLOCK // POINTS):
+                    near, asked = own[a : a + 4 * POINTS], first + some[b : b + BLOCK // POINTS]
+                    q, p = np.nonzero(excess(queries[asked][:, None], points[near]) == 1)  # both have as many letters as their lengths say
                     if len(q):
-                        yield first + some[b + q], own[a + p]
+                        yield asked[q], near[p]
 
 
 def one_replaced(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -218,18 +236,17 @@ def near_in_leaf(length: int, data: list[bytes], same: list[bytes], longer: list
     own, others, more = codes(data, length), codes(same, length), codes(longer, length + 1)
     kinds, half = Points(own), length // 2
     points = kinds.of(own, half)
-    tree = KdTree(points, max(1, len(points) // POINTS), tight=True)
     words, found = data + same, []
     every = np.concatenate((own, others))
     order = np.empty(len(words), np.int64)
     order[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
-    for q, p in search(points, kinds.of(every, half), 1, tree):
+    for q, p in search(points, kinds.of(every, half), 1):
         some = order[q] > order[p]  # each pair from its larger word
         q, p = q[some], p[some]
         good = one_replaced(every[q], own[p])
         found.append((q[good], p[good]))
     for extra in (0, 1):  # the letter is behind the middle, or before it
-        for q, p in search(points, kinds.of(more, half + extra), 0, tree):
+        for q, p in search(points, kinds.of(more, half + extra), 0):
             head, tail = common_ends(own[p], more[q])
             good = (head + tail >= length) & ((head < half) if extra else (head >= half))
             found.append((q[good] + len(words), p[good]))
@@ -264,7 +281,7 @@ def route(vocabulary: DataFrame, trees: dict[int, tuple[Points, KdTree]]) -> Dat
         kinds, tree = trees[length]
         got = [np.empty(0, np.int64)]
         for extra in (0,) if role == SAME else (0, 1):
-            for leaf, _, own in tree.reached(kinds.of(letters, length // 2 + extra), int(role == SAME)):
+            for leaf, _, own in tree.reached(tree.code.of(kinds.of(letters, length // 2 + extra)), int(role == SAME)):
                 got.append(own * tree.leaves + leaf)
         both = np.unique(np.concatenate(got))
         yield both // tree.leaves, both % tree.leaves
