@@ -13,7 +13,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from conftest import DATA  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
-from voxelforge.llm import pages, periodic, variants  # noqa: E402
+from voxelforge.llm import jaccard, pages, periodic, topk, variants  # noqa: E402
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, n long, word string, runs string, start long, __w string, form string, page_id string, host string"
@@ -253,3 +253,21 @@ def test_pages_take_linear_time():
         began = time.time()
         pages.Page(source).texts([">html>body"])
         assert time.time() - began < 20
+
+
+def test_nodes_of_texts_are_cut_from_sha256(spark):
+    texts = ["", "one", "日本 two", "x" * 10_000]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", jaccard.text_key(F.col("text")).alias("k")).collect()
+    assert {r["text"]: r["k"] for r in got} == {t: int.from_bytes(hashlib.sha256(t.encode()).digest()[:8], "big", signed=True) for t in texts}
+
+
+def test_large_products_are_exact_or_raise(spark):
+    rows = [(0, [2.0**30, 1.0]), (1, [2.0**31, 1.0]), (2, [2.0**31, 0.0]), (3, [2.0**31, 1.0]), (4, [-(2.0**31), 5.0]), (5, [2.0**30, 1.0])]
+    vectors = lambda rows: topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 1)
+    both = vectors(rows)
+    got = [tuple(r)[:4] for r in topk.top_k(both.where("id = 0"), both, 10).orderBy("rank").collect()]
+    want = sorted(((i, sum(int(a) * int(b) for a, b in zip(rows[0][1], v, strict=True))) for i, v in rows[1:]), key=lambda r: (-r[1], r[0]))
+    assert got == [(0, n + 1, i, score) for n, (i, score) in enumerate(want)]
+    large = vectors([(i, [2.0**40, 2.0**40 - i]) for i in range(4)])
+    with pytest.raises(Exception, match="exceeds 62 bits"):
+        topk.top_k(large.where("id = 0"), large, 10).collect()

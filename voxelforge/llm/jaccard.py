@@ -10,8 +10,8 @@ proposes pairs, and these are verified on the full sets.  A set holds 64-bit has
 its shingles, so sizes and overlaps are exact up to chance collisions.
 
 Edge cases: a null or empty text has an empty set, is its own component and links with nothing.  With
-fewer than k words the whole sequence is the one shingle.  Nodes are texts, named by a 64-bit hash of
-the text (N^2 / 2^65 expected pairs taken for one by chance), so rows that share a doc_id keep their own
+fewer than k words the whole sequence is the one shingle.  Nodes are texts, named by 64 bits of
+their SHA-256 (N^2 / 2^65 expected pairs taken for one), so rows that share a doc_id keep their own
 sets and links; only the reported component unites all texts of a doc_id.  Rows without a doc_id link
 nothing in ``ngram_jaccard`` and get no component; ``keep_one`` compares their texts like all others and
 prefers a copy that has a doc_id.  Extra columns are ignored.  An empty table gives an empty result.
@@ -201,8 +201,8 @@ def link_block(sets: list[np.ndarray], start: list[int], num: int, den: int) ->
 
 
 def text_key(text: Column) -> Column:
-    """The node of a text."""
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    """The node of a text: 64 bits of its SHA-256, so that no two texts can be made to share one."""
+    return F.conv(F.substring(F.sha2(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 256), 1, 16), 16, -10).cast("long")
 
 
 def keyed(docs: DataFrame) -> DataFrame:

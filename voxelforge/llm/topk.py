@@ -14,7 +14,8 @@ block, is what the work consists of; the hits of the blocks are written to the s
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part, neither do
 null ids; vectors of another length than the query's are no candidates; a query never finds its own id,
 so rows that repeat an id do not find each other; of vectors that share a query's id the smallest asks.
-Repeated candidates each take a rank.  Products beyond 64 bits are computed exactly and clipped to 62 bits.
+Repeated candidates each take a rank.  Products are exact; one of 2**62 or more raises, as
+no ranking by a long could be right.
 An empty table gives an empty result.  Extra columns, whatever their names, are ignored.
 """
 
@@ -36,6 +37,8 @@ BLOCK_QUERIES, BLOCK_BYTES = 32_768, 64_000_000
 HIST = "q long, bin long, n long"
 HITS = "q long, vec_id long, score long"
 _TOP = 2**62 - 1
+#: Products below it are under 2**62 whatever the rounding of their doubles; intervals of scores then fit a long.
+LARGEST = 2.0**62 * (1 - 2**-30)
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 1024) -> DataFrame:
@@ -58,12 +61,17 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Integer products (queries x rows); doubles are exact below 2**53."""
+    """Integer products (queries x rows): doubles are exact below 2**53, beyond it whole numbers modulo 2**64 are.
+
+    A larger product raises: a ranking of clipped scores would be wrong.
+    """
+    near = q @ v.T
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * max(1, q.shape[1])
     if bound < 2**53:
-        return (q @ v.T).astype(np.int64)
-    whole = np.array([[int(c) for c in r] for r in q], object) @ np.array([[int(c) for c in r] for r in v], object).T
-    return np.clip(whole, -_TOP, _TOP).astype(np.int64)
+        return near.astype(np.int64)
+    if max(np.abs(q).max(initial=0), np.abs(v).max(initial=0)) >= 2**63 or not (np.abs(near) < LARGEST).all():
+        raise OverflowError("an inner product exceeds 62 bits; choose a smaller scale")
+    return q.astype(np.int64) @ v.astype(np.int64).T
 
 
 def _scored(batches: Iterator[pa.RecordBatch], by_len: dict) -> Iterator[tuple]:
