@@ -17,9 +17,13 @@ from ..operators import arrange as R
 from ..operators import calib as C
 from ..operators import elementwise as E
 from ..operators import joins as J
+from ..operators import coupled as CC
+from ..operators import lines as L
 from ..operators import noncartesian as N
+from ..operators import positions as P
 from ..operators import recon as B
 from ..operators import reduce as A
+from ..operators import terms as TT
 from ..operators import transforms as T
 from ..operators import windows as W
 from ..sources import cfl, slabs
@@ -635,6 +639,23 @@ def t1_large(s, d):
     return k.select("m", M.rounded(e).alias("energy"), F.size("re").cast("long").alias("n"))
 
 
+VOLUME = "+c AS (SELECT (vec_id//10)::BIGINT AS g, (vec_id%10)::INT AS z, y, x, re FROM img), a AS (SELECT g, u::INT AS z, y, x, sum(re*cos(2*pi()*(u-5)*(z-5)/10)) AS re, -sum(re*sin(2*pi()*(u-5)*(z-5)/10)) AS im FROM c, range(10) r(u) GROUP BY 1,2,3,4), b AS (SELECT g, z, u::INT AS y, x, sum(re*cos(w)+im*sin(w)) AS re, sum(im*cos(w)-re*sin(w)) AS im FROM (SELECT *, 2*pi()*(u-4)*(y-4)/8 AS w FROM a, range(8) r(u)) GROUP BY 1,2,3,4) SELECT g, z, y, u::INT AS x, [[sum(re*cos(w)+im*sin(w))]] AS re, [[sum(im*cos(w)-re*sin(w))]] AS im FROM (SELECT *, 2*pi()*(u-4)*(x-4)/8 AS w FROM b, range(8) r(u)) GROUP BY 1,2,3,4"
+
+
+@query("t1_volume", VOLUME, "img")
+def t1_volume(s, d):
+    """Ten images as a volume, an axis at a time; the lines along z are split in factors."""
+    x = M.img(s, d).select(F.floor(F.col("vec_id") / 10).alias("g"), (F.col("vec_id") % 10).cast("int").alias("z"), "y", "x", "re", "im")
+    return out(L.fft(x, {"z": 10, "y": 8, "x": 8}, most=8), "g", "z", "y", "x")
+
+
+@query("t1_long_line", "+c AS (SELECT (vec_id//8)::BIGINT AS g, ((vec_id%8)*64+y*8+x)::INT AS j, re FROM img) SELECT g, k::INT AS k, [[sum(re*cos(2*pi()*((k-256)*(j-256)%512)/512))]] AS re, [[-sum(re*sin(2*pi()*((k-256)*(j-256)%512)/512))]] AS im FROM c, range(512) r(k) GROUP BY 1,2", "img")
+def t1_long_line(s, d):
+    """Eight vectors end to end, transformed without ever gathering the line: 512 = 16 x (16 x 2)."""
+    x = M.img(s, d).select(F.floor(F.col("vec_id") / 8).alias("g"), ((F.col("vec_id") % 8) * 64 + F.col("y") * 8 + F.col("x")).cast("int").alias("k"), "re", "im")
+    return out(L.fft_axis(x, "k", 512, most=16), "g", "k")
+
+
 def _spokes() -> np.ndarray:
     t = np.arange(6) * np.pi / 6
     r = np.arange(8) - 4
@@ -826,6 +847,18 @@ def b1_subspace(s, d):
     return out(M.tiles_to_cells(B.subspace_adjoint(k, (3, 1, 4, 4), np.ones((1, 4, 4)), mask, BASIS), ["a", "y", "x"]), "vec_id", "a", "y", "x")
 
 
+READ = "+{maps}, p AS (SELECT label, t::INT AS t, s::INT AS s, (label+3*t+2*s)%5-1 AS line FROM (SELECT DISTINCT label FROM embeddings), range(2) a(t), range(2) b(s)), k AS (SELECT vec_id, e.label, (i//16)::INT AS t, ((i%16)//8)::INT AS s, ((i%8)//4)::INT AS coil, (i%4)::INT AS x, embedding[i+1]::DOUBLE AS re, embedding[i+33]::DOUBLE AS im FROM embeddings e, range(32) r(i)), g AS (SELECT vec_id, coil, a::INT AS a, line AS y, x, sum(re*CASE WHEN a=0 THEN cos(0.4*t) ELSE sin(0.4*t) END) AS re, sum(im*CASE WHEN a=0 THEN cos(0.4*t) ELSE sin(0.4*t) END) AS im FROM k JOIN p USING (label,t,s), range(2) r(a) WHERE line>=0 GROUP BY 1,2,3,4,5), i2 AS (SELECT vec_id, coil, a, u::INT AS y, v::INT AS x, sum(re*cos(w)-im*sin(w))/4 AS re, sum(re*sin(w)+im*cos(w))/4 AS im FROM (SELECT g.*, u, v, 2*pi()*((u-2)*(y-2)+(v-2)*(x-2))/4 AS w FROM g, range(4) b(u), range(4) c(v)) GROUP BY 1,2,3,4,5) SELECT vec_id, a, y, x, [[sum(m.re*i2.re+m.im*i2.im)]] AS re, [[sum(m.re*i2.im-m.im*i2.re)]] AS im FROM i2 JOIN m USING (vec_id,coil,y,x) GROUP BY 1,2,3,4"
+
+
+@query("b1_positions", READ.format(maps=MAPS), "kspace")
+def b1_positions(s, d):
+    """Two frames of two readouts, lines by label with repeats and padding, to two coefficients with each item's maps."""
+    e = M.table(s, d, "embeddings").select("label").distinct()
+    at = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: ((F.col("label") + 3 * F.floor(i / 2) + 2 * (i % 2)) % 5 - 1).cast("int"))
+    got = P.adjoint(M.kspace(s, d).drop("shape"), (_own_maps(s, d), ["vec_id"]), (e.select("label", at.alias("lines")), ["label"]), BASIS[:, :2], 2, 2, (4, 4))
+    return out(M.tiles_to_cells(got, ["a", "y", "x"]), "vec_id", "a", "y", "x")
+
+
 @query("b2_noncartesian")
 def b2(s, d):
     k = _spokes()
@@ -880,6 +913,17 @@ def b3_tikhonov(s, d):
     return _image(B.cg_sense(k, maps, np.ones((4, 4)), 40, 0.5))
 
 
+@query("b3_coupled", "+g AS (SELECT label, vec_id, y, x, re, row_number() OVER (PARTITION BY label, y, x ORDER BY vec_id) AS t, count(*) OVER (PARTITION BY label, y, x) AS n FROM img), b AS (SELECT label, y, x, f, sum(re*cos(pi()*(t-0.5)*f/n))*(CASE WHEN f=0 THEN 1.0 ELSE 2.0 END)/max(n)/(1.25+0.5*(2-2*cos(pi()*f/max(n)))) AS c FROM g JOIN (SELECT unnest(range(400))::INT AS f) r ON f<n GROUP BY 1,2,3,4) SELECT g.vec_id, g.y, g.x, [[sum(c*cos(pi()*(t-0.5)*f/n))]] AS re, 0.0::DOUBLE AS im FROM g JOIN b USING (label,y,x) GROUP BY 1,2,3", "img")
+def b3_coupled(s, d):
+    """The images of a label as frames: (1.25 + 0.5 D^H D) x = image over all of them at once; cosines solve it in closed form."""
+    at = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("int")
+    right = M.tile(s, d).withColumn("t", at).select("label", "t", "vec_id", "re", "im")
+    keys = ["label", "t"]
+    normal = lambda x: CC.differences(x, "t", keys, 0.5)
+    x = CC.conjugate_gradients(right.drop("vec_id"), normal, keys, ["label"], 25, lam=1.25, tolerance=1e-10)
+    return out(M.tiles_to_cells(x.join(right.select(*keys, "vec_id"), keys).drop(*keys), ["y", "x"], [8, 8]), *IM)
+
+
 query("b4_pics")(lambda s, d: _image(B.pics(*_sides(s, d), 0.01, eigen_step=True)))
 
 
@@ -898,6 +942,18 @@ def b4_wavelet(s, d):
     return out(M.tiles_to_cells(B.pics(k, np.ones((1, 16, 16)), mask, 0.01, wavelet="dau2"), ["y", "x"]), "m", "y", "x")
 
 
+@query("b5_consensus", "+" + MAPS + ", k AS (SELECT * FROM kspace), " + sense("k") + " SELECT vec_id, y, x, [[re*greatest(1-0.05/greatest(sqrt(re*re+im*im),1e-300),0)]] AS re, [[im*greatest(1-0.05/greatest(sqrt(re*re+im*im),1e-300),0)]] AS im FROM a", "kspace")
+def b5_consensus(s, d):
+    """With every line measured two l1 terms of the image are one of their sum."""
+    k, maps, _ = _sides(s, d)
+    return _image(TT.consensus(k, maps, np.ones((4, 4)), [TT.l1(0.02), TT.l1(0.03)], 1.0, 120))
+
+
+@query("b5_two_terms")
+def b5_two_terms(s, d):
+    return _image(TT.consensus(*_sides(s, d), [TT.total_variation(0.01), TT.fourier(0.005)]))
+
+
 query("b5_admm")(lambda s, d: _image(B.admm_tv(*_sides(s, d), 0.01)))
 query("b5_primal_dual")(lambda s, d: _image(B.primal_dual(*_sides(s, d), 0.01, 0.005)))
 query("b6_pocsense")(lambda s, d: _coil_cells(B.pocsense(*_sides(s, d), 20)))
@@ -1052,6 +1108,39 @@ def flow_sense(s, d):
     return out(by.agg(F.count("*").cast("double").alias("count"), F.avg("nrmse").alias("mean"), F.max("nrmse").alias("worst")), "label", values=("count", "mean", "worst"))
 
 
+def _decay_basis(s: SparkSession, d: str, rank: int) -> np.ndarray:
+    """Leading vectors (vector, echo) of the decays of all T2 values of the table."""
+    values = M.table(s, d, "part").select("p_size").distinct().withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    re = F.exp(-12.5 * (F.col("e") + 1) / (20.0 + F.col("p_size")))
+    cells = values.select("p_size", "e", re.alias("re"), F.lit(0.0).alias("im"))
+    return T.singular_values(cells, "p_size", "e", 8)[1][:, :rank].real.T
+
+
+@query("flow_subspace_map", "SELECT p_size % 5 AS region, count(*) AS n, [[median(20.0+p_size)]] AS t2 FROM part GROUP BY 1")
+def flow_subspace_map(s, d):
+    """Basis from a dictionary, scale from the adjoint, coefficients under block low rank from incomplete frames, match, medians by region.
+
+    Sixteen parts are an image of 4 x 4 whose eight frames are echoes; every frame lacks one line of its spectrum.
+    """
+    basis = _decay_basis(s, d, 4)
+    own, at = F.floor((F.col("p_partkey") - 1) / 16), F.pmod(F.col("p_partkey") - 1, F.lit(16)).cast("int")
+    x = M.echo(s, d).select(own.alias("slice"), (F.col("e") - 1).alias("t"), F.floor(at / 4).cast("int").alias("y"), (at % 4).alias("x"), "re", "im")
+    frames = M.cells_to_tiles(x, ["slice"], ["t", "y", "x"], [8, 4, 4])
+    mask = np.stack([np.repeat((np.arange(4) % 4 != t % 4).astype(float)[:, None], 4, 1) for t in range(8)])
+    maps, size = np.ones((1, 4, 4)), (8, 1, 4, 4)
+    k = T.tile_map(frames, (8, 4, 4), lambda v: (mask * K.fft(v, (2, 3), unitary=True))[:, :, None])
+    scale = A.data_scaling(M.tiles_to_cells(B.subspace_adjoint(k, size, maps, mask, basis), ["a", "y", "x"]), ["slice"])
+    by = lambda c, f: F.transform(c, lambda v: f(v, F.col("scale")))
+    scaled = k.join(scale, "slice").withColumns({c: by(c, lambda v, n: v / n) for c in ("re", "im")})
+    coefficients = TT.subspace_consensus(scaled.drop("scale"), size, maps, mask, basis, [TT.low_rank(1e-9, 4)], 1e-4, 10, 40)
+    series = T.tile_map(coefficients, (4, 4, 4), lambda c: np.einsum("at,bayx->byxt", basis, c))
+    cells = M.tiles_to_cells(series, ["y", "x", "frame"]).select((F.col("slice") * 16 + F.col("y") * 4 + F.col("x") + 1).alias("p_partkey"), "frame", "re", "im")
+    parts = M.table(s, d, "part").select("p_partkey", (F.col("p_size") % 5).alias("region"))
+    t2 = np.arange(21, 71)
+    match = T.dictionary_match(cells.join(parts.select("p_partkey"), "p_partkey"), "p_partkey", "frame", np.exp(-12.5 * np.arange(1, 9) / t2[:, None]))
+    return match.join(parts, "p_partkey").groupBy("region").agg(F.count("*").alias("n"), F.median(F.col("atom") + 21).alias("t2")).select("region", "n", M.rounded("t2").alias("t2"))
+
+
 @query("flow_voxel_fit", "SELECT p_size % 5 AS region, count(*)::DOUBLE AS count, [[avg(20.0+p_size)]] AS mean, [[stddev_pop(20.0+p_size)]] AS std FROM part GROUP BY 1")
 def flow_voxel_fit(s, d):
     """Straight line through the logarithms, then statistics of T2 by region."""

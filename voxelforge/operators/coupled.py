@@ -2,16 +2,17 @@
 
 The state is one table of tiles, a row per item and frame: the solution, the residual and the direction.  A step
 applies the normal operator, which may join and aggregate over rows at will, takes one aggregate per dot product
-and writes the new state; reliable checkpoints cut the lineage, so plans stay as deep as one step.
+and writes the new state to the shared folder, so plans stay as deep as one step and a lost executor costs one.
 Independent problems are told apart by ``groups`` columns and share their steps; their scalars are a
 table of a row per group, which is joined and never collected.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.shared import shared_folder
@@ -29,9 +30,27 @@ def axpy(x: str | Column, factor: Column, y: str | Column) -> Column:
     return F.zip_with(x, y, lambda u, v: u + factor * v)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+class Written:
+    """Tables in the shared folder: each forgets how it was made, and those of two steps ago are removed.
+
+    (Checkpoints would keep the constraints of their plans, which grow from step to step.)
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.names = spark, f"{shared_folder(spark)}/solver-{uuid.uuid4().hex}", []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{len(self.names)}"
+        df.write.parquet(path)
+        self.names.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def forget(self, before: int) -> None:
+        for i, path in enumerate(self.names[:before]):
+            if path:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+                self.names[i] = ""
 
 
 def conjugate_gradients(right: DataFrame, normal: Callable[[DataFrame], DataFrame], keys: Sequence[str], groups: Sequence[str] = (), steps: int = 30, lam: float = 0.0, tolerance: float = 1e-10, group_rows: int = 100_000) -> DataFrame:
@@ -44,7 +63,8 @@ def conjugate_gradients(right: DataFrame, normal: Callable[[DataFrame], DataFram
     none = lambda c: F.transform(c, lambda v: v * 0.0)
     parts = [f"{v}_{p}" for v in ("x", "r", "p") for p in ("re", "im")]
     state = right.select(*keys, none("re").alias("x_re"), none("im").alias("x_im"), F.col("re").alias("r_re"), F.col("im").alias("r_im"), F.col("re").alias("p_re"), F.col("im").alias("p_im"))
-    state = _kept(state)
+    files = Written(right.sparkSession)
+    state = files.keep(state)
     by = list(groups)
 
     def scalars(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -55,23 +75,25 @@ def conjugate_gradients(right: DataFrame, normal: Callable[[DataFrame], DataFram
         return df.join(table, by) if by else df.crossJoin(table)  # one row where all is one problem
 
     first = scalars(state, dot("r", "r"), "rr").withColumn("enough", F.col("rr") * tolerance**2)
-    residual = _kept(first)
+    residual = files.keep(first)
     for _ in range(steps):
+        done = len(files.names)
         if residual.where("rr > enough").isEmpty():
             break
         q = normal(state.select(*keys, F.col("p_re").alias("re"), F.col("p_im").alias("im")))
         q = q.select(*keys, F.col("re").alias("q_re"), F.col("im").alias("q_im"))
-        both = _kept(state.join(q, list(keys)).withColumns({f"q_{p}": axpy(f"q_{p}", F.lit(lam), f"p_{p}") for p in ("re", "im")}))
+        both = files.keep(state.join(q, list(keys)).withColumns({f"q_{p}": axpy(f"q_{p}", F.lit(lam), f"p_{p}") for p in ("re", "im")}))
         curve = scalars(both, dot("p", "q"), "pq")
         alpha = F.when((F.col("rr") > F.col("enough")) & (F.col("pq") > 0), F.col("rr") / F.col("pq")).otherwise(0.0)
-        size = _kept((residual.join(curve, by) if by else residual.crossJoin(curve)).withColumn("alpha", alpha).drop("pq"))
+        size = (residual.join(curve, by) if by else residual.crossJoin(curve)).withColumn("alpha", alpha).drop("pq")
         moved = with_scalars(both, size)
         moved = moved.withColumns({f"x_{p}": axpy(f"x_{p}", F.col("alpha"), f"p_{p}") for p in ("re", "im")} | {f"r_{p}": axpy(f"r_{p}", -F.col("alpha"), f"q_{p}") for p in ("re", "im")})
-        moved = _kept(moved.select(*keys, *parts))
+        moved = files.keep(moved.select(*keys, *parts))
         after = scalars(moved, dot("r", "r"), "new")
-        residual = _kept((size.join(after, by) if by else size.crossJoin(after)).select(*by, F.col("new").alias("rr"), "enough", F.when(F.col("alpha") > 0, F.col("new") / F.col("rr")).otherwise(0.0).alias("beta")))
-        state = with_scalars(moved, residual.select(*by, "beta"))
-        state = _kept(state.withColumns({f"p_{p}": axpy(f"r_{p}", F.col("beta"), f"p_{p}") for p in ("re", "im")}).select(*keys, *parts))
+        residual = files.keep((size.join(after, by) if by else size.crossJoin(after)).select(*by, F.col("new").alias("rr"), "enough", F.when(F.col("alpha") > 0, F.col("new") / F.col("rr")).otherwise(0.0).alias("beta")))
+        files.forget(done)
+        state = with_scalars(moved, residual.select(*by, "beta"))  # from tables that are written: two joins deep at any step
+        state = state.withColumns({f"p_{p}": axpy(f"r_{p}", F.col("beta"), f"p_{p}") for p in ("re", "im")}).select(*keys, *parts)
     return state.select(*keys, F.col("x_re").alias("re"), F.col("x_im").alias("im"))
 
 
