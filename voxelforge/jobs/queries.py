@@ -319,14 +319,14 @@ def r10(s, d):
     return out(R.overlay(x, E.scale(x.where("y BETWEEN 1 AND 2 AND x >= 3"), -1.0), IM), *IM)
 
 
-@query("r11_compress", "SELECT vec_id, y, x, [[re]] AS re, [[im]] AS im FROM img JOIN (SELECT vec_id, x FROM img WHERE y=0 AND re>0) m USING (vec_id, x)", "img")
+@query("r11_compress", "SELECT vec_id, y, x, [[re]] AS re, [[im]] AS im FROM img JOIN (SELECT vec_id, i::INT AS x FROM embeddings, range(8) t(i) WHERE embedding[i+1]>0) m USING (vec_id, x)", "img")
 def r11(s, d):
     x = M.img(s, d)
     mask = x.where("y = 0").select("vec_id", "x", (F.col("re") > 0).cast("double").alias("re"))
     return out(R.compress(x, mask, ["vec_id", "x"]), *IM)
 
 
-@query("r11_expand", "+m AS (SELECT vec_id, x FROM img WHERE y=0 AND re>0) SELECT m.vec_id, y, m.x, [[CASE WHEN re>-0.1 THEN re ELSE 0 END]] AS re, 0.0::DOUBLE AS im FROM img JOIN m ON m.vec_id=img.vec_id AND m.x=img.x", "img")
+@query("r11_expand", "+m AS (SELECT vec_id, i::INT AS x FROM embeddings, range(8) t(i) WHERE embedding[i+1]>0) SELECT m.vec_id, y, m.x, [[CASE WHEN re>-0.1 THEN re ELSE 0 END]] AS re, 0.0::DOUBLE AS im FROM img JOIN m ON m.vec_id=img.vec_id AND m.x=img.x", "img")
 def r11_expand(s, d):
     x = M.img(s, d).drop("label")
     line = x.where("y = 0 AND re > 0").select("vec_id", "x")
@@ -598,10 +598,10 @@ def w9(s, d):
     return out(T.singular_spectrum(M.signal(s, d), ["ch"], "i", 8, 2), "ch", "i", values=("re",))
 
 
-@query("w9_full_rank", "+m AS (SELECT ch, avg(re) AS m FROM signal GROUP BY 1) SELECT ch, i, [[re-m]] AS re FROM signal JOIN m USING (ch)", "signal")
+@query("w9_full_rank", "+m AS (SELECT ch, avg(re) AS m FROM signal GROUP BY 1) SELECT ch, i, round((re-m)::DOUBLE,4)+0.0::DOUBLE AS re FROM signal JOIN m USING (ch)", "signal")
 def w9_full(s, d):
     """With all vectors the decomposition gives the series without its mean."""
-    return out(T.singular_spectrum(M.signal(s, d), ["ch"], "i", 4, 4), "ch", "i", values=("re",))
+    return T.singular_spectrum(M.signal(s, d), ["ch"], "i", 4, 4).select("ch", "i", M.rounded("re", 4).alias("re"))
 
 
 @query("w10_phase_bins", "SELECT vec_id, c, least(floor((CASE WHEN atan2(im,re)<0 THEN atan2(im,re)+2*3.141592653589793 ELSE atan2(im,re) END)*6/(2*3.141592653589793)),5)::INT AS bin FROM coils", "coils")

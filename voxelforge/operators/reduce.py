@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import cells_to_tiles, small_batches
 from .elementwise import modulus
+from .ranks import quantiles, ranks
 
 
 def energy() -> Column:
@@ -126,9 +127,8 @@ def psnr(x: DataFrame, r: DataFrame, axes: Sequence[str], image: Sequence[str],
 
 def data_scaling(df: DataFrame, kept: Sequence[str]) -> DataFrame:
     """90 % quantile of the magnitudes, or their maximum when it stands out; zero becomes one."""
-    q = F.percentile("m", F.array(F.lit(0.5), F.lit(0.9)))
-    s = df.select(*kept, modulus().alias("m")).groupBy(*kept).agg(q.alias("q"), F.max("m").alias("top"))
-    med, p90 = F.get("q", F.lit(0)), F.get("q", F.lit(1))
+    s = quantiles(df.select(*kept, modulus().alias("m")), kept, "m", {"q50": 0.5, "q90": 0.9})
+    med, p90 = F.col("q50"), F.col("q90")
     v = F.when(F.col("top") - p90 >= 2 * (p90 - med), F.col("top")).otherwise(p90)
     return s.select(*kept, F.when(v == 0, 1.0).otherwise(v).alias("scale"))
 
@@ -170,8 +170,11 @@ def radial_weight(kx: Column, ky: Column) -> Column:
 
 
 def top_k(df: DataFrame, item: Sequence[str], joint: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
-    """The k largest magnitudes of an item; joint axes are kept or dropped together; ties by position."""
+    """The k largest magnitudes of an item; joint axes are kept or dropped together; ties by position.
+
+    Ranks are taken over ranges of magnitudes, so an item may exceed a task.
+    """
     pos = [a for a in order if a not in joint]
     m = df.groupBy(*item, *pos).agg(F.sum(energy()).alias("m"))
-    best = m.withColumn("n", F.row_number().over(Window.partitionBy(*item).orderBy(F.desc(F.round("m", 12)), *pos))).where(F.col("n") <= k)
+    best = ranks(m, item, [-F.round("m", 12), *pos], "n").where(F.col("n") < k)
     return df.join(best.select(*item, *pos), [*item, *pos], "left_semi")

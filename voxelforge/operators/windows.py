@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .ranks import ranks, tiles
+
 
 def _ordered(rest: Sequence[str], axis: str):
     return Window.partitionBy(*rest).orderBy(axis)
@@ -142,13 +144,20 @@ def phase_bins(df: DataFrame, a: str, b: str, bins: int, offset: float = 0.0) ->
 
 def smooth_phase_bins(df: DataFrame, rest: Sequence[str], axis: str, a: str, b: str, length: int, bins: int) -> DataFrame:
     """Phase bins of a quadrature pair from which a moving average of ``length`` was taken (as far as the ends allow)."""
-    w = _ordered(rest, axis).rowsBetween(-(length // 2), length - 1 - length // 2)
-    return phase_bins(df.withColumns({f"__{c}": F.col(c) - F.avg(c).over(w) for c in (a, b)}), f"__{a}", f"__{b}", bins).drop(f"__{a}", f"__{b}")
+    before, after = length // 2, length - 1 - length // 2
+    own = F.floor(F.col(axis) / STRETCH)
+    near = F.sequence(own - -(-after // STRETCH) - 1, own + -(-before // STRETCH) + 1)
+    targets = F.filter(near, lambda t: (t >= 0) & (F.col(axis) >= t * STRETCH - before) & (F.col(axis) < (t + 1) * STRETCH + after))
+    dealt = df.withColumn("__s", F.explode(targets))
+    w = Window.partitionBy(*rest, "__s").orderBy(axis).rowsBetween(-before, after)
+    flat = dealt.withColumns({f"__{c}": F.col(c) - F.avg(c).over(w) for c in (a, b)}).where(F.col("__s") == own)
+    return phase_bins(flat, f"__{a}", f"__{b}", bins).drop(f"__{a}", f"__{b}", "__s")
 
 
 def amplitude_bins(df: DataFrame, rest: Sequence[str], value: str, order: str, bins: int) -> DataFrame:
     """Bins with equal numbers of samples, from small to large values; ties by ``order``."""
-    return df.withColumn("bin", (F.ntile(bins).over(Window.partitionBy(*rest).orderBy(value, order)) - 1).cast("int"))
+    ranked = ranks(df, rest, [value, order], "__rank", "__total")
+    return ranked.withColumn("bin", tiles(F.col("__rank"), F.col("__total"), bins)).drop("__rank", "__total")
 
 
 def two_way_bins(df: DataFrame, first: tuple[str, int], second: tuple[str, int]) -> DataFrame:
@@ -158,4 +167,4 @@ def two_way_bins(df: DataFrame, first: tuple[str, int], second: tuple[str, int])
 
 def bin_by_label(df: DataFrame, label: str, rest: Sequence[str], time: Sequence[str]) -> DataFrame:
     """Regroup samples by label: the label is a new axis, the place within it another."""
-    return df.withColumn("slot", F.row_number().over(Window.partitionBy(*rest, label).orderBy(*time)) - 1)
+    return ranks(df, [*rest, label], list(time), "slot").withColumn("slot", F.col("slot").cast("int"))
