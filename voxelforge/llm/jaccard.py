@@ -34,7 +34,7 @@ _U = np.uint64
 POINT = 64  # coordinates of a point
 LEAF = 32  # points in a leaf
 #: Shingles that one task holds at most, per side (8 bytes each).
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 400_000
 #: Documents of one route that are compared at once in a task, and in a batch of a task before the shuffle.
 ROUTE_ROWS, BATCH_ROWS = 4096, 16
 #: Bits of a route's key: 48 keep chance meetings rare up to 10**13 routes, and zero bytes cost nothing in the shuffle.
