@@ -1061,9 +1061,38 @@ def x2(s, d):
 @query("x3_damped", "+e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT a.user_id, a.event_id, round(sum(b.value*exp(-0.1::DOUBLE*(a.n-b.n))),5)+0.0::DOUBLE AS state FROM e a JOIN e b ON a.user_id=b.user_id AND b.n<=a.n GROUP BY 1,2")
 def x3(s, d):
     span = M.table(s, d, "events").select(F.datediff(F.max("ts"), F.min("ts")).alias("n")).first()["n"] or 0
-    events, close = X.ending(s, _events(s, d), "ts", "user_id")
+    events, close = X.ending(s, _events(s, d), "ts")
     got = X.run(X.damped(events, "user_id", "ts", "event_id", "value", math.exp(-0.1), f"{span + 1} days"), "damped", close=close)
-    return got.where("user_id >= 0").select("user_id", "event_id", M.rounded("state", 5).alias("state"))
+    return got.select("user_id", "event_id", M.rounded("state", 5).alias("state"))
+
+
+def _dealt(s: SparkSession, rows: DataFrame, order: str, batches: int) -> DataFrame:
+    """A stream of a table in so many micro-batches: a file for each stretch of ``order``."""
+    folder = f"{shared_folder(s)}/dealt-{uuid.uuid4().hex}"
+    rows.repartitionByRange(batches, order).write.parquet(folder)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("x1_by_count", "+e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)-1 AS i FROM events) SELECT user_id, (i//8)::BIGINT AS frame, count(*) AS n, count(*)=8 AS complete, [[sum(value)]] AS total FROM e GROUP BY 1,2")
+def x1_by_count(s, d):
+    """Frames of eight events of a user, dealt over several micro-batches out of order; the last one of a user is cut short."""
+    e = M.table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    rows = e.select("user_id", "ts", "value", at.alias("i")).withColumn("turn", F.pmod(F.xxhash64("user_id", "i"), F.lit(1000)))
+    span = e.select(F.datediff(F.max("ts"), F.min("ts")).alias("n")).first()["n"] or 0
+    items, close = X.ending(s, _dealt(s, rows, "turn", 5), "ts")
+    got = X.run(X.frames_by_count(items, ["user_id"], "i", "value", "ts", 8, f"{span + 1} days"), "counted", close=close)
+    return got.select("user_id", "frame", "n", "complete", M.rounded("total").alias("total"))
+
+
+@query("x3_images", "+t AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id)-1 AS f FROM embeddings), p AS (SELECT a.label, a.f, i::INT AS i, sum((2.0::DOUBLE/3)*b.embedding[i+1]*power(0.3::DOUBLE, a.f-b.f)) AS re FROM t a JOIN t b ON a.label=b.label AND b.f<=a.f, range(64) r(i) GROUP BY 1,2,3) SELECT label::BIGINT AS label, f::BIGINT AS frame, (i//8)::INT AS y, (i%8)::INT AS x, [[re]] AS re, 0.0::DOUBLE AS im FROM p")
+def x3_images(s, d):
+    """The images of a label as frames of a slice: argmin |x - y|^2 + |x - 0.9 last|^2 / 2, so x = (2 y + 0.9 last) / 3."""
+    at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = M.tile(s, d).withColumn("frame", at.cast("long")).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("frame")))
+    rows = rows.withColumn("turn", F.col("frame") + F.pmod(F.col("frame"), F.lit(7)) * 3).select("label", "frame", "ts", "re", "im", "turn")
+    got = X.run(X.damped_images(_dealt(s, rows, "turn", 4), "label", "frame", "ts", "1 day", lambda y, prior: (2 * y + prior) / 3), "images")
+    return out(M.tiles_to_cells(got.select("label", "frame", "re", "im"), ["y", "x"], [8, 8]), "label", "frame", "y", "x")
 
 
 @query("x4_tee", "SELECT event_id, event_type='click' AS kept, [[value]] AS value FROM events")

@@ -69,16 +69,97 @@ def binned(events: DataFrame, labels: DataFrame, key: str, label: str, value: st
     return events.join(labels, key).groupBy(label).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
-def ending(spark: SparkSession, rows: DataFrame, time: str, key: str) -> tuple[DataFrame, Callable[[], None]]:
-    """(stream with an end, function that sends the end).
+def ending(spark: SparkSession, rows: DataFrame, time: str) -> tuple[DataFrame, Callable[[], None]]:
+    """(stream with a column ``is_end``, function that sends the end).
 
-    The end is a row of a key below all others, long after every sample, which moves the watermark past them.
+    The end is one row that has only a time, long after every sample, and is told apart by ``is_end``; it moves the watermark
+    past all samples.  Operators with state keep it in a group of its own.
     """
     folder = f"{shared_folder(spark)}/end-{uuid.uuid4().hex}"
     nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
-    last = spark.range(1).select(*nulls).withColumns({key: F.lit(-1).cast(rows.schema[key].dataType), time: F.lit("2200-01-01").cast(rows.schema[time].dataType)})
+    last = spark.range(1).select(*nulls).withColumns({time: F.lit("2200-01-01").cast(rows.schema[time].dataType), "is_end": F.lit(True)})
     last.where("false").write.parquet(folder)
-    return rows.unionByName(spark.readStream.schema(last.schema).parquet(folder)), lambda: last.write.mode("append").parquet(folder)
+    return rows.withColumn("is_end", F.lit(False)).unionByName(spark.readStream.schema(last.schema).parquet(folder)), lambda: last.write.mode("append").parquet(folder)
+
+
+def frames_by_count(items: DataFrame, keys: list[str], index: str, value: str, time: str, size: int, late: str) -> DataFrame:
+    """Frames of ``size`` items by their running index: (keys, frame, n, complete, total), frame = index div size.
+
+    A frame is emitted once, in the batch in which its last missing item comes.  Items of an index that is there already
+    are left out, as are items of a frame that was emitted.  A frame that misses items is emitted as it is, not complete, when the
+    watermark has passed the latest of its items by ``late``; items after that are late and dropped.  The state is one frame's values.
+    """
+    names = [f.name for f in items.select(*keys).schema]
+    form = "places array<int>, held array<double>, last long, closed boolean"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        places, held, last, closed = state.get if state.exists else ([], [], 0, False)
+        seen, emit = dict(zip(places, held, strict=True)), False
+        if state.hasTimedOut:
+            emit = not closed and bool(seen)
+            state.remove()
+        else:
+            for pdf in batches:
+                for at, v, t in pdf.sort_values(["__ms", index])[["__at", value, "__ms"]].itertuples(index=False):
+                    last = max(last, int(t))
+                    if not closed:
+                        seen.setdefault(int(at), float(v))
+            emit = not closed and len(seen) == size
+            if emit or closed or seen:
+                shut = closed or emit
+                state.update(([] if shut else list(seen), [] if shut else list(seen.values()), last, shut))
+                state.setTimeoutTimestamp(max(last + 1, state.getCurrentWatermarkMs() + 1))
+        if emit:
+            yield pd.DataFrame({**{n: [k] for n, k in zip([*names, "frame"], key, strict=True)}, "n": [len(seen)], "complete": [len(seen) == size], "total": [sum(seen[k] for k in sorted(seen))]})
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select(*keys).schema)
+    ends = F.col("is_end") if "is_end" in items.columns else F.lit(False)  # such a row only moves the watermark: frame -1
+    rows = items.withWatermark(time, late).where(ends | (F.col(index).isNotNull() & F.col(value).isNotNull() & F.col(time).isNotNull()))
+    at = F.when(ends, F.lit(-1)).otherwise(F.floor(F.col(index) / size)).cast("long")
+    rows = rows.select(*keys, at.alias("frame"), F.pmod(F.col(index), F.lit(size)).cast("int").alias("__at"), index, value, time, F.unix_millis(F.col(time).cast("timestamp")).alias("__ms"))
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return iter(()) if key[-1] < 0 else step(key, batches, state)
+
+    return rows.groupBy(*keys, "frame").applyInPandasWithState(run, f"{kept}, frame long, n long, complete boolean, total double", form, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def damped_images(frames: DataFrame, key: str, frame: str, time: str, late: str, solve: Callable[[np.ndarray, np.ndarray], np.ndarray], damp: float = 0.9) -> DataFrame:
+    """Frames of a slice one after the other, each solved with ``damp`` times its predecessor's image as the prior.
+
+    Rows are (key, frame, time, re, im) with flat arrays; ``solve(y, prior)`` takes and gives flat complex arrays.  The state is the
+    slice's last image and the frames that wait for an earlier one.  Frames count from 0; a gap is given up when the watermark has
+    passed the frame behind it; frames at or before the last one that was solved, and repeats of one that waits, are dropped.
+    """
+    form = "done long, re array<double>, im array<double>, at array<long>, ms array<long>, held_re array<array<double>>, held_im array<array<double>>"
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, re, im, at, ms, held_re, held_im = state.get if state.exists else (-1, None, None, [], [], [], [])
+        waiting = {a: (t, np.asarray(r, float), np.asarray(i, float)) for a, t, r, i in zip(at, ms, held_re, held_im, strict=True)}
+        for pdf in [] if state.hasTimedOut else batches:
+            for r in pdf.itertuples(index=False):
+                if r.frame > done:
+                    waiting.setdefault(int(r.frame), (int(r.ms), np.asarray(r.re, float), np.asarray(r.im, float)))
+        last = None if re is None else np.asarray(re) + 1j * np.asarray(im)
+        mark, out = state.getCurrentWatermarkMs(), []
+        while waiting:
+            first = min(waiting)
+            if first != done + 1 and waiting[first][0] > mark:
+                break
+            _, a, b = waiting.pop(first)
+            y = a + 1j * b
+            last, done = solve(y, np.zeros_like(y) if last is None else damp * last), first
+            out.append((first, last))
+        order = sorted(waiting)
+        if last is not None or order:
+            state.update((done, None if last is None else last.real.tolist(), None if last is None else last.imag.tolist(), order, [waiting[i][0] for i in order], [waiting[i][1].tolist() for i in order], [waiting[i][2].tolist() for i in order]))
+        if order:
+            state.setTimeoutTimestamp(max(mark + 1, waiting[order[0]][0] + 1))
+        yield pd.DataFrame({key: [k[0]] * len(out), frame: [f for f, _ in out], "re": [v.real for _, v in out], "im": [v.imag for _, v in out]})
+
+    rows = frames.withWatermark(time, late).where(F.col(key).isNotNull() & F.col(frame).isNotNull() & F.col(time).isNotNull())
+    rows = rows.select(key, F.col(frame).cast("long").alias("frame"), F.unix_millis(F.col(time).cast("timestamp")).alias("ms"), "re", "im", time)
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, {frame} long, re array<double>, im array<double>", form, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def damped(events: DataFrame, key: str, time: str, order: str, value: str, damp: float, late: str) -> DataFrame:
@@ -110,10 +191,11 @@ def damped(events: DataFrame, key: str, time: str, order: str, value: str, damp:
             state.setTimeoutTimestamp(max(mark + 1, int(held["t"].iloc[0])))
         yield pd.DataFrame({key: k[0], order: free["o"].astype("int64").to_numpy(), "state": np.array(out, float)})
 
-    rows = events.withWatermark(time, late).select(key, F.unix_millis(F.col(time).cast("timestamp")).alias(f"{time}_ms"), time, order, value)
+    end = ["is_end"] if "is_end" in events.columns else []
+    rows = events.withWatermark(time, late).select(key, *end, F.unix_millis(F.col(time).cast("timestamp")).alias(f"{time}_ms"), time, order, value)
     form = "last double, done long, times array<long>, orders array<long>, held array<double>"
     rows = rows.withColumnsRenamed({time: "__at", f"{time}_ms": time}).where("__at IS NOT NULL")
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, state double", form, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy(key, *end).applyInPandasWithState(step, f"{key} long, {order} long, state double", form, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def damped_batch(rows: DataFrame, key: str, time: str, order: str, value: str, damp: float) -> DataFrame:
