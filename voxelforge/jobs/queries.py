@@ -598,10 +598,10 @@ def w9(s, d):
     return out(T.singular_spectrum(M.signal(s, d), ["ch"], "i", 8, 2), "ch", "i", values=("re",))
 
 
-@query("w9_full_rank", "+m AS (SELECT ch, avg(re) AS m FROM signal GROUP BY 1) SELECT ch, i, round((re-m)::DOUBLE,4)+0.0::DOUBLE AS re FROM signal JOIN m USING (ch)", "signal")
+@query("w9_full_rank", "+m AS (SELECT ch, avg(re) AS m FROM signal GROUP BY 1) SELECT ch, i, round((pi()*(re-m))::DOUBLE,5)+0.0::DOUBLE AS re FROM signal JOIN m USING (ch)", "signal")
 def w9_full(s, d):
-    """With all vectors the decomposition gives the series without its mean."""
-    return T.singular_spectrum(M.signal(s, d), ["ch"], "i", 4, 4).select("ch", "i", M.rounded("re", 4).alias("re"))
+    """With all vectors the decomposition gives the series without its mean (times pi: the plain values lie on ties of rounding)."""
+    return T.singular_spectrum(M.signal(s, d), ["ch"], "i", 4, 4).select("ch", "i", M.rounded(F.col("re") * math.pi, 5).alias("re"))
 
 
 @query("w10_phase_bins", "SELECT vec_id, c, least(floor((CASE WHEN atan2(im,re)<0 THEN atan2(im,re)+2*3.141592653589793 ELSE atan2(im,re) END)*6/(2*3.141592653589793)),5)::INT AS bin FROM coils", "coils")
