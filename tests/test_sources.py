@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from voxelforge.sources import cfl, slabs
+from voxelforge.sources import bundle, cfl, slabs
 
 
 def arrays(seed=1):
@@ -65,3 +65,19 @@ def test_slabs_are_written_in_any_order(spark, tmp_path):
 
 def test_folder_without_arrays_is_empty(spark, tmp_path):
     assert slabs.read_slabs(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_bundle_of_named_arrays(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"n{i % 5}", [float(i)]) for i in range(40)], "item int, name string, re array<double>")
+    bundle.write_bundle(df, f"{tmp_path}/b", "name")
+    assert bundle.read_bundle(spark, f"{tmp_path}/b", "name").count() == 40
+    some = bundle.read_bundle(spark, f"{tmp_path}/b", "name", ["n1", "n3"])
+    assert {r["item"] for r in some.collect()} == {i for i in range(40) if i % 5 in (1, 3)}
+    assert "PartitionFilters: [name" in some._jdf.queryExecution().toString()
+
+
+def test_grey_and_channels(spark):
+    df = spark.createDataFrame([(0, 0, 3.0, 4.0), (0, 1, 0.0, 1.0), (1, 0, 0.0, 0.0)], "item int, x int, re double, im double")
+    assert {(r["item"], r["x"]): r["grey"] for r in bundle.grey(df, ["item"]).collect()} == {(0, 0): 255, (0, 1): int(255 / 3.75), (1, 0): 0}
+    assert sorted(map(tuple, bundle.as_complex(bundle.as_channels(df)).collect())) == sorted(map(tuple, df.collect()))
+    assert tuple(bundle.as_complex(bundle.as_channels(df).where("part = 0")).where("item = 0 AND x = 0").first())[2:] == (3.0, 0.0)

@@ -26,7 +26,7 @@ from ..operators import reduce as A
 from ..operators import terms as TT
 from ..operators import transforms as T
 from ..operators import windows as W
-from ..sources import cfl, slabs
+from ..sources import bundle, cfl, slabs
 from ..streaming import frames as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,14 +119,8 @@ def s2(s, d):
 @query("s3_multicfl", "SELECT vec_id, label, len(embedding)::INT AS n FROM embeddings")
 def s3(s, d):
     folder = f"{shared_folder(s)}/bundle-{uuid.uuid4().hex}"
-    M.tile(s, d).repartition("label").write.partitionBy("label").parquet(folder)
-    every = s.read.parquet(folder)
-    names = [r["label"] for r in M.table(s, d, "embeddings").select("label").distinct().collect()]  # one per array of the bundle
-    parts = [every.where(F.col("label") == n) for n in names]
-    out_ = parts[0]
-    for p in parts[1:]:
-        out_ = out_.unionByName(p)
-    return out_.select("vec_id", "label", F.size("re").alias("n"))
+    bundle.write_bundle(M.tile(s, d), folder, "label")
+    return bundle.read_bundle(s, folder, "label").select("vec_id", "label", F.size("re").alias("n"))
 
 
 @query("s4_toraw", "SELECT vec_id, y, x, [[re]] AS re, [[im]] AS im FROM img", "img")
@@ -139,9 +133,7 @@ def s4(s, d):
 
 @query("s5_toimg", "+m AS (SELECT vec_id, max(abs(re)) AS m FROM img GROUP BY 1) SELECT vec_id, y, x, CASE WHEN m=0 THEN 0 ELSE least(255, floor(255*abs(re)/(0.75*m))) END::INT AS grey FROM img JOIN m USING (vec_id)", "img")
 def s5(s, d):
-    x = M.img(s, d).withColumn("a", E.modulus())
-    top = x.groupBy("vec_id").agg(F.max("a").alias("m"))
-    return x.join(top, "vec_id").select(*IM, F.when(F.col("m") == 0, 0).otherwise(F.least(F.lit(255), F.floor(255 * F.col("a") / (0.75 * F.col("m"))))).cast("int").alias("grey"))
+    return bundle.grey(M.img(s, d), ["vec_id"]).select(*IM, "grey")
 
 
 @query("s6_reshape", "SELECT vec_id, ((y*8+x)//16)::INT AS a, ((y*8+x)%16)::INT AS b, [[re]] AS re, [[im]] AS im FROM img", "img")
@@ -152,9 +144,8 @@ def s6(s, d):
 
 @query("s7_channels", "SELECT vec_id, c, part, [[v]] AS v FROM (SELECT vec_id, c, 0 AS part, re AS v FROM coils UNION ALL SELECT vec_id, c, 1, im FROM coils)", "coils")
 def s7(s, d):
-    two = M.coils(s, d).select(*CO, F.expr("stack(2, 0, re, 1, im) AS (part, v)"))
-    back = two.groupBy(*CO).pivot("part", [0, 1]).agg(F.first("v")).withColumnsRenamed({"0": "re", "1": "im"})
-    return back.select(*CO, F.expr("stack(2, 0, re, 1, im) AS (part, v)")).select(*CO, "part", M.rounded("v").alias("v"))
+    back = bundle.as_complex(bundle.as_channels(M.coils(s, d)))
+    return bundle.as_channels(back).select(*CO, "part", M.rounded("v").alias("v"))
 
 
 # generators: applied to the axes of a table, so that they grow with it
