@@ -32,7 +32,7 @@ def test_adjoint_pairs(name):
 def test_blocks_and_their_singular_values(size):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2, 4, 7, 8)) + 1j * rng.normal(size=(2, 4, 7, 8))
-    assert (T.unblocked(T.blocks(x, size), size, (7, 8)) == x).all()
+    assert (K.unblocked(K.blocks(x, size), size, (7, 8)) == x).all()
     got, want = T.low_rank(0.7, size).prox(x, 2.0), np.empty_like(x)
     for a in range(0, 7, size):
         for b in range(0, 8, size):

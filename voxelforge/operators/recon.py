@@ -213,13 +213,8 @@ def locally_low_rank(tiles: DataFrame, key: str, frame: str, shape: tuple[int, i
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(frame)
-        x = (np.array(pdf["re"].tolist()) + 1j * np.array(pdf["im"].tolist())).reshape(-1, ny, nx)
-        y = np.empty_like(x)
-        for a in range(0, ny, block):
-            for b in range(0, nx, block):
-                part = x[:, a : a + block, b : b + block]
-                y[:, a : a + block, b : b + block] = K.soft_singular(part.reshape(len(x), -1).T[None], lam)[0].T.reshape(part.shape)
-        y = y.reshape(len(x), -1)
+        x = (np.stack(pdf["re"]) + 1j * np.stack(pdf["im"])).reshape(1, -1, ny, nx)
+        y = K.unblocked(K.soft_singular(K.blocks(x, block)[0], lam)[None], block, shape)[0].reshape(len(pdf), -1)
         return pdf.assign(re=list(y.real), im=list(y.imag))
 
     cols = f"{key} long, {frame} int, re array<double>, im array<double>"

@@ -70,29 +70,14 @@ def wavelet(lam: float, name: str = "dau2") -> Term:
     return Term(_same, _same, lambda v, rate: K.wavelet_soft(v, lam * rate, name), value)
 
 
-def blocks(x: np.ndarray, size: int) -> np.ndarray:
-    """(item, a, y, x) as matrices (item, block, a, size^2); blocks at the far edges are filled with zeros."""
-    b, a, ny, nx = x.shape
-    x = np.pad(x, ((0, 0), (0, 0), (0, -ny % size), (0, -nx % size)))
-    x = x.reshape(b, a, x.shape[2] // size, size, x.shape[3] // size, size)
-    return x.transpose(0, 2, 4, 1, 3, 5).reshape(b, -1, a, size * size)
-
-
-def unblocked(m: np.ndarray, size: int, shape: tuple[int, int]) -> np.ndarray:
-    """Inverse of ``blocks`` for images of this shape."""
-    ny, nx = (-(-n // size) for n in shape)
-    x = m.reshape(len(m), ny, nx, m.shape[2], size, size).transpose(0, 3, 1, 4, 2, 5)
-    return x.reshape(len(m), m.shape[2], ny * size, nx * size)[:, :, : shape[0], : shape[1]]
-
-
 def low_rank(lam: float, size: int) -> Term:
     """lam times the singular values of every block over the leading axis: all blocks of a batch in one decomposition."""
 
     def prox(v: np.ndarray, rate: float) -> np.ndarray:
-        u, s, w = np.linalg.svd(blocks(v, size), full_matrices=False)
-        return unblocked((u * np.maximum(s - lam * rate, 0)[..., None, :]) @ w, size, v.shape[-2:])
+        u, s, w = np.linalg.svd(K.blocks(v, size), full_matrices=False)
+        return K.unblocked((u * np.maximum(s - lam * rate, 0)[..., None, :]) @ w, size, v.shape[-2:])
 
-    return Term(_same, _same, prox, lambda v: lam * np.linalg.svd(blocks(v, size), compute_uv=False).sum((1, 2)))
+    return Term(_same, _same, prox, lambda v: lam * np.linalg.svd(K.blocks(v, size), compute_uv=False).sum((1, 2)))
 
 
 def split(normal: Map, right: np.ndarray, terms: Sequence[Term], rho: float, steps: int, inner: int = 8) -> np.ndarray:
