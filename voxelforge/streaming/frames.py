@@ -113,15 +113,14 @@ def frames_by_count(items: DataFrame, keys: list[str], index: str, value: str, t
             yield pd.DataFrame({**{n: [k] for n, k in zip([*names, "frame"], key, strict=True)}, "n": [len(seen)], "complete": [len(seen) == size], "total": [sum(seen[k] for k in sorted(seen))]})
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select(*keys).schema)
-    ends = F.col("is_end") if "is_end" in items.columns else F.lit(False)  # such a row only moves the watermark: frame -1
+    ends = F.col("is_end") if "is_end" in items.columns else F.lit(False)  # such a row only moves the watermark
     rows = items.withWatermark(time, late).where(ends | (F.col(index).isNotNull() & F.col(value).isNotNull() & F.col(time).isNotNull()))
-    at = F.when(ends, F.lit(-1)).otherwise(F.floor(F.col(index) / size)).cast("long")
-    rows = rows.select(*keys, at.alias("frame"), F.pmod(F.col(index), F.lit(size)).cast("int").alias("__at"), index, value, time, F.unix_millis(F.col(time).cast("timestamp")).alias("__ms"))
+    rows = rows.select(*keys, F.floor(F.col(index) / size).cast("long").alias("frame"), ends.alias("__end"), F.pmod(F.col(index), F.lit(size)).cast("int").alias("__at"), index, value, time, F.unix_millis(F.col(time).cast("timestamp")).alias("__ms"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        return iter(()) if key[-1] < 0 else step(key, batches, state)
+        return iter(()) if key[-1] else step(key[:-1], batches, state)
 
-    return rows.groupBy(*keys, "frame").applyInPandasWithState(run, f"{kept}, frame long, n long, complete boolean, total double", form, "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy(*keys, "frame", "__end").applyInPandasWithState(run, f"{kept}, frame long, n long, complete boolean, total double", form, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def damped_images(frames: DataFrame, key: str, frame: str, time: str, late: str, solve: Callable[[np.ndarray, np.ndarray], np.ndarray], damp: float = 0.9) -> DataFrame:
