@@ -110,3 +110,25 @@ def test_gridding_as_an_aggregate(spark):
     counts = sorted(r["count"] for r in cells.groupBy(F.spark_partition_id()).count().collect())
     assert counts[-1] <= 2 * counts[len(counts) // 2]
     assert M.cells_to_tiles(cells.limit(0), ["item"], ["gky", "gkx"], [24, 24]).count() == 0
+
+
+def test_gridding_shuffles_samples_and_no_grid(spark):
+    """A key whose samples outnumber its cells, keys over many batches, a null key; the shuffle has fewer rows than samples."""
+    n, rng, name = 6, np.random.default_rng(6), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    k = spokes(n, 30, 0.2)
+    route = spark.createDataFrame([(s, float(a), float(b)) for s, (a, b) in enumerate(k)], "s int, ky double, kx double")
+    ids = [None, *range(40)]
+    y = {i: rng.normal(size=len(k)) + 1j * rng.normal(size=len(k)) for i in ids}
+    samples = spark.createDataFrame([(i, s, float(v.real), float(v.imag)) for i in ids for s, v in enumerate(y[i])], "item int, s int, re double, im double")
+    before = spark.conf.get(name)
+    try:
+        for size in (7, 10_000):
+            spark.conf.set(name, size)
+            got = N.grid_adjoint(samples, (route, ["s"]), ["item"], ["ky", "kx"], (n, n), route_rows=len(k))
+            assert "Aggregate" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Generate" not in plan
+            rows = got.collect()
+            assert sorted(r["item"] or -1 for r in rows) == sorted(i or -1 for i in ids)
+            for r in rows:
+                np.testing.assert_allclose(np.array(r["re"]) + 1j * np.array(r["im"]), explicit(k, (n, n)).conj().T @ y[r["item"]], atol=1e-4)
+    finally:
+        spark.conf.set(name, before)

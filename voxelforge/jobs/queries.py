@@ -675,10 +675,10 @@ def t3(s, d):
 
 @query("t3_gridded", NUFFT + "SELECT vec_id, u::INT AS y, v::INT AS x, [[sum(re*cos(t)-im*sin(t))/8]] AS re, [[sum(re*sin(t)+im*cos(t))/8]] AS im FROM (SELECT y.*, u, v, 2*pi()*(ky*(u-4)+kx*(v-4))/8 AS t FROM y JOIN k USING (s), range(8) a(u), range(8) b(v)) GROUP BY 1,2,3", "img")
 def t3_gridded(s, d):
-    """The same adjoint over cells: samples join their kernels and are summed by cell of the grid."""
+    """The same adjoint over cells: samples join their positions, meet by image and are gridded there."""
     k = _spokes()
     route = s.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(k)], "s int, ky double, kx double")
-    im = N.grid_adjoint(M.tiles_to_cells(_samples(s, d), ["s"], [48]), (route, ["s"]), ["vec_id"], ["ky", "kx"], (8, 8), width=14)
+    im = N.grid_adjoint(M.tiles_to_cells(_samples(s, d), ["s"], [48]), (route, ["s"]), ["vec_id"], ["ky", "kx"], (8, 8), width=14, route_rows=len(k))
     return out(M.tiles_to_cells(im, ["y", "x"], [8, 8]), *IM)
 
 

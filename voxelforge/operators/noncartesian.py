@@ -4,23 +4,27 @@ A trajectory row has arrays ``kz``, ``ky``, ``kx`` and ``w``, one entry per samp
 images leave ``kz`` zero.  A map row is a tile (coil, [z,] y, x).  Both are joined on the columns that they have, one per item, label
 or study.  Items that share a trajectory share its grid and its transfer function within a batch.
 
-``grid_adjoint`` is the adjoint as a Spark aggregate over cells: every sample goes to the cells of its kernel, and sums
-are taken per task, per salt and in the end per cell, since all spokes of a radial trajectory hit the centre.
+``grid_adjoint`` is the adjoint over cells of samples, which are shuffled in packets.  ``gridded`` is for grids that are wanted as
+cells: every sample goes to the cells of its kernel, and sums are taken per task, per salt and in the end per cell, since all
+spokes of a radial trajectory hit the centre; it shuffles up to ``salts`` times the grid.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import gridding as G
 from ..functions import kernels as K
-from ..model import cells_to_tiles
-from .transforms import tile_map
+from ..model import pieces, small_batches
+from .joins import small
+from .transforms import _lists, tile_map
 
 #: A table and the columns that join it.
 Keyed = tuple[DataFrame, Sequence[str]]
@@ -122,24 +126,80 @@ def neighbours(trajectory: DataFrame, axes: Sequence[str], shape: Sequence[int],
     return df
 
 
-def grid_adjoint(samples: DataFrame, trajectory: Keyed, keys: Sequence[str], axes: Sequence[str], shape: Sequence[int], width: int = G.WIDTH, salts: int = 16) -> DataFrame:
+def grid_adjoint(samples: DataFrame, trajectory: Keyed, keys: Sequence[str], axes: Sequence[str], shape: Sequence[int], width: int = G.WIDTH, route_rows: int | None = None) -> DataFrame:
     """Tiles of images from cells of samples (keys, sample columns, re, im) and a trajectory of cells (joined on the given columns).
 
-    A weight column ``w`` of the trajectory multiplies the samples.  Images are planes or volumes that fit a task;
-    the cells of the oversampled grid, before they are gathered, may be as many as they like.
+    A weight column ``w`` of the trajectory multiplies the samples; ``route_rows`` declares its rows, for a broadcast.  Images are
+    planes or volumes that fit a task; their samples may be as many as they like.  The samples of a key that meet in a batch are
+    shuffled as one packet, or as their own image once they outnumber its cells, so a shuffle carries no grid; a key's packets
+    come to a task in order and are added one batch at a time.
     """
-    grid = gridded(samples, trajectory, keys, axes, shape, width, salts)
-    wide = [G.OVER * n for n in shape]
-    scale = np.ones(())
-    for n in shape:
-        scale = np.multiply.outer(scale, 1 / G.roll_off(n, width))
-    scale = scale / math.sqrt(math.prod(shape))
-    box = tuple(slice(w // 2 - n // 2, w // 2 - n // 2 + n) for n, w in zip(shape, wide, strict=True))
-
-    def image(x: np.ndarray) -> np.ndarray:
-        return K.fft(x, tuple(range(1, x.ndim)), inverse=True)[(slice(None), *box)] * scale
-
-    return tile_map(cells_to_tiles(grid, keys, [f"g{a}" for a in axes], wide), wide, image)
+    route, on = trajectory
+    cells = math.prod(shape)
+    small_batches(samples.sparkSession, 16 * cells)
+    w = F.col("w") if "w" in route.columns else F.lit(1.0)
+    side = route.select(*on, *(F.col(a).cast("double").alias(f"__{a}") for a in axes), w.cast("double").alias("__w"))
+    part = lambda c: F.coalesce(F.col(c).cast("double") * F.col("__w"), F.lit(0.0)).alias(c)
+    near = samples.join(small(side, route_rows) if route_rows is not None else side, list(on)).select(*keys, *(f"__{a}" for a in axes), part("re"), part("im"))
+    near = near.dropna(subset=[f"__{a}" for a in axes])
+    places, kept = [f"__{a}" for a in axes], [f for f in near.schema if f.name in keys]
+    array = lambda n: T.StructField(n, T.ArrayType(T.DoubleType()))
+    form = T.StructType([*kept, *map(array, [*places, "re", "im"])])
+
+    def images(rows: pa.RecordBatch) -> np.ndarray:
+        """The images of packets; those that share their positions share a grid."""
+        out, alike = np.empty((rows.num_rows, *shape), complex), {}
+        at = [rows.column(p) for p in places]
+        re, im = rows.column("re"), rows.column("im")
+        value = lambda c, i: np.asarray(c[i].values)
+        for i in range(rows.num_rows):
+            if at[0][i].is_valid:
+                k = np.stack([value(c, i) for c in at], 1)
+                alike.setdefault(k.tobytes(), (k, []))[1].append(i)
+            else:
+                out[i] = (value(re, i) + 1j * value(im, i)).reshape(shape)
+        for k, own in alike.values():
+            out[own] = G.Grid(k, shape, width).adjoint(np.stack([value(re, i) + 1j * value(im, i) for i in own]))
+        return out
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = pa.Table.from_batches([batch]).group_by(list(keys), use_threads=False).aggregate([(c, "list") for c in (*places, "re", "im")])
+            got = got.select([*(f.name for f in kept), *(f"{c}_list" for c in (*places, "re", "im"))]).rename_columns(form.names).combine_chunks()
+            for rows in got.to_batches():
+                many = np.diff(rows.column("re").offsets.to_numpy()) > cells
+                yield rows.filter(pa.array(~many))
+                for i in np.flatnonzero(many):
+                    one = rows.slice(i, 1)
+                    x, none = images(one), pa.array([None], pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*(one.column(f.name) for f in kept), *(none for _ in places), _lists(x.real), _lists(x.imag)], form.names)
+
+    final = T.StructType([*kept, T.StructField("shape", T.ArrayType(T.IntegerType())), array("re"), array("im")])
+
+    def tiles(key: list[pa.Array], x: np.ndarray) -> pa.RecordBatch:
+        dims = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(shape), pa.int32()), pa.array(np.tile(np.array(shape, np.int32), len(x))))
+        return pa.RecordBatch.from_arrays([*key, dims, _lists(x.real), _lists(x.imag)], final.names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            for rows in pieces(batch, 16 * cells):
+                names = list(zip(*(rows.column(f.name).to_pylist() for f in kept), strict=True))
+                first = [i for i, n in enumerate(names) if not i or n != names[i - 1]]
+                x = np.add.reduceat(images(rows), first, 0)
+                key = [rows.column(f.name).take(pa.array(first)) for f in kept]
+                if last is not None and last[1] == names[0]:
+                    x[0] += held[0]
+                elif last is not None:
+                    yield tiles(last[0], held)
+                if len(first) > 1:
+                    yield tiles([k.slice(0, len(first) - 1) for k in key], x[:-1])
+                last, held = ([k.slice(len(first) - 1) for k in key], names[-1]), x[-1:].copy()
+        if last is not None:
+            yield tiles(last[0], held)
+
+    packets = near.mapInArrow(gather, form)
+    return packets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add, final)
 
 
 def gridded(samples: DataFrame, trajectory: Keyed, keys: Sequence[str], axes: Sequence[str], shape: Sequence[int], width: int = G.WIDTH, salts: int = 16) -> DataFrame:
