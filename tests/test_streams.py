@@ -56,3 +56,15 @@ def test_images_are_the_ordered_fold_over_a_restart(spark):
         for f in range(8):
             last = solve(y[s, f], 0.9 * last)
             np.testing.assert_allclose(got[s, f], last)
+
+
+def test_frames_by_count_come_in_few_groups(spark):
+    """Long keys beside null, frames that share a bucket, one of them given up; the state has a row per bucket, not per frame."""
+    big = 2**53 + 1
+    folder, put = folder_of(spark, "k long, i long, v double, ts double")
+    for r in range(3):
+        put([(k, 3 * f + r, float(f), 1000.0 + f) for k in (None, big, big + 1) for f in range(50) if (k, f, r) != (big, 7, 2)])
+    items, end = X.ending(spark, stream(spark, folder), "ts")
+    frames = X.frames_by_count(items, ["k"], "i", "v", "ts", 3, "1 hour", buckets=4)
+    got = sorted((r["k"] or 0, r["frame"], r["n"], r["complete"], r["total"]) for r in X.run(frames, "counted", close=end).collect())
+    assert got == sorted((k, f, 2 if (k, f) == (big, 7) else 3, (k, f) != (big, 7), (2.0 if (k, f) == (big, 7) else 3.0) * f) for k in (0, big, big + 1) for f in range(50))

@@ -82,45 +82,70 @@ def ending(spark: SparkSession, rows: DataFrame, time: str) -> tuple[DataFrame,
     return rows.withColumn("is_end", F.lit(False)).unionByName(spark.readStream.schema(last.schema).parquet(folder)), lambda: last.write.mode("append").parquet(folder)
 
 
-def frames_by_count(items: DataFrame, keys: list[str], index: str, value: str, time: str, size: int, late: str) -> DataFrame:
+def frames_by_count(items: DataFrame, keys: list[str], index: str, value: str, time: str, size: int, late: str, buckets: int = 512) -> DataFrame:
     """Frames of ``size`` items by their running index: (keys, frame, n, complete, total), frame = index div size.
 
     A frame is emitted once, in the batch in which its last missing item comes.  Items of an index that is there already
     are left out, as are items of a frame that was emitted.  A frame that misses items is emitted as it is, not complete, when the
-    watermark has passed the latest of its items by ``late``; items after that are late and dropped.  The state is one frame's values.
+    watermark has passed the latest of its items by ``late``; items after that are late and dropped.  Frames are dealt to
+    ``buckets`` groups by hash, whose frames are handled as arrays; the state is the values of a bucket's open frames.
     """
-    names = [f.name for f in items.select(*keys).schema]
-    form = "places array<int>, held array<double>, last long, closed boolean"
+    types = {f.name: f.dataType for f in items.select(*keys).schema}
+    instants = [n for n in keys if types[n].typeName() == "timestamp"]  # kept as whole numbers in the state
+    column = lambda n: "bigint" if n in instants else types[n].simpleString()
+    names = [*keys, "frame"]
+    form = ", ".join(f"`{n}` array<{column(n)}>" for n in keys) + ", frame array<long>, last array<long>, closed array<boolean>, count array<int>, places binary, held binary"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        places, held, last, closed = state.get if state.exists else ([], [], 0, False)
-        seen, emit = dict(zip(places, held, strict=True)), False
-        if state.hasTimedOut:
-            emit = not closed and bool(seen)
+        known = [n for n, null in zip(names, [*key[2:], False], strict=True) if not null]  # a group has no or only nulls of a key
+        *ids, last, closed, count, places, held = state.get if state.exists else (*([] for _ in names), [], [], [], b"", b"")
+        old = pd.DataFrame({n: v for n, v in zip(names, ids, strict=True) if n in known})
+        new = [] if state.hasTimedOut else list(batches)
+        new = pd.concat(new).sort_values("__ms", kind="stable") if new else None
+        every = old if new is None else pd.concat([old, new[known]]) if len(old) else new[known]
+        code = every.groupby(known, sort=False, dropna=False).ngroup().to_numpy()  # those of the state come first, as they are
+        ends = np.full(code.max(initial=-1) + 1, np.iinfo(np.int64).min)
+        shut = np.zeros(len(ends), bool)
+        ends[: len(old)], shut[: len(old)] = last, closed
+        own, at, v = np.repeat(np.arange(len(old)), count), np.frombuffer(places, np.int32), np.frombuffer(held, float)
+        if new is not None:
+            np.maximum.at(ends, code[len(old) :], new["__ms"].to_numpy(np.int64))
+            fresh = ~shut[code[len(old) :]]
+            own = np.concatenate([own, code[len(old) :][fresh]])
+            at, v = np.concatenate([at, new["__at"].to_numpy(np.int32)[fresh]]), np.concatenate([v, new[value].to_numpy(float)[fresh]])
+        _, once = np.unique(own * size + at, return_index=True)  # the first of an index; by frame and place
+        own, at, v = own[once], at[once], v[once]
+        n = np.bincount(own, minlength=len(ends))
+        over = ends + 1 < state.getCurrentWatermarkMs()
+        emit = ~shut & ((n == size) | over)
+        _, first = np.unique(code, return_index=True)
+        frames = every.iloc[first]
+        if emit.any():
+            said = frames[emit]
+            yield pd.DataFrame({**{k: said[k].to_numpy() if k in known else [None] * len(said) for k in names}, "n": n[emit], "complete": n[emit] == size, "total": np.bincount(own, v, len(ends))[emit]})
+        stay = ~over
+        if not stay.any():
             state.remove()
-        else:
-            for pdf in batches:
-                for at, v, t in pdf.sort_values(["__ms", index])[["__at", value, "__ms"]].itertuples(index=False):
-                    last = max(last, int(t))
-                    if not closed:
-                        seen.setdefault(int(at), float(v))
-            emit = not closed and len(seen) == size
-            if emit or closed or seen:
-                shut = closed or emit
-                state.update(([] if shut else list(seen), [] if shut else list(seen.values()), last, shut))
-                state.setTimeoutTimestamp(max(last + 1, state.getCurrentWatermarkMs() + 1))
-        if emit:
-            yield pd.DataFrame({**{n: [k] for n, k in zip([*names, "frame"], key, strict=True)}, "n": [len(seen)], "complete": [len(seen) == size], "total": [sum(seen[k] for k in sorted(seen))]})
-
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in items.select(*keys).schema)
+            return
+        shut |= emit
+        kept = frames[stay]
+        open_ = (stay & ~shut)[own]
+        state.update((*(kept[k].tolist() if k in known else [] for k in names), ends[stay].tolist(), shut[stay].tolist(), np.where(shut, 0, n)[stay].tolist(), at[open_].astype(np.int32).tobytes(), v[open_].tobytes()))
+        state.setTimeoutTimestamp(int(max(ends[stay].min() + 1, state.getCurrentWatermarkMs() + 1)))
+
+    kept = ", ".join(f"`{n}` {column(n)}" for n in keys)
     ends = F.col("is_end") if "is_end" in items.columns else F.lit(False)  # such a row only moves the watermark
     rows = items.withWatermark(time, late).where(ends | (F.col(index).isNotNull() & F.col(value).isNotNull() & F.col(time).isNotNull()))
-    rows = rows.select(*keys, F.floor(F.col(index) / size).cast("long").alias("frame"), ends.alias("__end"), F.pmod(F.col(index), F.lit(size)).cast("int").alias("__at"), index, value, time, F.unix_millis(F.col(time).cast("timestamp")).alias("__ms"))
+    own = [F.unix_micros(n).alias(n) if n in instants else F.col(n) for n in keys]
+    frame = F.floor(F.col(index) / size).cast("long")
+    nulls = [F.col(n).isNull().alias(f"__null{i}") for i, n in enumerate(keys)]
+    rows = rows.select(*own, frame.alias("frame"), ends.alias("__end"), F.pmod(F.xxhash64(*keys, frame), F.lit(buckets)).cast("int").alias("__bucket"), *nulls, F.pmod(F.col(index), F.lit(size)).cast("int").alias("__at"), F.col(value).cast("double").alias(value), time, F.unix_millis(F.col(time).cast("timestamp")).alias("__ms"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        return iter(()) if key[-1] else step(key[:-1], batches, state)
+        return iter(()) if key[1] else step(key, batches, state)
 
-    return rows.groupBy(*keys, "frame", "__end").applyInPandasWithState(run, f"{kept}, frame long, n long, complete boolean, total double", form, "append", GroupStateTimeout.EventTimeTimeout)
+    got = rows.groupBy("__bucket", "__end", *(f"__null{i}" for i in range(len(keys)))).applyInPandasWithState(run, f"{kept}, frame long, n long, complete boolean, total double", form, "append", GroupStateTimeout.EventTimeTimeout)
+    return got.withColumns({n: F.timestamp_micros(n) for n in instants}) if instants else got
 
 
 def damped_images(frames: DataFrame, key: str, frame: str, time: str, late: str, solve: Callable[[np.ndarray, np.ndarray], np.ndarray], damp: float = 0.9) -> DataFrame:
