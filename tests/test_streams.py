@@ -3,6 +3,7 @@
 import tempfile
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from voxelforge.streaming import frames as X
 
@@ -68,3 +69,49 @@ def test_frames_by_count_come_in_few_groups(spark):
     frames = X.frames_by_count(items, ["k"], "i", "v", "ts", 3, "1 hour", buckets=4)
     got = sorted((r["k"] or 0, r["frame"], r["n"], r["complete"], r["total"]) for r in X.run(frames, "counted", close=end).collect())
     assert got == sorted((k, f, 2 if (k, f) == (big, 7) else 3, (k, f) != (big, 7), (2.0 if (k, f) == (big, 7) else 3.0) * f) for k in (0, big, big + 1) for f in range(50))
+
+
+def test_images_in_order_leave_nothing_to_wait(spark):
+    """A slice of many frames in one batch comes out in pieces while it is read; a gap at the end is given up."""
+    folder, put = folder_of(spark, "slice long, frame long, ts double, re array<double>, im array<double>")
+    put([(0, f, 1000.0 + f, [1.0, float(f)], [0.0, -1.0]) for f in range(2500) if f != 2400])
+    taken = spark.sparkContext.accumulator(0)
+
+    def solve(v, prior):
+        taken.add(1)
+        return v + 0 * prior
+
+    rows = X.run(X.damped_images(stream(spark, folder), "slice", "frame", "ts", "1 day", solve), "images").collect()
+    assert taken.value == 2400
+    assert sorted(r["frame"] for r in rows) == list(range(2400))  # those behind the gap wait
+    assert all(r["re"] == [1.0, float(r["frame"])] and r["im"] == [0.0, -1.0] for r in rows)
+
+
+def test_images_are_put_out_while_frames_are_read(spark, monkeypatch):
+    """What a group gives comes in tables of at most 1000 frames, before its last input was read."""
+    got = {}
+
+    class Caught:
+        def __getattr__(self, name):
+            return lambda *a, **k: got.setdefault("step", a[0]) if name == "applyInPandasWithState" else self
+
+    class State:
+        exists, hasTimedOut = False, False
+        getCurrentWatermarkMs = lambda self: 0
+        update = setTimeoutTimestamp = lambda self, v: got.update(state=v)
+
+    monkeypatch.setattr(X.F, "col", lambda *a: Caught())
+    monkeypatch.setattr(X.F, "unix_millis", lambda *a: Caught())
+    monkeypatch.setattr(Caught, "__and__", lambda a, b: a, raising=False)
+    X.damped_images(Caught(), "slice", "frame", "ts", "1 day", lambda v, prior: v)
+    read = []
+
+    def batches():
+        for i in range(5):
+            read.append(i)
+            yield pd.DataFrame({"frame": range(1000 * i, 1000 * i + 1000), "ms": 0, "re": [[1.0]] * 1000, "im": [[0.0]] * 1000})
+
+    tables = [(len(read), len(t)) for t in got["step"]((0,), batches(), State())]
+    assert [n for _, n in tables] == [1000] * 5 + [0]
+    assert tables[0][0] == 1
+    assert not got["state"][2]

@@ -1057,10 +1057,11 @@ def x3(s, d):
     return got.select("user_id", "event_id", M.rounded("state", 5).alias("state"))
 
 
-def _dealt(s: SparkSession, rows: DataFrame, order: str, batches: int) -> DataFrame:
-    """A stream of a table in so many micro-batches: a file for each stretch of ``order``."""
+def _dealt(s: SparkSession, rows: DataFrame, order: str, batches: int, inside: bool = False) -> DataFrame:
+    """A stream of a table in so many micro-batches: a file for each stretch of ``order``, and in order ``inside`` if asked for."""
     folder = f"{shared_folder(s)}/dealt-{uuid.uuid4().hex}"
-    rows.repartitionByRange(batches, order).write.parquet(folder)
+    dealt = rows.repartitionByRange(batches, order)
+    (dealt.sortWithinPartitions(order) if inside else dealt).write.parquet(folder)
     return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
@@ -1082,7 +1083,8 @@ def x3_images(s, d):
     at = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
     rows = M.tile(s, d).withColumn("frame", at.cast("long")).withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("frame")))
     rows = rows.withColumn("turn", F.col("frame") + F.pmod(F.col("frame"), F.lit(7)) * 3).select("label", "frame", "ts", "re", "im", "turn")
-    got = X.run(X.damped_images(_dealt(s, rows, "turn", 4), "label", "frame", "ts", "1 day", lambda y, prior: (2 * y + prior) / 3), "images")
+    batches = max(4, -(-M.table(s, d, "embeddings").count() // 50_000))  # a micro-batch has 50,000 images, however many there are
+    got = X.run(X.damped_images(_dealt(s, rows, "turn", batches, inside=True), "label", "frame", "ts", "1 day", lambda y, prior: (2 * y + prior) / 3), "images")
     return out(M.tiles_to_cells(got.select("label", "frame", "re", "im"), ["y", "x"], [8, 8]), "label", "frame", "y", "x")
 
 

@@ -155,31 +155,46 @@ def damped_images(frames: DataFrame, key: str, frame: str, time: str, late: str,
     slice's last image and the frames that wait for an earlier one.  Frames count from 0; a gap is given up when the watermark has
     passed the frame behind it; frames at or before the last one that was solved, and repeats of one that waits, are dropped.
     """
-    form = "done long, re array<double>, im array<double>, at array<long>, ms array<long>, held_re array<array<double>>, held_im array<array<double>>"
+    form = "done long, last binary, at array<long>, ms array<long>, held array<binary>"
+    some = 1000  # frames that are put out at once
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, re, im, at, ms, held_re, held_im = state.get if state.exists else (-1, None, None, [], [], [], [])
-        waiting = {a: (t, np.asarray(r, float), np.asarray(i, float)) for a, t, r, i in zip(at, ms, held_re, held_im, strict=True)}
-        for pdf in [] if state.hasTimedOut else batches:
-            for r in pdf.itertuples(index=False):
-                if r.frame > done:
-                    waiting.setdefault(int(r.frame), (int(r.ms), np.asarray(r.re, float), np.asarray(r.im, float)))
-        last = None if re is None else np.asarray(re) + 1j * np.asarray(im)
+        done, last, at, ms, held = state.get if state.exists else (-1, None, [], [], [])
+        waiting = {a: (t, np.frombuffer(v, complex)) for a, t, v in zip(at, ms, held, strict=True)}
+        last = None if last is None else np.frombuffer(last, complex)
         mark, out = state.getCurrentWatermarkMs(), []
-        while waiting:
-            first = min(waiting)
+
+        def solved(at: int) -> None:
+            nonlocal last, done
+            y = waiting.pop(at)[1]
+            last, done = solve(y, np.zeros_like(y) if last is None else damp * last), at
+            out.append((at, last))
+
+        def table() -> pd.DataFrame:
+            got = pd.DataFrame({key: [k[0]] * len(out), frame: [f for f, _ in out], "re": [v.real for _, v in out], "im": [v.imag for _, v in out]})
+            out.clear()
+            return got
+
+        for pdf in [] if state.hasTimedOut else batches:
+            for f, t, re, im in zip(pdf["frame"], pdf["ms"], pdf["re"], pdf["im"], strict=True):
+                if f > done:
+                    waiting.setdefault(int(f), (int(t), np.asarray(re, float) + 1j * np.asarray(im, float)))
+                while done + 1 in waiting:  # what has its predecessor goes at once, so only frames behind a gap are kept
+                    solved(done + 1)
+                if len(out) >= some:
+                    yield table()
+        for first in sorted(waiting):
             if first != done + 1 and waiting[first][0] > mark:
                 break
-            _, a, b = waiting.pop(first)
-            y = a + 1j * b
-            last, done = solve(y, np.zeros_like(y) if last is None else damp * last), first
-            out.append((first, last))
+            solved(first)
+            if len(out) >= some:
+                yield table()
         order = sorted(waiting)
         if last is not None or order:
-            state.update((done, None if last is None else last.real.tolist(), None if last is None else last.imag.tolist(), order, [waiting[i][0] for i in order], [waiting[i][1].tolist() for i in order], [waiting[i][2].tolist() for i in order]))
+            state.update((done, None if last is None else np.asarray(last, complex).tobytes(), order, [waiting[i][0] for i in order], [waiting[i][1].tobytes() for i in order]))
         if order:
             state.setTimeoutTimestamp(max(mark + 1, waiting[order[0]][0] + 1))
-        yield pd.DataFrame({key: [k[0]] * len(out), frame: [f for f, _ in out], "re": [v.real for _, v in out], "im": [v.imag for _, v in out]})
+        yield table()
 
     rows = frames.withWatermark(time, late).where(F.col(key).isNotNull() & F.col(frame).isNotNull() & F.col(time).isNotNull())
     rows = rows.select(key, F.col(frame).cast("long").alias("frame"), F.unix_millis(F.col(time).cast("timestamp")).alias("ms"), "re", "im", time)
