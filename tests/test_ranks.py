@@ -49,3 +49,18 @@ def test_quantiles(table):
             own = [v for k, _, v in rows if (k == r["g"] if groups else k in ("big", "tie", "one"))]
             np.testing.assert_allclose([r["a"], r["b"], r["top"]], [*np.quantile(own, (0.5, 0.9)), max(own)], rtol=1e-12)
     assert R.quantiles(df.limit(0), ["g"], "v", {"a": 0.5}).count() == 0
+
+
+def test_intervals_of_many_groups_are_not_sent_to_the_driver(spark, monkeypatch):
+    """Only a declared, small number of groups is broadcast by name; groups of unknown number are not."""
+    from voxelforge.operators import ranks as R
+
+    named, small = [], R.small
+    monkeypatch.setattr(R, "small", lambda df, rows: named.append(rows) or small(df, rows))
+    df = spark.range(200).selectExpr("id % 7 AS g", "CAST(id * id % 31 AS DOUBLE) AS v")
+    got = {r["g"]: r["q"] for r in R.quantiles(df, ["g"], "v", {"q": 0.5}).collect()}
+    assert not named
+    import numpy as np
+
+    for g in range(7):
+        assert got[g] == np.quantile([float(i * i % 31) for i in range(200) if i % 7 == g], 0.5)

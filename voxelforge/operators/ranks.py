@@ -47,13 +47,13 @@ def tiles(rank: Column, total: Column, bins: int) -> Column:
     return F.when(rank < edge, F.floor(rank / (size + 1))).otherwise(large + F.floor((rank - edge) / F.greatest(size, F.lit(1)))).cast("int")
 
 
-def order_statistics(df: DataFrame, groups: Sequence[str], value: str, places: dict[str, Column], group_rows: int = 100_000) -> DataFrame:
+def order_statistics(df: DataFrame, groups: Sequence[str], value: str, places: dict[str, Column], group_rows: int | None = None) -> DataFrame:
     """The values at given places (from 0, as expressions of the group's size ``n``) in each group's ascending order.
 
     Every round takes a histogram of the interval that still holds a place, one aggregate for all groups and places,
     and goes on with the least and the largest value of the bin that the place falls in, until these are equal.  Values
     are never gathered: a task keeps counts of bins, and a group may be the whole table.  Values must be finite; nulls take no part; a place outside a
-    group gives null.  The table of intervals, a row per group and place, is broadcast up to ``group_rows`` declared rows.
+    group gives null.  The table of intervals, a row per group and place, is broadcast if its rows are declared and few.
     """
     by = list(groups)
     data = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
@@ -64,7 +64,7 @@ def order_statistics(df: DataFrame, groups: Sequence[str], value: str, places: d
     open_ = state.where("lo < hi")
     done = [found]
     while not open_.isEmpty():
-        side = small(open_, group_rows)
+        side = open_ if by and group_rows is None else small(open_, group_rows or len(places))
         both = data.join(side, by) if by else data.crossJoin(side)  # as many rows as places where all is one group
         inside = both.where(F.col("__v").between(F.col("lo"), F.col("hi")))
         share = F.coalesce(F.try_divide(F.col("__v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2), F.lit(0.0))  # halves: differences stay finite
