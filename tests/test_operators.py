@@ -153,3 +153,11 @@ def test_stack_embed_and_iterate(spark, line):
     assert list(B.iterate(iter([1.0, 1.0, 1.0]), 0.5, lambda y, prior: y + prior)) == [1.0, 1.5, 1.75]
     with pytest.raises(ValueError):
         B.Registry().add("x", adjoint=lambda y: y)
+
+
+def test_constants_are_added_without_groups(spark):
+    tiles = spark.createDataFrame([(1, [1.0, None], [0.0, 2.0]), (2, [5.0], [1.0]), (3, None, None)], "k int, re array<double>, im array<double>")
+    one = spark.createDataFrame([([10.0, 20.0], [0.5, 0.0])], "re array<double>, im array<double>")
+    got = R.add_to_tiles(tiles, one, 3.0)
+    assert "Aggregate" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning" not in plan
+    assert sorted(map(tuple, got.select("k", "re", "im").collect()), key=lambda r: r[0]) == [(1, [13.0, 20.0], [0.5, 6.0]), (2, [25.0, 20.0], [3.5, 0.0]), (3, None, None)]

@@ -161,13 +161,11 @@ cells("g2_delta", M.img, IM, lambda x: R.delta(x, ["y", "x"]), "(y=x)::INT::DOUB
 
 @query("g2_constants", "SELECT vec_id, y, x, [[3*re + (y+1)*(x+2)]] AS re, [[3*im]] AS im FROM img", "img")
 def g2(s, d):
-    x = M.img(s, d)
     ones, zeros = R.ones(s, {"y": 8, "x": 8}), R.zeros(s, {"y": 8, "x": 8})
     line = lambda axis, first: R.vector(s, [float(first + i) for i in range(8)], axis)
     product = J.fmac(J.fmac(ones, line("y", 1), ["y"], ["y", "x"]), line("x", 2), ["x"], ["y", "x"])
-    keys = x.select("vec_id").distinct()
-    spread = R.add_parts([product, zeros], ["y", "x"]).join(keys, how="cross")  # 64 cells for every image
-    return out(R.add_parts([E.scale(x, 3.0), spread], IM), *IM)
+    spread = M.cells_to_tiles(R.add_parts([product, zeros], ["y", "x"]).withColumn("all", F.lit(0)), ["all"], ["y", "x"], [8, 8])
+    return out(M.tiles_to_cells(R.add_to_tiles(M.tile(s, d), spread.drop("all"), 3.0), ["y", "x"], [8, 8]), *IM)
 
 
 @query("g3_grid", "SELECT vec_id, y, x, [[(y-4)/8.0::DOUBLE]] AS py, [[(x-4)/8.0::DOUBLE]] AS px, [[0.5+label*0.25]] AS plabel FROM img", "img")

@@ -111,6 +111,14 @@ def add_parts(parts: Sequence[DataFrame], axes: Sequence[str]) -> DataFrame:
     return out.groupBy(*axes).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
 
+def add_to_tiles(tiles: DataFrame, constant: DataFrame, factor: float = 1.0) -> DataFrame:
+    """factor * tile + the one tile of ``constant``, which is broadcast: no row is grouped, absent values are zero."""
+    one = constant.select(F.col("re").alias("__r"), F.col("im").alias("__i"))
+    value = lambda v: F.coalesce(v, F.lit(0.0))
+    add = lambda c, k: F.zip_with(c, k, lambda u, v: value(u) * factor + value(v))
+    return tiles.crossJoin(F.broadcast(one)).withColumns({"re": add("re", "__r"), "im": add("im", "__i")}).drop("__r", "__i")  # one row
+
+
 def overlay(base: DataFrame, block: DataFrame, axes: Sequence[str]) -> DataFrame:
     """The block's cells replace those of base."""
     b = block.select(*axes, F.col("re").alias("__r"), F.col("im").alias("__i"))
