@@ -115,3 +115,22 @@ def test_images_are_put_out_while_frames_are_read(spark, monkeypatch):
     assert [n for _, n in tables] == [1000] * 5 + [0]
     assert tables[0][0] == 1
     assert not got["state"][2]
+
+
+def test_samples_that_wait_are_bytes_in_the_state(spark):
+    """The recursion over two keys, dealt out of order, with identifiers beyond doubles and one sample without a value."""
+    folder, put = folder_of(spark, "k long, o long, v double, ts double")
+    big = 2**53
+    put([(k, big + i, None if i == 4 else float(i), 1000.0 + 9 - i) for k in (1, 2) for i in range(9)])
+    items, end = X.ending(spark, stream(spark, folder), "ts")
+    damped = X.damped(items, "k", "ts", "o", "v", 0.5, "1 day")
+    got = {(r["k"], r["o"]): r["state"] for r in X.run(damped, "damped", close=end).collect()}
+    for k in (1, 2):
+        last = 0.0
+        for i in (8, 7, 6, 5, 3, 2, 1, 0):
+            last = i + 0.5 * last
+            assert got[k, big + i] == last
+    assert len(got) == 16
+    import inspect
+
+    assert "held binary" in inspect.getsource(X.damped)

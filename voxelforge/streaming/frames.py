@@ -210,29 +210,30 @@ def damped(events: DataFrame, key: str, time: str, order: str, value: str, damp:
     """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, done, times, orders, values = state.get if state.exists else (0.0, -1, [], [], [])
-        held = pd.DataFrame({"t": list(times), "o": list(orders), "v": list(values)}, dtype=object)
-        new = [] if state.hasTimedOut else [pd.DataFrame({"t": p[time].astype("int64").to_numpy(), "o": p[order].to_numpy(), "v": p[value].to_numpy()}) for p in batches]
-        new = [n[n["o"].notna() & n["v"].notna()] for n in new]  # the row that ends a stream has neither
-        held = pd.concat([held, *new]) if new else held
-        held = held[held["t"].astype("int64") > done].sort_values(["t", "o"])
+        last, done, *held = state.get if state.exists else (0.0, -1, b"", b"", b"")
+        parts = [[np.frombuffer(h, form) for h, form in zip(held, (np.int64, np.int64, float), strict=True)]]
+        for p in [] if state.hasTimedOut else batches:
+            p = p[p[order].notna() & p[value].notna()]  # the row that ends a stream has neither
+            parts.append([p[c].to_numpy(form) for c, form in ((time, np.int64), (order, np.int64), (value, float))])
+        t, o, v = (np.concatenate(c) for c in zip(*parts, strict=True))
+        by = np.lexsort((o, t))
+        by = by[t[by] > done]
         mark = state.getCurrentWatermarkMs()
-        ready = held["t"].astype("int64") <= mark
+        free, rest = by[t[by] <= mark], by[t[by] > mark]
         out = []
-        for v in held["v"][ready]:
-            last = float(v) + damp * last
+        for x in v[free].tolist():
+            last = x + damp * last
             out.append(last)
-        free, held = held[ready], held[~ready]
         if len(free):
-            done = int(free["t"].iloc[-1])
-        state.update((float(last), int(done), [int(t) for t in held["t"]], [int(o) for o in held["o"]], [float(v) for v in held["v"]]))
-        if len(held):
-            state.setTimeoutTimestamp(max(mark + 1, int(held["t"].iloc[0])))
-        yield pd.DataFrame({key: k[0], order: free["o"].astype("int64").to_numpy(), "state": np.array(out, float)})
+            done = int(t[free[-1]])
+        state.update((float(last), int(done), *(c[rest].tobytes() for c in (t, o, v))))
+        if len(rest):
+            state.setTimeoutTimestamp(max(mark + 1, int(t[rest[0]])))
+        yield pd.DataFrame({key: k[0], order: o[free], "state": np.array(out, float)})
 
     end = ["is_end"] if "is_end" in events.columns else []
     rows = events.withWatermark(time, late).select(key, *end, F.unix_millis(F.col(time).cast("timestamp")).alias(f"{time}_ms"), time, order, value)
-    form = "last double, done long, times array<long>, orders array<long>, held array<double>"
+    form = "last double, done long, times binary, orders binary, held binary"
     rows = rows.withColumnsRenamed({time: "__at", f"{time}_ms": time}).where("__at IS NOT NULL")
     return rows.groupBy(key, *end).applyInPandasWithState(step, f"{key} long, {order} long, state double", form, "append", GroupStateTimeout.EventTimeTimeout)
 
