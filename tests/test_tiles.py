@@ -154,3 +154,34 @@ def test_long_series_are_cut_into_stretches(spark, monkeypatch):
     for n in (1, 3, 7):
         monkeypatch.setattr(W, "STRETCH", n)
         assert [take(f) for f in calls] == whole
+
+
+def test_subspace_projection_groups_no_rows(spark):
+    from voxelforge.jobs.queries import QUERIES
+
+    path = "/root/testdata/sf0.001"
+    got = QUERIES["b11_subspace"](spark, path)
+    assert "Aggregate" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning" not in plan
+    cells = lambda df, i: {(r["p_partkey"], r[i]): r["re"] for r in df.collect()}
+    echoes = cells(M.echo(spark, path), "e")
+    keys = sorted({k for k, _ in echoes})
+    x = np.array([[echoes[k, e] for e in range(1, 9)] for k in keys])
+    assert np.array_equal(np.array([r["re"] for r in M.echo_tiles(spark, path).orderBy("p_partkey").collect()]), x)
+    v = np.linalg.svd(x)[2][:3]
+    want, found = x @ v.T @ v, cells(got, "v")
+    assert len(found) == want.size
+    assert np.allclose([[found[k, e] for e in range(8)] for k in keys], want, atol=1e-5)
+
+
+def test_channels_of_cells_are_summed_where_their_rows_are_dealt(spark):
+    x, m = cplx(40, 6), cplx(3, 6)
+    df = spark.createDataFrame([(i, j, float(x[i, j].real), float(x[i, j].imag)) for i in range(40) for j in range(6)], "s int, c int, re double, im double")
+    got = T.apply_channels(df, m, "s", "c")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and plan.count("hashpartitioning") == 1
+    y = np.zeros((40, 3), complex)
+    for r in got.collect():
+        y[r["s"], r["v"]] = r["re"] + 1j * r["im"]
+    assert np.allclose(y, x @ m.T)
+    assert M.dealt(df, "s", 10, count=400).rdd.getNumPartitions() == 40
+    assert "REPARTITION_BY_NUM" in A.channel_gram(df, "s", "c", 6)._jdf.queryExecution().executedPlan().toString()

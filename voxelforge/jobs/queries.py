@@ -991,10 +991,10 @@ def b10(s, d):
 
 @query("b11_subspace")
 def b11(s, d):
-    x = M.echo(s, d)
-    _, v = T.singular_values(x.withColumn("f", F.col("e") - 1), "p_partkey", "f", 8)
+    x = M.echo_tiles(s, d)
+    _, v = T.singular_values_of_tiles(x, 8)
     p = v[:, :3] @ v[:, :3].T.conj()
-    return out(T.apply_channels(x.withColumn("f", F.col("e") - 1), p, "p_partkey", "f"), "p_partkey", "v", values=("re",))
+    return out(M.tiles_to_cells(T.apply_to_tiles(x, p), ["v"], [8]), "p_partkey", "v", values=("re",))
 
 
 query("b12_rof")(lambda s, d: _image(T.tile_map(M.tile(s, d), (8, 8), lambda x: K.rof(x, 0.05))))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..model import cells_to_tiles, small_batches
+from ..model import cells_to_tiles, dealt, small_batches
 from .elementwise import modulus
 from .ranks import quantiles, ranks
 
@@ -133,13 +133,14 @@ def data_scaling(df: DataFrame, kept: Sequence[str]) -> DataFrame:
     return s.select(*kept, F.when(v == 0, 1.0).otherwise(v).alias("scale"))
 
 
-def channel_gram(df: DataFrame, sample: str, channel: str, n: int, mean: bool = True) -> DataFrame:
+def channel_gram(df: DataFrame, sample: str, channel: str, n: int, mean: bool = True, count: int | None = None) -> DataFrame:
     """mean (or sum) over samples of x_i conj(x_j) for i <= j; absent channels are zero.
 
-    Channels of a sample are gathered once (a shuffle on the sample); a task multiplies whole batches of
-    samples and sends one partial matrix, so only n^2 / 2 rows a task are shuffled for the result.
+    Channels of a sample are gathered once (a shuffle on the sample, to as many tasks as the rows need); a task multiplies
+    whole batches of samples and sends one partial matrix, so only n^2 / 2 rows a task are shuffled for the result.
+    ``count`` as for ``dealt``.
     """
-    return gram_of_tiles(cells_to_tiles(df, [sample], [channel], [n]), n, mean)
+    return gram_of_tiles(cells_to_tiles(dealt(df, sample, count=count), [sample], [channel], [n]), n, mean)
 
 
 def gram_of_tiles(tiles: DataFrame, n: int, mean: bool = True) -> DataFrame:

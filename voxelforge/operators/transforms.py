@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
-from ..model import pieces, small_batches
+from ..model import dealt, pieces, small_batches
 from . import windows
 from .joins import fmac
-from .reduce import channel_gram
+from .reduce import channel_gram, gram_of_tiles
 
 MAX_DRIVER_SIDE = 512  # channels or frames of a matrix that the driver may solve
 
@@ -146,10 +146,18 @@ def covariance(df: DataFrame, sample: str, channel: str, n: int) -> np.ndarray:
     return to_matrix(channel_gram(df, sample, channel, n).collect(), n)  # n^2 / 2 rows
 
 
-def singular_values(df: DataFrame, sample: str, channel: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Singular values and right vectors of a tall matrix, from its Gram matrix."""
-    g = to_matrix(channel_gram(df, sample, channel, n, mean=False).collect(), n)
-    w, v = np.linalg.eigh(g.conj())
+def singular_values(df: DataFrame, sample: str, channel: str, n: int, count: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and right vectors of a tall matrix, from its Gram matrix; ``count`` as for ``dealt``."""
+    return _spectrum(channel_gram(df, sample, channel, n, mean=False, count=count), n)
+
+
+def singular_values_of_tiles(tiles: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``singular_values`` for tiles of n channels each; no row is grouped."""
+    return _spectrum(gram_of_tiles(tiles, n, mean=False), n)
+
+
+def _spectrum(gram: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    w, v = np.linalg.eigh(to_matrix(gram.collect(), n).conj())
     return np.sqrt(np.maximum(w[::-1], 0)), _fixed(v[:, ::-1])
 
 
@@ -167,8 +175,9 @@ def singular_spectrum(series: DataFrame, rest: Sequence[str], axis: str, window:
     pad = window - 1 if zero_padding else 0
     h = windows.hankel(x.withColumns({axis: F.col(axis) + pad, "__size": F.col("__n") + 2 * pad}), axis, F.col("__size"), window)
     named = h.withColumn("__key", F.struct(*rest, "p")).withColumn("__row", F.xxhash64(*rest, "p"))
-    _, eof = singular_values(named.select("__row", "w", "re", "im"), "__row", "w", window)
-    back = apply_channels(named.select("__key", "w", "re", "im"), eof[:, :rank] @ eof[:, :rank].conj().T, "__key", "w", "v")
+    count = window * (size.agg(F.sum(F.greatest(F.col("__n") + (2 * pad - window + 1), F.lit(0))).alias("n")).first()["n"] or 0)
+    _, eof = singular_values(named.select("__row", "w", "re", "im"), "__row", "w", window, count)
+    back = apply_channels(named.select("__key", "w", "re", "im"), eof[:, :rank] @ eof[:, :rank].conj().T, "__key", "w", "v", count)
     out = back.select(*(F.col(f"__key.{r}").alias(r) for r in rest), (F.col("__key.p") + F.col("v") - pad).cast("int").alias(axis), "re", "im")
     means = out.groupBy(*rest, axis).agg(F.avg("re").alias("re"), F.avg("im").alias("im"))
     return means.join(size, list(rest)).where((F.col(axis) >= 0) & (F.col(axis) < F.col("__n"))).drop("__n")
@@ -191,9 +200,18 @@ def region_optimised(pos: np.ndarray, neg: np.ndarray, keep: int) -> np.ndarray:
     return _fixed((low.conj().T @ v)[:, ::-1])[:, :keep].T.conj()
 
 
-def apply_channels(df: DataFrame, m: np.ndarray, sample: str, channel: str, out: str = "v") -> DataFrame:
-    """m applied over the channels of every sample; m is broadcast (at most MAX_DRIVER_SIDE a side)."""
-    return fmac(df, matrix_frame(df, m, out, channel), [channel], [sample, out], b_rows=m.size)
+def apply_channels(df: DataFrame, m: np.ndarray, sample: str, channel: str, out: str = "v", count: int | None = None) -> DataFrame:
+    """m applied over the channels of every sample; m is broadcast (at most MAX_DRIVER_SIDE a side).
+
+    Samples are dealt to as many tasks as the rows need and summed there, so a task holds the sums of a bounded number of rows.
+    ``count`` as for ``dealt``.
+    """
+    return fmac(dealt(df, sample, count=count), matrix_frame(df, m, out, channel), [channel], [sample, out], b_rows=m.size)
+
+
+def apply_to_tiles(tiles: DataFrame, m: np.ndarray) -> DataFrame:
+    """As ``apply_channels`` for tiles that hold all channels of a sample; no row is grouped."""
+    return tile_map(tiles, (m.shape[1],), lambda x: x @ m.T)
 
 
 def dictionary_match(voxels: DataFrame, key: str, frame: str, atoms: np.ndarray) -> DataFrame:
