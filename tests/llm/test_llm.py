@@ -295,6 +295,41 @@ def test_bundle_is_the_sum_of_bound_letters():
     langid._STATE.clear()
 
 
+def test_texts_of_several_routes_meet_once(spark, docs, monkeypatch):
+    seen = []
+    edges = jaccard.route_edges
+    monkeypatch.setattr(jaccard, "route_edges", lambda routed, num, den: (seen.append(routed), edges(routed, num, den))[1])
+    jaccard.ngram_jaccard(docs, 5, 80, 100).count()
+    by_route = seen[0].groupBy("key").agg(F.array_sort(F.collect_list("a")).alias("texts")).toPandas()
+    assert len(by_route) and not by_route["texts"].map(tuple).duplicated().any()
+
+
+def test_parts_by_bound_are_brute_force():
+    rng = np.random.default_rng(8)
+    pts = rng.integers(0, 6, (3, 64))[rng.integers(0, 3, 60)] + (rng.random((60, 64)) < 0.4) * rng.integers(0, 3, (60, 64))
+    start = [i if i % 5 else 0 for i in range(60)]
+    size = pts.sum(1)
+    both = np.minimum(pts[:, None], pts[None]).sum(2)
+    near = (180 * both >= 80 * (size[:, None] + size)) & (100 * size[:, None] >= 80 * size) & (100 * size >= 80 * size[:, None]) | (np.array(start)[:, None] == start)
+    for _ in range(6):
+        near = near @ near
+    assert jaccard.bound_parts(pts.astype(np.int32), 80, 100, start).tolist() == near.argmax(1).tolist()
+
+
+@pytest.mark.parametrize("table", [65_536, 40])
+def test_remembered_trigrams_change_no_bundle(monkeypatch, table):
+    monkeypatch.setattr(langid, "TABLE", table)
+    langid._STATE.clear()
+    texts = ["", " \n", "a", "Ab, ab", "ΟΔΟΣ Σ", "日本語テキスト" * 9, "".join(map(chr, range(0x4E00, 0x5000))), "x" * 999, "no no no, never"]
+    for text in texts * 2:
+        kind, count = np.unique(langid.trigrams(text), return_counts=True)
+        got, n = langid.profile(text, damped=True)
+        assert n == len(kind) and (got is None) == (n == 0)
+        if n:
+            np.testing.assert_allclose(got, (1 + np.log(count)) @ langid.trigram_vectors(kind).astype(float), atol=1e-3)
+    langid._STATE.clear()
+
+
 def test_language_odd(spark, odd):
     texts, df = odd
     got = {r["doc_id"]: r for r in langid.language_id(df, df.select("lang", "text")).collect()}

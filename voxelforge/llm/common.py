@@ -94,8 +94,8 @@ def byte_kinds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kind, pair
 
 
-def word_hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+def word_hashes(words: list[bytes]) -> list[int]:
+    return np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words]), "<u8").tolist()
 
 
 def _pair(a: np.ndarray, b: np.ndarray, place: int) -> np.ndarray:
@@ -139,14 +139,12 @@ class Words:
     def _hashed(self) -> np.ndarray:
         if len(_KNOWN) > CACHE_WORDS:
             _KNOWN.clear()
-        hashes = []
-        for w in self.values:
-            h = _KNOWN.get(w)
-            if h is None:
-                h = word_hash(w)
-                if len(w) <= CACHE_BYTES:
-                    _KNOWN[w] = h
-            hashes.append(h)
+        hashes = list(map(_KNOWN.get, self.values))
+        new = [i for i, h in enumerate(hashes) if h is None]
+        for i, h in zip(new, word_hashes([self.values[i] for i in new]), strict=True):
+            hashes[i] = h
+            if len(w := self.values[i]) <= CACHE_BYTES:
+                _KNOWN[w] = h
         return np.array(hashes, np.uint64)[self.index]
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,7 @@ def size_class(n: int, num: int, den: int) -> int:
     return int(np.floor(np.log(n) / np.log(den / num) + 1e-9))
 
 
+@cache
 def class_groups(c: int, num: int, den: int) -> tuple[int, int]:
     """(number of groups, spare) for sets of classes c and c + 1.
 
@@ -87,9 +89,10 @@ def routes(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
         salt = _U(level * 0x9E3779B97F4A7C15 % 2**64)
         code = mix(tokens + salt)
         where = (code >> _U(33)).astype(np.int64) % groups
-        order = np.argsort(where, kind="stable")
-        filled, at = np.unique(where[order], return_index=True)
-        sums = np.add.reduceat(code[order], at)
+        order = np.argsort(where.astype(np.uint16) if groups < 1 << 16 else where, kind="stable")  # the short kind is sorted by digits
+        where = where[order]
+        at = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+        filled, sums = where[at], np.add.reduceat(code[order], at)
         out.append(mix(sums ^ (filled.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)) ^ salt))
         if groups - len(filled) > spare:  # rare: only such sets can agree on more empty groups than are spare
             none = np.setdiff1d(np.arange(groups), filled).astype(np.uint64)
@@ -300,24 +303,39 @@ def fine_point(tokens: np.ndarray) -> bytes:
 
 def same_width(points_: list[bytes]) -> np.ndarray:
     """Points as rows; finer ones are added up to the width of the coarsest."""
-    raw = [np.frombuffer(p, np.uint8 if p[0] == 1 else np.uint32, offset=1).astype(np.int64) for p in points_]
+    raw = [np.frombuffer(p, np.uint8 if p[0] == 1 else np.uint32, offset=1) for p in points_]
     width = min(len(r) for r in raw)
-    return np.stack([r.reshape(width, -1).sum(1) for r in raw])
+    return np.stack([r.astype(np.int32) if len(r) == width else r.reshape(width, -1).sum(1, dtype=np.int32) for r in raw])
 
 
-def bound_parts(pts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Components of points whose summed minima allow the similarity; each is named by its first row."""
-    tree = CountTree(pts)
-    part = np.full(len(pts), -1)
-    for seed in range(len(pts)):
-        if part[seed] >= 0:
-            continue
-        part[seed], queue = seed, [seed]
-        while queue:
-            near = tree.search(pts[queue.pop()], num, den)
-            near = near[part[near] < 0]
-            part[near] = seed
-            queue.extend(near.tolist())
+def bound_parts(pts: np.ndarray, num: int, den: int, start: list[int]) -> np.ndarray:
+    """Components of points whose summed minima allow the similarity; each is named by its first row.
+
+    ``start``: points with equal values are known to be connected.  A breadth-first search that tries only points
+    not reached yet, so points that are all near each other are tried once.
+    """
+    size = pts.sum(1, dtype=np.int64)
+    part, open_ = np.full(len(pts), -1), np.arange(len(pts))
+    own = np.unique(start, return_inverse=True)[1]
+    while len(open_):
+        seed = open_[0]
+        hit = own[open_] == own[seed]
+        queue, open_ = open_[hit].tolist(), open_[~hit]
+        part[queue] = seed
+        while queue and len(open_):
+            q = queue.pop()
+            n, other = size[q], size[open_]
+            near = open_[(den * other >= num * n) & (den * n >= num * other)]
+            found = [near[:0]]
+            for i in range(0, len(near), 512):
+                some = near[i : i + 512]
+                both = np.minimum(pts[some], pts[q]).sum(1, dtype=np.int32).astype(np.int64)
+                found.append(some[(num + den) * both >= num * (n + size[some])])
+            if len(near := np.concatenate(found)):
+                hit = np.isin(own[open_], own[near])
+                queue += open_[hit].tolist()
+                part[open_[hit]] = seed
+                open_ = open_[~hit]
     return part
 
 
@@ -337,17 +355,18 @@ def route_edges(routed: DataFrame, num: int, den: int) -> DataFrame:
             return i
 
         own = ids.tolist()
-        if len({root(i) for i in own}) == 1 or (name := hash(tuple(own))) in seen:
+        roots = [root(i) for i in own]
+        if len(set(roots)) == 1 or (name := hash(tuple(own))) in seen:
             return none, none
         if len(seen) > 500_000:
             seen.clear()
         seen.add(name)
         wide = same_width(pts)
         if len(ids) == 2:
-            n, both = wide.sum(1), int(np.minimum(wide[0], wide[1]).sum())
+            n, both = wide.sum(1, dtype=np.int64), int(np.minimum(wide[0], wide[1]).sum())
             part = np.array([0, 0 if (num + den) * both >= num * n.sum() else 1])
         else:
-            part = bound_parts(wide, num, den)
+            part = bound_parts(wide, num, den, roots)
         new = np.flatnonzero(part != np.arange(len(part)))
         for i in new.tolist():
             up[root(own[i])] = root(own[part[i]])
@@ -435,7 +454,11 @@ def text_parts(texts: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -
 
     found = route_rows(texts, k, num, den)
     rep = of.select(F.col("id").alias("a"), F.col("rep").alias("ra"))
-    often = found.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1 OR b IS NOT NULL").drop("n")
+    route = Window.partitionBy("key")
+    often = found.withColumn("n", F.count("*").over(route)).where("n > 1 OR b IS NOT NULL")
+    # routes of the same texts lead to the same pairs, so one is enough: they get one key (if others get it by chance, more pairs are tried)
+    often = often.withColumns({"low": F.min("a").over(route), "high": F.max("a").over(route), "all": F.bit_xor("a").over(route)}).where("low < high OR b IS NOT NULL")
+    often = often.withColumn("key", F.when(F.col("b").isNull(), F.xxhash64("n", "low", "high", "all")).otherwise(F.col("key")))
     routed = cut(often.join(rep, "a").select("key", F.col("ra").alias("a"), "b").distinct())
     # rows of one key that are copies of each other have become one row
     members = routed.where("b IS NULL").select(F.col("a").alias("id")).distinct().join(first, "id")

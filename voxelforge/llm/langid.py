@@ -16,7 +16,6 @@ columns are kept by ``keep_known`` and ignored by ``language_id``.  An empty tab
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -28,6 +27,8 @@ from .common import arrow, claim, mix, small_batches
 
 #: Components of a vector, and trigrams whose vectors a task remembers.
 DIM, TABLE = 512, 65_536
+#: Bits of a letter's number in the table.
+BITS = 7
 PROFILE = "lang string, sums binary"
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 #: (distinct trigrams from which it holds, least cosine of a known language): short texts score low by chance.
@@ -55,51 +56,106 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def trigrams(text: str) -> np.ndarray:
-    """The trigrams of a text, 21 bits a letter; none without a letter."""
-    sym = code_points(text.lower()).astype(np.int64)
-    sym[~_alphabet()[sym]] = 0
+def _padded(sym: np.ndarray) -> np.ndarray:
+    """Letters between single gaps (0), with a gap at either end; none without a letter."""
     keep = np.ones(len(sym), bool)
     keep[1:] = (sym[1:] > 0) | (sym[:-1] > 0)  # runs of gaps are one gap
     sym = sym[keep]
     if not sym.any():
-        return np.empty(0, np.int64)
-    sym = np.concatenate(([0], sym[1:] if sym[0] == 0 else sym, [0] if sym[-1] else np.empty(0, np.int64))).astype(np.int64)
+        return sym[:0]
+    return np.concatenate((np.zeros(int(sym[0] > 0), sym.dtype), sym, np.zeros(int(sym[-1] > 0), sym.dtype)))
+
+
+def trigrams(text: str) -> np.ndarray:
+    """The trigrams of a text, 21 bits a letter; none without a letter."""
+    sym = code_points(text.lower()).astype(np.int64)
+    sym[~_alphabet()[sym]] = 0
+    sym = _padded(sym)
     return sym[:-2] << 42 | sym[1:-1] << 21 | sym[2:]
 
 
 def trigram_vectors(kind: np.ndarray) -> np.ndarray:
-    """Bound vectors of distinct trigrams, from a bounded table of those that were met before."""
-    slot = _STATE.setdefault("slot", {})
-    table = _STATE.setdefault("table", np.empty((TABLE, DIM), np.int8))
-    at = np.array(list(map(slot.get, kind.tolist(), repeat(-1))), np.int64)
-    new = kind[at < 0]
-    if len(new):
-        three = [letter_vectors(new >> shift & 0x1FFFFF) for shift in (42, 21, 0)]
-        made = np.roll(three[0], 2, 1) * np.roll(three[1], 1, 1) * three[2]
-        if len(new) > TABLE // 4:  # not worth remembering
-            out = np.empty((len(kind), DIM), np.int8)
-            out[at < 0], out[at >= 0] = made, table[at[at >= 0]]
-            return out
-        if len(slot) + len(new) > TABLE:
-            slot.clear()
-            return trigram_vectors(kind)
-        at[at < 0] = own = np.arange(len(slot), len(slot) + len(new))
-        table[own] = made
-        slot.update(zip(new.tolist(), own.tolist(), strict=True))
-    return table[at]
+    """Bound vectors of distinct trigrams."""
+    three = [letter_vectors(kind >> shift & 0x1FFFFF) for shift in (42, 21, 0)]
+    return np.roll(three[0], 2, 1) * np.roll(three[1], 1, 1) * three[2]
+
+
+class Known:
+    """Trigrams that a task remembers: rows of a bounded table, found by numbers of BITS bits that letters get as they come.
+
+    Texts with letters beyond 2**BITS kinds are counted without it.
+    """
+
+    def __init__(self):
+        self.number = np.where(_alphabet(), -1, 0).astype(np.int32)  # of a code point; a gap is 0, a letter not met yet -1
+        self.letters = [0]
+        self.table = np.empty((TABLE, DIM), np.int8)
+        self.kinds = np.empty(TABLE, np.int64)
+        self.row, self.used = np.full(1 << 3 * BITS, -1, np.int32), 0
+
+    def numbers(self, text: str) -> np.ndarray | None:
+        """The number of each letter and 0 for each gap; None if some letter has none."""
+        code = code_points(text.lower())
+        out = self.number[code]
+        if (out < 0).any():
+            new = np.unique(code[out < 0])[: (1 << BITS) - len(self.letters)]
+            self.number[new] = np.arange(len(self.letters), len(self.letters) + len(new))
+            self.letters += new.tolist()
+            out = self.number[code]
+        return None if (out < 0).any() else out
+
+    def counted(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """(rows of the distinct trigrams in order, their counts); None for a text to be counted without the table."""
+        sym = self.numbers(text)
+        if sym is None:
+            return None
+        at = _padded(sym)
+        code = at[:-2] << 2 * BITS | at[1:-1] << BITS | at[2:]
+        row = self.row[code]
+        if len(row) and row.min() < 0:
+            new = np.unique(code[row < 0])
+            if len(new) > TABLE // 4:  # not worth remembering
+                return None
+            if self.used + len(new) > TABLE:
+                self.row.fill(-1)
+                self.used = 0
+                return self.counted(text)
+            letter, mask = np.array(self.letters, np.int64), (1 << BITS) - 1
+            kind = letter[new >> 2 * BITS] << 42 | letter[new >> BITS & mask] << 21 | letter[new & mask]
+            own = slice(self.used, self.used + len(new))
+            self.kinds[own], self.table[own] = kind, trigram_vectors(kind)
+            self.row[new] = np.arange(own.start, own.stop)
+            self.used = own.stop
+            row = self.row[code]
+        count = np.bincount(row, minlength=1)
+        found = np.flatnonzero(count)
+        found = found[np.argsort(self.kinds[found])]
+        return found, count[found]
+
+
+def profile(text: str, damped: bool = False) -> tuple[np.ndarray | None, int]:
+    """(sum of the trigram vectors, number of distinct trigrams); ``damped``: one that comes n times counts 1 + log n times, so that repeated phrases do not hide the rest."""
+    if "known" not in _STATE:
+        _STATE["known"] = Known()
+    known = _STATE["known"]
+    got = known.counted(text)
+    if got is not None:
+        kind, count = got
+        vectors = lambda at: known.table[at]  # noqa: E731  (bytes: workers side by side wait for memory)
+    else:
+        kind, count = np.unique(trigrams(text), return_counts=True)
+        vectors = trigram_vectors
+    if not len(kind):
+        return None, 0
+    weight, out = (1 + np.log(count) if damped else count).astype(np.float32), np.zeros(DIM, np.float32)
+    for i in range(0, len(kind), 4096):
+        out += weight[i : i + 4096] @ vectors(kind[i : i + 4096]).astype(np.float32)
+    return out, len(kind)
 
 
 def bundle(text: str, damped: bool = False) -> np.ndarray | None:
-    """Sum of the trigram vectors; ``damped``: one that comes n times counts 1 + log n times, so that repeated phrases do not hide the rest."""
-    grams = trigrams(text)
-    if not len(grams):
-        return None
-    kind, count = np.unique(grams, return_counts=True)
-    weight, out = (1 + np.log(count) if damped else count).astype(np.float32), np.zeros(DIM, np.float32)
-    for i in range(0, len(kind), 4096):
-        out += weight[i : i + 4096] @ trigram_vectors(kind[i : i + 4096]).astype(np.float32)
-    return out
+    """Sum of the trigram vectors, see ``profile``."""
+    return profile(text, damped)[0]
 
 
 def prototypes(train: DataFrame, damped: bool = False) -> dict[str, np.ndarray]:
@@ -164,9 +220,8 @@ def letter_share(text: str) -> float:
     return np.count_nonzero(_alphabet()[code]) / max(1, np.count_nonzero(code > 32))
 
 
-def limit(text: str) -> float:
-    """Least cosine of a text with as many distinct trigrams."""
-    n = len(np.unique(trigrams(text)))
+def limit(n: int) -> float:
+    """Least cosine of a text with n distinct trigrams."""
     return next((least for start, least in reversed(LIMITS) if n >= start), 0.0)
 
 
@@ -177,8 +232,8 @@ def keep_known(docs: DataFrame, train: DataFrame) -> DataFrame:
     matrix = np.array(list(protos.values())).reshape(len(protos), DIM)
 
     def known(text: str) -> bool:
-        v = bundle(text, damped=True)
-        return v is not None and (not protos or letter_share(text) >= LETTERS and float((matrix @ v).max()) >= limit(text) * float(np.linalg.norm(v)))
+        v, n = profile(text, damped=True)
+        return v is not None and (not protos or letter_share(text) >= LETTERS and float((matrix @ v).max()) >= limit(n) * float(np.linalg.norm(v)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("langid", _STATE.clear)
